@@ -11,9 +11,9 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import udtf
 
 from codegraph_spark.functions import text as tx
+from codegraph_spark.functions.import_groups import ExpandImport
 from codegraph_spark.plans import intervals, prefix
 from codegraph_spark.plans.topk import top_k
 
@@ -237,7 +237,8 @@ def lexical_usages(lines: DataFrame) -> DataFrame:
 
     Per line the first 32 distinct identifiers that are no keyword are looked at.
     """
-    ids = F.array_distinct(F.regexp_extract_all("text", F.lit(rf"\b({IDENTIFIER})\b"), 1))
+    runs = F.regexp_extract_all("text", F.lit(r"([\p{L}\p{M}\p{N}_]+)"), 1)
+    ids = F.filter(F.array_distinct(runs), lambda t: F.rlike(t, F.lit(f"^{IDENTIFIER}$")))
     stop = F.array(*[F.lit(w) for w in LEXICAL_STOP_WORDS])
     kept = F.slice(F.filter(ids, lambda t: (F.length(t) >= 3) & ~F.array_contains(stop, t)), 1, 32)
     return _usage_rows(lines, F.filter(kept, lambda t: tx.is_usage_like(F.col("text"), t)))
@@ -297,60 +298,6 @@ def clean_import(c: Column) -> Column:
     return tx.trim(c)
 
 
-def _clean_import_text(s: str) -> str:
-    import re
-
-    s = s.strip().rstrip(";").strip()
-    for pattern in (r"(?i)^pub\s+", r"(?i)^use\s+", r"::\*$", r"(?i) as .*$", r"(?i)::self$"):
-        s = re.sub(pattern, "", s)
-    return s.strip()
-
-
-def _top_level_parts(s: str) -> list[str]:
-    parts, depth, current = [], 0, ""
-    for ch in s:
-        if ch == "," and depth == 0:
-            parts.append(current)
-            current = ""
-            continue
-        depth += (ch == "{") - (ch == "}")
-        current += ch
-    return [*parts, current]
-
-
-def expand_group(path: str) -> list[str]:
-    """``a::{b, c::{d}}`` to ``a::b``, ``a::c::d``; ``self`` names the prefix."""
-    # an alias inside a group belongs to its part, so only group-free text is cleaned whole
-    text = path.strip().rstrip(";").strip() if "{" in path else _clean_import_text(path)
-    text = text.removeprefix("pub ").strip().removeprefix("use ").strip()
-    left = text.find("{")
-    if left < 0:
-        return [text] if text else []
-    depth, right = 0, -1
-    for i in range(left, len(text)):
-        depth += (text[i] == "{") - (text[i] == "}")
-        if depth == 0:
-            right = i
-            break
-    if right < 0:
-        return [text]
-    head, tail = text[:left].rstrip(":"), text[right + 1:].strip()
-    tail = tail if tail.startswith("::") else ""
-    out = []
-    for part in _top_level_parts(text[left + 1:right]):
-        for inner in expand_group(part) if part.strip() else []:
-            name = inner if not head else f"{head}::{inner}"
-            out.append(head if inner.lower() == "self" else name + tail)
-    return out or [text]
-
-
-@udtf(returnType="path string", useArrow=True)
-class ExpandImport:
-    def eval(self, text: str):
-        for path in expand_group(text or ""):
-            yield (path,)
-
-
 def expand_imports(imports: DataFrame) -> DataFrame:
     """One row per imported path.  Only grouped imports leave the JVM, each distinct text once."""
     grouped = F.contains(F.col("import"), F.lit("{"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from codegraph_spark.functions import text as tx
 from codegraph_spark.operators.lookup import SYMBOL_COLUMNS, in_repo, name_matches, source_context, symbol_filters
+from codegraph_spark.plans.lineage import cut
 from codegraph_spark.plans.substring import LINE_GRAMS, contains_join
 from codegraph_spark.plans.topk import best_one, top_k
 from codegraph_spark.schemas import optional
@@ -92,7 +93,8 @@ def fuzzy_query(symbols: DataFrame, lines: DataFrame, req: DataFrame, limit: int
 
     One row per result: ``result`` is symbol, snippet or fallback.
     """
-    best = fuzzy_symbols(symbols, req, limit)
+    # a bounded answer with several readers: computed once
+    best = cut(fuzzy_symbols(symbols, req, limit))
     heads = best.filter("rank <= 10").select("query_id", "rank", "repo_name", "file_path", F.col("line_start").alias("line"))
     shown = source_context(lines, heads, radius, clamp_end=False).filter(F.col("context").isNotNull())
     sym = best.select(
@@ -130,7 +132,7 @@ def line_matches(lines: DataFrame, req: DataFrame, limit: int, max_limit: int) -
 
 def snippet_search(lines: DataFrame, req: DataFrame, limit: int = 20, radius: int = 6) -> DataFrame:
     """Case-insensitive line search with the lines around each hit."""
-    best = line_matches(lines, req, limit, 50).select("query_id", "rank", "repo_name", "file_path", "line")
+    best = cut(line_matches(lines, req, limit, 50).select("query_id", "rank", "repo_name", "file_path", "line"))
     return source_context(lines, best, radius).select(
         "query_id", "rank", "file_path", "line", F.col("from_line").cast("int").alias("from_line"), F.col("to_line").cast("int").alias("to_line"), "context"
     )
@@ -164,7 +166,7 @@ def references_query(symbols: DataFrame, refs: DataFrame, req: DataFrame, limit:
     r = with_limit(req, limit, max_limit)
     best = selected_symbol(symbols, r, "query").select("query_id", "limit", F.col("id").alias("symbol_id"), F.col("name").alias("symbol_name"), "score")
     hits = refs.join(best, "symbol_id")
-    kept = top_k(hits, ["query_id"], ["in_file", "line"], max_limit, F.col("limit"))
+    kept = top_k(hits, ["query_id"], ["in_file", "line", "context"], max_limit, F.col("limit"))
     return kept.select("query_id", "rank", "symbol_id", "symbol_name", "in_file", "repo_name", "line", "context")
 
 
@@ -209,9 +211,9 @@ def resolve_chain(symbols: DataFrame, lines: DataFrame, req: DataFrame, limit: i
     A later stage only runs over the queries the earlier ones left open.
     """
     r = with_limit(req, limit, max_limit).filter(~tx.is_blank(F.col("q")))
-    exact = exact_lookup(symbols, r, limit, max_limit)
+    exact = cut(exact_lookup(symbols, r, limit, max_limit))
     open_1 = r.join(exact.select("query_id").distinct(), "query_id", "left_anti")
-    fuzzy = fuzzy_compact(symbols, open_1, limit, max_limit)
+    fuzzy = cut(fuzzy_compact(symbols, open_1, limit, max_limit))
     open_2 = open_1.join(fuzzy.select("query_id").distinct(), "query_id", "left_anti")
     snippet = snippet_compact(lines, open_2, limit, max_limit)
     staged = None

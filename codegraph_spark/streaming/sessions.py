@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import sys
+
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+# workers get this module with the task and need no installed package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 PLAN = T.StructType([
     T.StructField("session_id", T.StringType()),
     T.StructField("goal", T.StringType()),
