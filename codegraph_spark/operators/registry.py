@@ -79,55 +79,73 @@ class Index:
     refs: DataFrame
     file_imports: DataFrame
     raw_imports: DataFrame
+    usages: DataFrame
 
 
-def _union(parts, like):
-    out = None
-    for p in parts:
-        out = p if out is None else out.unionByName(p)
-    return out if out is not None else like
+def _union(parts):
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
-def index_corpus(files: DataFrame, registry: Registry | None = None) -> Index:
-    """All index tables of ``files(repo_name, file_path, content)`` as one lazy plan.
-
-    Symbols of every language come first; linking joins on them, so the second
-    pass of references needs no ordering of its own.  A file whose ranked linker
-    yields nothing is linked by name.
-    """
-    registry = registry or default_registry()
+def with_language(files: DataFrame, registry: Registry) -> DataFrame:
+    """Files of registered extensions with their language."""
     ext = tx.extension(F.col("file_path"))
     lang = F.lit(None).cast("string")
     for l in registry.languages.values():
         lang = F.when(ext.isin(*[e.lower() for e in l.extensions]), F.lit(l.name)).otherwise(lang)
-    sources = files.drop("language").withColumn("language", lang).filter(F.col("language").isNotNull())
+    return files.drop("language").withColumn("language", lang).filter(F.col("language").isNotNull())
+
+
+def extract_corpus(files: DataFrame, registry: Registry, known_files: DataFrame | None = None, manifest_files: DataFrame | None = None):
+    """(symbols, raw imports, resolved imports, usages) of ``files(repo_name, file_path, content)`` alone.
+
+    ``known_files`` and ``manifest_files`` are what imports may resolve to; they
+    default to ``files``.
+    """
+    sources = with_language(files, registry)
+    known = with_language(known_files if known_files is not None else files, registry)
     lines = explode_lines(sources)
-    symbols, imports, resolved, usages = [], [], [], {}
-    manifests = extract.parse_manifests(files)
+    manifests = extract.parse_manifests(manifest_files if manifest_files is not None else files)
+    symbols, raws, resolved, usages = [], [], [], []
     for l in registry.languages.values():
         mine = lines.filter(F.col("language") == l.name)
         symbols.append(extract.extract_symbols(mine, l.symbol_rules, ":" if l.id_style == "short" else "::", l.ends))
-        if l.import_rules:
-            raw = extract.extract_imports(mine, l.import_rules)
-            imports.append(raw)
-            if l.resolver:
-                resolved.append(l.resolver(raw, sources.filter(F.col("language") == l.name), manifests))
-            else:
-                resolved.append(raw.select("repo_name", F.col("file_path").alias("from_file"), F.col("import").alias("to_file")).distinct())
-        usages[l.name] = (l.usage_fn or extract.lexical_usages)(mine)
-    all_symbols = _union(symbols, None)
-    empty = sources.select("repo_name", F.col("file_path").alias("from_file"), F.col("file_path").alias("to_file")).limit(0)
-    file_imports = _union(resolved, empty)
+        raw = extract.extract_imports(mine, l.import_rules) if l.import_rules else mine.select(
+            "repo_name", "file_path", "language", "line", F.col("text").alias("import")
+        ).limit(0)
+        raws.append(raw)
+        if l.resolver:
+            resolved.append(l.resolver(raw, known.filter(F.col("language") == l.name).select("repo_name", "file_path"), manifests))
+        else:
+            resolved.append(raw.select("repo_name", F.col("file_path").alias("from_file"), F.col("import").alias("to_file")).distinct())
+        usages.append((l.usage_fn or extract.lexical_usages)(mine).withColumn("language", F.lit(l.name)))
+    return _union(symbols), _union(raws), _union(resolved), _union(usages)
+
+
+def link_corpus(usages: DataFrame, symbols: DataFrame, file_imports: DataFrame, registry: Registry) -> DataFrame:
+    """References of ``usages``; a file whose own linker yields nothing is linked by name."""
     refs = []
     for l in registry.languages.values():
+        mine = usages.filter(F.col("language") == l.name).drop("language")
         if l.linker:
-            ranked = l.linker(usages[l.name], all_symbols, file_imports)
-            bare = usages[l.name].join(
-                ranked.select("repo_name", F.col("in_file").alias("file_path")).distinct(), ["repo_name", "file_path"], "left_anti"
-            )
-            refs += [ranked, linking.link_lexical(bare, all_symbols)]
-        else:
-            refs.append(linking.link_lexical(usages[l.name], all_symbols))
-    nodes = linking.build_file_nodes(sources, all_symbols, file_imports)
-    raw_like = lines.select("repo_name", "file_path", "language", "line", F.col("text").alias("import")).limit(0)
-    return Index(nodes, all_symbols, _union(refs, None), file_imports, _union(imports, raw_like))
+            ranked = l.linker(mine, symbols, file_imports)
+            answered = ranked.select("repo_name", F.col("in_file").alias("file_path")).distinct()
+            refs.append(ranked)
+            mine = mine.join(answered, ["repo_name", "file_path"], "left_anti")
+        refs.append(linking.link_lexical(mine, symbols))
+    return _union(refs)
+
+
+def index_corpus(files: DataFrame, registry: Registry | None = None) -> Index:
+    """All index tables of ``files(repo_name, file_path, content)`` as one lazy plan.
+
+    Linking joins on the symbols of every language, so the second pass over
+    references needs no ordering of its own.
+    """
+    registry = registry or default_registry()
+    symbols, raw, file_imports, usages = extract_corpus(files, registry)
+    refs = link_corpus(usages, symbols, file_imports, registry)
+    nodes = linking.build_file_nodes(with_language(files, registry), symbols, file_imports)
+    return Index(nodes, symbols, refs, file_imports, raw, usages)

@@ -118,13 +118,48 @@ def order_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def order_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Commit parents: order k follows orders k div 2 and k div 3."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k")).filter("k > 0")
+    parents = F.array_distinct(F.array(F.floor(F.col("k") / 2), F.floor(F.col("k") / 3)))
+    return o.select("k", F.explode(parents).alias("p")).select(
+        F.lit("orders").alias("repo_name"), F.col("p").cast("string").alias("parent_commit_id"), F.col("k").cast("string").alias("child_commit_id")
+    )
+
+
+def part_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Import edges between part files: the referring file imports the symbol's file."""
+    owner = part_symbols(spark, sf_dir).select(F.col("id").alias("symbol_id"), F.col("file_path").alias("to_file"))
+    pairs = part_refs(spark, sf_dir).join(owner, "symbol_id").select("repo_name", F.col("in_file").alias("from_file"), "to_file")
+    return pairs.filter("from_file <> to_file").distinct()
+
+
+def trade_graph(spark: SparkSession, sf_dir: str):
+    """(nodes, edges): regions contain nations contain customers, who reference orders, which import parts."""
+    t = lambda n: table(spark, sf_dir, n)
+    key = lambda kind, c: F.concat(F.lit(kind + ":"), F.col(c).cast("string"))
+    node = lambda df, kind, k, label: df.select(key(kind, k).alias("id"), F.lit(kind).alias("type"), F.col(label).cast("string").alias("label"))
+    nodes = node(t("region"), "region", "r_regionkey", "r_name")
+    for name, kind, k, label in (
+        ("nation", "nation", "n_nationkey", "n_name"), ("customer", "customer", "c_custkey", "c_name"),
+        ("orders", "order", "o_orderkey", "o_orderpriority"), ("part", "part", "p_partkey", "p_name"),
+    ):
+        nodes = nodes.unionByName(node(t(name), kind, k, label))
+    edge = lambda df, a, b, kind: df.select(a.alias("src"), b.alias("dst"), F.lit(kind).alias("type"))
+    edges = edge(t("nation"), key("region", "n_regionkey"), key("nation", "n_nationkey"), "contains")
+    edges = edges.unionByName(edge(t("customer"), key("nation", "c_nationkey"), key("customer", "c_custkey"), "contains"))
+    edges = edges.unionByName(edge(t("orders"), key("customer", "o_custkey"), key("order", "o_orderkey"), "references"))
+    edges = edges.unionByName(edge(t("lineitem"), key("order", "l_orderkey"), key("part", "l_partkey"), "imports"))
+    return nodes, edges.distinct()
+
+
 def order_commit_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     return li.select(
         F.lit("orders").alias("repo_name"),
         F.col("l_orderkey").cast("string").alias("commit_id"),
         F.col("l_partkey").cast("string").alias("path"),
-        F.when(F.col("l_returnflag") == "R", F.col("l_suppkey").cast("string")).alias("prev_path"),
+        F.when(F.col("l_returnflag") == "R", F.floor(F.col("l_partkey") / 2).cast("string")).alias("prev_path"),
         F.when(F.col("l_returnflag") == "N", F.lit("M")).otherwise(F.col("l_returnflag")).alias("status"),
         F.col("l_quantity").cast("int").alias("inserted"),
         F.col("l_linenumber").cast("int").alias("deleted"),

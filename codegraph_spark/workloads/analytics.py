@@ -1,0 +1,440 @@
+"""Summaries, run analytics and streaming queries over the shared tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from codegraph_spark.operators import registry, runs
+from codegraph_spark.plans.lineage import cut, scratch_path
+from codegraph_spark.sources import corpus
+from codegraph_spark.streaming import index_stream, sessions
+from codegraph_spark.streaming import telemetry as live
+from codegraph_spark.workloads.base import query
+from codegraph_spark.workloads.indexing import TEXT_LANGUAGE
+from codegraph_spark.workloads.retrieval import text_symbols
+
+
+def results(spark, d):
+    return corpus.bench_results(spark, d)
+
+
+def run_table(spark, d):
+    return results(spark, d).select("run_id").distinct().withColumn("created_at", F.to_timestamp("run_id"))
+
+
+@query("project_summary", """
+SELECT repo_name, language, count(*) AS files, CAST(sum(symbol_count) AS BIGINT) AS symbols FROM pfiles GROUP BY GROUPING SETS ((repo_name, language), (repo_name))""")
+def _(spark, d):
+    return runs.project_summary(corpus.part_files(spark, d))
+
+
+@query("project_listing", """
+SELECT c_name AS name, CASE c_nationkey % 3 WHEN 0 THEN 'CSharp' WHEN 1 THEN 'CSharp,Rust' ELSE '' END AS languages, CASE c_nationkey % 3 WHEN 0 THEN '.cs' WHEN 1 THEN '.cs,.rs' ELSE '' END AS extensions FROM customer""")
+def _(spark, d):
+    from codegraph_spark.sources import scan
+
+    c = corpus.table(spark, d, "customer")
+    langs = F.when(F.col("c_nationkey") % 3 == 0, F.array(F.lit("CSharp"))).when(F.col("c_nationkey") % 3 == 1, F.array(F.lit("Rust"), F.lit("CSharp"))).otherwise(
+        F.array().cast("array<string>")
+    )
+    projects = c.select(F.col("c_name").alias("name"), F.concat(F.lit("/p/"), "c_name").alias("path"), langs.alias("languages"))
+    out = runs.project_listing(projects, scan.language_table(spark))
+    return out.select("name", F.array_join("languages", ",").alias("languages"), F.array_join("extensions", ",").alias("extensions"))
+
+
+@query("telemetry_snapshot", """
+SELECT count(*) AS total_queries, CAST(sum(is_empty::INT) AS BIGINT) AS empty_results, CAST(sum(used_fallback::INT) AS BIGINT) AS fallback_count,
+       sum(is_empty::INT) / count(*)::DOUBLE AS empty_rate, sum(used_fallback::INT) / count(*)::DOUBLE AS fallback_rate FROM tel""")
+def _(spark, d):
+    return runs.telemetry_totals(corpus.telemetry(spark, d))
+
+
+@query("telemetry_recent", "SELECT event_id, ts, endpoint, mode, latency_ms, result_count FROM tel ORDER BY ts DESC, event_id DESC LIMIT 100")
+def _(spark, d):
+    return runs.telemetry_recent(corpus.telemetry(spark, d)).select("event_id", "ts", "endpoint", "mode", "latency_ms", "result_count")
+
+
+@query("latency_stats", """
+SELECT endpoint, mode, count(*) AS n, round(avg(latency_ms), 6) AS mean_ms, avg(is_empty::INT::DOUBLE) AS empty_rate, quantile_disc(latency_ms, 0.95) AS p95_ms FROM tel GROUP BY endpoint, mode""")
+def _(spark, d):
+    out = runs.latency_stats(corpus.telemetry(spark, d))
+    return out.withColumn("mean_ms", F.round("mean_ms", 6))
+
+
+_AVG = ", ".join(f"CAST(CASE WHEN count({c}) > 0 THEN round_even(avg(coalesce({c}, 0)::DOUBLE), 0) END AS BIGINT) AS {c}" for c in runs.AVERAGED)
+
+
+@query("average_repeats", f"""
+SELECT scenario, fixture, is_workflow, temperature, count(*) AS repeats, avg(coverage_percent) AS coverage_percent, {_AVG},
+       CASE WHEN count(success) > 0 THEN bool_and(coalesce(success, false)) END AS success, 'avg of ' || count(*) AS notes FROM bench GROUP BY scenario, fixture, is_workflow, temperature""")
+def _(spark, d):
+    return runs.average_repeats(results(spark, d))
+
+
+
+def _tokens(df):
+    return df.select(F.col("lang").alias("fixture"), F.explode(F.split("text", " ", -1)).alias("token"))
+
+
+@query("coverage", """
+WITH b AS (SELECT DISTINCT lang AS fixture, unnest(string_split(text, ' ')) AS token FROM documents), o AS (SELECT DISTINCT lang AS fixture, unnest(string_split(text, ' ')) AS token FROM documents WHERE n_chars < 3000)
+SELECT b.fixture, count(*) AS baseline_count, count(o.token) AS our_count, count(*) - count(o.token) AS missed, count(o.token) / count(*)::DOUBLE * 100.0 AS coverage_percent, count(o.token) - count(*) AS extra
+FROM b LEFT JOIN o ON o.fixture = b.fixture AND o.token = b.token GROUP BY b.fixture""")
+def _(spark, d):
+    docs = corpus.table(spark, d, "documents")
+    return runs.coverage(_tokens(docs), _tokens(docs.filter("n_chars < 3000")))
+
+
+@query("count_coverage", """
+SELECT a.source AS fixture, a.n AS baseline_count, coalesce(b.n, 0) AS our_count, least(a.n, coalesce(b.n, 0)) / greatest(a.n, coalesce(b.n, 0))::DOUBLE * 100.0 AS coverage_percent
+FROM (SELECT source, count(*) AS n FROM documents GROUP BY source) a LEFT JOIN (SELECT source, count(*) AS n FROM documents WHERE n_chars > 2000 GROUP BY source) b ON b.source = a.source""")
+def _(spark, d):
+    docs = corpus.table(spark, d, "documents").withColumnRenamed("source", "fixture")
+    return runs.count_coverage(docs, docs.filter("n_chars > 2000"))
+
+
+@query("symbol_coverage", """
+WITH t AS (SELECT file_path AS fixture, name, kind FROM psym), s AS (SELECT DISTINCT fixture, name, kind FROM (SELECT file_path AS fixture, name, kind, line_start FROM psym) WHERE line_start > 25)
+SELECT t.fixture, count(*) AS baseline_count, count(s.name) AS covered, count(s.name) / count(*)::DOUBLE * 100.0 AS coverage_percent FROM t LEFT JOIN s ON s.fixture = t.fixture AND s.name = t.name AND s.kind = t.kind GROUP BY t.fixture""")
+def _(spark, d):
+    s = corpus.part_symbols(spark, d).withColumnRenamed("file_path", "fixture")
+    return runs.symbol_coverage(s, s.filter("line_start > 25"))
+
+
+@query("compare_workflows", """
+WITH tasks AS (SELECT item_id AS task_id, string_split(text, ' ')[1] AS query, string_split(text, ' ')[2] AS ev FROM benchmark),
+scan AS (SELECT sum(greatest(1, length(text) // 4)) AS n FROM lines),
+h AS (SELECT task_id, file_path, line, row_number() OVER (PARTITION BY task_id ORDER BY file_path, line) AS rn, count(*) OVER (PARTITION BY task_id) AS hits FROM lines JOIN tasks ON contains(lower(text), lower(query))),
+f AS (SELECT * FROM h WHERE rn = 1),
+w AS (SELECT f.task_id, greatest(1, (sum(length(l.text)) + count(*) - 1) // 4) AS read_tokens, bool_or(contains(l.text, t.ev)) AS seen FROM f JOIN tasks t ON t.task_id = f.task_id JOIN lines l ON l.file_path = f.file_path GROUP BY f.task_id),
+c AS (SELECT task_id, y.name, y.file_path, y.line_start, row_number() OVER (PARTITION BY task_id ORDER BY CASE WHEN lower(name) = lower(query) THEN 300 WHEN starts_with(lower(name), lower(query)) THEN 200 ELSE 100 END DESC, file_path, line_start, id) AS rn
+      FROM tsym y JOIN tasks ON contains(lower(name), lower(query))),
+p AS (SELECT task_id, count(*) AS our_count, greatest(1, (sum(length(name || '|' || file_path || '|' || line_start)) + count(*) - 1) // 4) AS payload FROM c WHERE rn <= 5 GROUP BY task_id),
+s AS (SELECT t.*, coalesce(c.file_path, f.file_path) AS sel_file, coalesce(c.line_start, f.line) AS sel_line, f.file_path AS first_file, coalesce(f.hits, 0) AS hits, w.read_tokens, w.seen, p.our_count, p.payload
+      FROM tasks t LEFT JOIN c ON c.task_id = t.task_id AND c.rn = 1 LEFT JOIN f ON f.task_id = t.task_id LEFT JOIN w ON w.task_id = t.task_id LEFT JOIN p ON p.task_id = t.task_id),
+sp AS (SELECT s.task_id, greatest(1, (sum(length(l.text)) + count(*) - 1) // 4) AS span_tokens, bool_or(contains(l.text, s.ev)) AS our_seen FROM s JOIN lines l ON l.file_path = s.sel_file AND l.line BETWEEN s.sel_line - 4 AND s.sel_line + 4 GROUP BY s.task_id)
+SELECT s.task_id, query AS scenario, CAST(hits AS BIGINT) AS baseline_count, CAST((SELECT n FROM scan) + coalesce(read_tokens, 0) AS BIGINT) AS baseline_tokens, CASE WHEN hits > 0 THEN 2 ELSE 1 END AS baseline_calls,
+       CAST(coalesce(our_count, 0) AS BIGINT) AS our_count, CAST(coalesce(payload, 1) + coalesce(span_tokens, 0) AS BIGINT) AS our_tokens,
+       1 + CASE WHEN our_count IS NULL THEN 1 ELSE 0 END + CASE WHEN sel_file IS NULL THEN 0 ELSE 1 END AS our_calls, sel_file IS NOT NULL AND contains(sel_file, '/en/') AND false AS success
+FROM s LEFT JOIN sp ON sp.task_id = s.task_id""")
+def _(spark, d):
+    b = corpus.table(spark, d, "benchmark")
+    w = F.split("text", " ")
+    tasks = b.select(F.col("item_id").alias("task_id"), w[0].alias("query"), F.lit("/docs/none.txt").alias("expected_path"), w[1].alias("expected_evidence"))
+    out = runs.compare_workflows(corpus.document_lines(spark, d), text_symbols(spark, d), tasks)
+    return out.select("task_id", "scenario", "baseline_count", "baseline_tokens", "baseline_calls", "our_count", "our_tokens", "our_calls", "success")
+
+
+@query("evaluate_history", """
+WITH b AS (SELECT f.path, list(DISTINCT f.commit_id) AS ids FROM cfiles f GROUP BY f.path), l AS (SELECT path, list_sort(ids) AS ids, CASE CAST(path AS BIGINT) % 3 WHEN 0 THEN 'history_latest_touch' WHEN 1 THEN 'history_touch_count' ELSE 'history_first_touch' END AS kind FROM b),
+c AS (SELECT *, CASE WHEN kind = 'history_touch_count' THEN CASE WHEN len(ids) % 2 = 0 THEN CAST(len(ids) AS VARCHAR) ELSE 'many' END ELSE CASE WHEN len(ids) % 2 = 0 THEN ids[1] ELSE 'none' END END AS answer FROM l)
+SELECT path AS task_id, kind, len(ids) % 2 = 0 AS success, CASE WHEN kind = 'history_touch_count' THEN CAST(len(ids) AS VARCHAR) ELSE ids[1] END AS hybrid_answer, CASE WHEN len(ids) % 2 = 0 THEN 1 ELSE 2 END AS hybrid_calls, CAST(len(ids) AS INTEGER) AS baseline_count FROM c""")
+def _(spark, d):
+    c = corpus.order_commit_files(spark, d)
+    k = F.col("task_id").cast("long") % 3
+    base = c.groupBy(F.col("path").alias("task_id")).agg(F.sort_array(F.collect_set("commit_id")).alias("lines")).withColumn(
+        "kind", F.when(k == 0, F.lit("history_latest_touch")).when(k == 1, F.lit("history_touch_count")).otherwise(F.lit("history_first_touch"))
+    )
+    even = F.size("lines") % 2 == 0
+    counted = F.when(even, F.size("lines").cast("string")).otherwise(F.lit("many"))
+    answer = F.when(F.col("kind") == "history_touch_count", counted).otherwise(F.when(even, F.col("lines")[0]).otherwise(F.lit("none")))
+    return runs.evaluate_history(base, base.select("task_id", answer.alias("answer")), check_hash=False)
+
+
+@query("run_totals", """
+SELECT CAST(sum(passed::INT) AS BIGINT) AS passed, count(*) AS total, avg(coverage_percent) AS avg_coverage, avg(extra) AS avg_extra FROM flags""")
+def _(spark, d):
+    return runs.run_totals(results(spark, d))
+
+
+@query("token_wins", """
+SELECT CASE WHEN starts_with(notes, 'history_') THEN 'history' ELSE 'core' END AS track, temperature, count(*) AS rows, CAST(sum((passed AND our_tokens <= baseline_tokens)::INT) AS BIGINT) AS wins,
+       CAST(sum(passed::INT) AS BIGINT) AS quality, avg(baseline_tokens - our_tokens) AS avg_token_delta FROM flags WHERE is_workflow GROUP BY ALL""")
+def _(spark, d):
+    return runs.token_wins(results(spark, d))
+
+
+@query("result_labels", """
+SELECT CASE WHEN NOT passed THEN 'miss' WHEN baseline_tokens >= our_tokens THEN 'win' ELSE 'quality-only' END AS label, count(*) AS rows FROM flags GROUP BY ALL""")
+def _(spark, d):
+    return results(spark, d).groupBy(runs.result_label().alias("label")).agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query("unpivot_modes", """
+SELECT run_id, scenario, fixture, event_id, 'classic' AS mode, CAST(baseline_tokens AS BIGINT) AS tokens, CAST(baseline_calls AS BIGINT) AS calls, baseline_ms AS elapsed_ms, passed AS success, notes FROM flags
+UNION ALL SELECT run_id, scenario, fixture, event_id, 'compact', our_tokens, our_calls, our_ms, passed, notes FROM flags
+UNION ALL SELECT run_id, scenario, fixture, event_id, 'hybrid', coalesce(hybrid_tokens, our_tokens), coalesce(hybrid_calls, our_calls), our_ms, passed, notes FROM flags""")
+def _(spark, d):
+    return runs.unpivot_modes(results(spark, d))
+
+
+_FLAKY = """
+SELECT min(scenario) AS scenario, count(*) AS runs, count(DISTINCT passed) AS pass_states, count(DISTINCT sign(classic - least(compact, hybrid))) AS delta_signs FROM flags GROUP BY lower(scenario)
+HAVING count(*) >= 2 AND (count(DISTINCT passed) > 1 OR count(DISTINCT sign(classic - least(compact, hybrid))) > 1)"""
+
+
+@query("flaky_scenarios", _FLAKY)
+def _(spark, d):
+    return runs.flaky_scenarios(results(spark, d))
+
+
+_CLASS = """
+cls AS (SELECT *, CASE WHEN contains(v, 'grep') OR contains(v, 'search') THEN 'Search / Grep' WHEN contains(v, 'symbol') OR contains(v, 'resolve') THEN 'Resolve / Symbol' WHEN contains(v, 'workflow') OR contains(v, 'e2e') THEN 'Workflow / E2E' ELSE 'History / Git' END AS tooling,
+        CASE WHEN tooling = 'Resolve / Symbol' THEN 'Correctness' ELSE 'Token Savings' END AS goal, CASE WHEN contains(fixture, '.cs') THEN 'CSharp' ELSE 'Rust' END AS language,
+        upper(scenario[1]) || replace(scenario[2:], '_', ' ') AS title FROM (SELECT *, lower(notes || '  ' || scenario) AS v FROM flags))"""
+
+
+@query("scenario_flags", """
+SELECT event_id, passed, compact_delta, hybrid_delta, best_delta, savings_pct, regression, passed AND best_delta > 0 AS winner, NOT passed OR regression OR compact <= 0 AS needs_review,
+       CASE WHEN NOT passed THEN 'FAIL' WHEN regression THEN 'REG' WHEN best_delta <= 0 THEN 'WARN' ELSE 'PASS' END AS outcome FROM flags""")
+def _(spark, d):
+    return runs.scenario_flags(results(spark, d)).select(
+        "event_id", "passed", "compact_delta", "hybrid_delta", "best_delta", "savings_pct", "regression", "winner", "needs_review", "outcome"
+    )
+
+
+@query("mode_notes", """
+WITH m AS (SELECT f.*, unnest(['classic', 'compact', 'hybrid']) AS mode FROM flags f)
+SELECT event_id, mode, CASE mode WHEN 'classic' THEN 'Narrow output' WHEN 'compact' THEN CASE WHEN compact_delta > 0 THEN 'Saved tokens' WHEN compact_delta < 0 THEN 'Regression' ELSE notes END
+       ELSE CASE WHEN contains(notes, 'fallback') THEN 'Fallback used' ELSE 'Fallback not needed' END END AS remark FROM m""")
+def _(spark, d):
+    keyed = results(spark, d).withColumn("fixture", F.concat_ws("#", "fixture", F.col("event_id").cast("string")))
+    modes = runs.unpivot_modes(keyed).withColumn("input", F.lit("")).withColumn("output", F.col("mode"))
+    return runs.mode_notes(modes, runs.scenario_flags(keyed)).select("event_id", "mode", "remark")
+
+
+@query("classify_scenarios", f"WITH {_CLASS} SELECT event_id, tooling, goal, language, title FROM cls")
+def _(spark, d):
+    return runs.classify_scenarios(results(spark, d)).select("event_id", "tooling", "goal", "language", "title")
+
+
+@query("latest_run", f"WITH {_CLASS} SELECT run_id, event_id, tooling, goal, language FROM cls WHERE run_id = (SELECT max(run_id) FROM bench)")
+def _(spark, d):
+    tasks = results(spark, d).select(F.lit("none").alias("id")).distinct().select(
+        "id", F.lit("t").alias("title"), F.lit("k").alias("kind"), F.lit("p").alias("path"), F.lit("n").alias("note")
+    )
+    return runs.latest_run(run_table(spark, d), results(spark, d), tasks).select("run_id", "event_id", "tooling", "goal", "language")
+
+
+@query("scenario_history", """
+SELECT scenario, CAST(rn AS INTEGER) AS rank, substr(run_id, 1, 8) AS run, passed, classic, compact, hybrid, best, savings_pct FROM (
+SELECT *, classic - least(compact, hybrid) AS best, row_number() OVER (PARTITION BY scenario ORDER BY run_id DESC, event_id) AS rn FROM flags) WHERE rn <= 20""")
+def _(spark, d):
+    out = runs.scenario_history(run_table(spark, d), results(spark, d))
+    return out.select("scenario", "rank", "run", "passed", "classic", "compact", "hybrid", F.col("best_delta").alias("best"), "savings_pct")
+
+
+@query("quality_guard", """
+WITH c AS (SELECT user_id AS query_id, 'file' || (event_id % 400) AS k, event_id FROM events), n AS (SELECT query_id, count(*) AS n, count(*) FILTER (k NOT IN (SELECT 'file' || doc_id FROM documents)) AS missing FROM c GROUP BY query_id),
+w AS (SELECT query_id, [CASE WHEN query_id % 2 = 0 THEN 'Token budget is high; prefer compact/balanced retrieval for iteration.' END, CASE WHEN n > 20 THEN 'Large changed file set; run scoped diagnostics and test-map first.' END,
+      CASE WHEN missing > 0 THEN missing || ' changed file(s) are not indexed yet.' END] AS all_w FROM n)
+SELECT query_id, unnest(list_filter(all_w, lambda x: x IS NOT NULL)) AS warning FROM w""")
+def _(spark, d):
+    e = corpus.table(spark, d, "events")
+    files = corpus.table(spark, d, "documents").select(F.concat(F.lit("file"), F.col("doc_id").cast("string")).alias("file_path"))
+    changed = e.select(F.col("user_id").alias("query_id"), F.concat(F.lit("FILE"), (F.col("event_id") % 400).cast("string")).alias("path"))
+    req = e.select(F.col("user_id").alias("query_id")).distinct().withColumn("token_budget", F.when(F.col("query_id") % 2 == 0, 3000).otherwise(0))
+    return runs.quality_guard(files, req, changed).select("query_id", "warning")
+
+
+def _answers(spark, d):
+    from codegraph_spark.operators import ranked
+
+    return cut(ranked.fuzzy_compact(text_symbols(spark, d), corpus.benchmark_queries(spark, d)))
+
+
+@query("dict_encode")
+def _(spark, d):
+    dictionary, rows = runs.dict_encode(_answers(spark, d), ["p", "k"])
+    return rows
+
+
+@query("dict_decode")
+def _(spark, d):
+    """The dictionary joined back: every item with its own path again."""
+    items = _answers(spark, d)
+    dictionary, rows = runs.dict_encode(items, ["p", "k"])
+    paths = dictionary.filter("dict = 'p'").select("query_id", F.col("idx").alias("p"), F.col("value").alias("path"))
+    back = rows.join(paths, ["query_id", "p"]).select("query_id", "id", "path")
+    return back.join(items.select("query_id", "id", F.col("p").alias("path")), ["query_id", "id", "path"], "left_semi")
+
+
+_TAGS = f"""WITH {_CLASS}, fl AS ({_FLAKY}),
+tg AS (SELECT c.*, f.scenario IS NOT NULL AS flaky FROM cls c LEFT JOIN fl f ON f.scenario = c.scenario),
+tags AS (SELECT 'all' AS tag, * FROM tg UNION ALL SELECT 'goal:' || goal, * FROM tg UNION ALL SELECT 'tooling:' || tooling, * FROM tg UNION ALL SELECT 'language:' || language, * FROM tg
+ UNION ALL SELECT 'smart:winners', * FROM tg WHERE passed AND best_delta > 0 UNION ALL SELECT 'smart:regressions', * FROM tg WHERE regression
+ UNION ALL SELECT 'smart:flaky', * FROM tg WHERE flaky UNION ALL SELECT 'smart:review', * FROM tg WHERE NOT passed OR regression OR compact <= 0)"""
+
+
+def _rows(spark, d):
+    return runs.classify_scenarios(runs.scenario_flags(results(spark, d)))
+
+
+@query("category_counts", _TAGS + "SELECT tag, count(*) AS rows, CAST(sum(passed::INT) AS BIGINT) AS passed, round(avg(savings_pct), 6) AS avg_savings, CAST(sum(regression::INT) AS BIGINT) AS regressions FROM tags GROUP BY tag")
+def _(spark, d):
+    out = runs.category_counts(_rows(spark, d), runs.flaky_scenarios(results(spark, d)))
+    return out.withColumn("avg_savings", F.round("avg_savings", 6))
+
+
+@query("filter_scenarios", _TAGS + "SELECT event_id, scenario, title, best_delta, regression FROM tags WHERE tag = 'smart:review' AND contains(lower(scenario || ' ' || title || ' ' || fixture || ' ' || tooling || ' ' || goal || ' ' || language), 'rust')")
+def _(spark, d):
+    out = runs.filter_scenarios(_rows(spark, d), runs.flaky_scenarios(results(spark, d)), "smart:review", " RUST ")
+    return out.select("event_id", "scenario", "title", "best_delta", "regression")
+
+
+@query("subset_tasks", "SELECT o_orderkey AS task, lower(o_orderpriority) AS id FROM orders WHERE o_orderpriority IN ('1-URGENT', '5-LOW')")
+def _(spark, d):
+    tasks = corpus.table(spark, d, "orders").select(F.col("o_orderkey").alias("task"), F.lower("o_orderpriority").alias("id"))
+    ids = corpus.table(spark, d, "orders").filter("o_orderpriority in ('1-URGENT', '5-LOW')").select(F.col("o_orderpriority").alias("id"))
+    return runs.subset_tasks(tasks, ids)
+
+
+@query("hotspots", """
+WITH s AS (SELECT file_path, count(*) AS symbols FROM psym GROUP BY file_path), i AS (SELECT to_file AS file_path, count(*) AS n FROM pimports GROUP BY to_file),
+p AS (SELECT f.file_path, coalesce(s.symbols, 0) AS symbols, coalesce(i.n, 0) AS imported_by FROM pfiles f LEFT JOIN s ON s.file_path = f.file_path LEFT JOIN i ON i.file_path = f.file_path)
+SELECT file_path AS path, true AS is_file, 1 AS files, symbols, imported_by FROM p
+UNION ALL SELECT '/' || string_split(file_path, '/')[2], false, count(*), CAST(sum(symbols) AS BIGINT), CAST(sum(imported_by) AS BIGINT) FROM p GROUP BY ALL""")
+def _(spark, d):
+    return runs.hotspots(corpus.part_files(spark, d), corpus.part_symbols(spark, d), corpus.part_imports(spark, d))
+
+
+@query("scenario_detail", """
+WITH k AS (SELECT run_id, scenario, fixture FROM bench WHERE event_id % 5 = 0), f AS (SELECT * FROM flags WHERE (run_id, scenario, fixture) IN (SELECT (run_id, scenario, fixture) FROM k))
+SELECT run_id, scenario, fixture, mode, pos, count(*) AS rows, CAST(sum(tokens) AS BIGINT) AS tokens FROM (
+SELECT run_id, scenario, fixture, 'classic' AS mode, 0 AS pos, baseline_tokens AS tokens FROM f UNION ALL SELECT run_id, scenario, fixture, 'compact', 1, our_tokens FROM f
+UNION ALL SELECT run_id, scenario, fixture, 'hybrid', 2, coalesce(hybrid_tokens, our_tokens) FROM f) GROUP BY ALL""")
+def _(spark, d):
+    r = results(spark, d)
+    modes, _ = runs.scenario_detail(runs.unpivot_modes(r), runs.explode_trace(r), r.filter("coverage_percent = 90.0"))
+    return modes.groupBy("run_id", "scenario", "fixture", "mode", "pos").agg(F.count(F.lit(1)).alias("rows"), F.sum("tokens").alias("tokens"))
+
+
+_WINDOWS = """
+SELECT date_trunc('hour', ts) AS window_start, date_trunc('hour', ts) + INTERVAL 1 HOUR AS window_end, endpoint, count(*) AS total_queries, CAST(sum(is_empty::INT) AS BIGINT) AS empty_results,
+       CAST(sum(used_fallback::INT) AS BIGINT) AS fallback_count, avg(is_empty::INT::DOUBLE) AS empty_rate, avg(used_fallback::INT::DOUBLE) AS fallback_rate FROM tel GROUP BY ALL"""
+
+
+@query("telemetry_windows", _WINDOWS)
+def _(spark, d):
+    return live.windowed(corpus.telemetry(spark, d), delay=None)
+
+
+def _event_stream(spark, d):
+    schema = corpus.table(spark, d, "events").schema
+    e = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    return e.select(
+        "event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("endpoint"),
+        (F.col("event_type") == "error").alias("is_empty"), (F.col("event_type") == "signup").alias("used_fallback"),
+    )
+
+
+@query("stream_telemetry", _WINDOWS)
+def _(spark, d):
+    out = scratch_path(spark, "telemetry")
+    agg = live.windowed(_event_stream(spark, d), delay="10 minutes")
+    q = (
+        agg.writeStream.outputMode("complete").trigger(availableNow=True).option("checkpointLocation", out + "-state")
+        .foreachBatch(lambda b, i: b.write.mode("overwrite").parquet(out)).start()
+    )
+    q.awaitTermination()
+    done = spark.read.parquet(out)
+    return done.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")})
+
+
+def _session_updates(df):
+    value = F.coalesce("text", F.lit(""))
+    field = F.when(F.col("role") == "user", F.lit("goal")).when(F.col("role") == "assistant", F.lit("step")).otherwise(F.lit("state"))
+    return df.select(F.concat(F.lit("S"), F.col("conv_id").cast("string")).alias("session_id"), F.col("turn").alias("seq"), field.alias("field"), value.alias("value"))
+
+
+_PLANS = """
+SELECT 's' || conv_id AS session_id, coalesce(arg_max(text, turn) FILTER (role = 'user'), '') AS goal, coalesce(arg_max(text, turn) FILTER (role NOT IN ('user', 'assistant')), '') AS state,
+       count(*) FILTER (role = 'assistant') AS step_count, coalesce(arg_max(text, turn) FILTER (role = 'assistant'), '') AS last_step FROM conversations GROUP BY conv_id"""
+
+
+@query("session_plan_state", _PLANS)
+def _(spark, d):
+    return sessions.session_plans(_session_updates(corpus.table(spark, d, "conversations")))
+
+
+@query("session_steps", "SELECT 's' || conv_id AS session_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS step_no, text AS step FROM conversations WHERE role = 'assistant'")
+def _(spark, d):
+    return sessions.session_steps(_session_updates(corpus.table(spark, d, "conversations")))
+
+
+@query("stream_session_plans", _PLANS)
+def _(spark, d):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    out = scratch_path(spark, "sessions")
+    schema = corpus.table(spark, d, "conversations").schema
+    src = spark.readStream.schema(schema).option("pathGlobFilter", "conversations.parquet").parquet(d)
+    q = (
+        sessions.stream_session_plans(_session_updates(src)).writeStream.outputMode("update").trigger(availableNow=True)
+        .option("checkpointLocation", out + "-state").foreachBatch(lambda b, i: b.withColumn("batch", F.lit(i)).write.mode("append").parquet(out)).start()
+    )
+    q.awaitTermination()
+    latest = spark.read.parquet(out)
+    return latest.groupBy("session_id").agg(F.max_by(F.struct("goal", "state", "step_count", "last_step"), "batch").alias("p")).select("session_id", "p.*")
+
+
+_EVENT = T.StructType([
+    T.StructField("repo_name", T.StringType()), T.StructField("event", T.StringType()), T.StructField("file_path", T.StringType()),
+    T.StructField("old_path", T.StringType()), T.StructField("content", T.StringType()), T.StructField("version", T.LongType()),
+])
+
+
+def _file_events(spark, d):
+    """All documents are created; toxic ones are deleted, good ones renamed, the rest of the labelled ones changed."""
+    docs = corpus.table(spark, d, "documents").join(corpus.table(spark, d, "labels"), "doc_id")
+    path = F.concat_ws("/", F.lit("/docs"), "lang", "source", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    toxic, good = F.col("toxic") == 1, F.col("quality") == 1
+    return docs.select(
+        F.lit("docs").alias("repo_name"),
+        F.when(toxic, F.lit("deleted")).when(good, F.lit("renamed")).otherwise(F.lit("changed")).alias("event"),
+        F.when(~toxic & good, F.concat(F.lit("/moved"), path)).otherwise(path).alias("file_path"),
+        F.when(~toxic & good, path).alias("old_path"),
+        F.when(~toxic, F.concat(F.lit("Added line\n"), "text")).alias("content"),
+        F.lit(2).cast("long").alias("version"),
+    )
+
+
+_CHANGED = r"""
+WITH fin AS (SELECT f.file_path, f.content FROM files f WHERE doc_id NOT IN (SELECT doc_id FROM labels)
+             UNION ALL SELECT CASE WHEN l.quality = 1 THEN '/moved' || f.file_path ELSE f.file_path END, 'Added line' || chr(10) || f.content FROM labels l JOIN files f ON f.doc_id = l.doc_id WHERE l.toxic <> 1),
+fl AS (SELECT file_path, i AS line, p[i] AS text FROM (SELECT file_path, p, unnest(generate_series(1, len(p))) AS i FROM (SELECT file_path, string_split_regex(content, '\r\n|\n|\r') AS p FROM fin)))
+SELECT file_path, CAST(line AS INTEGER) AS line_start, regexp_extract(text, '^([A-Z][A-Za-z0-9_]+)', 1) AS name FROM fl WHERE regexp_matches(text, '^[A-Z][A-Za-z0-9_]{6,}|^[A-Z][A-Za-z0-9_]{1,5}([^A-Za-z0-9_]|$)')"""
+
+
+def _store(spark, d, name):
+    store = index_stream.IndexStore(spark, scratch_path(spark, name), registry.Registry().register(TEXT_LANGUAGE), buckets=8)
+    store.build(corpus.document_files(spark, d))
+    return store
+
+
+@query("stream_index", _CHANGED)
+def _(spark, d):
+    store = _store(spark, d, "index")
+    inbox = scratch_path(spark, "inbox")
+    _file_events(spark, d).write.parquet(inbox)
+    events = spark.readStream.schema(_EVENT).parquet(inbox)
+    index_stream.stream_index(events, store, inbox + "-state").awaitTermination()
+    return store.read("symbols").select("file_path", "line_start", "name")
+
+
+@query("stream_delete", "SELECT file_path FROM files WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")
+def _(spark, d):
+    store = _store(spark, d, "deletes")
+    gone = _file_events(spark, d).filter("event = 'deleted'")
+    store.apply(index_stream.expand_events(gone))
+    return store.read("sources").select("file_path")
+
+
+@query("reindex_scope", "SELECT count(*) FILTER (doc_id IN (SELECT doc_id FROM labels WHERE toxic <> 1) AND lang = 'en') AS indexed, count(*) FILTER (doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic <> 1) AND lang = 'en') AS removed, 0 AS skipped FROM files JOIN documents USING (doc_id)")
+def _(spark, d):
+    store = _store(spark, d, "reindex")
+    keep = corpus.table(spark, d, "labels").filter("toxic <> 1").select("doc_id")
+    docs = corpus.table(spark, d, "documents").join(keep, "doc_id", "left_semi")
+    path = F.concat_ws("/", F.lit("/docs"), "lang", "source", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    found = docs.select(F.lit("docs").alias("repo_name"), path.alias("file_path"), F.col("text").alias("content"))
+    return index_stream.reindex_scope(store, found, [".txt"], scope="/docs/en").withColumn("skipped", F.col("skipped").cast("int"))

@@ -55,8 +55,23 @@ FROM lineitem JOIN part ON p_partkey = l_orderkey % (SELECT count(*) FROM part)"
     "commits": "SELECT 'orders' AS repo_name, CAST(o_orderkey AS VARCHAR) AS commit_id, CAST(o_custkey AS VARCHAR) AS author_name, o_orderdate AS author_date_utc, o_orderpriority AS subject FROM orders",
     "cfiles": """
 SELECT 'orders' AS repo_name, CAST(l_orderkey AS VARCHAR) AS commit_id, CAST(l_partkey AS VARCHAR) AS path,
-       CASE WHEN l_returnflag = 'R' THEN CAST(l_suppkey AS VARCHAR) END AS prev_path, CASE l_returnflag WHEN 'N' THEN 'M' ELSE l_returnflag END AS status,
+       CASE WHEN l_returnflag = 'R' THEN CAST(l_partkey // 2 AS VARCHAR) END AS prev_path, CASE l_returnflag WHEN 'N' THEN 'M' ELSE l_returnflag END AS status,
        CAST(l_quantity AS INTEGER) AS inserted, CAST(l_linenumber AS INTEGER) AS deleted FROM lineitem""",
+    "cedges": "SELECT DISTINCT CAST(p AS VARCHAR) AS parent_commit_id, CAST(o_orderkey AS VARCHAR) AS child_commit_id FROM (SELECT o_orderkey, unnest([o_orderkey // 2, o_orderkey // 3]) AS p FROM orders WHERE o_orderkey > 0)",
+    "pimports": "SELECT DISTINCT r.in_file AS from_file, y.file_path AS to_file FROM prefs r JOIN psym y ON y.id = r.symbol_id WHERE r.in_file <> y.file_path",
+    "gnodes": """
+SELECT 'region:' || r_regionkey AS id, 'region' AS type, r_name AS label FROM region UNION ALL SELECT 'nation:' || n_nationkey, 'nation', n_name FROM nation
+UNION ALL SELECT 'customer:' || c_custkey, 'customer', c_name FROM customer UNION ALL SELECT 'order:' || o_orderkey, 'order', o_orderpriority FROM orders
+UNION ALL SELECT 'part:' || p_partkey, 'part', p_name FROM part""",
+    "gedges": """
+SELECT 'region:' || n_regionkey AS src, 'nation:' || n_nationkey AS dst, 'contains' AS type FROM nation UNION SELECT 'nation:' || c_nationkey, 'customer:' || c_custkey, 'contains' FROM customer
+UNION SELECT 'customer:' || o_custkey, 'order:' || o_orderkey, 'references' FROM orders UNION SELECT 'order:' || l_orderkey, 'part:' || l_partkey, 'imports' FROM lineitem""",
+    "encl": """
+SELECT file_path, line, id FROM (SELECT *, row_number() OVER (PARTITION BY file_path, line ORDER BY outside, CASE WHEN outside = 0 THEN span ELSE 0 END, line_start DESC, id) AS rn FROM (
+SELECT p.*, y.id, CASE WHEN p.line <= y.line_end THEN 0 ELSE 1 END AS outside, y.line_start, y.line_end - y.line_start AS span
+FROM (SELECT DISTINCT in_file AS file_path, line FROM prefs) p JOIN psym y ON y.file_path = p.file_path AND y.line_start <= p.line)) WHERE rn = 1""",
+    "calls": "SELECT DISTINCT e.id AS caller, r.symbol_id AS callee, r.in_file, r.line FROM prefs r JOIN encl e ON e.file_path = r.in_file AND e.line = r.line WHERE e.id <> r.symbol_id",
+    "pairs": "SELECT o_custkey AS query_id, CAST(min(o_orderkey) AS VARCHAR) AS left_commit, CAST(max(o_orderkey) AS VARCHAR) AS right_commit FROM orders GROUP BY o_custkey",
     "tel": """
 SELECT event_id, ts, event_type AS endpoint, CAST(user_id % 4 AS VARCHAR) AS mode, 'events' AS project, value AS latency_ms,
        CAST(json_extract_string(props, '$.k') AS INTEGER) AS result_count, event_type = 'error' AS is_empty, event_type = 'signup' AS used_fallback FROM events""",
@@ -97,9 +112,11 @@ def with_tables(sql: str) -> str:
             need.add(t)
             todo += [d for d in _deps(TABLES[t]) if d != t]
     ctes = [f"{t} AS ({TABLES[t].strip()})" for t in TABLES if t in need]
-    body = sql.strip()
+    body = re.sub(r"^WITH\s+", "WITH ", sql.strip())
     if not ctes:
         return body
+    if body.upper().startswith("WITH RECURSIVE "):
+        return "WITH RECURSIVE " + ",\n".join(ctes) + ",\n" + body[15:]
     if body.upper().startswith("WITH "):
         return "WITH " + ",\n".join(ctes) + ",\n" + body[5:]
     return "WITH " + ",\n".join(ctes) + "\n" + body

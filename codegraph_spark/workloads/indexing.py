@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from codegraph_spark.functions import text as tx
 from codegraph_spark.operators import extract, linking, registry
-from codegraph_spark.plans.lineage import ensure_checkpoint_dir
+from codegraph_spark.plans.lineage import scratch_path
 from codegraph_spark.sources import corpus, scan
 from codegraph_spark.workloads.base import query
 
@@ -75,8 +73,7 @@ SELECT run_id, 'results' AS part, count(*) AS rows, CAST(sum(our_tokens) AS BIGI
 UNION ALL SELECT run_id, 'modes', 3 * count(*), CAST(sum(baseline_tokens + our_tokens + coalesce(hybrid_tokens, our_tokens)) AS BIGINT) FROM bench GROUP BY run_id
 UNION ALL SELECT run_id, 'runs', 1, 0 FROM bench GROUP BY run_id""")
 def _(spark, d):
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/runs-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "runs")
     results = corpus.bench_results(spark, d)
     meta = results.select("run_id").distinct().withColumn("created_at", F.col("run_id")).withColumn("repeats", F.lit(1))
     scan.append_run(results, meta, path)
