@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from codegraph_spark.functions import text as tx
 from codegraph_spark.operators.ranked import with_limit
-from codegraph_spark.plans.lineage import cut
+from codegraph_spark.plans.lineage import Grown, cut
 from codegraph_spark.plans.topk import best_one, top_k
 from codegraph_spark.schemas import optional
 
@@ -157,18 +157,16 @@ def ancestors(commit_edges: DataFrame, heads: DataFrame, max_rounds: int = 10_00
     """
     step = cut(commit_edges.select(F.col("child_commit_id").alias("a"), F.col("parent_commit_id").alias("b")).distinct())
     key = ["query_id", "side", "commit_id"]
-    seen = cut(heads.select(*key).distinct().withColumn("distance", F.lit(0)))
-    frontier = seen
+    frontier = heads.select(*key).distinct().withColumn("distance", F.lit(0))
+    seen = Grown(frontier)
+    frontier = seen.parts[0]
     for _ in range(max_rounds):
         nxt = frontier.join(step, frontier.commit_id == step.a).select(
             "query_id", "side", F.col("b").alias("commit_id"), (F.col("distance") + 1).alias("distance")
         )
-        nxt = nxt.groupBy(*key).agg(F.min("distance").alias("distance")).join(seen.select(*key), key, "left_anti")
-        nxt = cut(nxt)
-        if nxt.isEmpty():
-            return seen
-        seen = cut(seen.unionByName(nxt))
-        frontier = nxt
+        frontier = seen.add(nxt.distinct().join(seen.all().select(*key), key, "left_anti"))
+        if frontier.isEmpty():
+            return seen.all()
     raise RuntimeError(f"Ancestor search did not end within {max_rounds} rounds.")
 
 
@@ -207,16 +205,16 @@ def rename_chain(commits: DataFrame, commit_files: DataFrame, req: DataFrame, ma
     )
     none = F.lit(None)
     seen = req.select("query_id", F.col("path"), F.lit(0).alias("hop"), none.cast("string").alias("commit_id"), none.cast("timestamp").alias("at"))
-    frontier = seen = cut(seen)
+    seen = Grown(seen)
+    frontier = seen.parts[0]
     for hop in range(1, max_rounds + 1):
         older = F.col("at").isNull() | (F.col("_at") < F.col("at"))
         step = best_one(
             frontier.join(moves, frontier.path == moves._to).filter(older), ["query_id"], [F.col("_at").desc(), F.col("_commit").desc(), "_from"]
         ).select("query_id", F.col("_from").alias("path"), F.lit(hop).alias("hop"), F.col("_commit").alias("commit_id"), F.col("_at").alias("at"))
-        frontier = cut(step)
+        frontier = seen.add(step)
         if frontier.isEmpty():
-            return seen
-        seen = cut(seen.unionByName(frontier))
+            return seen.all()
     raise RuntimeError(f"Rename chain did not end within {max_rounds} hops.")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codegraph_spark.plans.lineage import cut
-from codegraph_spark.plans.topk import rank_within, top_k
+from codegraph_spark.plans.topk import top_k
 
 
 def _orient(edges: DataFrame, direction: str) -> DataFrame:
@@ -53,9 +53,8 @@ def reach(seeds: DataFrame, edges: DataFrame, labels: DataFrame, depth: int, max
             .filter(F.col("_place") + F.col("_held") <= max_nodes)
             .select("query_id", "node", F.lit(level).alias("distance"))
         )
-        seen = seen.unionByName(kept)
-        if level < depth:
-            seen = cut(seen)
+        # each level is one small table, so no level is computed twice
+        seen = seen.unionByName(cut(kept) if depth > 1 else kept)
     return seen
 
 
@@ -73,6 +72,3 @@ def induced_edges(nodes: DataFrame, edges: DataFrame, depth: int, direction: str
         known.withColumnRenamed("node", "dst"), "dst", "left_semi"
     )
     return inside.join(src, "src").join(dst, ["query_id", "dst"]).filter(near).drop("_ds", "_dd")
-
-
-__all__ = ["reach", "induced_edges", "rank_within"]

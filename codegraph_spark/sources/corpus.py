@@ -13,8 +13,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Scans of fewer splits than half the cores are dealt out; large inputs stay as they are.
+
+    A small table can be one Parquet row group and so one task, while the text
+    work behind it is worth all cores.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
+
+
 def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"))
     return d.select(
         F.lit("docs").alias("repo_name"),
         F.concat_ws("/", F.lit("/docs"), "lang", "source", F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).alias("file_path"),
@@ -88,7 +98,7 @@ def part_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "pages")
+    p = spread(table(spark, sf_dir, "pages"))
     return p.select(
         F.lit("web").alias("repo_name"),
         F.regexp_extract("url", r"^[a-z]+://[^/]+(/[^?#]*)", 1).alias("file_path"),
