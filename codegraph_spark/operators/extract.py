@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from codegraph_spark.functions import text as tx
 from codegraph_spark.functions.import_groups import ExpandImport
 from codegraph_spark.plans import intervals, prefix
+from codegraph_spark.plans.lineage import cut
 from codegraph_spark.plans.topk import top_k
 
 IDENTIFIER = r"[_A-Za-z][_A-Za-z0-9]*"
@@ -120,7 +121,8 @@ def block_ends(decls: DataFrame, lines: DataFrame) -> DataFrame:
     )
     wanted = decls.select(*key, F.col("line_start").alias("line"), F.lit(True).alias("_decl")).distinct()
     marks = counts.join(wanted, [*key, "line"], "left").filter((F.col("opens") + F.col("closes") > 0) | F.col("_decl"))
-    depth = prefix.running_sum(marks, key, "line", F.col("opens") - F.col("closes"), "after").withColumn(
+    # line numbers and counts only; written once because starts and events both read it
+    depth = prefix.running_sum(cut(marks), key, "line", F.col("opens") - F.col("closes"), "after").withColumn(
         "before", F.col("after") - F.col("opens") + F.col("closes")
     )
     top = F.greatest("before", F.col("after") + F.col("opens"))
@@ -167,22 +169,29 @@ def extract_symbols(lines: DataFrame, rules, repo_separator: str = "::", ends: s
             "line_end", F.coalesce(F.lead("line_start").over(after) - 1, F.lit(0)).cast("int")
         )
     else:
-        ended = block_ends(decls.drop("text"), lines)
+        decls = decls.drop("text")
         if not impl_methods:
-            ended = _free_functions(ended, lines)
+            boxes = lines.filter((F.col("language") == "Rust") & F.col("text").rlike(_RUST_CONTAINER)).select(
+                "repo_name", "file_path", "language", F.col("line").alias("line_start"),
+                F.lit(BOX).alias("kind"), F.lit("").alias("name"), F.lit(None).cast("string").alias("signature"),
+            )
+            decls = decls.unionByName(boxes)
+        ended = block_ends(cut(decls), lines)
+        if not impl_methods:
+            ended = _free_functions(cut(ended))
     style = "short" if repo_separator == ":" else "long"
     return ended.select(
         symbol_id(style).alias("id"), "repo_name", "file_path", "name", "kind", "line_start", "line_end", "signature"
     )
 
 
-def _free_functions(decls: DataFrame, lines: DataFrame) -> DataFrame:
-    """Drop functions one brace level inside an impl or trait block."""
+BOX = "impl or trait"
+
+
+def _free_functions(decls: DataFrame) -> DataFrame:
+    """Drop functions one brace level inside an impl or trait block, and the block rows."""
     key = ["repo_name", "file_path"]
-    boxes = block_ends(
-        lines.filter(F.col("text").rlike(_RUST_CONTAINER) & (F.col("language") == "Rust")).select(*key, F.col("line").alias("line_start")),
-        lines,
-    )
+    boxes = decls.filter(F.col("kind") == BOX)
     fns = decls.filter("kind = 'Function' and language = 'Rust'").select(*key, "line_start", "depth")
     inside = intervals.best_containing(
         fns.withColumn("box_depth", F.col("depth") - 1),
@@ -193,7 +202,7 @@ def _free_functions(decls: DataFrame, lines: DataFrame) -> DataFrame:
         F.when(F.col("line_end") <= 0, F.lit((1 << 31) - 1)).otherwise(F.greatest("line_end", F.col("line_start") + 1)),
         F.col("line_start"),
     ).select(*key, "line_start", F.lit("Function").alias("kind"))
-    return decls.join(inside, [*key, "line_start", "kind"], "left_anti")
+    return decls.filter(F.col("kind") != BOX).join(inside, [*key, "line_start", "kind"], "left_anti")
 
 
 # Import lines per language (language, pattern, group).

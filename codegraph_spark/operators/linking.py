@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from codegraph_spark.functions import text as tx
 from codegraph_spark.plans import intervals
+from codegraph_spark.plans.lineage import cut
 from codegraph_spark.plans.topk import best_one, top_k
 
 OPEN_END = (1 << 31) - 1
@@ -70,12 +71,16 @@ def local_crates(crates: DataFrame) -> DataFrame:
     return best_one(every, ["repo_name", "crate_root", "key"], ["_prio", "dep_src"]).drop("_prio")
 
 
-def _candidates(rule: int, base: Column, segs: Column) -> Column:
-    """Candidate files of one resolution rule, longest module prefix first."""
+def _candidates(rule: int, base: Column, segs: Column, or_entry: bool = False) -> Column:
+    """Candidate files of one resolution rule, longest module prefix first.
+
+    ``or_entry`` ends with the crate's entry file, where an item named right
+    after a crate lives.
+    """
     n = F.size(segs)
     entry = F.array(
-        F.struct(F.lit(rule).alias("rule"), F.lit(0).alias("short"), F.lit(0).alias("form"), F.concat(base, F.lit("/main.rs")).alias("file")),
-        F.struct(F.lit(rule).alias("rule"), F.lit(0).alias("short"), F.lit(1).alias("form"), F.concat(base, F.lit("/lib.rs")).alias("file")),
+        F.struct(F.lit(rule).alias("rule"), F.lit(1).alias("short"), F.lit(0).alias("form"), F.concat(base, F.lit("/main.rs")).alias("file")),
+        F.struct(F.lit(rule).alias("rule"), F.lit(1).alias("short"), F.lit(1).alias("form"), F.concat(base, F.lit("/lib.rs")).alias("file")),
     )
 
     def at(k: Column, form: int, suffix: str) -> Column:
@@ -84,7 +89,7 @@ def _candidates(rule: int, base: Column, segs: Column) -> Column:
 
     ks = F.sequence(F.lit(1), F.greatest(n, F.lit(1)))
     prefixes = F.flatten(F.transform(ks, lambda k: F.array(at(k, 0, ".rs"), at(k, 1, "/mod.rs"))))
-    return F.when(n == 0, entry).otherwise(prefixes)
+    return F.when(n == 0, entry).otherwise(F.concat(prefixes, entry) if or_entry else prefixes)
 
 
 def resolve_modules(imports: DataFrame, files: DataFrame, crates: DataFrame) -> DataFrame:
@@ -109,7 +114,6 @@ def resolve_modules(imports: DataFrame, files: DataFrame, crates: DataFrame) ->
         F.concat(dirs, F.array(F.regexp_replace(last, r"\.[^.]*$", "")))
     )
     segs = F.filter(F.split("path", "::"), lambda s: s != "")
-    head = F.lower(segs[0])
     d = (
         imports.select("repo_name", "file_path", "path").distinct()
         .join(owner.withColumn("module", module), ["repo_name", "file_path"])
@@ -122,8 +126,6 @@ def resolve_modules(imports: DataFrame, files: DataFrame, crates: DataFrame) ->
     n = F.size("segs")
     rest = F.slice("segs", F.lit(2), n)
     src, cur = F.col("src_root"), F.col("module")
-    ups = F.size("segs") - F.size(F.array_remove(F.transform("segs", F.lower), "super"))
-    ups = F.least(ups, F.size(cur))
     lead = F.aggregate(
         F.transform("segs", F.lower), F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")),
         lambda acc, s: F.struct(
@@ -135,7 +137,7 @@ def resolve_modules(imports: DataFrame, files: DataFrame, crates: DataFrame) ->
     scoped = F.concat(F.slice(cur, F.lit(1), F.size(cur) - ups), F.slice("segs", ups + 1, n))
     none = F.array().cast("array<struct<rule:int,short:int,form:int,file:string>>")
     free = F.concat(
-        F.when(F.col("dep_src").isNotNull(), _candidates(1, F.col("dep_src"), rest)).otherwise(none),
+        F.when(F.col("dep_src").isNotNull(), _candidates(1, F.col("dep_src"), rest, or_entry=True)).otherwise(none),
         _candidates(2, src, F.col("segs")),
         _candidates(3, src, F.concat(cur, "segs")),
         F.when(F.size(cur) > 0, _candidates(4, src, F.concat(F.slice(cur, F.lit(1), F.size(cur) - 1), "segs"))).otherwise(none),
@@ -235,6 +237,8 @@ def link_ranked(usages: DataFrame, symbols: DataFrame, resolved_imports: DataFra
         "repo_name", F.col("name").alias("token"), F.col("id").alias("symbol_id"), "kind",
         F.col("file_path").alias("_file"), F.col("line_start").alias("_start"), _kind_group(F.col("kind")).alias("_group"),
     )
+    # both inputs feed several pools below; each is computed once
+    s = cut(s)
     order = [F.lower("_file"), "_start", "symbol_id"]
     shape = ["repo_name", "token", "symbol_id", "kind", "_file", "_start"]
     use = usages.filter(~F.col("context").rlike(r"^\s*(?:pub\s+)?use\s+(.+?)\s*;\s*$")).select(
@@ -242,6 +246,7 @@ def link_ranked(usages: DataFrame, symbols: DataFrame, resolved_imports: DataFra
     ).distinct()
     if usages_per_file:
         use = top_k(use, ["repo_name", "file_path"], ["line", "token"], usages_per_file).drop("rank")
+    use = cut(use)
     anywhere = top_k(s, ["repo_name", "token", "_group"], order, 2).select(*shape)
     per_file = top_k(s, ["repo_name", "token", "_group", "_file"], order, 2).select(*shape, "_group")
     names_used = use.select("repo_name", "file_path", "token").distinct()

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from codegraph_spark.functions import text as tx
 from codegraph_spark.operators import extract, linking
+from codegraph_spark.plans.lineage import cut
 from codegraph_spark.sources.scan import explode_lines
 
 
@@ -139,13 +140,13 @@ def link_corpus(usages: DataFrame, symbols: DataFrame, file_imports: DataFrame,
 
 
 def index_corpus(files: DataFrame, registry: Registry | None = None) -> Index:
-    """All index tables of ``files(repo_name, file_path, content)`` as one lazy plan.
+    """All index tables of ``files(repo_name, file_path, content)``.
 
-    Linking joins on the symbols of every language, so the second pass over
-    references needs no ordering of its own.
+    The text is read once per extraction: symbols, imports and usages are
+    written tables that linking joins.
     """
     registry = registry or default_registry()
-    symbols, raw, file_imports, usages = extract_corpus(files, registry)
+    symbols, raw, file_imports, usages = (cut(df) for df in extract_corpus(files, registry))
     refs = link_corpus(usages, symbols, file_imports, registry)
     nodes = linking.build_file_nodes(with_language(files, registry), symbols, file_imports)
     return Index(nodes, symbols, refs, file_imports, raw, usages)

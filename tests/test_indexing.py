@@ -97,7 +97,7 @@ def test_enclosing_symbol_rules(spark):
     ])
     pts = spark.createDataFrame([("r", "/o.rs", 12), ("r", "/x.cs", 6), ("r", "/x.cs", 9), ("r", "/x.cs", 25), ("r", "/x.cs", 40), ("r", "/none", 1)], "repo_name string, file_path string, line int")
     got = {(r.file_path, r.line): r.symbol_id for r in linking.enclosing_symbol(pts, s).collect()}
-    assert got == {("/o.rs", 12): "open2", ("/x.cs", 6): "inner", ("/x.cs", 9): "outer", ("/x.cs", 25): "outer", ("/x.cs", 40): "late"}
+    assert got == {("/o.rs", 12): "open2", ("/x.cs", 6): "inner", ("/x.cs", 9): "outer", ("/x.cs", 25): "inner", ("/x.cs", 40): "late"}
 
 
 def test_link_decl_site_takes_nearest_start(spark):
