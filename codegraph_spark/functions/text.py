@@ -14,6 +14,11 @@ def trim(c: Column) -> Column:
     return F.btrim(c, F.lit(WHITESPACE))
 
 
+def bind(value: Column, fn) -> Column:
+    """``fn(value)`` with ``value`` computed once per row, however often ``fn`` uses it."""
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
 def is_blank(c: Column) -> Column:
     return c.isNull() | (F.length(trim(c)) == 0)
 

@@ -134,10 +134,11 @@ def patch_files(files: DataFrame, ops: DataFrame, dry_run: bool = True):
     state = F.struct(F.col("content").alias("text"), F.array().cast("array<struct<seq:int,changes:int>>").alias("done"))
 
     def step(acc, op):
-        source = F.col("content") if dry_run else acc["text"]
-        r = _patched(source, op)
-        row = F.struct(op["seq"].cast("int").alias("seq"), r["changes"].alias("changes"))
-        return F.struct((acc["text"] if dry_run else r["text"]).alias("text"), F.array_append(acc["done"], row).alias("done"))
+        def after(r):
+            row = F.struct(op["seq"].cast("int").alias("seq"), r["changes"].alias("changes"))
+            return F.struct((acc["text"] if dry_run else r["text"]).alias("text"), F.array_append(acc["done"], row).alias("done"))
+
+        return tx.bind(_patched(F.col("content") if dry_run else acc["text"], op), after)
 
     folded = files.join(per_file, "file_path").withColumn("_r", F.aggregate("ops", state, step))
     touched = folded.select(*[c for c in files.columns if c != "content"], F.col("_r.text").alias("content"))
@@ -239,20 +240,24 @@ def edit_lines(files: DataFrame, ops: DataFrame, dry_run: bool = False):
     per_file = _ops_by_file(ops.filter(~tx.is_blank(F.col("path"))), EDIT_FIELDS).withColumnRenamed("path", "file_path")
     stored = tx.lines_of(F.col("content"))
     row_type = "array<struct<seq:int,type:string,ok:boolean,status:string,changed:int,from_line:int,to_line:int>>"
-    state = F.struct(stored.alias("lines"), F.lit(False).alias("dirty"), F.array().cast(row_type).alias("done"))
+    state = F.struct(F.col("_stored").alias("lines"), F.lit(False).alias("dirty"), F.array().cast(row_type).alias("done"))
 
     def step(acc, op):
-        r = edited(stored if dry_run else acc["lines"], op)
-        row = F.struct(
-            op["seq"].cast("int").alias("seq"), F.lower(tx.trim(F.coalesce(op["type"], F.lit("replace_range")))).alias("type"),
-            r["ok"].alias("ok"), r["status"].alias("status"), r["changed"].alias("changed"), r["from_line"].alias("from_line"), r["to_line"].alias("to_line"),
-        )
-        # the stored file ends with a line break, so reading it again folds stray breaks
-        saved = tx.lines_of(F.concat(F.array_join(r["lines"], "\n"), F.lit("\n")))
-        kept = acc["lines"] if dry_run else F.when(r["ok"], saved).otherwise(acc["lines"])
-        return F.struct(kept.alias("lines"), (acc["dirty"] | (F.lit(not dry_run) & r["ok"])).alias("dirty"), F.array_append(acc["done"], row).alias("done"))
+        kind = F.lower(tx.trim(F.coalesce(op["type"], F.lit("replace_range"))))
 
-    folded = files.join(per_file, "file_path").withColumn("_r", F.aggregate("ops", state, step))
+        def after(r):
+            row = F.struct(
+                op["seq"].cast("int").alias("seq"), kind.alias("type"), r["ok"].alias("ok"), r["status"].alias("status"),
+                r["changed"].alias("changed"), r["from_line"].alias("from_line"), r["to_line"].alias("to_line"),
+            )
+            # the stored file ends with a line break, so reading it again folds stray breaks
+            saved = tx.bind(F.concat(F.array_join(r["lines"], "\n"), F.lit("\n")), tx.lines_of)
+            kept = acc["lines"] if dry_run else F.when(r["ok"], saved).otherwise(acc["lines"])
+            return F.struct(kept.alias("lines"), (acc["dirty"] | (F.lit(not dry_run) & r["ok"])).alias("dirty"), F.array_append(acc["done"], row).alias("done"))
+
+        return tx.bind(edited(F.col("_stored") if dry_run else acc["lines"], op), after)
+
+    folded = files.join(per_file, "file_path").withColumn("_stored", stored).withColumn("_r", F.aggregate("ops", state, step))
     content = F.when(F.col("_r.dirty"), F.concat(F.array_join("_r.lines", "\n"), F.lit("\n"))).otherwise(F.col("content"))
     touched = folded.select(*[c for c in files.columns if c != "content"], content.alias("content"))
     done = folded.select("file_path", F.explode("_r.done").alias("d")).select(F.col("file_path").alias("path"), "d.*")

@@ -10,6 +10,7 @@ from codegraph_spark.operators.extract import CALL_NAME
 from codegraph_spark.operators.linking import OPEN_END, enclosing_symbol
 from codegraph_spark.operators.lookup import source_context
 from codegraph_spark.plans import intervals
+from codegraph_spark.plans.lineage import cut
 from codegraph_spark.plans.substring import contains_join
 from codegraph_spark.plans.topk import best_one, top_k
 from codegraph_spark.plans.traverse import induced_edges, reach
@@ -117,7 +118,8 @@ def _labels(nodes: DataFrame) -> DataFrame:
 def graph_query(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, depth: int = 1, max_nodes: int = 120, direction: str = "both"):
     """Bounded expansion of ``seeds(query_id, node)``: (nodes, edges).
 
-    Depth is clamped to 1..4 and nodes to 10..400 per query.  Nodes are ranked by
+    Pass edges as a stored table: they are read once per level and once more
+    for the kept edges.  Depth is clamped to 1..4 and nodes to 10..400 per query.  Nodes are ranked by
     (distance, label, id), edges by (type, src, dst).
     """
     depth, max_nodes = min(max(depth, 1), 4), min(max(max_nodes, 10), 400)
@@ -274,7 +276,7 @@ def caller_edges(refs: DataFrame, symbols: DataFrame, refs_per_symbol: int = REF
 def references_tree(refs: DataFrame, symbols: DataFrame, seeds: DataFrame, depth: int = 2, max_nodes: int = 180):
     """Upward caller tree of ``seeds(query_id, symbol_id)``: (nodes, call edges)."""
     depth, max_nodes = min(max(depth, 1), 4), min(max(max_nodes, 10), 400)
-    edges = caller_edges(refs, symbols)
+    edges = cut(caller_edges(refs, symbols))
     roots = seeds.select("query_id", sym_id(F.col("symbol_id")).alias("node"))
     labels = symbols.select(sym_id(F.col("id")).alias("node"), F.col("name").alias("label"))
     got = reach(roots, edges, labels, depth, max_nodes, "in")

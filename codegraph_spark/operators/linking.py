@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codegraph_spark.functions import text as tx
+from codegraph_spark.operators.extract import USE_LINE
 from codegraph_spark.plans import intervals
 from codegraph_spark.plans.lineage import cut
 from codegraph_spark.plans.topk import best_one, top_k
@@ -163,8 +164,14 @@ def resolve_modules(imports: DataFrame, files: DataFrame, crates: DataFrame) ->
     )
 
 
-def _as_refs(df: DataFrame) -> DataFrame:
-    return df.groupBy("symbol_id", "in_file", "repo_name", "line").agg(F.min("context").alias("context"))
+def with_context(refs: DataFrame, usages: DataFrame) -> DataFrame:
+    """``refs`` plus the text of their line.
+
+    Linking moves keys only.  The text of a line is shipped once, however many
+    names it holds and however many symbols they link to.
+    """
+    text = usages.select("repo_name", F.col("file_path").alias("in_file"), "line", "context").distinct()
+    return refs.join(text, ["repo_name", "in_file", "line"]).select("symbol_id", "in_file", "repo_name", "line", "context")
 
 
 def link_lexical(
@@ -181,19 +188,18 @@ def link_lexical(
     )
     if candidates_per_name:
         cands = top_k(cands, ["repo_name", "token"], ["_file", "_start", "symbol_id"], candidates_per_name).drop("rank")
-    use = usages.select("repo_name", "file_path", "token", "line", "context")
+    use = usages.select("repo_name", "file_path", "token", "line")
     if tokens_per_file:
         firsts = use.groupBy("repo_name", "file_path", "token").agg(F.min("line").alias("_first"))
         allowed = top_k(firsts, ["repo_name", "file_path"], ["_first", "token"], tokens_per_file).select("repo_name", "file_path", "token")
         use = use.join(allowed, ["repo_name", "file_path", "token"], "left_semi")
     own = (F.lower("_file") == F.lower("file_path")) & (F.col("_start") == F.col("line"))
-    refs = _as_refs(
-        use.join(cands, ["repo_name", "token"]).filter(~own)
-        .select("symbol_id", F.col("file_path").alias("in_file"), "repo_name", "line", "context")
-    )
+    refs = use.join(cands, ["repo_name", "token"]).filter(~own).select(
+        "symbol_id", F.col("file_path").alias("in_file"), "repo_name", "line"
+    ).distinct()
     if refs_per_file:
         refs = top_k(refs, ["repo_name", "in_file"], ["line", "symbol_id"], refs_per_file).drop("rank")
-    return refs
+    return with_context(refs, usages)
 
 
 CALLABLE = ("Function", "Method")
@@ -241,8 +247,9 @@ def link_ranked(usages: DataFrame, symbols: DataFrame, resolved_imports: DataFra
     s = cut(s)
     order = [F.lower("_file"), "_start", "symbol_id"]
     shape = ["repo_name", "token", "symbol_id", "kind", "_file", "_start"]
-    use = usages.filter(~F.col("context").rlike(r"^\s*(?:pub\s+)?use\s+(.+?)\s*;\s*$")).select(
-        "repo_name", "file_path", "token", "line", "context"
+    use = usages.filter(~F.col("context").rlike(USE_LINE)).select(
+        "repo_name", "file_path", "token", "line",
+        tx.is_call_like(F.col("context"), F.col("token")).alias("call_like"), tx.is_type_like(F.col("context"), F.col("token")).alias("type_like"),
     ).distinct()
     if usages_per_file:
         use = top_k(use, ["repo_name", "file_path"], ["line", "token"], usages_per_file).drop("rank")
@@ -279,7 +286,7 @@ def link_ranked(usages: DataFrame, symbols: DataFrame, resolved_imports: DataFra
             F.col("kind"), F.lower("_file") == F.lower("file_path"),
             F.when(F.col("_start") > 0, F.abs(F.col("_start") - F.col("line"))).otherwise(F.lit(NEAR_LINES)),
             F.coalesce("_imported", F.lit(False)),
-            tx.is_call_like(F.col("context"), F.col("token")), tx.is_type_like(F.col("context"), F.col("token")),
+            F.col("call_like"), F.col("type_like"),
         ),
     )
     usage = ["repo_name", "file_path", "token", "line"]
@@ -289,10 +296,10 @@ def link_ranked(usages: DataFrame, symbols: DataFrame, resolved_imports: DataFra
         (F.col("score") >= MIN_SCORE) & ((F.col("rank") == 1) | (F.col("_best") - F.col("score") <= TIE_WINDOW))
     )
     own = (F.lower("_file") == F.lower("file_path")) & (F.col("_start") == F.col("line"))
-    refs = _as_refs(kept.filter(~own).select("symbol_id", F.col("file_path").alias("in_file"), "repo_name", "line", "context"))
+    refs = kept.filter(~own).select("symbol_id", F.col("file_path").alias("in_file"), "repo_name", "line").distinct()
     if refs_per_file:
         refs = top_k(refs, ["repo_name", "in_file"], ["line", "symbol_id"], refs_per_file).drop("rank")
-    return refs
+    return with_context(refs, usages)
 
 
 def _window(keys):
@@ -318,9 +325,9 @@ def link_decl_site(sites: DataFrame, symbols: DataFrame) -> DataFrame:
     )
     linked = at.join(hits, ["repo_name", "_df", "name", "decl_line"])
     own = (F.col("_df") == F.lower("file_path")) & (-F.col("hit.near") == F.col("line"))
-    return _as_refs(
-        linked.filter(~own).select(F.col("hit.id").alias("symbol_id"), F.col("file_path").alias("in_file"), "repo_name", "line", "context")
-    )
+    return linked.filter(~own).groupBy(
+        F.col("hit.id").alias("symbol_id"), F.col("file_path").alias("in_file"), "repo_name", "line"
+    ).agg(F.min("context").alias("context"))
 
 
 def build_file_nodes(files: DataFrame, symbols: DataFrame, imports: DataFrame, indexed_at: Column | None = None) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from codegraph_spark.functions import text as tx
 from codegraph_spark.operators import extract, linking, registry
-from codegraph_spark.plans.lineage import scratch_path
+from codegraph_spark.plans.lineage import cut, scratch_path
 from codegraph_spark.sources import corpus, scan
 from codegraph_spark.workloads.base import query
 
@@ -333,7 +333,7 @@ SELECT c.id AS symbol_id, u.file_path AS in_file, u.line, min(u.context) AS cont
 WHERE NOT (c.file_path = u.file_path AND c.line_start = u.line) GROUP BY ALL""")
 def _(spark, d):
     lines = corpus.document_lines(spark, d)
-    return linking.link_lexical(extract.lexical_usages(lines), corpus.document_symbols(spark, d)).select("symbol_id", "in_file", "line", "context")
+    return linking.link_lexical(cut(extract.lexical_usages(lines)), corpus.document_symbols(spark, d)).select("symbol_id", "in_file", "line", "context")
 
 
 @query("link_ranked", f"""
@@ -352,7 +352,7 @@ def _(spark, d):
     lines = corpus.document_lines(spark, d)
     docs = corpus.table(spark, d, "documents").select("doc_id", F.concat_ws("/", F.lit("/docs"), "lang", "source", F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).alias("f"))
     imports = docs.select("doc_id", F.col("f").alias("from_file")).join(docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("f").alias("to_file")), "doc_id")
-    refs = linking.link_ranked(extract.lexical_usages(lines), corpus.document_symbols(spark, d), imports.withColumn("repo_name", F.lit("docs")))
+    refs = linking.link_ranked(cut(extract.lexical_usages(lines)), corpus.document_symbols(spark, d), imports.withColumn("repo_name", F.lit("docs")))
     return refs.select("symbol_id", "in_file", "line", "context")
 
 

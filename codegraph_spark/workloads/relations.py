@@ -205,7 +205,7 @@ UNION ALL SELECT a.query_id, 'edge', e.src || '|' || e.dst || '|' || e.type, NUL
 WHERE CASE WHEN e.type = 'r' THEN a.distance < 1 ELSE least(a.distance, b.distance) < 1 END""")
 def _(spark, d):
     files, symbols, refs, imports = _part_tables(spark, d)
-    edges = graph.compact_edges(files, symbols, refs, imports)
+    edges = cut(graph.compact_edges(files, symbols, refs, imports))
     seeds = _small_parts(spark, d).select("query_id", F.concat(F.lit("symbol:"), "symbol_id").alias("node"))
     nodes, kept = graph.compact_graph(graph.build_nodes(files, symbols), edges, seeds, depth=1, max_nodes=50)
     return nodes.select("query_id", F.lit("node").alias("what"), F.col("node").alias("id"), "distance").unionByName(
