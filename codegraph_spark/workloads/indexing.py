@@ -131,7 +131,7 @@ SELECT snapshot_id, CAST(rn AS INTEGER) AS pos, path, xy, xy IN ('M ', 'R ') AS
        xy || ' ' || CASE WHEN renamed_from IS NOT NULL THEN renamed_from || ' -> ' ELSE '' END || path AS compact
 FROM (SELECT user_id AS snapshot_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn, 'src/' || event_type || '/' || event_id || '.cs' AS path,
              CASE event_type WHEN 'click' THEN 'M ' WHEN 'view' THEN ' M' WHEN 'purchase' THEN 'R ' ELSE '??' END AS xy,
-             CASE WHEN event_type = 'purchase' THEN 'old/' || event_id || '.cs' END AS renamed_from FROM events) WHERE rn <= 100""")
+             CASE WHEN event_type = 'purchase' THEN 'old/' || event_id || '.cs' END AS renamed_from FROM events) WHERE rn <= 500""")
 def _(spark, d):
     e = corpus.table(spark, d, "events")
     path = F.concat(F.lit("src/"), "event_type", F.lit("/"), F.col("event_id").cast("string"), F.lit(".cs"))
@@ -141,7 +141,7 @@ def _(spark, d):
         .when(F.col("event_type") == "purchase", F.concat(F.lit("R  old/"), F.col("event_id").cast("string"), F.lit(".cs -> "), path))
         .otherwise(F.concat(F.lit("?? "), path))
     )
-    return extract.parse_status(e.select(F.col("user_id").alias("snapshot_id"), F.col("event_id").alias("line"), text.alias("text")), 100)
+    return extract.parse_status(e.select(F.col("user_id").alias("snapshot_id"), F.col("event_id").alias("line"), text.alias("text")))
 
 
 def _build_log(spark, d):

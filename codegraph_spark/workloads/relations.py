@@ -130,22 +130,20 @@ def _(spark, d):
     return graph.graph_pack_tokens(graph.graph_context_pack(_text_graph(spark, d), corpus.document_lines(spark, d), 2))
 
 
-def _small_parts(spark, d):
-    return corpus.part_symbols(spark, d).filter("line_start <= 5").select(F.col("id").cast("long").alias("query_id"), F.col("id").alias("symbol_id"))
+def _part_seeds(spark, d):
+    return corpus.part_symbols(spark, d).select(F.col("id").cast("long").alias("query_id"), F.col("id").alias("symbol_id"))
 
 
 @query("callers_of", """
 SELECT CAST(callee AS BIGINT) AS query_id, callee AS symbol_id, caller FROM (SELECT *, row_number() OVER (PARTITION BY callee ORDER BY in_file, line, caller) AS rn FROM (
-SELECT callee, caller, arg_min(in_file, in_file || printf('%09d', line)) AS in_file, arg_min(line, in_file || printf('%09d', line)) AS line FROM calls GROUP BY callee, caller)) JOIN part ON callee = CAST(p_partkey AS VARCHAR) WHERE rn <= 250 AND p_size <= 5""")
+SELECT callee, caller, arg_min(in_file, in_file || printf('%09d', line)) AS in_file, arg_min(line, in_file || printf('%09d', line)) AS line FROM calls GROUP BY callee, caller)) JOIN part ON callee = CAST(p_partkey AS VARCHAR) WHERE rn <= 250""")
 def _(spark, d):
-    return graph.callers_of(corpus.part_refs(spark, d), corpus.part_symbols(spark, d), _small_parts(spark, d))
+    return graph.callers_of(corpus.part_refs(spark, d), corpus.part_symbols(spark, d), _part_seeds(spark, d))
 
 
 @query("callers_by_name")
 def _(spark, d):
-    # references of every second order only, so that some symbols have no caller of their own
-    refs = corpus.part_refs(spark, d).filter(F.col("symbol_id").cast("long") > 10)
-    return graph.callers_by_name(refs, corpus.part_symbols(spark, d), _small_parts(spark, d))
+    return graph.callers_by_name(corpus.part_refs(spark, d), corpus.part_symbols(spark, d), _part_seeds(spark, d))
 
 
 def _call_text(spark, d):
@@ -158,20 +156,20 @@ def _call_text(spark, d):
 
 @query("callees_of", """
 WITH names AS (SELECT id, replace(name, ' ', '_') AS fn, kind, file_path, line_start, line_end FROM psym),
-called AS (SELECT s.id, n.fn, min(n.line_start) AS line FROM names s JOIN names n ON n.file_path = s.file_path AND n.line_start BETWEEN s.line_start AND s.line_end WHERE s.line_start <= 5 GROUP BY s.id, n.fn),
+called AS (SELECT s.id, n.fn, min(n.line_start) AS line FROM names s JOIN names n ON n.file_path = s.file_path AND n.line_start BETWEEN s.line_start AND s.line_end GROUP BY s.id, n.fn),
 firsts AS (SELECT id, fn, row_number() OVER (PARTITION BY id ORDER BY line, fn) AS rn FROM called),
 cand AS (SELECT id AS target, fn, row_number() OVER (PARTITION BY fn ORDER BY file_path, line_start, id) AS rn FROM names WHERE kind IN ('LARGE', 'SMALL', 'MEDIUM'))
 SELECT DISTINCT CAST(s.id AS BIGINT) AS query_id, s.id AS symbol_id, c.target FROM firsts f JOIN names s ON s.id = f.id JOIN cand c ON c.fn = f.fn AND c.rn <= 36 AND c.target <> s.id
 JOIN prefs r ON r.symbol_id = c.target AND r.in_file = s.file_path AND r.line BETWEEN s.line_start AND s.line_end WHERE f.rn <= 48""")
 def _(spark, d):
     s = corpus.part_symbols(spark, d).withColumn("name", F.replace("name", F.lit(" "), F.lit("_")))
-    return graph.callees_of(s, _call_text(spark, d), corpus.part_refs(spark, d), _small_parts(spark, d), kinds=("LARGE", "SMALL", "MEDIUM"))
+    return graph.callees_of(s, _call_text(spark, d), corpus.part_refs(spark, d), _part_seeds(spark, d), kinds=("LARGE", "SMALL", "MEDIUM"))
 
 
 _CALL_EDGES = """
 ce AS (SELECT DISTINCT 'symbol:' || c.caller AS src, 'symbol:' || c.callee AS dst FROM calls c JOIN (
        SELECT symbol_id, in_file, line, row_number() OVER (PARTITION BY symbol_id ORDER BY in_file, line) AS rn FROM prefs) r ON r.symbol_id = c.callee AND r.in_file = c.in_file AND r.line = c.line WHERE r.rn <= 300),
-v0 AS (SELECT CAST(id AS BIGINT) AS query_id, 'symbol:' || id AS node, 0 AS distance FROM psym WHERE line_start <= 5),
+v0 AS (SELECT CAST(id AS BIGINT) AS query_id, 'symbol:' || id AS node, 0 AS distance FROM psym),
 f1 AS (SELECT DISTINCT v.query_id, e.src AS node FROM v0 v JOIN ce e ON e.dst = v.node WHERE e.src <> v.node),
 k1 AS (SELECT f.*, row_number() OVER (PARTITION BY f.query_id ORDER BY lower(y.name), f.node) AS rn FROM f1 f JOIN psym y ON 'symbol:' || y.id = f.node),
 v1 AS (SELECT * FROM v0 UNION ALL SELECT query_id, node, 1 FROM k1 WHERE rn + 1 <= 40),
@@ -184,7 +182,7 @@ v2 AS (SELECT * FROM v1 UNION ALL SELECT k.query_id, k.node, 2 FROM k2 k JOIN (S
 SELECT query_id, 'node' AS what, node AS id, distance FROM v2
 UNION ALL SELECT b.query_id, 'edge', e.src || '|' || e.dst, NULL FROM ce e JOIN v2 a ON a.node = e.src JOIN v2 b ON b.node = e.dst AND b.query_id = a.query_id WHERE b.distance < 2""")
 def _(spark, d):
-    nodes, edges = graph.references_tree(corpus.part_refs(spark, d), corpus.part_symbols(spark, d), _small_parts(spark, d), depth=2, max_nodes=40)
+    nodes, edges = graph.references_tree(corpus.part_refs(spark, d), corpus.part_symbols(spark, d), _part_seeds(spark, d), depth=2, max_nodes=40)
     return nodes.select("query_id", F.lit("node").alias("what"), F.col("node").alias("id"), "distance").unionByName(
         edges.select("query_id", F.lit("edge").alias("what"), F.concat_ws("|", "src", "dst").alias("id"), F.lit(None).cast("int").alias("distance"))
     )
@@ -196,7 +194,7 @@ i AS (SELECT DISTINCT 'file:' || from_file AS src, 'file:' || to_file AS dst, 'i
 r AS (SELECT DISTINCT 'symbol:' || symbol_id AS src, 'file:' || in_file AS dst, 'r' AS type FROM (SELECT *, row_number() OVER (PARTITION BY symbol_id ORDER BY in_file, line) AS rn FROM prefs) WHERE rn <= 180),
 e AS (SELECT * FROM c UNION ALL SELECT * FROM i UNION ALL SELECT * FROM r), st AS (SELECT src AS cur, dst AS nx FROM e UNION SELECT dst, src FROM e WHERE type <> 'r'),
 nd AS (SELECT 'file:' || file_path AS node, regexp_extract(file_path, '[^/]*$') AS label FROM pfiles UNION ALL SELECT 'symbol:' || id, name FROM psym),
-v0 AS (SELECT CAST(id AS BIGINT) AS query_id, 'symbol:' || id AS node, 0 AS distance FROM psym WHERE line_start <= 5),
+v0 AS (SELECT CAST(id AS BIGINT) AS query_id, 'symbol:' || id AS node, 0 AS distance FROM psym),
 f1 AS (SELECT DISTINCT v.query_id, s.nx AS node FROM v0 v JOIN st s ON s.cur = v.node AND s.nx <> v.node),
 k1 AS (SELECT f.*, row_number() OVER (PARTITION BY query_id ORDER BY lower(label), f.node) AS rn FROM f1 f JOIN nd ON nd.node = f.node),
 v1 AS (SELECT * FROM v0 UNION ALL SELECT query_id, node, 1 FROM k1 WHERE rn + 1 <= 50)
@@ -206,7 +204,7 @@ WHERE CASE WHEN e.type = 'r' THEN a.distance < 1 ELSE least(a.distance, b.distan
 def _(spark, d):
     files, symbols, refs, imports = _part_tables(spark, d)
     edges = cut(graph.compact_edges(files, symbols, refs, imports))
-    seeds = _small_parts(spark, d).select("query_id", F.concat(F.lit("symbol:"), "symbol_id").alias("node"))
+    seeds = _part_seeds(spark, d).select("query_id", F.concat(F.lit("symbol:"), "symbol_id").alias("node"))
     nodes, kept = graph.compact_graph(graph.build_nodes(files, symbols), edges, seeds, depth=1, max_nodes=50)
     return nodes.select("query_id", F.lit("node").alias("what"), F.col("node").alias("id"), "distance").unionByName(
         kept.select("query_id", F.lit("edge").alias("what"), F.concat_ws("|", "src", "dst", "type").alias("id"), F.lit(None).cast("int").alias("distance"))

@@ -47,9 +47,9 @@ def _(spark, d):
     return lookup.implementors(text_symbols(spark, d), corpus.benchmark_queries(spark, d, 1))
 
 
-@query("references_of", "SELECT p_partkey AS query_id, symbol_id, in_file, repo_name, line, context FROM prefs JOIN part ON symbol_id = CAST(p_partkey AS VARCHAR) WHERE p_size <= 5")
+@query("references_of", "SELECT p_partkey AS query_id, symbol_id, in_file, repo_name, line, context FROM prefs JOIN part ON symbol_id = CAST(p_partkey AS VARCHAR)")
 def _(spark, d):
-    req = corpus.table(spark, d, "part").filter("p_size <= 5").select(
+    req = corpus.table(spark, d, "part").select(
         F.col("p_partkey").alias("query_id"), F.concat(F.lit("symbol:"), F.col("p_partkey").cast("string")).alias("symbol_id")
     )
     return lookup.references_of(corpus.part_refs(spark, d), req)
@@ -143,10 +143,10 @@ def _(spark, d):
 
 
 @query("kind_and_path_filter", """
-SELECT query_id, id FROM tsym JOIN (SELECT DISTINCT hash_lang AS query_id, lang FROM (SELECT length(source) * 10 + length(lang) AS hash_lang, lang FROM documents WHERE source = 'src1')) r
+SELECT query_id, id FROM tsym JOIN (SELECT DISTINCT hash_lang AS query_id, lang FROM (SELECT length(source) * 10 + length(lang) AS hash_lang, lang FROM documents)) r
 ON contains(file_path, '/' || lang || '/') WHERE kind IN ('Class', 'Method')""")
 def _(spark, d):
-    req = corpus.table(spark, d, "documents").filter("source = 'src1'").select(
+    req = corpus.table(spark, d, "documents").select(
         (F.length("source") * 10 + F.length("lang")).alias("query_id"), F.lit("docs").alias("repo"), F.concat(F.lit("/"), "lang", F.lit("/")).alias("path_prefix")
     ).distinct().withColumn("kinds", F.array(F.lit("class"), F.lit("Method")))
     return lookup.kind_and_path_filter(text_symbols(spark, d), req).select("query_id", "id")
@@ -408,14 +408,14 @@ def _(spark, d):
 
 
 @query("deps", """
-WITH fs AS (SELECT DISTINCT 'file' AS type, file_path AS id FROM wfiles), ss AS (SELECT id, file_path FROM psym WHERE line_start <= 3),
+WITH fs AS (SELECT DISTINCT 'file' AS type, file_path AS id FROM wfiles), ss AS (SELECT id, file_path FROM psym),
 every AS (SELECT f.id AS seed, 'import' AS kind, i.from_file AS src, i.to_file AS dst, row_number() OVER (PARTITION BY f.id ORDER BY i.to_file) AS rn, 300 AS cap FROM fs f JOIN wimports i ON i.from_file = f.id
           UNION ALL SELECT f.id, 'dependent', i.from_file, i.to_file, row_number() OVER (PARTITION BY f.id ORDER BY i.from_file), 300 FROM fs f JOIN wimports i ON i.to_file = f.id
           UNION ALL SELECT s.id, 'reference', s.file_path, r.in_file, row_number() OVER (PARTITION BY s.id ORDER BY r.in_file, r.line), 400 FROM ss s JOIN prefs r ON r.symbol_id = s.id)
 SELECT seed, kind, src, dst, CAST(rn AS INTEGER) AS pos FROM every WHERE rn <= cap""")
 def _(spark, d):
     pages = _page_paths(spark, d)
-    s = corpus.part_symbols(spark, d).filter("line_start <= 3")
+    s = corpus.part_symbols(spark, d)
     seeds = pages.select(F.lit("file").alias("type"), F.col("file_path").alias("seed")).unionByName(s.select(F.lit("symbol").alias("type"), F.col("id").alias("seed")))
     seeds = seeds.withColumn("query_id", F.xxhash64("type", "seed")).withColumn("id", F.concat_ws(":", "type", "seed"))
     out = packs.deps(pages, corpus.part_symbols(spark, d), corpus.page_imports(spark, d), corpus.part_refs(spark, d), seeds)

@@ -4,7 +4,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from codegraph_spark.functions import text as tx
-from codegraph_spark.plans import intervals, prefix, sizing, substring, traverse
+from codegraph_spark.plans import intervals, prefix, substring, traverse
 from codegraph_spark.plans.topk import top_k
 
 
@@ -83,10 +83,6 @@ def test_top_k_is_limited_before_the_shuffle(spark):
     assert plan.count("WindowGroupLimit") >= 1
 
 
-def test_size_check(spark):
-    assert sizing.fits_broadcast(spark.range(10)) and not sizing.fits_broadcast(spark.range(100), max_rows=10)
-
-
 def test_reach_gives_shortest_distances(spark):
     rnd = random.Random(2)
     edges = list({(f"n{rnd.randint(0, 30)}", f"n{rnd.randint(0, 30)}") for _ in range(45)})
