@@ -211,7 +211,7 @@ def _(spark, d):
 
 @query("latest_run", f"WITH {_CLASS} SELECT run_id, event_id, tooling, goal, language FROM cls WHERE run_id = (SELECT max(run_id) FROM bench)")
 def _(spark, d):
-    tasks = results(spark, d).select(F.lit("none").alias("id")).distinct().select(
+    tasks = results(spark, d).select(F.concat("scenario", F.lit("?")).alias("id")).distinct().select(
         "id", F.lit("t").alias("title"), F.lit("k").alias("kind"), F.lit("p").alias("path"), F.lit("n").alias("note")
     )
     return runs.latest_run(run_table(spark, d), results(spark, d), tasks).select("run_id", "event_id", "tooling", "goal", "language")
