@@ -12,7 +12,7 @@ from codegraph_spark.streaming import index_stream, sessions
 from codegraph_spark.streaming import telemetry as live
 from codegraph_spark.workloads.base import query
 from codegraph_spark.workloads.indexing import TEXT_LANGUAGE
-from codegraph_spark.workloads.retrieval import text_symbols
+from codegraph_spark.workloads.retrieval import CAPPED, _fuzzy, text_symbols
 
 
 def results(spark, d):
@@ -244,13 +244,16 @@ def _answers(spark, d):
     return cut(ranked.fuzzy_compact(text_symbols(spark, d), corpus.benchmark_queries(spark, d)))
 
 
-@query("dict_encode")
+@query("dict_encode", _fuzzy((100, 70, 50, 12, 3), """
+SELECT query_id, 'symbol:' || id AS id, 's' AS t, name AS n, line_start AS l, CAST(score AS INTEGER) AS sc, CAST(rn AS INTEGER) AS rank,
+       CAST(dense_rank() OVER (PARTITION BY query_id ORDER BY lower(file_path)) - 1 AS INTEGER) AS p, CAST(dense_rank() OVER (PARTITION BY query_id ORDER BY lower(kind)) - 1 AS INTEGER) AS k
+FROM r WHERE rn <= 12""", CAPPED))
 def _(spark, d):
     dictionary, rows = runs.dict_encode(_answers(spark, d), ["p", "k"])
     return rows
 
 
-@query("dict_decode")
+@query("dict_decode", _fuzzy((100, 70, 50, 12, 3), "SELECT query_id, 'symbol:' || id AS id, file_path AS path FROM r WHERE rn <= 12", CAPPED))
 def _(spark, d):
     """The dictionary joined back: every item with its own path again."""
     items = _answers(spark, d)
