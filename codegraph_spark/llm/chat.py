@@ -71,7 +71,7 @@ def examples(conversations: DataFrame) -> DataFrame:
     n = F.size("lines")
     replies = F.filter(F.sequence(F.lit(1), n), lambda i: F.element_at("replies", i))
     rest = F.when(F.element_at("replies", -1), F.array().cast("array<int>")).otherwise(F.array(n + 1))
-    cuts = lines.select("conv_id", "lines", F.posexplode(F.concat(replies, rest)).alias("example", "at"))
+    cuts = lines.select("conv_id", "lines", F.posexplode_outer(F.concat(replies, rest)).alias("example", "at"))
     return cuts.select(
         "conv_id", F.col("example").cast("long").alias("example"), F.array_join(F.slice("lines", 1, F.col("at") - 1), "").alias("context"), F.get("lines", F.col("at") - 1).alias("target")
     )

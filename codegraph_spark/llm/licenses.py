@@ -86,7 +86,8 @@ def scan(docs: DataFrame, phrases=PHRASES, notices=NOTICES, k: int = K, gap: int
     n = F.size("words")
     rolling = F.when(n >= k, F.transform(F.slice("words", 1, F.greatest(n - k + 1, F.lit(0))), lambda w, i: hash_of(w, *[F.get(F.col("words"), i + j) for j in range(1, k)]))).otherwise(F.array().cast("array<bigint>"))
     hashed = split.select("doc_id", "text_hash", "words", n.cast("long").alias("n_words"), F.concat(rolling, F.array(F.lit(0).cast("long"))).alias("hs"))
-    each = hashed.select("doc_id", "text_hash", "words", "n_words", F.posexplode("hs").alias("pos", "h"))
+    # outer: else Spark would test the array for emptiness below the scan and compute it again for that
+    each = hashed.select("doc_id", "text_hash", "words", "n_words", F.posexplode_outer("hs").alias("pos", "h"))
     last = F.col("pos") == F.greatest(F.col("n_words") - (k - 1), F.lit(0))
     true_match = F.when(F.col("template") < 0, last).otherwise(~last & (F.slice("words", F.col("pos") + 1, k) == F.col("gram")))
     votes = each.join(table, "h").where(true_match)

@@ -33,7 +33,7 @@ def masked(text: Column) -> Column:
 
 def parsed_lines(docs: DataFrame, depth: int, min_tokens: int) -> DataFrame:
     """doc_id, text_hash, line_no, n_tokens, leaf, line (hash of the masked tokens) and tokens of every line that is long enough."""
-    lines = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split(masked(F.col("text")), "\n")).alias("line_no", "masked"))
+    lines = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode_outer(F.split(masked(F.col("text")), "\n")).alias("line_no", "masked"))
     tokens = lines.select("doc_id", "text_hash", "line_no", F.regexp_extract_all("masked", F.lit(TOKEN), F.lit(0)).alias("tokens"))
     long_enough = tokens.withColumn("n_tokens", F.size("tokens")).where(F.col("n_tokens") >= min_tokens)
     leaf = F.xxhash64("n_tokens", *[F.get("tokens", F.lit(i)) for i in range(depth)])
