@@ -12,7 +12,6 @@ from codegraph_spark.plans.topk import rank_within, top_k
 
 PREVIEW = 240
 SHOWN_MATCHES = 24
-MAX_OPS = 200
 
 
 def replace_matches(lines: DataFrame, patterns, path_prefix: str | None = None) -> DataFrame:
@@ -34,7 +33,7 @@ def replace_matches(lines: DataFrame, patterns, path_prefix: str | None = None)
     )
 
 
-def replace_plan(lines: DataFrame, patterns, max_matches: int | None = 300, path_prefix: str | None = None) -> DataFrame:
+def replace_plan(lines: DataFrame, patterns, max_matches: int | None = None, path_prefix: str | None = None) -> DataFrame:
     """Matched lines in (file, line) order until the running count reaches ``max_matches``.
 
     The line that reaches it is the last one.  ``shown`` marks the first 24
@@ -55,20 +54,16 @@ def replace_plan_files(plan: DataFrame) -> DataFrame:
     return plan.groupBy("query_id", "file_path").agg(F.sum("count").alias("total"), F.count(F.lit(1)).alias("lines"))
 
 
-RENAME_DEFINITIONS = 40
-RENAME_REFS = 300
-
-
 def rename_plan(symbols: DataFrame, refs: DataFrame, req: DataFrame) -> DataFrame:
     """``req(query_id, symbol_name, new_name)`` to its definitions and their references."""
     r = req.withColumn("_k", F.lower("symbol_name"))
     found = symbols.select("id", "file_path", "line_start", "name", F.lower("name").alias("_k")).join(r, "_k")
-    defs = top_k(found, ["query_id"], ["file_path", "line_start", "id"], RENAME_DEFINITIONS)
+    defs = top_k(found, ["query_id"], ["file_path", "line_start", "id"], None).drop("rank")
     d = defs.select("query_id", F.col("id").alias("symbol_id"), F.col("name").alias("old_name"), "new_name", "file_path", F.col("line_start").alias("line"))
     first = top_k(
         refs.join(d.select("symbol_id").distinct(), "symbol_id", "left_semi").select("symbol_id", "in_file", "line").distinct(),
-        ["symbol_id"], ["in_file", "line"], RENAME_REFS,
-    )
+        ["symbol_id"], ["in_file", "line"], None,
+    ).drop("rank")
     uses = first.join(d.select("query_id", "symbol_id", "old_name", "new_name"), "symbol_id").select(
         "query_id", "symbol_id", "old_name", "new_name", F.col("in_file").alias("file_path"), "line", F.lit("reference").alias("kind")
     )
@@ -116,9 +111,8 @@ PATCH_FIELDS = ("seq", "mode", "find", "replace", "replace_all", "ignore_case")
 
 
 def _ops_by_file(ops: DataFrame, fields) -> DataFrame:
-    """The first 200 operations of the request as one ordered array per file."""
-    limited = ops.filter(F.col("seq") <= MAX_OPS)
-    return limited.groupBy("path").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("ops"))
+    """The operations of the request as one ordered array per file."""
+    return ops.groupBy("path").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("ops"))
 
 
 def patch_files(files: DataFrame, ops: DataFrame, dry_run: bool = True):
@@ -128,7 +122,7 @@ def patch_files(files: DataFrame, ops: DataFrame, dry_run: bool = True):
     folds them in order, each on the text the one before left.  ``ops.seq``
     numbers the operations of the request from 1.
     """
-    blank = tx.is_blank(F.col("path")) | (F.coalesce(F.length("find"), F.lit(0)) == 0)
+    blank = tx.is_blank(F.col("path")) | tx.is_blank(F.col("find"))
     good = ops.filter(~blank)
     per_file = _ops_by_file(good, PATCH_FIELDS).withColumnRenamed("path", "file_path")
     state = F.struct(F.col("content").alias("text"), F.array().cast("array<struct<seq:int,changes:int>>").alias("done"))
@@ -143,7 +137,7 @@ def patch_files(files: DataFrame, ops: DataFrame, dry_run: bool = True):
     folded = files.join(per_file, "file_path").withColumn("_r", F.aggregate("ops", state, step))
     touched = folded.select(*[c for c in files.columns if c != "content"], F.col("_r.text").alias("content"))
     done = folded.select("file_path", F.explode("_r.done").alias("d")).select("d.seq", F.col("file_path").alias("path"), "d.changes")
-    asked = ops.filter(F.col("seq") <= MAX_OPS).select(F.col("seq").cast("int").alias("seq"), "path", blank.alias("_bad"))
+    asked = ops.select(F.col("seq").cast("int").alias("seq"), "path", blank.alias("_bad"))
     results = asked.join(done, ["seq", "path"], "left").select(
         "seq", "path",
         (~F.col("_bad") & F.col("changes").isNotNull()).alias("ok"),
@@ -261,7 +255,7 @@ def edit_lines(files: DataFrame, ops: DataFrame, dry_run: bool = False):
     content = F.when(F.col("_r.dirty"), F.concat(F.array_join("_r.lines", "\n"), F.lit("\n"))).otherwise(F.col("content"))
     touched = folded.select(*[c for c in files.columns if c != "content"], content.alias("content"))
     done = folded.select("file_path", F.explode("_r.done").alias("d")).select(F.col("file_path").alias("path"), "d.*")
-    asked = ops.filter(F.col("seq") <= MAX_OPS).select(
+    asked = ops.select(
         F.col("seq").cast("int").alias("seq"), "path", F.lower(tx.trim(F.coalesce("type", F.lit("unknown")))).alias("_type")
     )
     missing = F.when(tx.is_blank(F.col("path")), F.lit("invalid op: path is required")).otherwise(F.lit("file not found or outside project root"))
@@ -274,14 +268,14 @@ def edit_lines(files: DataFrame, ops: DataFrame, dry_run: bool = False):
 
 
 def read_range(lines: DataFrame, req: DataFrame) -> DataFrame:
-    """Lines ``from`` to ``to`` of a file, at most 1000 further; ``to`` defaults to 50 further.
+    """Lines ``from`` to ``to`` of a file, ``to`` defaults to 50 further.
 
     ``req(query_id, path, from_line, to_line)``.  Requests ask for line numbers,
     so a request never meets lines outside its range.
     """
     frm = F.greatest(F.lit(1), F.coalesce("from_line", F.lit(0)))
     to = F.when(F.coalesce("to_line", F.lit(0)) <= 0, frm + 50).otherwise(F.col("to_line"))
-    to = F.least(F.greatest(frm, to), frm + 1000)
+    to = F.greatest(frm, to)
     asked = req.select("query_id", F.col("path").alias("file_path"), F.explode(F.sequence(frm, to)).alias("line"))
     return lines.select("repo_name", "file_path", "line", "text").join(asked, ["file_path", "line"]).select("query_id", "file_path", "line", "text")
 
@@ -316,7 +310,7 @@ def read_many(files: DataFrame, req: DataFrame) -> DataFrame:
     )
 
 
-def dir_tree(files: DataFrame, root: str = "/", max_depth: int = 3, max_entries: int | None = 600, excludes=()) -> DataFrame:
+def dir_tree(files: DataFrame, root: str = "/", max_depth: int = 3, max_entries: int | None = None, excludes=()) -> DataFrame:
     """Folders and files below ``root`` down to a depth (the root's children have depth 0)."""
     max_depth = min(max(max_depth, 1), 10)
     base = root.rstrip("/")

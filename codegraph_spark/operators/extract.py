@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codegraph_spark.functions import text as tx
-from codegraph_spark.functions.import_groups import ExpandImport
+from codegraph_spark.functions.import_groups import leaf_paths
 from codegraph_spark.plans import intervals, prefix
 from codegraph_spark.plans.lineage import cut
 from codegraph_spark.plans.topk import top_k
@@ -244,12 +244,12 @@ def _usage_rows(lines: DataFrame, tokens: Column) -> DataFrame:
 def lexical_usages(lines: DataFrame) -> DataFrame:
     """Identifiers of three or more characters in a usage-like place.
 
-    Per line the first 32 distinct identifiers that are no keyword are looked at.
+    Every distinct identifier of a line that is no keyword is looked at.
     """
     runs = F.regexp_extract_all("text", F.lit(r"([\p{L}\p{M}\p{N}_]+)"), 1)
     ids = F.filter(F.array_distinct(runs), lambda t: F.rlike(t, F.lit(f"^{IDENTIFIER}$")))
     stop = F.array(*[F.lit(w) for w in LEXICAL_STOP_WORDS])
-    kept = F.slice(F.filter(ids, lambda t: (F.length(t) >= 3) & ~F.array_contains(stop, t)), 1, 32)
+    kept = F.filter(ids, lambda t: (F.length(t) >= 3) & ~F.array_contains(stop, t))
     return _usage_rows(lines, F.filter(kept, lambda t: tx.is_usage_like(F.col("text"), t)))
 
 
@@ -299,21 +299,10 @@ def csharp_usages(lines: DataFrame) -> DataFrame:
     return _usage_rows(lines.filter(is_code), keep)
 
 
-def clean_import(c: Column) -> Column:
-    """Strip ``pub``, ``use``, a trailing ``::*``, an alias and a trailing ``::self``."""
-    c = tx.trim(F.rtrim(tx.trim(c), F.lit(";")))
-    for pattern in (r"(?i)^pub\s+", r"(?i)^use\s+", r"::\*$", r"(?i) as .*$", r"(?i)::self$"):
-        c = F.regexp_replace(c, pattern, "")
-    return tx.trim(c)
-
-
 def expand_imports(imports: DataFrame) -> DataFrame:
-    """One row per imported path.  Only grouped imports leave the JVM, each distinct text once."""
-    grouped = F.contains(F.col("import"), F.lit("{"))
-    plain = imports.filter(~grouped).withColumn("path", clean_import(F.col("import"))).filter(F.length("path") > 0)
-    texts = imports.filter(grouped).select("import").distinct()
-    parts = texts.lateralJoin(ExpandImport(F.col("import").outer())).select("import", "path").distinct()
-    return plain.unionByName(imports.filter(grouped).join(parts, "import").select(*imports.columns, "path"))
+    """One row per imported path; grouped imports name several."""
+    paths = imports.withColumn("path", F.explode(leaf_paths(F.col("import"))))
+    return paths.select(*imports.columns, "path")
 
 
 def parse_manifests(files: DataFrame) -> DataFrame:
@@ -412,7 +401,7 @@ def parse_hunks(patch_lines: DataFrame) -> DataFrame:
     return numbered.withColumn("ordinal", F.col("ordinal").cast("int")).drop("line")
 
 
-def parse_status(status_lines: DataFrame, max_entries: int = 500) -> DataFrame:
+def parse_status(status_lines: DataFrame, max_entries: int | None = None) -> DataFrame:
     """Porcelain status lines ``XY path`` and ``XY old -> new`` of snapshots."""
     xy = F.left("text", F.lit(2))
     raw = tx.trim(F.substring("text", 4, 1_000_000))
@@ -440,10 +429,9 @@ DIAG_PAREN = r"(?i)^(.+?)\((\d+),(\d+)\):\s*(error|warning)\s*([A-Z0-9]+):\s*(.+
 DIAG_DASH = r"(?i)^(.+?):(\d+):(\d+)\s*-\s*(error|warning)\s*([A-Z]+\d+):\s*(.+)$"
 DIAG_HEADER = r"(?i)^(error|warning)(?:\[([A-Z0-9_]+)\])?:\s*(.+)$"
 DIAG_PLACE = r"(?i)^\s*-->\s*(.+?):(\d+):(\d+)\s*$"
-MESSAGE_CHARS = 260
 
 
-def parse_diagnostics(log_lines: DataFrame, max_items: int = 300) -> DataFrame:
+def parse_diagnostics(log_lines: DataFrame, max_items: int | None = None, message_chars: int | None = None) -> DataFrame:
     """Compiler messages of build logs in three formats.
 
     A header line pairs with the next location line; a later header replaces an
@@ -489,7 +477,7 @@ def parse_diagnostics(log_lines: DataFrame, max_items: int = 300) -> DataFrame:
     kept = top_k(every.withColumn("log_line", F.col("line")), ["log_id"], ["log_line"], max_items)
     return kept.select(
         "log_id", "log_line", "path", num("l").alias("line"), num("c").alias("col"), "severity", "code",
-        tx.truncate(F.col("message"), MESSAGE_CHARS).alias("message"),
+        (tx.truncate(F.col("message"), message_chars) if message_chars else F.col("message")).alias("message"),
     )
 
 

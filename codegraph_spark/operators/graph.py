@@ -15,7 +15,7 @@ from codegraph_spark.plans.substring import contains_join
 from codegraph_spark.plans.topk import best_one, top_k
 from codegraph_spark.plans.traverse import induced_edges, reach
 
-CALLERS = 250
+IMPLEMENTORS = 251  # of one name
 
 
 def file_id(c):
@@ -93,8 +93,11 @@ def build_edges(files: DataFrame, symbols: DataFrame, refs: DataFrame, file_impo
     return out.distinct()
 
 
-def implements_edges(symbols: DataFrame, kinds=None) -> DataFrame:
-    """Implementor to implemented, by the symbol name as needle; capped at 250 per target."""
+def implements_edges(symbols: DataFrame, kinds=None, per_target: int | None = IMPLEMENTORS) -> DataFrame:
+    """Implementor to implemented, by the symbol name as needle; the first ``per_target`` of each name.
+
+    Edges are implementors times names they contain, so the bound stays unless the caller lifts it with None.
+    """
     from codegraph_spark.operators.lookup import IMPLEMENTING_KINDS
 
     impls = symbols.filter(F.col("kind").isin(*(kinds or IMPLEMENTING_KINDS))).select(
@@ -104,7 +107,7 @@ def implements_edges(symbols: DataFrame, kinds=None) -> DataFrame:
     # one needle per distinct name, its symbols are joined afterwards
     names = symbols.select("repo_name", F.lower("name").alias("_n")).distinct()
     hits = contains_join(impls, "_text", names, "_n", ["impl_id"], on=["repo_name"])
-    first = top_k(hits, ["repo_name", "_n"], ["file_path", "line_start", "impl_id"], CALLERS + 1)
+    first = top_k(hits, ["repo_name", "_n"], ["file_path", "line_start", "impl_id"], per_target)
     targets = symbols.select("repo_name", F.lower("name").alias("_n"), F.col("id").alias("target"))
     return first.join(targets, ["repo_name", "_n"]).filter("impl_id <> target").select(
         sym_id(F.col("impl_id")).alias("src"), sym_id(F.col("target")).alias("dst"), F.lit("implements").alias("type")
@@ -190,7 +193,7 @@ def graph_pack_tokens(pack: DataFrame) -> DataFrame:
     return pack.groupBy("query_id").agg(F.floor(chars / 4).cast("long").alias("tokens"))
 
 
-def callers_of(refs: DataFrame, symbols: DataFrame, seeds: DataFrame, limit: int = CALLERS) -> DataFrame:
+def callers_of(refs: DataFrame, symbols: DataFrame, seeds: DataFrame, limit: int | None = None) -> DataFrame:
     """``seeds(query_id, symbol_id)`` to the distinct symbols around their references."""
     mine = refs.join(seeds.select("symbol_id").distinct(), "symbol_id", "left_semi")
     first = caller_pairs(mine, symbols).groupBy("callee", "caller").agg(F.min(F.struct("in_file", "line")).alias("at"))
@@ -198,11 +201,7 @@ def callers_of(refs: DataFrame, symbols: DataFrame, seeds: DataFrame, limit: int
     return kept.join(seeds.select("query_id", F.col("symbol_id").alias("callee")), "callee").select("query_id", F.col("callee").alias("symbol_id"), "caller")
 
 
-SAME_NAME = 64
-SAME_NAME_REFS = 240
-
-
-def callers_by_name(refs: DataFrame, symbols: DataFrame, seeds: DataFrame, limit: int = CALLERS) -> DataFrame:
+def callers_by_name(refs: DataFrame, symbols: DataFrame, seeds: DataFrame, limit: int | None = None) -> DataFrame:
     """Callers of seeds; a seed without any takes the callers of its namesakes."""
     direct = callers_of(refs, symbols, seeds, limit)
     lonely = seeds.select("query_id", "symbol_id").join(direct.select("query_id", "symbol_id").distinct(), ["query_id", "symbol_id"], "left_anti")
@@ -210,11 +209,11 @@ def callers_by_name(refs: DataFrame, symbols: DataFrame, seeds: DataFrame, limit
     asked = lonely.join(names, "symbol_id")
     namesakes = top_k(
         symbols.join(asked.select("repo_name", "name").distinct(), ["repo_name", "name"], "left_semi"),
-        ["repo_name", "name"], ["file_path", "line_start", "id"], SAME_NAME,
+        ["repo_name", "name"], ["file_path", "line_start", "id"], None,
     ).select("repo_name", "name", F.col("id").alias("namesake"))
     their = top_k(
         refs.join(namesakes.select(F.col("namesake").alias("symbol_id")).distinct(), "symbol_id", "left_semi"),
-        ["symbol_id"], ["in_file", "line"], SAME_NAME_REFS,
+        ["symbol_id"], ["in_file", "line"], None,
     ).drop("rank")
     points = their.select("repo_name", F.col("in_file").alias("file_path"), "line").distinct()
     around = enclosing_symbol(points, symbols).select("repo_name", F.col("file_path").alias("in_file"), "line", F.col("symbol_id").alias("caller"))
@@ -229,11 +228,10 @@ def callers_by_name(refs: DataFrame, symbols: DataFrame, seeds: DataFrame, limit
     )
 
 
-CALLEE_TOKENS = 48
 BODY_LINES = 220
 
 
-def callees_of(symbols: DataFrame, lines: DataFrame, refs: DataFrame, seeds: DataFrame, kinds=("Method", "Function", "Unknown"), candidates: int | None = 36) -> DataFrame:
+def callees_of(symbols: DataFrame, lines: DataFrame, refs: DataFrame, seeds: DataFrame, kinds=("Method", "Function", "Unknown"), candidates: int | None = None) -> DataFrame:
     """Symbols called in the body of each seed: a call token names them and a reference of theirs lies inside."""
     body = symbols.join(seeds.select("query_id", F.col("symbol_id").alias("id")), "id").filter("line_start > 0").select(
         "query_id", "id", "repo_name", "file_path", "line_start",
@@ -245,7 +243,7 @@ def callees_of(symbols: DataFrame, lines: DataFrame, refs: DataFrame, seeds: Dat
         "query_id", "id", "repo_name", F.posexplode(F.regexp_extract_all("text", F.lit(CALL_NAME), 1)).alias("_pos", "token"), "line"
     ).filter(F.length("token") >= 2)
     tokens = calls.groupBy("query_id", "id", "repo_name", "token").agg(F.min(F.struct("line", "_pos")).alias("at"))
-    tokens = top_k(tokens, ["query_id", "id"], ["at"], CALLEE_TOKENS).select("query_id", "id", "repo_name", "token")
+    tokens = tokens.select("query_id", "id", "repo_name", "token")
     cands = symbols.filter(F.col("kind").isin(*kinds)).select("repo_name", F.col("name").alias("token"), F.col("id").alias("target"), F.col("file_path").alias("_f"), "line_start")
     if candidates:
         cands = top_k(cands, ["repo_name", "token"], ["_f", "line_start", "target"], candidates)
@@ -264,12 +262,9 @@ def callees_of(symbols: DataFrame, lines: DataFrame, refs: DataFrame, seeds: Dat
     )
 
 
-REFS_PER_SYMBOL = 300
-
-
-def caller_edges(refs: DataFrame, symbols: DataFrame, refs_per_symbol: int = REFS_PER_SYMBOL) -> DataFrame:
-    """Distinct call edges from the first references of each symbol."""
-    first = top_k(refs, ["symbol_id"], ["in_file", "line"], refs_per_symbol).drop("rank")
+def caller_edges(refs: DataFrame, symbols: DataFrame, refs_per_symbol: int | None = None) -> DataFrame:
+    """Distinct call edges from the references of each symbol, or from its first ones."""
+    first = top_k(refs, ["symbol_id"], ["in_file", "line"], refs_per_symbol).drop("rank") if refs_per_symbol else refs
     return caller_pairs(first, symbols).select(sym_id(F.col("caller")).alias("src"), sym_id(F.col("callee")).alias("dst"), F.lit("call").alias("type")).distinct()
 
 
@@ -284,14 +279,12 @@ def references_tree(refs: DataFrame, symbols: DataFrame, seeds: DataFrame, depth
 
 
 def compact_edges(files: DataFrame, symbols: DataFrame, refs: DataFrame, file_imports: DataFrame) -> DataFrame:
-    """c / i / r edges with the per-node limits 120 imports, 120 dependents, 180 references."""
+    """c / i / r edges: contained symbols, imports, files that use a symbol."""
     known = files.select("file_path").distinct()
     c = symbols.join(known, "file_path", "left_semi").select(file_id(F.col("file_path")).alias("src"), sym_id(F.col("id")).alias("dst"), F.lit("c").alias("type"))
     imp = file_imports.select("from_file", "to_file").distinct().join(known.withColumnRenamed("file_path", "to_file"), "to_file", "left_semi")
-    outs = top_k(imp, ["from_file"], ["to_file"], 120).select("from_file", "to_file")
-    ins = top_k(imp, ["to_file"], ["from_file"], 120).select("from_file", "to_file")
-    i = outs.unionByName(ins).distinct().select(file_id(F.col("from_file")).alias("src"), file_id(F.col("to_file")).alias("dst"), F.lit("i").alias("type"))
-    first = top_k(refs, ["symbol_id"], ["in_file", "line"], 180).select("symbol_id", F.col("in_file").alias("file_path")).distinct()
+    i = imp.select(file_id(F.col("from_file")).alias("src"), file_id(F.col("to_file")).alias("dst"), F.lit("i").alias("type"))
+    first = refs.select("symbol_id", F.col("in_file").alias("file_path")).distinct()
     r = first.join(known, "file_path", "left_semi").select(sym_id(F.col("symbol_id")).alias("src"), file_id(F.col("file_path")).alias("dst"), F.lit("r").alias("type"))
     return c.unionByName(i).unionByName(r)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,11 +56,8 @@ def history(commits: DataFrame, commit_files: DataFrame, req: DataFrame, limit:
     return best.join(counts, ["repo_name", "commit_id"])
 
 
-HUNKS_SHOWN = 20
-
-
-def commit_summary(commits: DataFrame, commit_files: DataFrame, hunks: DataFrame | None, req: DataFrame) -> DataFrame:
-    """One row per changed file of the requested commits, its status and first 20 hunks."""
+def commit_summary(commits: DataFrame, commit_files: DataFrame, hunks: DataFrame | None, req: DataFrame, hunks_shown: int | None = None) -> DataFrame:
+    """One row per changed file of the requested commits, its status and hunks (the first ``hunks_shown``)."""
     asked = commits.join(req.select("query_id", "commit_id"), "commit_id")
     f = commit_files.select("repo_name", "commit_id", "path", "status", "inserted", "deleted")
     totals = f.join(req.select("commit_id").distinct(), "commit_id", "left_semi").groupBy("repo_name", "commit_id").agg(
@@ -69,7 +68,9 @@ def commit_summary(commits: DataFrame, commit_files: DataFrame, hunks: DataFrame
     cols = ["query_id", "repo_name", "commit_id", "author_name", "author_date_utc", "subject", "total_inserted", "total_deleted", "path", "status"]
     if hunks is None:
         return out.select(*cols, shown)
-    mine = hunks.join(req.select("commit_id").distinct(), "commit_id", "left_semi").filter(F.col("ordinal") <= HUNKS_SHOWN)
+    mine = hunks.join(req.select("commit_id").distinct(), "commit_id", "left_semi")
+    if hunks_shown:
+        mine = mine.filter(F.col("ordinal") <= hunks_shown)
     grouped = mine.groupBy("commit_id", "path").agg(
         F.sort_array(F.collect_list(F.struct("ordinal", "old_start", "old_count", "new_start", "new_count"))).alias("hunks")
     )
@@ -149,7 +150,7 @@ def commit_neighbors(commit_edges: DataFrame, req: DataFrame) -> DataFrame:
     return up.unionByName(down).distinct()
 
 
-def ancestors(commit_edges: DataFrame, heads: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def ancestors(commit_edges: DataFrame, heads: DataFrame) -> DataFrame:
     """Every ancestor of ``heads(query_id, side, commit_id)`` with its least distance.
 
     One round per generation; only commits reached for the first time go on,
@@ -160,14 +161,13 @@ def ancestors(commit_edges: DataFrame, heads: DataFrame, max_rounds: int = 10_00
     frontier = heads.select(*key).distinct().withColumn("distance", F.lit(0))
     seen = Grown(frontier)
     frontier = seen.parts[0]
-    for _ in range(max_rounds):
+    while True:
         nxt = frontier.join(step, frontier.commit_id == step.a).select(
             "query_id", "side", F.col("b").alias("commit_id"), (F.col("distance") + 1).alias("distance")
         )
         frontier = seen.add(nxt.distinct().join(seen.all().select(*key), key, "left_anti"))
         if frontier.isEmpty():
             return seen.all()
-    raise RuntimeError(f"Ancestor search did not end within {max_rounds} rounds.")
 
 
 def _pair_heads(pairs: DataFrame) -> DataFrame:
@@ -177,21 +177,21 @@ def _pair_heads(pairs: DataFrame) -> DataFrame:
     )).alias("h")).select("query_id", "h.side", "h.commit_id")
 
 
-def divergence(commit_edges: DataFrame, pairs: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def divergence(commit_edges: DataFrame, pairs: DataFrame) -> DataFrame:
     """Commits reachable from only one side of ``pairs(query_id, left_commit, right_commit)``."""
-    reach = ancestors(commit_edges, _pair_heads(pairs), max_rounds)
+    reach = ancestors(commit_edges, _pair_heads(pairs))
     sides = reach.groupBy("query_id", "commit_id").agg(F.count_distinct("side").alias("n"), F.min("side").alias("side"))
     return sides.filter("n = 1").select("query_id", "side", "commit_id")
 
 
-def merge_base(commit_edges: DataFrame, pairs: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def merge_base(commit_edges: DataFrame, pairs: DataFrame) -> DataFrame:
     """Nearest common ancestor of each pair: least total distance, then least id."""
-    reach = ancestors(commit_edges, _pair_heads(pairs), max_rounds)
+    reach = ancestors(commit_edges, _pair_heads(pairs))
     both = reach.groupBy("query_id", "commit_id").agg(F.count(F.lit(1)).alias("n"), F.sum("distance").alias("total"), F.max("distance").alias("far"))
     return best_one(both.filter("n = 2"), ["query_id"], ["total", "far", "commit_id"]).select("query_id", F.col("commit_id").alias("base_commit"), "total")
 
 
-def rename_chain(commits: DataFrame, commit_files: DataFrame, req: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def rename_chain(commits: DataFrame, commit_files: DataFrame, req: DataFrame) -> DataFrame:
     """Names of ``req(query_id, path)`` through renames, newest first (``hop`` 0 is the asked path).
 
     Each hop follows the latest rename into the current name that is older than
@@ -207,7 +207,7 @@ def rename_chain(commits: DataFrame, commit_files: DataFrame, req: DataFrame, ma
     seen = req.select("query_id", F.col("path"), F.lit(0).alias("hop"), none.cast("string").alias("commit_id"), none.cast("timestamp").alias("at"))
     seen = Grown(seen)
     frontier = seen.parts[0]
-    for hop in range(1, max_rounds + 1):
+    for hop in count(1):
         older = F.col("at").isNull() | (F.col("_at") < F.col("at"))
         step = best_one(
             frontier.join(moves, frontier.path == moves._to).filter(older), ["query_id"], [F.col("_at").desc(), F.col("_commit").desc(), "_from"]
@@ -215,7 +215,6 @@ def rename_chain(commits: DataFrame, commit_files: DataFrame, req: DataFrame, ma
         frontier = seen.add(step)
         if frontier.isEmpty():
             return seen.all()
-    raise RuntimeError(f"Rename chain did not end within {max_rounds} hops.")
 
 
 def changed_by_directory(status_entries: DataFrame) -> DataFrame:
@@ -229,10 +228,10 @@ def changed_by_directory(status_entries: DataFrame) -> DataFrame:
     )
 
 
-def commits_between(commits: DataFrame, commit_files: DataFrame, commit_edges: DataFrame, req: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def commits_between(commits: DataFrame, commit_files: DataFrame, commit_edges: DataFrame, req: DataFrame) -> DataFrame:
     """Commits reachable from ``to_commit`` but not ``from_commit`` that touch the path (any, when blank)."""
     pairs = req.select("query_id", F.col("to_commit").alias("left_commit"), F.col("from_commit").alias("right_commit"))
-    only = divergence(commit_edges, pairs, max_rounds).filter("side = 'left'").select("query_id", "commit_id")
+    only = divergence(commit_edges, pairs).filter("side = 'left'").select("query_id", "commit_id")
     scoped = only.join(touching(commit_files, req).select("query_id", "commit_id"), ["query_id", "commit_id"], "left_semi")
     free = only.join(req.filter(tx.is_blank(F.col("path"))).select("query_id"), "query_id", "left_semi")
     return scoped.unionByName(free).join(commits, "commit_id").select("query_id", "commit_id", "author_date_utc", "subject")

@@ -17,7 +17,6 @@ from codegraph_spark.plans.topk import best_one, top_k
 from codegraph_spark.schemas import optional
 
 ITEM_COLUMNS = ["query_id", "id", "t", "n", "p", "l", "k", "sc", "rank"]
-MAX_LIMIT = 1000
 
 
 def _limit(req: DataFrame, default: int, hi: int) -> Column:
@@ -112,10 +111,10 @@ def fuzzy_query(symbols: DataFrame, lines: DataFrame, req: DataFrame, limit: int
     return sym.unionByName(snip(shown, "snippet")).unionByName(snip(fallback, "fallback"))
 
 
-def fuzzy_compact(symbols: DataFrame, req: DataFrame, limit: int = 12, max_limit: int = 80, per_token: int | None = 200) -> DataFrame:
-    """Compact fuzzy items: the first 12 tokens, 200 symbols per token, compact weights."""
+def fuzzy_compact(symbols: DataFrame, req: DataFrame, limit: int = 12, max_limit: int = 80, per_token: int | None = None) -> DataFrame:
+    """Compact fuzzy items under the compact weights; ``per_token`` (the original service: 200) bounds the candidates of a token."""
     r = with_limit(req, limit, max_limit)
-    hits = token_candidates(symbols, r, tx.search_tokens(F.col("q"), 12), per_token)
+    hits = token_candidates(symbols, r, tx.search_tokens(F.col("q")), per_token)
     hits = _scored(hits, "compact", tx.search_tokens(F.col("q")))
     return symbol_items(top_k(hits, ["query_id"], [F.col("score").desc(), *symbol_order()], max_limit, F.col("limit")))
 
@@ -237,9 +236,9 @@ def impact_expand(symbols: DataFrame, refs: DataFrame, req: DataFrame, max_items
     return merged.join(caps, "query_id").filter(F.col("rank") <= F.col("_cap")).select(*ITEM_COLUMNS)
 
 
-def semantic_search(symbols: DataFrame, req: DataFrame, limit: int = 20, max_limit: int = 200, per_token: int | None = 200) -> DataFrame:
+def semantic_search(symbols: DataFrame, req: DataFrame, limit: int = 20, max_limit: int = 200, per_token: int | None = None) -> DataFrame:
     r = with_limit(req.withColumn("q", tx.trim(F.col("q"))), limit, max_limit)
-    hits = token_candidates(symbols, r, F.slice(tx.tokenize(F.col("q")), 1, 16), per_token)
+    hits = token_candidates(symbols, r, tx.tokenize(F.col("q")), per_token)
     hits = _scored(hits, "semantic", tx.tokenize(F.col("q")))
     return symbol_items(top_k(hits, ["query_id"], [F.col("score").desc(), *symbol_order()], max_limit, F.col("limit")))
 
@@ -281,7 +280,7 @@ def _first_files(hits: DataFrame, max_files: int | None, files: DataFrame | None
     return hits.join(first, "file_path", "left_semi")
 
 
-def regex_scan(lines: DataFrame, patterns, max_matches: int = 250, max_files: int | None = None, path_prefix: str | None = None) -> DataFrame:
+def regex_scan(lines: DataFrame, patterns, max_matches: int | None = None, max_files: int | None = None, path_prefix: str | None = None) -> DataFrame:
     """Lines matching each ``(query_id, pattern, ignore_case)``; the first matches by (file, line)."""
     src = lines.filter(tx.path_matches(F.col("file_path"), F.lit(path_prefix))) if path_prefix else lines
 
@@ -297,7 +296,7 @@ def regex_scan(lines: DataFrame, patterns, max_matches: int = 250, max_files: in
 
 
 def rg_search(
-    lines: DataFrame, patterns, max_matches: int = 300, max_line_length: int = 240, max_files: int | None = None, root: str = "/", path_prefix: str | None = None
+    lines: DataFrame, patterns, max_matches: int | None = None, max_line_length: int = 240, max_files: int | None = None, root: str = "/", path_prefix: str | None = None
 ) -> DataFrame:
     """Regex or literal search with the 1-based column of the first match.
 

@@ -43,13 +43,12 @@ def telemetry_totals(events: DataFrame) -> DataFrame:
     return agg.withColumn("empty_rate", rate("empty_results")).withColumn("fallback_rate", rate("fallback_count"))
 
 
-RECENT_KEPT = 400
 RECENT_SHOWN = 100
 
 
 def telemetry_recent(events: DataFrame, shown: int = RECENT_SHOWN) -> DataFrame:
-    """The newest events; only the last 400 are ever kept."""
-    return events.orderBy(F.col("ts").desc(), F.col("event_id").desc()).limit(min(shown, RECENT_KEPT))
+    """The newest ``shown`` events."""
+    return events.orderBy(F.col("ts").desc(), F.col("event_id").desc()).limit(shown)
 
 
 def telemetry_snapshot(events: DataFrame):

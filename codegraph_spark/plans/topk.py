@@ -15,13 +15,16 @@ def rank_within(df: DataFrame, keys, order, rank: str = "rank") -> DataFrame:
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*_cols(order))))
 
 
-def top_k(df: DataFrame, keys, order, k: int, limit: Column | None = None, rank: str = "rank") -> DataFrame:
+def top_k(df: DataFrame, keys, order, k: int | None, limit: Column | None = None, rank: str = "rank") -> DataFrame:
     """The first ``k`` rows of every group by a total order.
 
     The literal bound lets Spark keep only ``k`` rows per group and map task
     before the shuffle, so one hot request never ships all its candidates.
-    ``limit`` narrows the bound per row.
+    ``limit`` narrows the bound per row; ``k`` None keeps every row.
     """
+    if k is None:
+        ranked = rank_within(df, keys, order, rank)
+        return ranked if limit is None else ranked.filter(F.col(rank) <= limit)
     keep = F.col(rank) <= F.lit(k)
     if limit is not None:
         keep = keep & (F.col(rank) <= limit)

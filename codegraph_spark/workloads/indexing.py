@@ -11,10 +11,14 @@ from codegraph_spark.sources import corpus, scan
 from codegraph_spark.workloads.base import query
 
 
-@query("scan_files")
+@query("scan_files", "SELECT 'docs' AS repo_name, lang, source, CAST(sum(length(text) + 1) AS BIGINT) AS chars FROM documents WHERE source <> 'src3' GROUP BY lang, source")
 def _(spark, d):
-    found = scan.scan_files(spark, d, [".parquet"], excludes=("bin",), repo_name="tables")
-    return found.select("repo_name", tx.basename(F.col("file_path")).alias("name"), tx.extension(F.col("file_path")).alias("ext"))
+    """The documents as text files, one folder per language and source, found and read again."""
+    root = scratch_path(spark, "files")
+    corpus.table(spark, d, "documents").select("lang", "source", "text").write.partitionBy("lang", "source").text(root)
+    found = scan.scan_files(spark, root, [".txt"], excludes=("source=src3",), repo_name="docs")
+    at = lambda k: F.regexp_extract("file_path", rf"/{k}=([^/]+)/", 1).alias(k)
+    return found.groupBy("repo_name", at("lang"), at("source")).agg(F.sum(F.length("content")).alias("chars"))
 
 
 @query("should_index", "SELECT file_path FROM files WHERE NOT regexp_matches(file_path, '/src1[0-9]*/')")
@@ -131,7 +135,7 @@ SELECT snapshot_id, CAST(rn AS INTEGER) AS pos, path, xy, xy IN ('M ', 'R ') AS
        xy || ' ' || CASE WHEN renamed_from IS NOT NULL THEN renamed_from || ' -> ' ELSE '' END || path AS compact
 FROM (SELECT user_id AS snapshot_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn, 'src/' || event_type || '/' || event_id || '.cs' AS path,
              CASE event_type WHEN 'click' THEN 'M ' WHEN 'view' THEN ' M' WHEN 'purchase' THEN 'R ' ELSE '??' END AS xy,
-             CASE WHEN event_type = 'purchase' THEN 'old/' || event_id || '.cs' END AS renamed_from FROM events) WHERE rn <= 500""")
+             CASE WHEN event_type = 'purchase' THEN 'old/' || event_id || '.cs' END AS renamed_from FROM events)""")
 def _(spark, d):
     e = corpus.table(spark, d, "events")
     path = F.concat(F.lit("src/"), "event_type", F.lit("/"), F.col("event_id").cast("string"), F.lit(".cs"))
@@ -165,7 +169,7 @@ every AS (
   SELECT user_id AS log_id, event_id AS log_line, 'src/a.cs' AS path, k AS line, v AS col, 'error' AS severity, 'CS' || k AS code, 'bad thing ' || v AS message FROM bench0 WHERE event_type = 'click'
   UNION ALL SELECT user_id, event_id, 'src/b.ts', k, v, 'warning', 'TS' || k, 'odd thing' FROM bench0 WHERE event_type = 'view'
   UNION ALL SELECT p.user_id, p.event_id, 'src/c.rs', p.k, p.v, 'error', 'E' || h.k, 'wrong ' || h.v FROM places p JOIN bench0 h ON h.event_id = p.head WHERE nth = 1)
-SELECT log_id, log_line, path, line, col, severity, code, message FROM (SELECT *, row_number() OVER (PARTITION BY log_id ORDER BY log_line) AS rn FROM every) WHERE rn <= 300""".replace(", marks AS", "WITH marks AS", 1))
+SELECT log_id, log_line, path, line, col, severity, code, message FROM every""".replace(", marks AS", "WITH marks AS", 1))
 def _(spark, d):
     return extract.parse_diagnostics(_build_log(spark, d))
 
@@ -243,8 +247,7 @@ _LEXICAL = r"""
 runs AS (SELECT repo_name, file_path, line, text, list_distinct(regexp_extract_all(text, '[\p{L}\p{M}\p{N}_]+')) AS ids0, regexp_extract_all(text, '[\p{L}\p{M}\p{N}_]+') AS runs FROM lines),
 ids AS (SELECT repo_name, file_path, line, text, t, min(pos) AS pos FROM (SELECT repo_name, file_path, line, text, unnest(runs) AS t, generate_subscripts(runs, 1) AS pos FROM runs)
         WHERE regexp_full_match(t, '[_A-Za-z][_A-Za-z0-9]*') AND length(t) >= 3 AND t NOT IN (%s) GROUP BY ALL),
-usages AS (SELECT repo_name, file_path, t AS token, line, trim(text, ' ' || chr(9)) AS context FROM (SELECT *, row_number() OVER (PARTITION BY file_path, line ORDER BY pos) AS rn FROM ids) WHERE rn <= 32
-        AND (%s))
+usages AS (SELECT repo_name, file_path, t AS token, line, trim(text, ' ' || chr(9)) AS context FROM ids WHERE (%s))
 """ % (
     ", ".join(f"'{w}'" for w in extract.LEXICAL_STOP_WORDS),
     " OR ".join(f"contains(text, '{a}' || t || '{b}')" for a, b in tx.USAGE_SHAPES),

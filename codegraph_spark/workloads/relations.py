@@ -136,7 +136,7 @@ def _part_seeds(spark, d):
 
 @query("callers_of", """
 SELECT CAST(callee AS BIGINT) AS query_id, callee AS symbol_id, caller FROM (SELECT *, row_number() OVER (PARTITION BY callee ORDER BY in_file, line, caller) AS rn FROM (
-SELECT callee, caller, arg_min(in_file, in_file || printf('%09d', line)) AS in_file, arg_min(line, in_file || printf('%09d', line)) AS line FROM calls GROUP BY callee, caller)) JOIN part ON callee = CAST(p_partkey AS VARCHAR) WHERE rn <= 250""")
+SELECT callee, caller, arg_min(in_file, in_file || printf('%09d', line)) AS in_file, arg_min(line, in_file || printf('%09d', line)) AS line FROM calls GROUP BY callee, caller)) JOIN part ON callee = CAST(p_partkey AS VARCHAR)""")
 def _(spark, d):
     return graph.callers_of(corpus.part_refs(spark, d), corpus.part_symbols(spark, d), _part_seeds(spark, d))
 
@@ -159,8 +159,8 @@ WITH names AS (SELECT id, replace(name, ' ', '_') AS fn, kind, file_path, line_s
 called AS (SELECT s.id, n.fn, min(n.line_start) AS line FROM names s JOIN names n ON n.file_path = s.file_path AND n.line_start BETWEEN s.line_start AND s.line_end GROUP BY s.id, n.fn),
 firsts AS (SELECT id, fn, row_number() OVER (PARTITION BY id ORDER BY line, fn) AS rn FROM called),
 cand AS (SELECT id AS target, fn, row_number() OVER (PARTITION BY fn ORDER BY file_path, line_start, id) AS rn FROM names WHERE kind IN ('LARGE', 'SMALL', 'MEDIUM'))
-SELECT DISTINCT CAST(s.id AS BIGINT) AS query_id, s.id AS symbol_id, c.target FROM firsts f JOIN names s ON s.id = f.id JOIN cand c ON c.fn = f.fn AND c.rn <= 36 AND c.target <> s.id
-JOIN prefs r ON r.symbol_id = c.target AND r.in_file = s.file_path AND r.line BETWEEN s.line_start AND s.line_end WHERE f.rn <= 48""")
+SELECT DISTINCT CAST(s.id AS BIGINT) AS query_id, s.id AS symbol_id, c.target FROM firsts f JOIN names s ON s.id = f.id JOIN cand c ON c.fn = f.fn AND c.target <> s.id
+JOIN prefs r ON r.symbol_id = c.target AND r.in_file = s.file_path AND r.line BETWEEN s.line_start AND s.line_end""")
 def _(spark, d):
     s = corpus.part_symbols(spark, d).withColumn("name", F.replace("name", F.lit(" "), F.lit("_")))
     return graph.callees_of(s, _call_text(spark, d), corpus.part_refs(spark, d), _part_seeds(spark, d), kinds=("LARGE", "SMALL", "MEDIUM"))
@@ -168,7 +168,7 @@ def _(spark, d):
 
 _CALL_EDGES = """
 ce AS (SELECT DISTINCT 'symbol:' || c.caller AS src, 'symbol:' || c.callee AS dst FROM calls c JOIN (
-       SELECT symbol_id, in_file, line, row_number() OVER (PARTITION BY symbol_id ORDER BY in_file, line) AS rn FROM prefs) r ON r.symbol_id = c.callee AND r.in_file = c.in_file AND r.line = c.line WHERE r.rn <= 300),
+       SELECT symbol_id, in_file, line, row_number() OVER (PARTITION BY symbol_id ORDER BY in_file, line) AS rn FROM prefs) r ON r.symbol_id = c.callee AND r.in_file = c.in_file AND r.line = c.line),
 v0 AS (SELECT CAST(id AS BIGINT) AS query_id, 'symbol:' || id AS node, 0 AS distance FROM psym),
 f1 AS (SELECT DISTINCT v.query_id, e.src AS node FROM v0 v JOIN ce e ON e.dst = v.node WHERE e.src <> v.node),
 k1 AS (SELECT f.*, row_number() OVER (PARTITION BY f.query_id ORDER BY lower(y.name), f.node) AS rn FROM f1 f JOIN psym y ON 'symbol:' || y.id = f.node),
@@ -190,8 +190,8 @@ def _(spark, d):
 
 @query("compact_graph", """
 WITH c AS (SELECT 'file:' || file_path AS src, 'symbol:' || id AS dst, 'c' AS type FROM psym),
-i AS (SELECT DISTINCT 'file:' || from_file AS src, 'file:' || to_file AS dst, 'i' AS type FROM (SELECT *, row_number() OVER (PARTITION BY from_file ORDER BY to_file) AS a, row_number() OVER (PARTITION BY to_file ORDER BY from_file) AS b FROM pimports) WHERE a <= 120 OR b <= 120),
-r AS (SELECT DISTINCT 'symbol:' || symbol_id AS src, 'file:' || in_file AS dst, 'r' AS type FROM (SELECT *, row_number() OVER (PARTITION BY symbol_id ORDER BY in_file, line) AS rn FROM prefs) WHERE rn <= 180),
+i AS (SELECT DISTINCT 'file:' || from_file AS src, 'file:' || to_file AS dst, 'i' AS type FROM (SELECT *, row_number() OVER (PARTITION BY from_file ORDER BY to_file) AS a, row_number() OVER (PARTITION BY to_file ORDER BY from_file) AS b FROM pimports)),
+r AS (SELECT DISTINCT 'symbol:' || symbol_id AS src, 'file:' || in_file AS dst, 'r' AS type FROM (SELECT *, row_number() OVER (PARTITION BY symbol_id ORDER BY in_file, line) AS rn FROM prefs)),
 e AS (SELECT * FROM c UNION ALL SELECT * FROM i UNION ALL SELECT * FROM r), st AS (SELECT src AS cur, dst AS nx FROM e UNION SELECT dst, src FROM e WHERE type <> 'r'),
 nd AS (SELECT 'file:' || file_path AS node, regexp_extract(file_path, '[^/]*$') AS label FROM pfiles UNION ALL SELECT 'symbol:' || id, name FROM psym),
 v0 AS (SELECT CAST(id AS BIGINT) AS query_id, 'symbol:' || id AS node, 0 AS distance FROM psym),
@@ -223,12 +223,12 @@ planned AS (SELECT CAST(query_id AS BIGINT) AS query_id, file_path, line, CAST(c
 
 @query("replace_plan", f"WITH {_FIND_SQL} SELECT query_id, file_path, line, count, preview, running, shown FROM planned")
 def _(spark, d):
-    return edits.replace_plan(corpus.document_lines(spark, d), FINDS).select("query_id", "file_path", "line", "count", "preview", "running", "shown")
+    return edits.replace_plan(corpus.document_lines(spark, d), FINDS, 300).select("query_id", "file_path", "line", "count", "preview", "running", "shown")
 
 
 @query("replace_plan_files", f"WITH {_FIND_SQL} SELECT query_id, file_path, CAST(sum(count) AS BIGINT) AS total, count(*) AS lines FROM planned GROUP BY query_id, file_path")
 def _(spark, d):
-    return edits.replace_plan_files(edits.replace_plan(corpus.document_lines(spark, d), FINDS))
+    return edits.replace_plan_files(edits.replace_plan(corpus.document_lines(spark, d), FINDS, 300))
 
 
 @query("replace_plan_all", f"WITH {_FIND_SQL} SELECT CAST(query_id AS BIGINT) AS query_id, file_path, CAST(sum(count) AS BIGINT) AS total, count(*) AS lines FROM p GROUP BY query_id, file_path")
@@ -237,10 +237,10 @@ def _(spark, d):
 
 
 @query("rename_plan", """
-WITH df AS (SELECT * FROM (SELECT k.query_id, y.*, row_number() OVER (PARTITION BY k.query_id ORDER BY file_path, line_start, id) AS rn FROM psym y JOIN pq k ON lower(y.name) = lower(k.q)) WHERE rn <= 40)
+WITH df AS (SELECT * FROM (SELECT k.query_id, y.*, row_number() OVER (PARTITION BY k.query_id ORDER BY file_path, line_start, id) AS rn FROM psym y JOIN pq k ON lower(y.name) = lower(k.q)))
 SELECT query_id, id AS symbol_id, name AS old_name, 'renamed' AS new_name, file_path, line_start AS line, 'definition' AS kind FROM df
 UNION ALL SELECT query_id, id, name, 'renamed', in_file, line, 'reference' FROM (SELECT d.query_id, d.id, d.name, r.in_file, r.line, row_number() OVER (PARTITION BY d.query_id, d.id ORDER BY r.in_file, r.line) AS rk
-FROM df d JOIN (SELECT DISTINCT symbol_id, in_file, line FROM prefs) r ON r.symbol_id = d.id) WHERE rk <= 300""")
+FROM df d JOIN (SELECT DISTINCT symbol_id, in_file, line FROM prefs) r ON r.symbol_id = d.id)""")
 def _(spark, d):
     req = part_queries(spark, d).select("query_id", F.upper("q").alias("symbol_name"), F.lit("renamed").alias("new_name"))
     return edits.rename_plan(corpus.part_symbols(spark, d), corpus.part_refs(spark, d), req)
@@ -350,7 +350,7 @@ def _(spark, d):
 
 @query("commit_summary", """
 WITH t AS (SELECT commit_id, CAST(sum(inserted) AS BIGINT) AS total_inserted, CAST(sum(deleted) AS BIGINT) AS total_deleted FROM cfiles GROUP BY commit_id),
-h AS (SELECT commit_id, path, count(*) AS n FROM cfiles WHERE deleted <= 20 GROUP BY commit_id, path)
+h AS (SELECT commit_id, path, count(*) AS n FROM cfiles GROUP BY commit_id, path)
 SELECT CAST(c.commit_id AS BIGINT) AS query_id, c.author_name, t.total_inserted, t.total_deleted, f.path, f.status, CAST(coalesce(h.n, 0) AS INTEGER) AS hunk_count
 FROM commits c JOIN cfiles f ON f.commit_id = c.commit_id JOIN t ON t.commit_id = c.commit_id LEFT JOIN h ON h.commit_id = f.commit_id AND h.path = f.path""")
 def _(spark, d):

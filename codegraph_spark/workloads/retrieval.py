@@ -178,7 +178,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, lo
 
 
 CAPPED = """SELECT DISTINCT query_id, q, id, repo_name, file_path, name, kind, line_start, line_end, signature FROM (
-SELECT k.query_id, k.q, t.*, row_number() OVER (PARTITION BY k.query_id, k.token ORDER BY file_path, line_start, id) AS place FROM tsym t JOIN toks2 k ON contains(lower(t.name), k.token)) WHERE place <= 200"""
+SELECT k.query_id, k.q, t.* FROM tsym t JOIN toks2 k ON contains(lower(t.name), k.token))"""
 
 
 @query("fuzzy_symbols", _fuzzy((100, 70, 50, 12, 4), f"SELECT query_id, {SYM}, CAST(score AS INTEGER) AS score, CAST(rn AS INTEGER) AS rank FROM r WHERE rn <= 20"))
@@ -266,8 +266,8 @@ def _(spark, d):
 
 _IMPACT = "WITH " + _PART_BEST.format(p=3) + "," + _REF_ITEMS + """,
 ptok AS (SELECT query_id, q, unnest(string_split(q, ' ')) AS token FROM pq),
-fc AS (SELECT DISTINCT query_id, q, id, file_path, name, kind, line_start, signature FROM (SELECT k.query_id, k.q, y.*, row_number() OVER (PARTITION BY k.query_id, k.token ORDER BY file_path, line_start, id) AS place
-       FROM psym y JOIN ptok k ON contains(lower(y.name), k.token)) WHERE place <= 200),
+fc AS (SELECT DISTINCT query_id, q, id, file_path, name, kind, line_start, signature FROM (SELECT k.query_id, k.q, y.*
+       FROM psym y JOIN ptok k ON contains(lower(y.name), k.token))),
 fs AS (SELECT c.*, CASE WHEN lower(name) = lower(q) THEN 100 WHEN starts_with(lower(name), lower(q)) THEN 70 WHEN contains(lower(name), lower(q)) THEN 50 ELSE 0 END
        + (SELECT sum(CASE WHEN contains(lower(c.name), k.token) THEN 12 ELSE 0 END + CASE WHEN contains(lower(c.signature), k.token) THEN 6 ELSE 0 END + CASE WHEN contains(lower(c.file_path), k.token) THEN 3 ELSE 0 END)
           FROM ptok k WHERE k.query_id = c.query_id) AS score FROM fc c),
@@ -318,7 +318,7 @@ _RX = " UNION ALL ".join(
 
 @query("regex_scan", f"SELECT CAST(query_id AS BIGINT) AS query_id, file_path, line, text, CAST(rn AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY file_path, line) AS rn FROM ({_RX})) WHERE rn <= 250")
 def _(spark, d):
-    return ranked.regex_scan(corpus.document_lines(spark, d), PATTERNS)
+    return ranked.regex_scan(corpus.document_lines(spark, d), PATTERNS, 250)
 
 
 @query("rg_search", """
@@ -329,7 +329,7 @@ SELECT CAST(query_id AS BIGINT) AS query_id, file_path, line, CAST(col AS INTEGE
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY file_path, line) AS rn FROM h WHERE col > 0) WHERE rn <= 300""")
 def _(spark, d):
     return ranked.rg_search(
-        corpus.document_lines(spark, d), [(1, "literal", "THE ", True), (2, "regex", "[0-9]+", False), (3, "literal", "Der", False)], max_line_length=120
+        corpus.document_lines(spark, d), [(1, "literal", "THE ", True), (2, "regex", "[0-9]+", False), (3, "literal", "Der", False)], 300, max_line_length=120
     )
 
 
@@ -409,10 +409,10 @@ def _(spark, d):
 
 @query("deps", """
 WITH fs AS (SELECT DISTINCT 'file' AS type, file_path AS id FROM wfiles), ss AS (SELECT id, file_path FROM psym),
-every AS (SELECT f.id AS seed, 'import' AS kind, i.from_file AS src, i.to_file AS dst, row_number() OVER (PARTITION BY f.id ORDER BY i.to_file) AS rn, 300 AS cap FROM fs f JOIN wimports i ON i.from_file = f.id
-          UNION ALL SELECT f.id, 'dependent', i.from_file, i.to_file, row_number() OVER (PARTITION BY f.id ORDER BY i.from_file), 300 FROM fs f JOIN wimports i ON i.to_file = f.id
-          UNION ALL SELECT s.id, 'reference', s.file_path, r.in_file, row_number() OVER (PARTITION BY s.id ORDER BY r.in_file, r.line), 400 FROM ss s JOIN prefs r ON r.symbol_id = s.id)
-SELECT seed, kind, src, dst, CAST(rn AS INTEGER) AS pos FROM every WHERE rn <= cap""")
+every AS (SELECT f.id AS seed, 'import' AS kind, i.from_file AS src, i.to_file AS dst, row_number() OVER (PARTITION BY f.id ORDER BY i.to_file) AS rn FROM fs f JOIN wimports i ON i.from_file = f.id
+          UNION ALL SELECT f.id, 'dependent', i.from_file, i.to_file, row_number() OVER (PARTITION BY f.id ORDER BY i.from_file) FROM fs f JOIN wimports i ON i.to_file = f.id
+          UNION ALL SELECT s.id, 'reference', s.file_path, r.in_file, row_number() OVER (PARTITION BY s.id ORDER BY r.in_file, r.line) FROM ss s JOIN prefs r ON r.symbol_id = s.id)
+SELECT seed, kind, src, dst, CAST(rn AS INTEGER) AS pos FROM every""")
 def _(spark, d):
     pages = _page_paths(spark, d)
     s = corpus.part_symbols(spark, d)

@@ -1,10 +1,11 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 from conftest import rows
 from samples import files_df
 
-from codegraph_spark.functions.import_groups import expand_group
+from codegraph_spark.functions.import_groups import leaf_paths
 from codegraph_spark.operators import extract, linking, registry
 from codegraph_spark.sources import scan
 
@@ -59,10 +60,13 @@ def test_file_nodes(index):
     assert n["/s/src/store/basket.rs"] == ("Rust", 2, ["/s/src/model/item.rs"]) and "/s/Cargo.toml" not in n
 
 
-def test_expand_group():
-    assert expand_group("a::{b, c::{d, e as f}, self};") == ["a::b", "a::c::d", "a::c::e", "a"]
-    assert expand_group("pub use x::*;") == ["x"] and expand_group("use a::b as c") == ["a::b"]
-    assert expand_group("a::{b") == ["a::{b"]
+def test_leaf_paths(spark):
+    want = {
+        "a::{b, c::{d, e as f}, self};": ["a::b", "a::c::d", "a::c::e", "a"],
+        "pub use x::*;": ["x"], "use a::b as c": ["a::b"], "a::{b": ["a::{b"], "use {x, y::z};": ["x", "y::z"], "a::{b::{self, c},};": ["a::b", "a::b::c"], "": [],
+    }
+    df = spark.createDataFrame([(k,) for k in want], "text string")
+    assert {r["text"]: r["p"] for r in df.select("text", leaf_paths(F.col("text")).alias("p")).collect()} == want
 
 
 def test_manifests(spark):
