@@ -9,6 +9,7 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+from codegraph_spark.plans.lineage import scratch  # noqa: E402
 from codegraph_spark.session import local_session  # noqa: E402
 from codegraph_spark.workloads import QUERIES  # noqa: E402
 
@@ -29,7 +30,8 @@ def main() -> None:
     times: dict[str, float] = {}
     for name in names:
         start = time.perf_counter()
-        QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+        with scratch(spark):
+            QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - start, 3)
         print(f"{name} {times[name]}", file=sys.stderr, flush=True)
     spark.stop()

@@ -234,10 +234,6 @@ def one_of(c: Column, allowed, default: str) -> Column:
     return F.when(v.isin(*allowed), v).otherwise(F.lit(default))
 
 
-def direction(c: Column) -> Column:
-    return one_of(c, ("in", "out"), "both")
-
-
 def pack_mode(c: Column) -> Column:
     return one_of(c, ("impact", "implementation", "bug-trace"), "lookup")
 

@@ -110,9 +110,14 @@ def _patched(content: Column, op: Column) -> Column:
 PATCH_FIELDS = ("seq", "mode", "find", "replace", "replace_all", "ignore_case")
 
 
+def _request(ops: DataFrame) -> list[str]:
+    """Operations of several requests are told apart by ``query_id``, where they have one."""
+    return ["query_id"] if "query_id" in ops.columns else []
+
+
 def _ops_by_file(ops: DataFrame, fields) -> DataFrame:
-    """The operations of the request as one ordered array per file."""
-    return ops.groupBy("path").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("ops"))
+    """The operations of each request as one ordered array per file."""
+    return ops.groupBy(*_request(ops), "path").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("ops"))
 
 
 def patch_files(files: DataFrame, ops: DataFrame, dry_run: bool = True):
@@ -135,11 +140,12 @@ def patch_files(files: DataFrame, ops: DataFrame, dry_run: bool = True):
         return tx.bind(_patched(F.col("content") if dry_run else acc["text"], op), after)
 
     folded = files.join(per_file, "file_path").withColumn("_r", F.aggregate("ops", state, step))
-    touched = folded.select(*[c for c in files.columns if c != "content"], F.col("_r.text").alias("content"))
-    done = folded.select("file_path", F.explode("_r.done").alias("d")).select("d.seq", F.col("file_path").alias("path"), "d.changes")
-    asked = ops.select(F.col("seq").cast("int").alias("seq"), "path", blank.alias("_bad"))
-    results = asked.join(done, ["seq", "path"], "left").select(
-        "seq", "path",
+    key = _request(ops)
+    touched = folded.select(*key, *[c for c in files.columns if c != "content"], F.col("_r.text").alias("content"))
+    done = folded.select(*key, "file_path", F.explode("_r.done").alias("d")).select(*key, "d.seq", F.col("file_path").alias("path"), "d.changes")
+    asked = ops.select(*key, F.col("seq").cast("int").alias("seq"), "path", blank.alias("_bad"))
+    results = asked.join(done, [*key, "seq", "path"], "left").select(
+        *key, "seq", "path",
         (~F.col("_bad") & F.col("changes").isNotNull()).alias("ok"),
         F.when(F.col("_bad"), F.lit("invalid op: path/find required"))
         .when(F.col("changes").isNull(), F.lit("file not found or outside project root"))
@@ -253,15 +259,16 @@ def edit_lines(files: DataFrame, ops: DataFrame, dry_run: bool = False):
 
     folded = files.join(per_file, "file_path").withColumn("_stored", stored).withColumn("_r", F.aggregate("ops", state, step))
     content = F.when(F.col("_r.dirty"), F.concat(F.array_join("_r.lines", "\n"), F.lit("\n"))).otherwise(F.col("content"))
-    touched = folded.select(*[c for c in files.columns if c != "content"], content.alias("content"))
-    done = folded.select("file_path", F.explode("_r.done").alias("d")).select(F.col("file_path").alias("path"), "d.*")
+    key = _request(ops)
+    touched = folded.select(*key, *[c for c in files.columns if c != "content"], content.alias("content"))
+    done = folded.select(*key, "file_path", F.explode("_r.done").alias("d")).select(*key, F.col("file_path").alias("path"), "d.*")
     asked = ops.select(
-        F.col("seq").cast("int").alias("seq"), "path", F.lower(tx.trim(F.coalesce("type", F.lit("unknown")))).alias("_type")
+        *key, F.col("seq").cast("int").alias("seq"), "path", F.lower(tx.trim(F.coalesce("type", F.lit("unknown")))).alias("_type")
     )
     missing = F.when(tx.is_blank(F.col("path")), F.lit("invalid op: path is required")).otherwise(F.lit("file not found or outside project root"))
     z = F.lit(0)
-    results = asked.join(done, ["seq", "path"], "left").select(
-        "seq", "path", F.coalesce("type", "_type").alias("type"), F.coalesce("ok", F.lit(False)).alias("ok"), F.coalesce("status", missing).alias("status"),
+    results = asked.join(done, [*key, "seq", "path"], "left").select(
+        *key, "seq", "path", F.coalesce("type", "_type").alias("type"), F.coalesce("ok", F.lit(False)).alias("ok"), F.coalesce("status", missing).alias("status"),
         F.coalesce("changed", z).alias("changed"), F.coalesce("from_line", z).alias("from_line"), F.coalesce("to_line", z).alias("to_line"),
     )
     return touched, results

@@ -261,12 +261,15 @@ def kind_and_path_filter(symbols: DataFrame, req: DataFrame, domain=SYMBOL_KINDS
     """Symbols of the requested kinds below the requested path.
 
     Kinds are join keys next to the repo; a request without kinds asks for all
-    of ``domain``.
+    of ``domain``, one without a repo for all repos.
     """
     every = F.array(*[F.lit(k) for k in domain])
     kinds = F.when(F.coalesce(F.size("kinds"), F.lit(0)) <= 0, every).otherwise(F.col("kinds"))
     wanted = req.select(
         "query_id", F.col("repo").alias("repo_name"), "path_prefix", F.explode(F.array_distinct(F.transform(kinds, F.lower))).alias("_kind")
     )
-    hits = symbols.select(*SYMBOL_COLUMNS, F.lower("kind").alias("_kind")).join(wanted, ["repo_name", "_kind"])
+    offered = symbols.select(*SYMBOL_COLUMNS, F.lower("kind").alias("_kind"))
+    named = offered.join(wanted.filter(F.col("repo_name").isNotNull()), ["repo_name", "_kind"])
+    anywhere = offered.join(wanted.filter(F.col("repo_name").isNull()).drop("repo_name"), "_kind")
+    hits = named.unionByName(anywhere)
     return hits.filter(tx.path_matches(F.col("file_path"), F.col("path_prefix"))).select("query_id", *SYMBOL_COLUMNS)

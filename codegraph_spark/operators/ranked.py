@@ -342,7 +342,10 @@ def test_map(files: DataFrame, req: DataFrame, limit: int = 20, max_limit: int =
     scored = hits.filter(in_repo(hits)).groupBy("query_id", "limit", "file_path").agg(F.count_distinct(F.lower("_t")).cast("int").alias("score"))
     first = tests.groupBy("repo_name", "file_path").agg(F.lit(0).alias("score"))
     first = top_k(first, ["repo_name"], [F.lower("file_path"), "file_path"], 2 * max_limit).drop("rank")
-    padded = first.join(r.filter(F.col("repo").isNotNull()).withColumn("repo_name", F.col("repo")).drop("repo"), "repo_name")
+    # requests without a repo meet the first files of all repos, which stand under a name no repo has
+    anywhere = top_k(first.withColumn("_all", F.lit(0)), ["_all"], [F.lower("file_path"), "file_path"], 2 * max_limit).select(F.lit("").alias("repo_name"), "file_path", "score")
+    first = first.unionByName(anywhere.dropDuplicates(["file_path"]))
+    padded = first.join(r.withColumn("repo_name", F.coalesce("repo", F.lit(""))).drop("repo"), "repo_name")
     zeros = padded.join(scored.select("query_id", "file_path"), ["query_id", "file_path"], "left_anti")
     every = scored.unionByName(zeros.select("query_id", "limit", "file_path", "score"))
     return top_k(every, ["query_id"], [F.col("score").desc(), F.lower("file_path"), "file_path"], max_limit, F.col("limit")).select(

@@ -9,7 +9,14 @@ from codegraph_spark.plans.lineage import cut
 from codegraph_spark.plans.topk import top_k
 
 
+def known_direction(direction: str | None) -> str:
+    """``in`` or ``out``; anything else means both."""
+    d = (direction or "").strip().lower()
+    return d if d in ("in", "out") else "both"
+
+
 def _orient(edges: DataFrame, direction: str) -> DataFrame:
+    direction = known_direction(direction)
     fwd = edges.select(F.col("src").alias("at"), F.col("dst").alias("next"))
     rev = edges.select(F.col("dst").alias("at"), F.col("src").alias("next"))
     if direction == "out":
@@ -66,7 +73,7 @@ def induced_edges(nodes: DataFrame, edges: DataFrame, depth: int, direction: str
         "out": F.col("_ds") < depth,
         "in": F.col("_dd") < depth,
         "both": F.least("_ds", "_dd") < depth,
-    }[direction]
+    }[known_direction(direction)]
     known = nodes.select("node").distinct()
     inside = edges.join(known.withColumnRenamed("node", "src"), "src", "left_semi").join(
         known.withColumnRenamed("node", "dst"), "dst", "left_semi"

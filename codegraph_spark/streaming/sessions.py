@@ -23,27 +23,24 @@ PLAN = T.StructType([
 
 
 class SessionPlan(StatefulProcessor):
-    """Last goal and state, steps in arrival order; steps live in list state, not in one value."""
+    """Goal, state and last step with the greatest ``seq``, and the number of steps; later rows of one ``seq`` win."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.head = handle.getValueState("head", "goal string, state string, n bigint, last string")
-        self.steps = handle.getListState("steps", "pos bigint, step string")
+        self.head = handle.getValueState("head", "goal string, goal_seq bigint, state string, state_seq bigint, last string, last_seq bigint, n bigint")
 
     def handleInputRows(self, key, rows, timer_values):
         import pandas as pd
 
-        goal, state, n, last = self.head.get() if self.head.exists() else ("", "", 0, "")
+        goal, goal_seq, state, state_seq, last, last_seq, n = self.head.get() if self.head.exists() else ("", -(2**63), "", -(2**63), "", -(2**63), 0)
+        newest = {"goal": (goal_seq, goal), "state": (state_seq, state), "step": (last_seq, last)}
+        # rows come in chunks in no order, so what is kept knows its place
         for batch in rows:
-            batch = batch.sort_values("seq", kind="stable")
-            for field, value in zip(batch["field"], batch["value"]):
-                if field == "goal":
-                    goal = value
-                elif field == "state":
-                    state = value
-                elif field == "step":
-                    n, last = n + 1, value
-                    self.steps.appendValue((n, value))
-        self.head.update((goal, state, n, last))
+            n += int((batch["field"] == "step").sum())
+            for seq, field, value in zip(batch["seq"].tolist(), batch["field"], batch["value"]):
+                if field in newest and seq >= newest[field][0]:
+                    newest[field] = (seq, value)
+        (goal_seq, goal), (state_seq, state), (last_seq, last) = newest["goal"], newest["state"], newest["step"]
+        self.head.update((goal, goal_seq, state, state_seq, last, last_seq, n))
         yield pd.DataFrame({"session_id": [key[0]], "goal": [goal], "state": [state], "step_count": [n], "last_step": [last]})
 
     def close(self) -> None:

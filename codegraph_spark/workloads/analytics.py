@@ -337,11 +337,14 @@ def _(spark, d):
     out = scratch_path(spark, "telemetry")
     agg = live.windowed(_event_stream(spark, d), delay="10 minutes")
     q = (
-        agg.writeStream.outputMode("complete").trigger(availableNow=True).option("checkpointLocation", out + "-state")
-        .foreachBatch(lambda b, i: b.write.mode("overwrite").parquet(out)).start()
+        agg.writeStream.outputMode("update").trigger(availableNow=True).option("checkpointLocation", out + "-state")
+        .foreachBatch(lambda b, i: b.withColumn("batch", F.lit(i)).write.mode("append").parquet(out)).start()
     )
     q.awaitTermination()
-    done = spark.read.parquet(out)
+    told = spark.read.parquet(out)
+    rest = [c for c in told.columns if c not in ("window_start", "window_end", "endpoint", "batch")]
+    newest = told.groupBy("window_start", "window_end", "endpoint").agg(F.max_by(F.struct(*rest), "batch").alias("v"))
+    done = newest.select("window_start", "window_end", "endpoint", "v.*")
     return done.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")})
 
 
@@ -368,7 +371,9 @@ def _(spark, d):
 
 @query("stream_session_plans", _PLANS)
 def _(spark, d):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    setting = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(setting, None)
+    spark.conf.set(setting, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     out = scratch_path(spark, "sessions")
     schema = corpus.table(spark, d, "conversations").schema
     src = spark.readStream.schema(schema).option("pathGlobFilter", "conversations.parquet").parquet(d)
@@ -376,7 +381,10 @@ def _(spark, d):
         sessions.stream_session_plans(_session_updates(src)).writeStream.outputMode("update").trigger(availableNow=True)
         .option("checkpointLocation", out + "-state").foreachBatch(lambda b, i: b.withColumn("batch", F.lit(i)).write.mode("append").parquet(out)).start()
     )
-    q.awaitTermination()
+    try:
+        q.awaitTermination()
+    finally:
+        spark.conf.set(setting, before) if before else spark.conf.unset(setting)
     latest = spark.read.parquet(out)
     return latest.groupBy("session_id").agg(F.max_by(F.struct("goal", "state", "step_count", "last_step"), "batch").alias("p")).select("session_id", "p.*")
 

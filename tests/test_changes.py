@@ -53,7 +53,7 @@ def test_reads_and_tree(spark):
     lines = scan.explode_lines(files)
     req = spark.createDataFrame([(1, "/p/a/x.cs", 0, 0), (2, "/p/a/x.cs", 5, 5000), (3, "/p/bin/y.cs", 9, 0)], "query_id long, path string, from_line int, to_line int")
     n = {r.query_id: r["count"] for r in edits.read_range(lines, req).groupBy("query_id").count().collect()}
-    assert n == {1: 51, 2: 1001}
+    assert n == {1: 51, 2: 1996}
     spans = spark.createDataFrame([(1, 1, "/p/a/x.cs", 1999, 0), (1, 2, "/p/a/x.cs", 3000, 0), (1, 3, "/p/a/x.cs", 1, 900)], "query_id long, pos int, path string, from_line int, to_line int")
     assert rows(edits.read_spans(lines, spans, 10), "pos", "span_from", "span_to") == [(1, 1999, 2000), (3, 1, 10)]
     assert rows(edits.dir_tree(files, "/p", 1, excludes=("bin",))) == [("d", "/p/a", 0), ("f", "/p/a/x.cs", 1)]
@@ -161,3 +161,31 @@ def test_telemetry_windows(spark):
     e = spark.createDataFrame([("2024-01-01 00:10:00", "q", True, False), ("2024-01-01 00:50:00", "q", False, True), ("2024-01-01 01:00:00", "q", False, False)], "t string, endpoint string, is_empty boolean, used_fallback boolean").withColumn("ts", F.to_timestamp("t"))
     got = rows(telemetry.windowed(e, delay=None), "total_queries", "empty_rate", "fallback_rate")
     assert got == [(1, 0.0, 0.0), (2, 0.5, 0.5)]
+
+
+def test_requests_keep_their_edits_apart(spark):
+    files = spark.createDataFrame([("/a.txt", "one two")], "file_path string, content string")
+    ops = spark.createDataFrame(
+        [(1, 1, "/a.txt", "one", "x"), (2, 1, "/a.txt", "two", "y"), (2, 400, "/a.txt", "one", "z"), (2, 401, "/a.txt", "  ", "z")],
+        "query_id long, seq int, path string, find string, replace string",
+    ).selectExpr("*", "'literal' AS mode", "false AS replace_all", "false AS ignore_case")
+    touched, results = edits.patch_files(files, ops, dry_run=False)
+    assert {(r["query_id"], r["content"]) for r in touched.collect()} == {(1, "x two"), (2, "z y")}
+    assert sorted((r["query_id"], r["seq"], r["ok"]) for r in results.collect()) == [(1, 1, True), (2, 1, True), (2, 400, True), (2, 401, False)]
+
+
+def test_requests_without_repo_meet_all_repos(spark):
+    from codegraph_spark.operators import lookup, ranked
+
+    files = spark.createDataFrame([("r1", "/r1/test_a.py"), ("r2", "/r2/spec_b.py"), ("r2", "/r2/c.py")], "repo_name string, file_path string")
+    req = spark.createDataFrame([(1, "test", None), (2, "zzz", "r2"), (3, "zzz", None)], "query_id long, q string, repo string")
+    got = {}
+    for r in ranked.test_map(files, req).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["file_path"], r["score"]))
+    assert {k: sorted(v) for k, v in got.items()} == {
+        1: [(1, "/r1/test_a.py", 1), (2, "/r2/spec_b.py", 0)], 2: [(1, "/r2/spec_b.py", 0)], 3: [(1, "/r1/test_a.py", 0), (2, "/r2/spec_b.py", 0)],
+    }
+    symbols = spark.createDataFrame([("s1", "r1", "/f", "A", "Class", 1, 2, None), ("s2", "r2", "/g", "B", "Class", 1, 2, None)],
+                                    "id string, repo_name string, file_path string, name string, kind string, line_start int, line_end int, signature string")
+    asked = spark.createDataFrame([(1, None, ["Class"], None), (2, "r2", None, None)], "query_id long, repo string, kinds array<string>, path_prefix string")
+    assert sorted((r["query_id"], r["id"]) for r in lookup.kind_and_path_filter(symbols, asked).collect()) == [(1, "s1"), (1, "s2"), (2, "s2")]
