@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codegraph_spark.llm import ann, bpe, chat, langid, licenses, linedups, mixing, quality, simhash, token_counts
+from codegraph_spark.llm import ann, bpe, chat, langid, licenses, linedups, mixing, oracles, quality, simhash, token_counts
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 TOKEN_LIMIT = 2048
@@ -87,4 +87,9 @@ QUERIES = {
     f.__name__: f
     for f in (op1_language_id, op2_license_scan, op3_line_dedup, op4_simhash_dedup, op5_bpe, op6_chat_format, op7_nearest, op8_token_count, op9_mix_sources, op10_quality)
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_license_scan": oracles.license_scan(),
+    "op3_line_dedup": oracles.line_dedup(),
+    "op6_chat_format": oracles.chat_format(),
+    "op9_mix_sources": oracles.mix_sources(MIX_SHARE, MIX_EPOCHS, MIX_WEIGHTS),
+}
