@@ -175,13 +175,14 @@ def with_context(refs: DataFrame, usages: DataFrame) -> DataFrame:
 
 
 def link_lexical(
-    usages: DataFrame, symbols: DataFrame, candidates_per_name: int | None = 32, tokens_per_file: int | None = None, refs_per_file: int | None = None
+    usages: DataFrame, symbols: DataFrame, candidates_per_name: int | None = None, tokens_per_file: int | None = None, refs_per_file: int | None = None
 ) -> DataFrame:
     """Usages joined to symbols of the same name (case-sensitive) in the same repo.
 
-    The candidates of a name are its first ``candidates_per_name`` symbols by
-    (file, line, id), which also bounds what one frequent name can produce.  The
-    two per-file limits are options and off by default.
+    Every symbol of the name is a candidate.  ``candidates_per_name`` (the original
+    service: 32) takes the first ones by (file, line, id) where rows of frequent
+    names, uses times symbols, would be too many.  The two per-file limits are
+    options as well.
     """
     cands = symbols.select(
         "repo_name", F.col("name").alias("token"), F.col("id").alias("symbol_id"), F.col("file_path").alias("_file"), F.col("line_start").alias("_start")

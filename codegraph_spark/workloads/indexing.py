@@ -334,6 +334,15 @@ WITH {_LEXICAL},
 c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY file_path, line_start, id) AS rn FROM tsym) WHERE rn <= 32)
 SELECT c.id AS symbol_id, u.file_path AS in_file, u.line, min(u.context) AS context FROM usages u JOIN c ON c.name = u.token
 WHERE NOT (c.file_path = u.file_path AND c.line_start = u.line) GROUP BY ALL""")
+def _(spark, d):
+    lines = corpus.document_lines(spark, d)
+    return linking.link_lexical(cut(extract.lexical_usages(lines)), corpus.document_symbols(spark, d), 32).select("symbol_id", "in_file", "line", "context")
+
+
+@query("link_lexical_all", f"""
+WITH {_LEXICAL}
+SELECT c.id AS symbol_id, u.file_path AS in_file, u.line, min(u.context) AS context FROM usages u JOIN tsym c ON c.name = u.token
+WHERE NOT (c.file_path = u.file_path AND c.line_start = u.line) GROUP BY ALL""")
 def _(spark, d):
     lines = corpus.document_lines(spark, d)
     return linking.link_lexical(cut(extract.lexical_usages(lines)), corpus.document_symbols(spark, d)).select("symbol_id", "in_file", "line", "context")

@@ -385,7 +385,7 @@ def text_refs(spark, d):
     """References between documents: lexical links of the first file names of each symbol."""
     from codegraph_spark.operators import extract, linking
 
-    return cut(linking.link_lexical(cut(extract.lexical_usages(corpus.document_lines(spark, d))), text_symbols(spark, d)))
+    return cut(linking.link_lexical(cut(extract.lexical_usages(corpus.document_lines(spark, d))), text_symbols(spark, d), 32))
 
 
 def _pack_items(spark, d):
