@@ -37,20 +37,16 @@ def reach(seeds: DataFrame, edges: DataFrame, labels: DataFrame, depth: int, max
     result.
     """
     order = [F.lower("label"), F.col("next")]
-    steps = (
-        _orient(edges, direction)
-        .filter("at <> next")
-        .distinct()
-        .join(labels.select(F.col("node").alias("next"), "label"), "next", "left")
-        .withColumn("label", F.coalesce("label", "next"))
-    )
-    steps = top_k(steps, ["at"], order, 2 * max_nodes, rank="_place").drop("_place")
+    oriented = _orient(edges, direction).filter("at <> next")
     seen = seeds.select("query_id", "node").distinct().withColumn("distance", F.lit(0))
     if depth > 1:
-        steps = cut(steps)
         seen = cut(seen)
     for level in range(1, depth + 1):
         frontier = seen.filter(F.col("distance") == level - 1).select("query_id", F.col("node").alias("at"))
+        # only nodes that a query stands on have their neighbours labelled and ranked
+        steps = oriented.join(frontier.select("at").distinct(), "at", "left_semi").distinct()
+        steps = steps.join(labels.select(F.col("node").alias("next"), "label"), "next", "left").withColumn("label", F.coalesce("label", "next"))
+        steps = top_k(steps, ["at"], order, 2 * max_nodes, rank="_place").drop("_place")
         found = frontier.join(steps, "at").groupBy("query_id", F.col("next").alias("node")).agg(F.min("label").alias("label"))
         fresh = found.join(seen.select("query_id", "node"), ["query_id", "node"], "left_anti")
         held = seen.groupBy("query_id").agg(F.count(F.lit(1)).alias("_held"))
@@ -65,17 +61,33 @@ def reach(seeds: DataFrame, edges: DataFrame, labels: DataFrame, depth: int, max
     return seen
 
 
+NEIGHBOURS = 2048  # of a node that stand in one row
+
+
 def induced_edges(nodes: DataFrame, edges: DataFrame, depth: int, direction: str = "both") -> DataFrame:
-    """Edges met while expanding: both ends kept, an expanded end nearer than ``depth``."""
-    src = nodes.select("query_id", F.col("node").alias("src"), F.col("distance").alias("_ds"))
-    dst = nodes.select("query_id", F.col("node").alias("dst"), F.col("distance").alias("_dd"))
-    near = {
-        "out": F.col("_ds") < depth,
-        "in": F.col("_dd") < depth,
-        "both": F.least("_ds", "_dd") < depth,
-    }[known_direction(direction)]
+    """Edges met while expanding: both ends kept, an expanded end nearer than ``depth``.
+
+    A node's neighbours travel as short lists that are intersected with the nodes of a query, so a hub in many queries makes a few rows
+    per query instead of one row per neighbour.
+    """
+    direction = known_direction(direction)
     known = nodes.select("node").distinct()
-    inside = edges.join(known.withColumnRenamed("node", "src"), "src", "left_semi").join(
-        known.withColumnRenamed("node", "dst"), "dst", "left_semi"
+    inside = edges.join(known.withColumnRenamed("node", "src"), "src", "left_semi").join(known.withColumnRenamed("node", "dst"), "dst", "left_semi")
+    rest = [c for c in edges.columns if c not in ("src", "dst")]
+    degree = inside.groupBy("src").agg(F.count(F.lit(1)).alias("_n"))
+    part = F.pmod(F.xxhash64("dst"), F.ceil(F.col("_n") / NEIGHBOURS)).alias("_part")
+    lists = inside.join(degree, "src").select(*edges.columns, part).groupBy("src", *rest, "_part").agg(F.collect_list("dst").alias("_next"))
+    held = nodes.groupBy("query_id").agg(
+        F.collect_list("node").alias("_all"), F.collect_list(F.when(F.col("distance") < depth, F.col("node"))).alias("_near"), F.collect_list(F.struct("node", "distance")).alias("_each")
     )
-    return inside.join(src, "src").join(dst, ["query_id", "dst"]).filter(near).drop("_ds", "_dd")
+    each = held.select("query_id", "_all", "_near", F.explode("_each").alias("_e"))
+    near = F.col("_e.distance") < depth
+    if direction == "out":
+        each = each.filter(near).select("query_id", F.col("_e.node").alias("src"), F.col("_all").alias("_ends"))
+    else:
+        ends = F.col("_near") if direction == "in" else F.when(near, F.col("_all")).otherwise(F.col("_near"))
+        each = each.select("query_id", F.col("_e.node").alias("src"), ends.alias("_ends"))
+    met = each.join(lists, "src").select("query_id", "src", *rest, F.array_intersect("_next", "_ends").alias("_met"))
+    # outer: else Spark would intersect once more to leave out empty lists
+    every = met.select("query_id", "src", *rest, F.explode_outer("_met").alias("dst")).filter(F.col("dst").isNotNull())
+    return every.select("query_id", *edges.columns)

@@ -141,7 +141,10 @@ def _(spark, d):
     return graph.callers_of(corpus.part_refs(spark, d), corpus.part_symbols(spark, d), _part_seeds(spark, d))
 
 
-@query("callers_by_name")
+@query("callers_by_name", """
+SELECT CAST(callee AS BIGINT) AS query_id, callee AS symbol_id, caller, false AS by_name FROM (SELECT DISTINCT callee, caller FROM calls)
+UNION ALL SELECT DISTINCT CAST(y.id AS BIGINT), y.id, e.id, true FROM psym y JOIN psym n ON n.name = y.name JOIN prefs r ON r.symbol_id = n.id
+JOIN encl e ON e.file_path = r.in_file AND e.line = r.line WHERE y.id NOT IN (SELECT callee FROM calls) AND e.id <> y.id""")
 def _(spark, d):
     return graph.callers_by_name(corpus.part_refs(spark, d), corpus.part_symbols(spark, d), _part_seeds(spark, d))
 
@@ -402,9 +405,9 @@ def _(spark, d):
 
 
 @query("file_facts", """
-WITH t AS (SELECT DISTINCT f.path, c.* FROM cfiles f JOIN commits c ON c.commit_id = f.commit_id),
-r AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY author_date_utc, commit_id) AS up, row_number() OVER (PARTITION BY path ORDER BY author_date_utc DESC, commit_id DESC) AS dn, count(*) OVER (PARTITION BY path) AS touch_count FROM t)
-SELECT a.path, b.commit_id AS first_commit, a.commit_id AS latest_commit, a.touch_count, a.author_name AS last_author, a.subject AS last_subject, a.author_date_utc AS last_date FROM r a JOIN r b ON b.path = a.path AND b.up = 1 WHERE a.dn = 1""")
+WITH t AS (SELECT DISTINCT f.path, c.*, CAST(c.author_date_utc AS VARCHAR) || c.commit_id AS spot FROM cfiles f JOIN commits c ON c.commit_id = f.commit_id)
+SELECT path, arg_min(commit_id, spot) AS first_commit, arg_max(commit_id, spot) AS latest_commit, count(*) AS touch_count, arg_max(author_name, spot) AS last_author,
+       arg_max(subject, spot) AS last_subject, arg_max(author_date_utc, spot) AS last_date FROM t GROUP BY path""")
 def _(spark, d):
     return history.file_facts(*_history_tables(spark, d)).drop("repo_name")
 
