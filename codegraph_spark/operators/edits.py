@@ -274,15 +274,25 @@ def edit_lines(files: DataFrame, ops: DataFrame, dry_run: bool = False):
     return touched, results
 
 
+def _cut_ranges(files: DataFrame, asked: DataFrame) -> DataFrame:
+    """``asked(file_path, _from, _to, ...)`` with the lines of its file; ranges behind the end drop out."""
+    met = files.select("file_path", "content").join(asked, "file_path")
+    return met.withColumn("_lines", tx.lines_of(F.col("content"))).drop("content").filter(F.col("_from") <= F.size("_lines"))
+
+
 def read_range(lines: DataFrame, req: DataFrame) -> DataFrame:
     """Lines ``from`` to ``to`` of a file, ``to`` defaults to 50 further.
 
-    ``req(query_id, path, from_line, to_line)``.  Requests ask for line numbers,
-    so a request never meets lines outside its range.
+    ``req(query_id, path, from_line, to_line)``.  From a table of lines requests
+    ask for line numbers; from a table of files the range is cut out in the row.
     """
     frm = F.greatest(F.lit(1), F.coalesce("from_line", F.lit(0)))
     to = F.when(F.coalesce("to_line", F.lit(0)) <= 0, frm + 50).otherwise(F.col("to_line"))
     to = F.greatest(frm, to)
+    if "content" in lines.columns:
+        return _cut_ranges(lines, req.select("query_id", F.col("path").alias("file_path"), frm.alias("_from"), to.alias("_to"))).select(
+            "query_id", "file_path", F.posexplode(F.slice("_lines", F.col("_from"), F.col("_to") - F.col("_from") + 1)).alias("_i", "text"), "_from"
+        ).select("query_id", "file_path", (F.col("_i") + F.col("_from")).cast("int").alias("line"), "text")
     asked = req.select("query_id", F.col("path").alias("file_path"), F.explode(F.sequence(frm, to)).alias("line"))
     return lines.select("repo_name", "file_path", "line", "text").join(asked, ["file_path", "line"]).select("query_id", "file_path", "line", "text")
 
@@ -293,6 +303,12 @@ def read_spans(lines: DataFrame, spans: DataFrame, max_lines_per_span: int = 220
     frm = F.greatest(F.lit(1), F.coalesce("from_line", F.lit(0)))
     to = F.when(F.coalesce("to_line", F.lit(0)) <= 0, frm + 80).otherwise(F.col("to_line"))
     to = F.least(F.greatest(frm, to), frm + n - 1)
+    if "content" in lines.columns:
+        cut = _cut_ranges(lines, spans.filter(~tx.is_blank(F.col("path"))).select("query_id", "pos", F.col("path").alias("file_path"), frm.alias("_from"), to.alias("_to")))
+        return cut.select(
+            "query_id", "pos", "file_path", F.col("_from").alias("span_from"), F.least(F.col("_to"), F.size("_lines")).alias("span_to"),
+            F.array_join(F.slice("_lines", F.col("_from"), F.col("_to") - F.col("_from") + 1), "\n").alias("text"),
+        )
     asked = spans.filter(~tx.is_blank(F.col("path"))).select(
         "query_id", "pos", F.col("path").alias("file_path"), frm.alias("span_from"), F.explode(F.sequence(frm, to)).alias("line")
     )

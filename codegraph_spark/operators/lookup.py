@@ -86,19 +86,11 @@ def file_node(files: DataFrame, file_imports: DataFrame, req: DataFrame) -> Data
     return node.join(imports, ["repo_name", "_path"], "left").select("query_id", *keep, F.col("to_file").alias("imports"))
 
 
-def source_context(lines: DataFrame, points: DataFrame, radius: int | Column = 20, out: str = "context", clamp_end: bool = True) -> DataFrame:
-    """``points`` plus the text within ``radius`` lines, null when the file is missing.
-
-    Each point asks for its few lines by (file, line), so no point meets a
-    whole file.
-    """
-    r = F.lit(radius) if isinstance(radius, int) else radius
+def _joined_lines(lines: DataFrame, spots: DataFrame, out: str) -> DataFrame:
     key = ["repo_name", "file_path"]
-    lo = F.greatest(F.lit(1), F.col("line") - r)
-    spots = points.select(*key, "line", lo.alias("_lo"), (F.col("line") + r).alias("_hi")).distinct()
     asked = spots.withColumn("_at", F.explode(F.sequence("_lo", "_hi")))
     text = lines.select(*key, F.col("line").alias("_at"), "text")
-    got = (
+    return (
         asked.join(text, [*key, "_at"])
         .groupBy(*key, "line", "_lo", "_hi")
         .agg(
@@ -106,6 +98,29 @@ def source_context(lines: DataFrame, points: DataFrame, radius: int | Column = 2
             F.max("_at").alias("_last"),
         )
     )
+
+
+def _cut_from_files(files: DataFrame, spots: DataFrame, out: str) -> DataFrame:
+    key = ["repo_name", "file_path"]
+    asked = spots.groupBy(*key).agg(F.collect_list(F.struct("line", "_lo", "_hi")).alias("_spots"))
+    split = files.select(*key, "content").join(asked, key).select(*key, tx.lines_of(F.col("content")).alias("_lines"), "_spots")
+    each = split.select(*key, "_lines", F.explode("_spots").alias("_s")).filter(F.col("_s._lo") <= F.size("_lines"))
+    text = F.array_join(F.slice("_lines", F.col("_s._lo"), F.col("_s._hi") - F.col("_s._lo") + 1), "\n")
+    return each.select(*key, "_s.line", "_s._lo", "_s._hi", text.alias(out), F.least(F.col("_s._hi"), F.size("_lines")).alias("_last"))
+
+
+def source_context(lines: DataFrame, points: DataFrame, radius: int | Column = 20, out: str = "context", clamp_end: bool = True) -> DataFrame:
+    """``points`` plus the text within ``radius`` lines, null when the file is missing.
+
+    ``lines`` is a table of lines, of which each point asks for its few by
+    (file, line), or of files (with ``content``): then only files that a point
+    lies in are split, and the lines are cut out in the row.
+    """
+    r = F.lit(radius) if isinstance(radius, int) else radius
+    key = ["repo_name", "file_path"]
+    lo = F.greatest(F.lit(1), F.col("line") - r)
+    spots = points.select(*key, "line", lo.alias("_lo"), (F.col("line") + r).alias("_hi")).distinct()
+    got = _cut_from_files(lines, spots, out) if "content" in lines.columns else _joined_lines(lines, spots, out)
     joined = points.withColumn("_lo", lo).withColumn("_hi", F.col("line") + r).join(got, [*key, "line", "_lo", "_hi"], "left")
     return joined.withColumn("from_line", F.col("_lo")).withColumn(
         "to_line", F.coalesce("_last", "_hi") if clamp_end else F.col("_hi")

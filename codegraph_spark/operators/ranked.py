@@ -87,7 +87,7 @@ def fuzzy_symbols(symbols: DataFrame, req: DataFrame, limit: int = 20, max_limit
     return best.select("query_id", *SYMBOL_COLUMNS, F.col("score").cast("int").alias("score"), "rank")
 
 
-def fuzzy_query(symbols: DataFrame, lines: DataFrame, req: DataFrame, limit: int = 20, radius: int = 6) -> DataFrame:
+def fuzzy_query(symbols: DataFrame, lines: DataFrame, req: DataFrame, limit: int = 20, radius: int = 6, files: DataFrame | None = None) -> DataFrame:
     """Fuzzy symbols with the context of the first ten; snippet search where none match.
 
     One row per result: ``result`` is symbol, snippet or fallback.
@@ -95,7 +95,7 @@ def fuzzy_query(symbols: DataFrame, lines: DataFrame, req: DataFrame, limit: int
     # a bounded answer with several readers: computed once
     best = cut(fuzzy_symbols(symbols, req, limit))
     heads = best.filter("rank <= 10").select("query_id", "rank", "repo_name", "file_path", F.col("line_start").alias("line"))
-    shown = source_context(lines, heads, radius, clamp_end=False).filter(F.col("context").isNotNull())
+    shown = source_context(lines if files is None else files, heads, radius, clamp_end=False).filter(F.col("context").isNotNull())
     sym = best.select(
         "query_id", F.lit("symbol").alias("result"), "rank", F.col("id"), F.col("file_path"), F.col("line_start").alias("line"),
         F.col("name"), F.col("signature"), "score", F.lit(None).cast("int").alias("from_line"), F.lit(None).cast("int").alias("to_line"),
@@ -107,7 +107,7 @@ def fuzzy_query(symbols: DataFrame, lines: DataFrame, req: DataFrame, limit: int
         none("signature", "string"), none("score", "int"), F.col("from_line").cast("int"), F.col("to_line").cast("int"), "context",
     )
     missed = req.join(best.select("query_id").distinct(), "query_id", "left_anti").filter(F.size(tx.tokenize(F.col("q"))) > 0)
-    fallback = snippet_search(lines, missed, limit, radius)
+    fallback = snippet_search(lines, missed, limit, radius, files)
     return sym.unionByName(snip(shown, "snippet")).unionByName(snip(fallback, "fallback"))
 
 
@@ -129,10 +129,10 @@ def line_matches(lines: DataFrame, req: DataFrame, limit: int, max_limit: int) -
     return top_k(hits.filter(keep), ["query_id"], ["file_path", "line"], max_limit, F.col("limit"))
 
 
-def snippet_search(lines: DataFrame, req: DataFrame, limit: int = 20, radius: int = 6) -> DataFrame:
-    """Case-insensitive line search with the lines around each hit."""
+def snippet_search(lines: DataFrame, req: DataFrame, limit: int = 20, radius: int = 6, files: DataFrame | None = None) -> DataFrame:
+    """Case-insensitive line search with the lines around each hit, cut from ``files`` where they are given."""
     best = cut(line_matches(lines, req, limit, 50).select("query_id", "rank", "repo_name", "file_path", "line"))
-    return source_context(lines, best, radius).select(
+    return source_context(lines if files is None else files, best, radius).select(
         "query_id", "rank", "file_path", "line", F.col("from_line").cast("int").alias("from_line"), F.col("to_line").cast("int").alias("to_line"), "context"
     )
 

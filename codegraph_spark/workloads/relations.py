@@ -122,12 +122,12 @@ UNION ALL SELECT query_id, 'snippet', CAST(rn AS INTEGER), file_path, line_start
 
 @query("graph_context_pack", _TEXT_GRAPH + "SELECT query_id, part, rank, value, line, context FROM pack")
 def _(spark, d):
-    return graph.graph_context_pack(_text_graph(spark, d), corpus.document_lines(spark, d), 2)
+    return graph.graph_context_pack(_text_graph(spark, d), corpus.document_files(spark, d), 2)
 
 
 @query("graph_pack_tokens", _TEXT_GRAPH + "SELECT query_id, CAST(sum(length(coalesce(context, value))) // 4 AS BIGINT) AS tokens FROM pack GROUP BY query_id")
 def _(spark, d):
-    return graph.graph_pack_tokens(graph.graph_context_pack(_text_graph(spark, d), corpus.document_lines(spark, d), 2))
+    return graph.graph_pack_tokens(graph.graph_context_pack(_text_graph(spark, d), corpus.document_files(spark, d), 2))
 
 
 def _part_seeds(spark, d):
@@ -292,7 +292,7 @@ def _(spark, d):
 @query("read_range", "SELECT f.doc_id AS query_id, n.file_path, n.line, n.text FROM labels l JOIN files f ON f.doc_id = l.doc_id JOIN lines n ON n.file_path = f.file_path AND n.line BETWEEN 2 AND 4")
 def _(spark, d):
     req = _labelled_paths(spark, d).select(F.col("doc_id").alias("query_id"), "path", F.lit(2).alias("from_line"), F.lit(4).alias("to_line"))
-    return edits.read_range(corpus.document_lines(spark, d), req)
+    return edits.read_range(corpus.document_files(spark, d), req)
 
 
 @query("read_spans", """
@@ -300,7 +300,7 @@ SELECT f.doc_id AS query_id, 1 AS pos, n.file_path, 3 AS span_from, CAST(max(n.l
 FROM labels l JOIN files f ON f.doc_id = l.doc_id JOIN lines n ON n.file_path = f.file_path AND n.line BETWEEN 3 AND 22 GROUP BY f.doc_id, n.file_path""")
 def _(spark, d):
     spans = _labelled_paths(spark, d).select(F.col("doc_id").alias("query_id"), F.lit(1).alias("pos"), "path", F.lit(3).alias("from_line"), F.lit(0).alias("to_line"))
-    return edits.read_spans(corpus.document_lines(spark, d), spans, 20)
+    return edits.read_spans(corpus.document_files(spark, d), spans, 20)
 
 
 @query("read_many", """

@@ -90,7 +90,7 @@ def _(spark, d):
         F.col("doc_id").alias("query_id"), F.lit("docs").alias("repo_name"),
         F.concat_ws("/", F.lit("/docs"), "lang", "source", F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).alias("file_path"), F.lit(3).alias("line"),
     )
-    return lookup.source_context(corpus.document_lines(spark, d), points, 2).select("query_id", "line", "from_line", "context")
+    return lookup.source_context(corpus.document_files(spark, d), points, 2).select("query_id", "line", "from_line", "context")
 
 
 def _page_paths(spark, d):
@@ -195,7 +195,7 @@ SELECT query_id, 'symbol' AS result, CAST(rn AS INTEGER) AS rank, id, file_path,
 UNION ALL SELECT query_id, 'snippet', CAST(rn AS INTEGER), NULL, file_path, line, NULL, NULL, NULL, greatest(1, line - 6), line + 6, context FROM near
 UNION ALL SELECT query_id, 'fallback', CAST(rn AS INTEGER), NULL, file_path, line, NULL, NULL, NULL, greatest(1, line - 6), CAST(last AS INTEGER), context FROM mc""".replace("\n, near", ", near", 1)))
 def _(spark, d):
-    return ranked.fuzzy_query(text_symbols(spark, d), corpus.document_lines(spark, d), corpus.benchmark_queries(spark, d))
+    return ranked.fuzzy_query(text_symbols(spark, d), corpus.document_lines(spark, d), corpus.benchmark_queries(spark, d), files=corpus.document_files(spark, d))
 
 
 @query("fuzzy_compact", _fuzzy((100, 70, 50, 12, 3), f"SELECT {ITEM}, CAST(score AS INTEGER) AS sc, CAST(rn AS INTEGER) AS rank FROM r WHERE rn <= 12", CAPPED))
@@ -216,7 +216,7 @@ WITH m AS (SELECT * FROM (SELECT query_id, file_path, line, row_number() OVER (P
 SELECT m.query_id, CAST(m.rn AS INTEGER) AS rank, m.file_path, m.line, greatest(1, m.line - 6) AS from_line, CAST(max(l.line) AS INTEGER) AS to_line, string_agg(l.text, chr(10) ORDER BY l.line) AS context
 FROM m JOIN lines l ON l.file_path = m.file_path AND l.line BETWEEN m.line - 6 AND m.line + 6 GROUP BY m.query_id, m.rn, m.file_path, m.line""")
 def _(spark, d):
-    return ranked.snippet_search(corpus.document_lines(spark, d), corpus.benchmark_queries(spark, d))
+    return ranked.snippet_search(corpus.document_lines(spark, d), corpus.benchmark_queries(spark, d), files=corpus.document_files(spark, d))
 
 
 @query("snippet_compact", """
@@ -351,7 +351,7 @@ e AS (SELECT q.query_id, q.q, coalesce(n, 0) AS n, coalesce(chars, 0) AS chars,
 SELECT query_id, 'snippet' AS mode, q, summary, CASE WHEN n = 0 THEN 'low' ELSE 'high' END AS confidence, CAST(n AS BIGINT) AS result_count, CAST(greatest(1, (chars + length(summary)) // 4) AS BIGINT) AS tokens, false AS fallback_used FROM e""")
 def _(spark, d):
     req = corpus.benchmark_queries(spark, d)
-    hits = ranked.snippet_search(corpus.document_lines(spark, d), req)
+    hits = ranked.snippet_search(corpus.document_lines(spark, d), req, files=corpus.document_files(spark, d))
     return ranked.query_envelope(hits.select("query_id", F.length("context").alias("chars")), req, "snippet")
 
 
@@ -389,7 +389,7 @@ def text_refs(spark, d):
 
 
 def _pack_items(spark, d):
-    return packs.pack_full(text_symbols(spark, d), text_refs(spark, d), corpus.document_lines(spark, d), _pack_request(spark, d))
+    return packs.pack_full(text_symbols(spark, d), text_refs(spark, d), corpus.document_files(spark, d), _pack_request(spark, d))
 
 
 @query("pack_full")
