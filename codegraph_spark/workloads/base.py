@@ -31,6 +31,7 @@ FROM (SELECT repo_name, file_path, language, parts, unnest(generate_series(1, le
 # The model tables in SQL, by name; each may use the ones above it.
 TABLES: dict[str, str] = {
     "files": "SELECT 'docs' AS repo_name, '/docs/' || lang || '/' || source || '/' || doc_id || '.txt' AS file_path, lang AS language, text AS content, doc_id FROM documents",
+    "labs": "SELECT doc_id, coalesce(quality, 0) AS quality, coalesce(toxic, 0) AS toxic FROM documents LEFT JOIN labels USING (doc_id)",
     "lines": LINES.format(files="files"),
     "tsym": r"""
 SELECT 'docs::' || file_path || '::' || name || '::' || kind || '::' || line_start AS id, repo_name, file_path, name, kind, line_start,

@@ -46,9 +46,9 @@ def _(spark, d):
 
 @query("content_manifest", """
 SELECT doc_id % 10 AS query_id, doc_id AS pos, file_path AS path, octet_length(encode(file_path)) AS path_bytes, octet_length(encode(content)) AS byte_length, sha256(content) AS sha256
-FROM files WHERE doc_id IN (SELECT doc_id FROM labels)""")
+FROM files""")
 def _(spark, d):
-    docs = corpus.table(spark, d, "documents").join(corpus.table(spark, d, "labels").select("doc_id"), "doc_id", "left_semi")
+    docs = corpus.table(spark, d, "documents")
     req = docs.select(
         (F.col("doc_id") % 10).alias("query_id"), F.col("doc_id").alias("pos"),
         F.concat_ws("/", F.lit("/docs"), "lang", "source", F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).alias("path"),

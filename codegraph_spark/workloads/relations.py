@@ -97,10 +97,10 @@ def _(spark, d):
 
 
 def _text_graph(spark, d):
-    """Files of the labelled documents with their symbols, one step around."""
-    lab = corpus.table(spark, d, "documents").join(corpus.table(spark, d, "labels").select("doc_id"), "doc_id", "left_semi")
+    """Files of all documents with their symbols, one step around."""
+    docs = corpus.table(spark, d, "documents")
     path = F.concat_ws("/", F.lit("/docs"), "lang", "source", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
-    seeds = lab.select(F.col("doc_id").alias("query_id"), F.concat(F.lit("file:"), path).alias("node"))
+    seeds = docs.select(F.col("doc_id").alias("query_id"), F.concat(F.lit("file:"), path).alias("node"))
     files, symbols = corpus.document_files(spark, d), text_symbols(spark, d)
     nodes = graph.build_nodes(files, symbols)
     edges = graph.build_edges(files, symbols, corpus.part_refs(spark, d).limit(0), corpus.part_imports(spark, d).limit(0), types=["contains"])
@@ -109,12 +109,12 @@ def _text_graph(spark, d):
 
 
 _TEXT_GRAPH = """
-WITH g AS (SELECT f.doc_id AS query_id, t.name AS label, 'symbol:' || t.id AS node, t.file_path, t.line_start FROM labels l JOIN files f ON f.doc_id = l.doc_id JOIN tsym t ON t.file_path = f.file_path),
+WITH g AS (SELECT f.doc_id AS query_id, t.name AS label, 'symbol:' || t.id AS node, t.file_path, t.line_start FROM labs l JOIN files f ON f.doc_id = l.doc_id JOIN tsym t ON t.file_path = f.file_path),
 s AS (SELECT *, row_number() OVER (PARTITION BY query_id, lower(label) ORDER BY lower(label), node) AS nth FROM g),
 lab AS (SELECT query_id, label, row_number() OVER (PARTITION BY query_id ORDER BY lower(label), node) AS rn FROM s WHERE nth = 1),
 sn AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY lower(label), node) AS rn FROM g),
 txt AS (SELECT sn.query_id, sn.rn, sn.file_path, sn.line_start, string_agg(l.text, chr(10) ORDER BY l.line) AS context FROM sn JOIN lines l ON l.file_path = sn.file_path AND l.line BETWEEN sn.line_start - 2 AND sn.line_start + 2 WHERE sn.rn <= 12 GROUP BY ALL),
-pack AS (SELECT f.doc_id AS query_id, 'file' AS part, 1 AS rank, f.file_path AS value, CAST(NULL AS INTEGER) AS line, CAST(NULL AS VARCHAR) AS context FROM labels l JOIN files f ON f.doc_id = l.doc_id
+pack AS (SELECT f.doc_id AS query_id, 'file' AS part, 1 AS rank, f.file_path AS value, CAST(NULL AS INTEGER) AS line, CAST(NULL AS VARCHAR) AS context FROM labs l JOIN files f ON f.doc_id = l.doc_id
 UNION ALL SELECT query_id, 'symbol', CAST(rn AS INTEGER), label, NULL, NULL FROM lab WHERE rn <= 30
 UNION ALL SELECT query_id, 'snippet', CAST(rn AS INTEGER), file_path, line_start, context FROM txt)
 """
@@ -249,19 +249,19 @@ def _(spark, d):
     return edits.rename_plan(corpus.part_symbols(spark, d), corpus.part_refs(spark, d), req)
 
 
-def _labelled_paths(spark, d):
-    docs = corpus.table(spark, d, "documents").join(corpus.table(spark, d, "labels"), "doc_id")
+def _document_paths(spark, d):
+    docs = corpus.table(spark, d, "documents").join(corpus.table(spark, d, "labels"), "doc_id", "left")
     return docs.select(
-        "doc_id", "quality", "toxic",
+        "doc_id", F.coalesce("quality", F.lit(0)).alias("quality"), F.coalesce("toxic", F.lit(0)).alias("toxic"),
         F.concat_ws("/", F.lit("/docs"), "lang", "source", F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).alias("path"),
     )
 
 
 @query("patch_files", """
-WITH f AS (SELECT f.doc_id, f.file_path, content FROM files f JOIN labels l ON l.doc_id = f.doc_id)
+WITH f AS (SELECT f.doc_id, f.file_path, content FROM files f JOIN labs l ON l.doc_id = f.doc_id)
 SELECT file_path AS path, true AS ok, 'applied' AS status, CAST((length(content) - length(replace(content, 'en', ''))) // 2 AS INTEGER) AS changes, sha256(replace(content, 'en', '<EN>')) AS sha FROM f""")
 def _(spark, d):
-    ops = _labelled_paths(spark, d).select(
+    ops = _document_paths(spark, d).select(
         F.lit(1).alias("seq"), "path", F.lit("literal").alias("mode"), F.lit("en").alias("find"), F.lit("<EN>").alias("replace"),
         F.lit(True).alias("replace_all"), F.lit(False).alias("ignore_case"),
     )
@@ -270,13 +270,13 @@ def _(spark, d):
 
 
 @query("edit_lines", r"""
-WITH f AS (SELECT f.file_path, l.quality, CASE WHEN p[len(p)] = '' THEN p[1:len(p) - 1] ELSE p END AS p FROM (SELECT *, string_split_regex(content, '\r\n|\n|\r') AS p FROM files) f JOIN labels l ON l.doc_id = f.doc_id),
+WITH f AS (SELECT f.file_path, l.quality, CASE WHEN p[len(p)] = '' THEN p[1:len(p) - 1] ELSE p END AS p FROM (SELECT *, string_split_regex(content, '\r\n|\n|\r') AS p FROM files) f JOIN labs l ON l.doc_id = f.doc_id),
 e AS (SELECT file_path, quality, p, len(p) AS n, CASE WHEN quality = 1 THEN ['top'] || p ELSE CASE WHEN len(p) >= 2 THEN p[1:1] || p[3:len(p)] ELSE p END END AS q FROM f)
 SELECT file_path AS path, CASE WHEN quality = 1 THEN 'insert_before' ELSE 'delete_range' END AS type, quality = 1 OR n >= 2 AS ok,
        CASE WHEN quality = 1 OR n >= 2 THEN 'applied' ELSE 'startLine is outside file' END AS status, CASE WHEN quality = 1 OR n >= 2 THEN 1 ELSE 0 END AS changed, len(q) AS line_count, array_to_string(q, chr(10)) AS text FROM e""")
 def _(spark, d):
     top = F.col("quality") == 1
-    ops = _labelled_paths(spark, d).select(
+    ops = _document_paths(spark, d).select(
         F.lit(1).alias("seq"), "path", F.when(top, F.lit("insert_before")).otherwise(F.lit("delete_range")).alias("type"),
         F.when(top, 1).otherwise(2).alias("start_line"), F.when(top, 0).otherwise(2).alias("end_line"), F.lit("top").alias("content"),
         F.lit(None).cast("string").alias("find"), F.lit(None).cast("int").alias("occurrence"),
@@ -289,25 +289,25 @@ def _(spark, d):
     return results.join(after, "path").select("path", "type", "ok", "status", "changed", "line_count", "text")
 
 
-@query("read_range", "SELECT f.doc_id AS query_id, n.file_path, n.line, n.text FROM labels l JOIN files f ON f.doc_id = l.doc_id JOIN lines n ON n.file_path = f.file_path AND n.line BETWEEN 2 AND 4")
+@query("read_range", "SELECT f.doc_id AS query_id, n.file_path, n.line, n.text FROM labs l JOIN files f ON f.doc_id = l.doc_id JOIN lines n ON n.file_path = f.file_path AND n.line BETWEEN 2 AND 4")
 def _(spark, d):
-    req = _labelled_paths(spark, d).select(F.col("doc_id").alias("query_id"), "path", F.lit(2).alias("from_line"), F.lit(4).alias("to_line"))
+    req = _document_paths(spark, d).select(F.col("doc_id").alias("query_id"), "path", F.lit(2).alias("from_line"), F.lit(4).alias("to_line"))
     return edits.read_range(corpus.document_files(spark, d), req)
 
 
 @query("read_spans", """
 SELECT f.doc_id AS query_id, 1 AS pos, n.file_path, 3 AS span_from, CAST(max(n.line) AS INTEGER) AS span_to, string_agg(n.text, chr(10) ORDER BY n.line) AS text
-FROM labels l JOIN files f ON f.doc_id = l.doc_id JOIN lines n ON n.file_path = f.file_path AND n.line BETWEEN 3 AND 22 GROUP BY f.doc_id, n.file_path""")
+FROM labs l JOIN files f ON f.doc_id = l.doc_id JOIN lines n ON n.file_path = f.file_path AND n.line BETWEEN 3 AND 22 GROUP BY f.doc_id, n.file_path""")
 def _(spark, d):
-    spans = _labelled_paths(spark, d).select(F.col("doc_id").alias("query_id"), F.lit(1).alias("pos"), "path", F.lit(3).alias("from_line"), F.lit(0).alias("to_line"))
+    spans = _document_paths(spark, d).select(F.col("doc_id").alias("query_id"), F.lit(1).alias("pos"), "path", F.lit(3).alias("from_line"), F.lit(0).alias("to_line"))
     return edits.read_spans(corpus.document_files(spark, d), spans, 20)
 
 
 @query("read_many", """
 SELECT f.doc_id % 7 AS query_id, f.doc_id AS pos, f.file_path, count(n.line) AS total_lines, CASE WHEN l.quality = 1 THEN any_value(f.content) ELSE string_agg(CASE WHEN n.line BETWEEN 1 AND 3 THEN n.text END, chr(10) ORDER BY n.line) END AS text
-FROM labels l JOIN files f ON f.doc_id = l.doc_id JOIN lines n ON n.file_path = f.file_path GROUP BY f.doc_id, f.file_path, l.quality""")
+FROM labs l JOIN files f ON f.doc_id = l.doc_id JOIN lines n ON n.file_path = f.file_path GROUP BY f.doc_id, f.file_path, l.quality""")
 def _(spark, d):
-    req = _labelled_paths(spark, d).select(
+    req = _document_paths(spark, d).select(
         (F.col("doc_id") % 7).alias("query_id"), F.col("doc_id").alias("pos"), "path", F.lit(0).alias("from_line"), F.when(F.col("quality") == 1, 0).otherwise(3).alias("to_line")
     )
     return edits.read_many(corpus.document_files(spark, d), req).withColumn("total_lines", F.col("total_lines").cast("long"))
@@ -321,10 +321,10 @@ def _(spark, d):
 
 
 @query("upsert_files", """
-WITH w AS (SELECT f.file_path, l.quality = 1 AS may, 'new ' || l.doc_id || chr(10) AS content FROM labels l JOIN files f ON f.doc_id = l.doc_id UNION ALL SELECT '/new/' || doc_id, false, 'new ' || doc_id || chr(10) FROM labels)
+WITH w AS (SELECT f.file_path, l.quality = 1 AS may, 'new ' || l.doc_id || chr(10) AS content FROM labs l JOIN files f ON f.doc_id = l.doc_id UNION ALL SELECT '/new/' || doc_id, false, 'new ' || doc_id || chr(10) FROM labs)
 SELECT file_path, content FROM files WHERE file_path NOT IN (SELECT file_path FROM w WHERE may) UNION ALL SELECT file_path, content FROM w WHERE may OR starts_with(file_path, '/new/')""")
 def _(spark, d):
-    lab = _labelled_paths(spark, d)
+    lab = _document_paths(spark, d)
     body = F.concat(F.lit("new "), F.col("doc_id").cast("string"))
     w = lab.select("path", (F.col("quality") == 1).alias("overwrite"), body.alias("content")).unionByName(
         lab.select(F.concat(F.lit("/new/"), F.col("doc_id").cast("string")).alias("path"), F.lit(False).alias("overwrite"), body.alias("content"))
@@ -384,21 +384,21 @@ def _(spark, d):
     return history.touch_count(corpus.order_commit_files(spark, d), _part_paths(spark, d))
 
 
-@query("patch_text", "SELECT d.doc_id AS query_id, CAST(d.doc_id AS VARCHAR) AS commit_id, substr(text, 1, 1000) AS patch FROM documents d JOIN labels l ON l.doc_id = d.doc_id")
+@query("patch_text", "SELECT d.doc_id AS query_id, CAST(d.doc_id AS VARCHAR) AS commit_id, substr(text, 1, 1000) AS patch FROM documents d JOIN labs l ON l.doc_id = d.doc_id")
 def _(spark, d):
     patches = corpus.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("commit_id"), F.col("text").alias("patch"))
-    req = corpus.table(spark, d, "labels").select(F.col("doc_id").alias("query_id"), F.col("doc_id").cast("string").alias("commit_id"), F.lit(500).alias("max_chars"))
+    req = corpus.table(spark, d, "documents").select(F.col("doc_id").alias("query_id"), F.col("doc_id").cast("string").alias("commit_id"), F.lit(500).alias("max_chars"))
     return history.patch_text(patches, req)
 
 
 @query("diff_summary", """
-WITH j AS (SELECT f.doc_id, f.file_path, CASE WHEN f.doc_id % 2 = 0 THEN substr(f.content, 1, 800) WHEN l.toxic = 1 THEN 'UNTRACKED ' || f.file_path ELSE '' END AS diff FROM labels l JOIN files f ON f.doc_id = l.doc_id)
+WITH j AS (SELECT f.doc_id, f.file_path, CASE WHEN f.doc_id % 2 = 0 THEN substr(f.content, 1, 800) WHEN l.toxic = 1 THEN 'UNTRACKED ' || f.file_path ELSE '' END AS diff FROM labs l JOIN files f ON f.doc_id = l.doc_id)
 SELECT doc_id AS query_id, file_path AS path, diff, CAST(CASE WHEN diff = '' THEN 0 ELSE length(diff) - length(replace(diff, chr(10), '')) + 1 END AS INTEGER) AS line_count FROM j""")
 def _(spark, d):
     docs = corpus.table(spark, d, "documents")
     path = F.concat_ws("/", F.lit("/docs"), "lang", "source", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
     diffs = docs.filter("doc_id % 2 = 0").select(path.alias("path"), F.lit(True).alias("staged"), F.col("text"))
-    lab = _labelled_paths(spark, d)
+    lab = _document_paths(spark, d)
     status = lab.select("path", (F.col("toxic") == 1).alias("untracked"))
     req = lab.select(F.col("doc_id").alias("query_id"), "path", F.lit(True).alias("staged"), F.lit(100).alias("max_chars"))
     return history.diff_summary(diffs, status, req).select("query_id", "path", "diff", "line_count")

@@ -30,9 +30,9 @@ def _(spark, d):
     return lookup.symbols_by_name(text_symbols(spark, d), corpus.benchmark_queries(spark, d, 1))
 
 
-@query("symbols_by_file", f"SELECT l.doc_id AS query_id, {', '.join('t.' + c for c in SYM.split(', '))} FROM labels l JOIN files f ON f.doc_id = l.doc_id JOIN tsym t ON t.file_path = f.file_path")
+@query("symbols_by_file", f"SELECT l.doc_id AS query_id, {', '.join('t.' + c for c in SYM.split(', '))} FROM labs l JOIN files f ON f.doc_id = l.doc_id JOIN tsym t ON t.file_path = f.file_path")
 def _(spark, d):
-    docs = corpus.table(spark, d, "documents").join(corpus.table(spark, d, "labels").select("doc_id"), "doc_id", "left_semi")
+    docs = corpus.table(spark, d, "documents")
     req = docs.select(F.col("doc_id").alias("query_id"), F.concat_ws("/", F.lit("/docs"), "lang", "source", F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).alias("path"))
     return lookup.symbols_by_file(text_symbols(spark, d), req)
 
@@ -83,9 +83,9 @@ def _(spark, d):
 
 @query("source_context", """
 SELECT p.doc_id AS query_id, 3 AS line, greatest(1, 3 - 2) AS from_line, string_agg(l.text, chr(10) ORDER BY l.line) AS context
-FROM labels p JOIN files f ON f.doc_id = p.doc_id LEFT JOIN lines l ON l.file_path = f.file_path AND l.line BETWEEN 1 AND 5 GROUP BY p.doc_id""")
+FROM labs p JOIN files f ON f.doc_id = p.doc_id LEFT JOIN lines l ON l.file_path = f.file_path AND l.line BETWEEN 1 AND 5 GROUP BY p.doc_id""")
 def _(spark, d):
-    docs = corpus.table(spark, d, "documents").join(corpus.table(spark, d, "labels").select("doc_id"), "doc_id", "left_semi")
+    docs = corpus.table(spark, d, "documents")
     points = docs.select(
         F.col("doc_id").alias("query_id"), F.lit("docs").alias("repo_name"),
         F.concat_ws("/", F.lit("/docs"), "lang", "source", F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).alias("file_path"), F.lit(3).alias("line"),
