@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from codegraph_spark.operators import registry, runs
+from codegraph_spark.plans.substring import LINE_GRAMS, contains_join
 from codegraph_spark.plans.lineage import cut, scratch_path
 from codegraph_spark.sources import corpus
 from codegraph_spark.streaming import index_stream, sessions
@@ -116,14 +117,17 @@ s AS (SELECT t.*, coalesce(c.file_path, f.file_path) AS sel_file, coalesce(c.lin
 sp AS (SELECT s.task_id, greatest(1, (sum(length(l.text)) + count(*) - 1) // 4) AS span_tokens, bool_or(contains(l.text, s.ev)) AS our_seen FROM s JOIN lines l ON l.file_path = s.sel_file AND l.line BETWEEN s.sel_line - 4 AND s.sel_line + 4 GROUP BY s.task_id)
 SELECT s.task_id, query AS scenario, CAST(hits AS BIGINT) AS baseline_count, CAST((SELECT n FROM scan) + coalesce(read_tokens, 0) AS BIGINT) AS baseline_tokens, CASE WHEN hits > 0 THEN 2 ELSE 1 END AS baseline_calls,
        CAST(coalesce(our_count, 0) AS BIGINT) AS our_count, CAST(coalesce(payload, 1) + coalesce(span_tokens, 0) AS BIGINT) AS our_tokens,
-       1 + CASE WHEN our_count IS NULL THEN 1 ELSE 0 END + CASE WHEN sel_file IS NULL THEN 0 ELSE 1 END AS our_calls, sel_file IS NOT NULL AND contains(sel_file, '/en/') AND false AS success
+       1 + CASE WHEN our_count IS NULL THEN 1 ELSE 0 END + CASE WHEN sel_file IS NULL THEN 0 ELSE 1 END AS our_calls, coalesce(sel_file = first_file, false) AND coalesce(our_seen, false) AS success, coalesce(seen, false) AS baseline_success
 FROM s LEFT JOIN sp ON sp.task_id = s.task_id""")
 def _(spark, d):
     b = corpus.table(spark, d, "benchmark")
     w = F.split("text", " ")
-    tasks = b.select(F.col("item_id").alias("task_id"), w[0].alias("query"), F.lit("/docs/none.txt").alias("expected_path"), w[1].alias("expected_evidence"))
-    out = runs.compare_workflows(corpus.document_lines(spark, d), text_symbols(spark, d), tasks)
-    return out.select("task_id", "scenario", "baseline_count", "baseline_tokens", "baseline_calls", "our_count", "our_tokens", "our_calls", "success")
+    asked = b.select(F.col("item_id").alias("task_id"), w[0].alias("query"), w[1].alias("expected_evidence"))
+    lines = corpus.document_lines(spark, d)
+    # the expected file of a task is the first one that holds its word
+    holds = contains_join(lines, "text", asked, "query", ["file_path", "line"], LINE_GRAMS).groupBy("task_id").agg(F.min("file_path").alias("expected_path"))
+    out = runs.compare_workflows(lines, text_symbols(spark, d), asked.join(holds, "task_id", "left"))
+    return out.select("task_id", "scenario", "baseline_count", "baseline_tokens", "baseline_calls", "our_count", "our_tokens", "our_calls", "success", "baseline_success")
 
 
 @query("evaluate_history", """

@@ -11,6 +11,9 @@ SF = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
 QUICK = [
     "explode_lines", "parse_diagnostics", "extract_symbols", "lexical_usages", "symbols_by_name", "resolve_path", "fuzzy_compact", "snippet_search",
     "regex_scan", "impact_expand", "graph_query", "replace_plan", "history", "latency_stats", "category_counts",
+    "scan_files", "expand_imports", "link_lexical_all", "semantic_search", "pack_compact", "callers_of", "callers_by_name", "callees_of", "compact_graph", "rename_plan",
+    "patch_files", "edit_lines", "read_range", "read_spans", "read_many", "source_context", "deps", "commit_summary", "file_facts", "kind_and_path_filter", "test_map",
+    "compare_workflows", "stream_telemetry",
 ]
 NAMES = sorted(QUERIES) if os.environ.get("ORACLE_ALL") else QUICK
 

@@ -100,3 +100,19 @@ def test_reach_gives_shortest_distances(spark):
     assert got == want
     capped = traverse.reach(seeds, e, labels, 3, 4, "out").groupBy("query_id").count().collect()
     assert all(r["count"] <= 4 for r in capped)
+
+
+def test_hub_in_many_queries(spark):
+    """A node of high degree that many queries hold: answers stay bounded and match a plain walk."""
+    from codegraph_spark.plans import traverse
+
+    degree, queries = 20_000, 200
+    edges = spark.range(degree).select(F.lit("hub").alias("src"), F.format_string("n%05d", "id").alias("dst"), F.lit("e").alias("type"))
+    edges = edges.unionByName(spark.createDataFrame([("n00001", "n00002", "e"), ("n00002", "far", "e")], "src string, dst string, type string"))
+    labels = edges.select(F.col("dst").alias("node"), F.col("dst").alias("label"))
+    seeds = spark.range(queries).select(F.col("id").alias("query_id"), F.lit("hub").alias("node"))
+    got = traverse.reach(seeds, edges, labels, 2, 10, "out")
+    rows = {(r["query_id"], r["node"]): r["distance"] for r in got.collect()}
+    assert len(rows) == queries * 10 and rows[7, "n00000"] == 1 and (7, "far") not in rows
+    met = traverse.induced_edges(got, edges, 2, "sideways").filter("query_id = 7").collect()
+    assert {(r["src"], r["dst"]) for r in met} == {("hub", f"n{i:05d}") for i in range(9)} | {("n00001", "n00002")}
