@@ -5,7 +5,8 @@ to a leaf. Within a leaf the most frequent token of every position makes the lea
 are one template whose other positions are variable fields, and any other line is a template by itself. A template that recurs in
 ``min_docs`` documents is dropped from all of them but the first (least ``doc_id``), where it stays.
 
-Only hashes of all lines are shuffled; tokens travel for lines of leaves that more than one document reaches, and once per distinct line.
+Only hashes of all lines are shuffled; tokens travel once per distinct line, and only for leaves in which several documents have different
+lines.
 
 Defined results: null texts stay null and have no lines; lines with fewer than ``min_tokens`` tokens never go; a text may become empty but
 its row stays; rows equal in ``doc_id`` and text are one document; null ``doc_id`` sorts last; other columns pass through untouched.
@@ -22,49 +23,61 @@ DEPTH = 3  # leading tokens on the way to a leaf
 MIN_TOKENS = 5
 MIN_DOCS = 3
 SIMILARITY = 0.8
-VARIABLE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
-TOKEN = r"[^\x20\x09-\x0D]+"
+VARIABLE = r"(?<![^ ])[^ 0-9@]*+[0-9@][^ ]*+"
+SPACES = " \t\r\x0b\x0c"
 
 
-def masked(text: Column) -> Column:
-    """Tokens with a digit or an at sign become ``<*>``; every token is looked at once, whatever its length."""
-    return F.regexp_replace(text, VARIABLE, "<*>")
+def normal(line: Column) -> Column:
+    """A line with single spaces between its tokens, those with a digit or an at sign as ``<*>``; most lines need neither pattern."""
+    odd = F.startswith(line, F.lit(" ")) | F.endswith(line, F.lit(" ")) | F.contains(line, F.lit("  "))
+    for c in SPACES[1:]:
+        odd = odd | F.contains(line, F.lit(c))
+    even = F.when(odd, F.regexp_replace(F.btrim(line, F.lit(SPACES)), r"[\x20\x09-\x0D]+", " ")).otherwise(line)
+    return F.when(line.rlike("[0-9@]"), F.regexp_replace(even, VARIABLE, "<*>")).otherwise(even)
 
 
-def parsed_lines(docs: DataFrame, depth: int, min_tokens: int) -> DataFrame:
-    """doc_id, text_hash, line_no, n_tokens, leaf, line (hash of the masked tokens) and tokens of every line that is long enough."""
-    lines = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode_outer(F.split(masked(F.col("text")), "\n")).alias("line_no", "masked"))
-    tokens = lines.select("doc_id", "text_hash", "line_no", F.regexp_extract_all("masked", F.lit(TOKEN), F.lit(0)).alias("tokens"))
-    long_enough = tokens.withColumn("n_tokens", F.size("tokens")).where(F.col("n_tokens") >= min_tokens)
-    leaf = F.xxhash64("n_tokens", *[F.get("tokens", F.lit(i)) for i in range(depth)])
-    return long_enough.select("doc_id", "text_hash", "line_no", "n_tokens", leaf.alias("leaf"), F.xxhash64("tokens").alias("line"), "tokens")
+def line_keys(docs: DataFrame, depth: int, min_tokens: int) -> DataFrame:
+    """doc_id, text_hash, line_no, leaf and line (hash of the normal form) of every line that is long enough."""
+    # outer: else Spark would split the text twice to leave out empty arrays
+    lines = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode_outer(F.split("text", "\n")).alias("line_no", "raw"))
+    lines = lines.select("doc_id", "text_hash", "line_no", normal(F.col("raw")).alias("m"))
+    n_tokens = F.octet_length("m") - F.octet_length(F.replace("m", F.lit(" "))) + 1
+    lines = lines.withColumn("n_tokens", n_tokens).where((F.col("n_tokens") >= min_tokens) & (F.col("m") != ""))
+    leaf = F.xxhash64("n_tokens", F.substring_index("m", " ", depth))
+    return lines.select("doc_id", "text_hash", "line_no", leaf.alias("leaf"), F.xxhash64("m").alias("line"))
 
 
-def templates(parsed: DataFrame, keys: DataFrame, similarity: float) -> DataFrame:
-    """leaf, line, template of the lines whose leaf several documents reach. ``keys`` is ``parsed`` without its tokens, as written."""
+def templates(docs: DataFrame, keys: DataFrame, similarity: float) -> DataFrame:
+    """leaf, line, template of the lines whose leaf several documents reach."""
     doc = F.struct("doc_id", "text_hash")
-    shared = keys.groupBy("leaf").agg(F.min(doc).alias("a"), F.max(doc).alias("b")).where(~F.col("a").eqNullSafe(F.col("b"))).select("leaf")
-    shared = cut(shared)
-    weights = keys.join(shared, "leaf", "left_semi").groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("weight"))
-    distinct = parsed.select("leaf", "line", "tokens").join(shared, "leaf", "left_semi").groupBy("leaf", "line").agg(F.first("tokens").alias("tokens"))
-    distinct = cut(distinct.join(weights, ["leaf", "line"]))
-    # a leaf of one line needs no pattern
-    several = distinct.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("leaf")
-    open_lines = cut(distinct.join(several, "leaf", "left_semi"))
+    leaves = keys.groupBy("leaf").agg(F.min(doc).alias("a"), F.max(doc).alias("b"), F.min("line").alias("line"), F.max("line").alias("other"))
+    shared = cut(leaves.where(~F.col("a").eqNullSafe(F.col("b"))).select("leaf", "line", (F.col("line") != F.col("other")).alias("several")))
+    # one document per distinct line hands its tokens over; a leaf of one line needs none
+    distinct = keys.join(shared.where("several").select("leaf"), "leaf", "left_semi").groupBy("leaf", "line").agg(
+        F.count(F.lit(1)).alias("weight"), F.min(F.struct("doc_id", "text_hash", "line_no")).alias("at")
+    )
+    wanted = distinct.groupBy(F.col("at.doc_id").alias("_id"), F.col("at.text_hash").alias("_hash")).agg(
+        F.collect_list(F.struct(F.col("at.line_no").alias("line_no"), "leaf", "line", "weight")).alias("wanted")
+    )
+    wanted = cut(wanted)
+    rows = docs.select("doc_id", F.xxhash64("text").alias("_h"), "text")
+    met = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_hash")))
+    handed = met.select(F.split("text", "\n").alias("lines"), "wanted").select("lines", F.explode("wanted").alias("w"))
+    tokens = F.split(normal(F.get("lines", F.col("w.line_no"))), " ")
+    open_lines = cut(handed.select("w.leaf", "w.line", "w.weight", tokens.alias("tokens")).dropDuplicates(["leaf", "line"]))
     votes = open_lines.select("leaf", "weight", F.posexplode("tokens").alias("at", "token")).groupBy("leaf", "at", "token").agg(F.sum("weight").alias("n"))
     top = votes.groupBy("leaf", "at").agg(F.max(F.struct("n", "token"))["token"].alias("token"))
     pattern = top.groupBy("leaf").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "token"))), lambda x: x["token"]).alias("pattern"))
     agree = F.aggregate(F.zip_with("tokens", "pattern", lambda a, b: (a == b).cast("int")), F.lit(0), lambda s, x: s + x)
     fits = open_lines.join(pattern, "leaf").select("leaf", "line", (agree >= similarity * F.size("tokens")).alias("fits"))
-    alone = distinct.join(several, "leaf", "left_anti").select("leaf", "line", F.lit(True).alias("fits"))
+    alone = shared.where("not several").select("leaf", "line", F.lit(True).alias("fits"))
     return fits.union(alone).select("leaf", "line", F.when(F.col("fits"), F.xxhash64("leaf")).otherwise(F.xxhash64("leaf", "line")).alias("template"))
 
 
 def dropped_lines(docs: DataFrame, depth: int = DEPTH, min_tokens: int = MIN_TOKENS, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, text_hash and ``dropped`` (ascending line numbers from 0) of the documents that lose lines."""
-    parsed = parsed_lines(docs, depth, min_tokens)
-    keys = cut(parsed.drop("tokens"))
-    of_line = cut(templates(parsed, keys, similarity))
+    keys = cut(line_keys(docs, depth, min_tokens))
+    of_line = cut(templates(docs, keys, similarity))
     met = cut(keys.join(of_line, ["leaf", "line"]).select("doc_id", "text_hash", "line_no", "template"))
     per_doc = met.groupBy("template", "doc_id", "text_hash").agg(F.lit(1).alias("one"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
