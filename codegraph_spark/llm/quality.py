@@ -22,18 +22,20 @@ from pyspark.sql.window import Window
 from codegraph_spark.plans.lineage import cut
 
 WORD = r"[^\x20\x09-\x0D]+"
+#: a line with a word, from its start; every character is looked at once
+LINE = r"(?<![^\n])[\x20\x09\x0B-\x0D]*+[^\x20\x09-\x0D][^\n]*+"
 SYMBOL = r"[#*$%&|<>]"
 MIN_WORDS = 50
 MAX_REPEATED = 50  # per cent of the words in repeated 3-word windows
 MIN_GROUP = 50
 SUBSET = 0.75
 STEPS = 3
-CUTOFF = 60.0
+CUTOFF = 80.0
 ACCURACY = 10_000  # of the quantile sketches
 # Medians of the chi-squared distribution with 1 to 8 degrees of freedom.
 CHI2_MEDIAN = [0.4549, 1.3863, 2.3660, 3.3567, 4.3515, 5.3481, 6.3458, 7.3441]
 #: statistic and the least standard deviation that it is given
-FEATURES = [("log_words", 0.3), ("log_length", 0.05), ("symbols", 0.1), ("dup_lines", 0.1), ("repeats", 0.1)]
+FEATURES = [("log_words", 0.3), ("log_length", 0.05), ("symbols", 0.1), ("dup_lines", 0.2), ("repeats", 0.15)]
 
 
 def counts(docs: DataFrame) -> DataFrame:
@@ -47,17 +49,19 @@ def counts(docs: DataFrame) -> DataFrame:
         n.cast("long").alias("n_words"),
         F.length(F.regexp_replace("body", r"[\x20\x09-\x0D]+", "")).cast("long").alias("word_chars"),
         F.regexp_count("body", F.lit(SYMBOL)).cast("long").alias("n_symbols"),
-        F.filter(F.split("body", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"),
+        F.regexp_extract_all("body", F.lit(LINE), F.lit(0)).alias("lines"),
         F.slice(hashes, 1, F.greatest(n - 2, F.lit(0))).alias("windows"),
     )
     c = b.select(
         "row", "n_words", "word_chars", "n_symbols", F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.when(F.size(F.array_distinct("windows")) < F.size("windows"), F.col("windows")).alias("windows"),
     )
-    d = c.withColumn("windows", F.sort_array(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
-    near = lambda k: F.get(F.col("windows"), k)["h"]
-    twice = F.filter("windows", lambda x, k: F.coalesce(x["h"] == near(k - 1), F.lit(False)) | F.coalesce(x["h"] == near(k + 1), F.lit(False)))
-    e = d.withColumn("windows", F.sort_array(F.transform(twice, lambda x: x["i"])))
+    numbered = F.arrays_zip(F.col("windows").alias("h"), F.sequence(F.lit(0), F.size("windows") - 1).alias("i"))
+    d = c.withColumn("windows", F.when(F.col("windows").isNotNull(), F.sort_array(numbered)))
+    neighbours = lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"]))
+    n = F.size("windows") - 1
+    twice = F.flatten(F.array_compact(F.zip_with(F.slice("windows", 1, n), F.slice("windows", 2, n), neighbours)))
+    e = d.withColumn("windows", F.sort_array(F.array_distinct(twice)))
     m = F.size("windows")
     gaps = F.zip_with(F.slice("windows", 1, F.greatest(m - 1, F.lit(0))), F.slice("windows", 2, F.greatest(m - 1, F.lit(0))), lambda x, y: F.least(y - x, F.lit(3)))
     repeated = F.when(F.col("windows").isNull() | (m < 1), 0).otherwise(F.aggregate(gaps, F.lit(3), lambda s, x: s + x))
