@@ -21,14 +21,16 @@ from codegraph_spark.plans.topk import top_k
 IDENTIFIER = r"[_A-Za-z][_A-Za-z0-9]*"
 
 # Words that are never usages.
-LEXICAL_STOP_WORDS = (
-    "class interface struct enum namespace using public private protected internal static void return if else switch case "
-    "for foreach while do break continue new var this base null true false try catch finally throw async await get set "
-    "fn mod pub crate self super impl trait let mut match where const use type unsafe move ref as in loop"
-).split()
-RUST_STOP_WORDS = (
-    "fn mod pub crate self super impl trait let mut match where const static use enum struct type unsafe move ref as in loop dyn Self"
-).split()
+LEXICAL_STOP_WORDS = [
+    "class", "interface", "struct", "enum", "namespace", "using", "public", "private", "protected", "internal", "static", "void", "return", "if",
+    "else", "switch", "case", "for", "foreach", "while", "do", "break", "continue", "new", "var", "this", "base", "null", "true", "false", "try",
+    "catch", "finally", "throw", "async", "await", "get", "set", "fn", "mod", "pub", "crate", "self", "super", "impl", "trait", "let", "mut", "match",
+    "where", "const", "use", "type", "unsafe", "move", "ref", "as", "in", "loop",
+]
+RUST_STOP_WORDS = [
+    "fn", "mod", "pub", "crate", "self", "super", "impl", "trait", "let", "mut", "match", "where", "const", "static", "use", "enum", "struct", "type",
+    "unsafe", "move", "ref", "as", "in", "loop", "dyn", "Self",
+]
 
 # Patterns of names in use position.
 CALL_NAME = r"(?:(?:\b|::|\.)([_A-Za-z][_A-Za-z0-9]*))\s*\("
@@ -270,7 +272,11 @@ def rust_usages(lines: DataFrame) -> DataFrame:
 
 
 # Names of C# code that are never references.
-CSHARP_STOP_WORDS = LEXICAL_STOP_WORDS + "int string bool double float long object char byte decimal nameof typeof sizeof default is out when".split()
+CSHARP_STOP_WORDS = [
+    *LEXICAL_STOP_WORDS,
+    "int", "string", "bool", "double", "float", "long", "object", "char", "byte", "decimal", "nameof", "typeof", "sizeof", "default", "is", "out",
+    "when",
+]
 CSHARP_USE_POSITIONS = [
     CALL_NAME,
     r"\.\s*([_A-Za-z]\w*)",
@@ -305,18 +311,24 @@ def expand_imports(imports: DataFrame) -> DataFrame:
     return paths.select(*imports.columns, "path")
 
 
+# Places of a manifest.
+MANIFEST_SECTION = r"(?is)(?:^|\n)[ \t]*\[{name}\][ \t]*\r?\n(.*?)(?=\n[ \t]*\[[^\n]*\][ \t]*(?:\r?\n|$)|$)"
+MANIFEST_MEMBERS = r"(?is)members\s*=\s*\[(.*?)\]"
+MANIFEST_PATH = r'(?im)^\s*([A-Za-z0-9_\-]+)\s*=\s*\{[^}]*path\s*=\s*"([^"]+)"'
+MANIFEST_NAME = r'(?m)^\s*name[^=\n]*=\s*"?([^"\n]*)"?'
+MANIFEST_DEPENDENCIES = ["dependencies", "dev-dependencies", "build-dependencies"]
+
+
 def parse_manifests(files: DataFrame) -> DataFrame:
     """Crate name, workspace members and path dependencies of ``Cargo.toml`` files."""
-    section = lambda name: rf"(?is)(?:^|\n)[ \t]*\[{name}\][ \t]*\r?\n(.*?)(?=\n[ \t]*\[[^\n]*\][ \t]*(?:\r?\n|$)|$)"
+    section = lambda name: MANIFEST_SECTION.replace("{name}", name)
     body = F.col("content")
     package = F.regexp_extract(body, section("package"), 1)
-    members = F.regexp_extract(body, r"(?is)members\s*=\s*\[(.*?)\]", 1)
-    deps = F.array_join(
-        F.array(*[F.regexp_extract(body, section(s), 1) for s in ("dependencies", "dev-dependencies", "build-dependencies")]), "\n"
-    )
-    dep = r'(?im)^\s*([A-Za-z0-9_\-]+)\s*=\s*\{[^}]*path\s*=\s*"([^"]+)"'
+    members = F.regexp_extract(body, MANIFEST_MEMBERS, 1)
+    deps = F.array_join(F.array(*[F.regexp_extract(body, section(s), 1) for s in MANIFEST_DEPENDENCIES]), "\n")
+    dep = MANIFEST_PATH
     root = tx.dirname(F.col("file_path"))
-    name = F.nullif(tx.trim(F.regexp_extract(package, r'(?m)^\s*name[^=\n]*=\s*"?([^"\n]*)"?', 1)), F.lit(""))
+    name = F.nullif(tx.trim(F.regexp_extract(package, MANIFEST_NAME, 1)), F.lit(""))
     return files.filter(tx.basename(F.col("file_path")) == "Cargo.toml").select(
         "repo_name",
         root.alias("crate_root"),

@@ -113,8 +113,8 @@ def test_link_decl_site_takes_nearest_start(spark):
 def test_lexical_link_options(spark):
     s = _symbols(spark, [(f"s{i}", "r", f"/f{i:02}.cs", "Same", "Class", 1, 2, None) for i in range(40)])
     use = spark.createDataFrame([("r", "/u.cs", "Same", 5, "Same()"), ("r", "/f00.cs", "Same", 1, "class Same")], "repo_name string, file_path string, token string, line int, context string")
-    assert linking.link_lexical(use, s).count() == 32 + 31
-    assert linking.link_lexical(use, s, candidates_per_name=None).count() == 40 + 39
+    assert linking.link_lexical(use, s, candidates_per_name=32).count() == 32 + 31
+    assert linking.link_lexical(use, s).count() == 40 + 39
     assert linking.link_lexical(use, s, refs_per_file=10).count() == 20
 
 
