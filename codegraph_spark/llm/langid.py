@@ -29,7 +29,7 @@ BUCKETS = 1 << 17  # hashed features of a model
 DOCS_PER_LANGUAGE = 2000  # expected number of training documents of a language, at most
 SWITCH_PENALTY = 14.0  # in nats
 SCRIPT_SHARE = 0.001  # a language may use a script that holds this share of its training words
-PIECE = 1 << 20  # code points of text whose features are held at once
+PIECE = 1 << 19  # code points of text whose features are held at once
 BLOCK = 64  # words of a Viterbi block
 IMPOSSIBLE = np.float32(-60.0)
 
@@ -323,7 +323,7 @@ def identify(docs: DataFrame, model: Model, penalty: float = SWITCH_PENALTY) ->
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def label(batches):
-        for part, texts in text_slices(batches, "row"):
+        for part, texts in text_slices(batches, "row", max_bytes=1 << 20):
             langs, scores, spans = label_texts(texts, shared.value, penalty)
             yield pa.RecordBatch.from_arrays(
                 [part.column("row"), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(spans, _ARROW_SPANS)], ["row", "lang_pred", "score", "spans"]
