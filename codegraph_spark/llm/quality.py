@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from codegraph_spark.llm.small import beside
 from codegraph_spark.plans.lineage import cut
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -86,13 +87,14 @@ def grouped(rows: DataFrame, language: str, source: str, min_group: int) -> Data
     by_language = Window.partitionBy(language)
     sizes = sizes.withColumn("small", F.col("n") < min_group).withColumn("pool", F.sum(F.when(F.col("small"), F.col("n"))).over(by_language))
     sizes = sizes.withColumn("lost", F.col("small") & (F.col("pool") < min_group))
-    rest = sizes.where("lost").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rest_n")).withColumn("all", F.lit(0))
+    sizes = cut(sizes)
+    rest_n = sizes.where("lost").agg(F.sum("n")).first()[0] or 0
     g = (
         F.when(~F.col("small"), F.to_json(F.array(name(language), name(source))))
         .when(~F.col("lost"), F.to_json(F.array(name(language))))
-        .when(F.col("rest_n") >= min_group, F.lit("[]"))
+        .when(F.lit(rest_n >= min_group), F.lit("[]"))
     )
-    keys = cut(sizes.withColumn("all", F.lit(0)).join(F.broadcast(rest), "all").select(F.col(language).alias("_l"), F.col(source).alias("_s"), g.alias("g")))
+    keys = beside(cut(sizes.select(F.col(language).alias("_l"), F.col(source).alias("_s"), g.alias("g"))))
     return rows.join(keys, rows[language].eqNullSafe(keys["_l"]) & rows[source].eqNullSafe(keys["_s"])).drop("_l", "_s")
 
 
@@ -117,7 +119,7 @@ def _estimate(rows: DataFrame, by: list[str]) -> DataFrame:
 
 def _distance(rows: DataFrame, estimate: DataFrame, by: list[str]) -> DataFrame:
     """``rows`` with ``d2``, the squared Mahalanobis distance to their group's estimate."""
-    out = rows.join(estimate, by)
+    out = rows.join(beside(estimate), by)
     for i, (f, _) in enumerate(FEATURES):
         rest = F.col(f) - F.col(f"m{i}") - sum((F.col(f"l{i}{j}") * F.col(f"z{j}") for j in range(i)), F.lit(0.0))
         out = out.withColumn(f"z{i}", rest / F.col(f"l{i}{i}"))
@@ -128,7 +130,7 @@ def _distance(rows: DataFrame, estimate: DataFrame, by: list[str]) -> DataFrame:
 def _nearest(rows: DataFrame, by: list[str], subset: float) -> DataFrame:
     """The rows of every group with a distance up to its ``subset`` quantile."""
     edge = cut(rows.groupBy(*by).agg(F.percentile_approx("d2", subset, ACCURACY).alias("edge")))
-    return rows.join(edge, by).where("d2 <= edge").drop("edge", "d2", "log_det")
+    return rows.join(beside(edge), by).where("d2 <= edge").drop("edge", "d2", "log_det")
 
 
 def robust_estimates(rows: DataFrame, subset: float = SUBSET, steps: int = STEPS) -> DataFrame:
@@ -138,12 +140,12 @@ def robust_estimates(rows: DataFrame, subset: float = SUBSET, steps: int = STEPS
     """
     names = [f for f, _ in FEATURES]
     centre = cut(rows.groupBy("g").agg(*[F.percentile_approx(f, 0.5, ACCURACY).alias(f"med{i}") for i, f in enumerate(names)]))
-    off = rows.join(centre, "g").select(*rows.columns, *[F.abs(F.col(f) - F.col(f"med{i}")).alias(f"dev{i}") for i, f in enumerate(names)])
+    off = rows.join(beside(centre), "g").select(*rows.columns, *[F.abs(F.col(f) - F.col(f"med{i}")).alias(f"dev{i}") for i, f in enumerate(names)])
     spread = cut(off.groupBy("g").agg(*[F.percentile_approx(f"dev{i}", 0.5, ACCURACY).alias(f"mad{i}") for i in range(len(names))]))
     z2 = [F.pow(F.col(f"dev{i}") / (1.4826 * F.col(f"mad{i}") + F.lit(floor)), 2) for i, (_, floor) in enumerate(FEATURES)]
     drawn = F.pmod(F.xxhash64(*names), F.lit(1 << 20)).cast("double")
     starts = F.array(sum(z2, F.lit(0.0)), sum(z2[1:], F.lit(0.0)), drawn)
-    started = off.join(spread, "g").select("g", *names, F.posexplode(starts).alias("start", "d2")).withColumn("log_det", F.lit(0.0))
+    started = off.join(beside(spread), "g").select("g", *names, F.posexplode(starts).alias("start", "d2")).withColumn("log_det", F.lit(0.0))
     by = ["g", "start"]
     near = _nearest(cut(started), by, subset)
     all_rows = rows.select("g", *names, F.explode(F.array(*[F.lit(i) for i in range(3)])).alias("start"))
@@ -168,7 +170,7 @@ def judge(docs: DataFrame, cutoff: float = CUTOFF, min_group: int = MIN_GROUP, l
     # the group of a (language, source) pair, as the fit found it
     place = cut(fit.groupBy("language", "source").agg(F.min("g").alias("g")))
     known = place.select(F.col("language").alias("_l"), F.col("source").alias("_s"), "g").join(estimates, "g")
-    known = cut(known)
+    known = beside(cut(known))
     met = base.join(known, base["language"].eqNullSafe(known["_l"]) & base["source"].eqNullSafe(known["_s"]) & ~base["base_failed"], "left")
     for i, (f, _) in enumerate(FEATURES):
         rest = F.col(f) - F.col(f"m{i}") - sum((F.col(f"l{i}{j}") * F.col(f"z{j}") for j in range(i)), F.lit(0.0))
