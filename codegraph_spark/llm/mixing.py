@@ -14,10 +14,13 @@ with weight are exhausted, and nothing then either; repeated rows are drawn each
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from codegraph_spark.llm.small import beside
 from codegraph_spark.plans.lineage import cut
 
 LEVELS = ("domain", "language", "source")
@@ -73,8 +76,9 @@ def plan(rows: DataFrame, budget_tokens: float | None, share: float, max_epochs:
     # zero-token leaves stay: their documents cost nothing
     base = rows.groupBy(*LEVELS).agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_tokens").alias("leaf_tokens"))
     base = cut(base.withColumn("supply", (F.col("leaf_tokens") * max_epochs).cast("double")))
-    total = base.agg(F.coalesce(F.sum("leaf_tokens"), F.lit(0)).alias("n")).withColumn("parent_budget", F.lit(budget_tokens).cast("double") if budget_tokens is not None else F.floor(F.col("n") * share).cast("double"))
-    top = base.groupBy("domain").agg(F.sum("supply").alias("supply")).withColumn("root", F.lit(0)).join(F.broadcast(total.select(F.lit(0).alias("root"), "parent_budget")), "root")
+    if budget_tokens is None:
+        budget_tokens = math.floor((base.agg(F.sum("leaf_tokens")).first()[0] or 0) * share)
+    top = base.groupBy("domain").agg(F.sum("supply").alias("supply")).withColumns({"root": F.lit(0), "parent_budget": F.lit(float(budget_tokens))})
     top = share_out(top.withColumn("weight", _weight("domain", weights, default_weight)), ["root"])
     mid = base.groupBy("domain", "language").agg(F.sum("supply").alias("supply"))
     mid = _under(mid, top, ["domain"]).withColumn("weight", _weight("language", weights, default_weight))
@@ -101,7 +105,7 @@ def drawn_key(seed: int) -> Column:
 
 def select(rows: DataFrame, leaf_plan: DataFrame, seed: int = SEED) -> DataFrame:
     """doc_id, text_hash, epoch, the leaf and n_tokens of every chosen document, one row per epoch that it is in."""
-    p = cut(leaf_plan)
+    p = beside(cut(leaf_plan))
     at = p.select(*[F.col(c).alias(f"_{c}") for c in LEVELS], "full_epochs", "rest_tokens", "leaf_tokens")
     same = F.lit(True)
     for c in LEVELS:
