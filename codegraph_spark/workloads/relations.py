@@ -142,9 +142,12 @@ def _(spark, d):
 
 
 @query("callers_by_name", """
-SELECT CAST(callee AS BIGINT) AS query_id, callee AS symbol_id, caller, false AS by_name FROM (SELECT DISTINCT callee, caller FROM calls)
-UNION ALL SELECT DISTINCT CAST(y.id AS BIGINT), y.id, e.id, true FROM psym y JOIN psym n ON n.name = y.name JOIN prefs r ON r.symbol_id = n.id
-JOIN encl e ON e.file_path = r.in_file AND e.line = r.line WHERE y.id NOT IN (SELECT callee FROM calls) AND e.id <> y.id""")
+WITH around AS MATERIALIZED (SELECT * FROM encl),
+direct AS MATERIALIZED (SELECT DISTINCT r.symbol_id AS callee, e.id AS caller FROM prefs r JOIN around e ON e.file_path = r.in_file AND e.line = r.line WHERE e.id <> r.symbol_id),
+lonely AS MATERIALIZED (SELECT id, name FROM psym ANTI JOIN direct ON callee = id)
+SELECT CAST(callee AS BIGINT) AS query_id, callee AS symbol_id, caller, false AS by_name FROM direct
+UNION ALL SELECT DISTINCT CAST(y.id AS BIGINT), y.id, e.id, true FROM lonely y JOIN psym n ON n.name = y.name JOIN prefs r ON r.symbol_id = n.id
+JOIN around e ON e.file_path = r.in_file AND e.line = r.line WHERE e.id <> y.id""")
 def _(spark, d):
     return graph.callers_by_name(corpus.part_refs(spark, d), corpus.part_symbols(spark, d), _part_seeds(spark, d))
 
