@@ -237,7 +237,11 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """The row with the least ``doc_id`` of every group, with the columns of ``docs``; of rows that tie, one stays."""
-    found = near_duplicates(docs, shingle, max_bits)
+    return one_of_each(docs, near_duplicates(docs, shingle, max_bits))
+
+
+def one_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The row of ``docs`` with the least ``doc_id`` of every group in ``found`` (doc_id, text_hash, root, component_id)."""
     stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("k"))
     stay = cut(stay.select(F.col("k.doc_id").alias("_id"), F.col("k.text_hash").alias("_hash")))
     rows = docs.select(F.struct("*").alias("row"), F.xxhash64("text").alias("_hash"))

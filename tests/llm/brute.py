@@ -60,6 +60,22 @@ def components(prints, bits):
         label = new
 
 
+def copies(texts, k=5, similarity=0.8):
+    """Least index reachable over links of enough Jaccard similarity, and how many links differ in over four bits of SimHash."""
+    sets = []
+    for t in texts:
+        w = (t or "").encode().lower().split()
+        sets.append({b" ".join(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set())
+    label, far = list(range(len(texts))), 0
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a == b or 10 * len(a & b) >= round(10 * similarity) * len(a | b):
+                far += (fingerprint(texts[i]) ^ fingerprint(texts[j])).bit_count() > 4
+                lo, hi = sorted((label[i], label[j]))
+                label = [lo if x == hi else x for x in label]
+    return label, far
+
+
 def sha(text):
     return hashlib.sha256(text if isinstance(text, bytes) else text.encode("utf-8", "surrogatepass")).hexdigest()
 

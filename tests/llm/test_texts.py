@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from codegraph_spark.llm import bpe, chat, langid, licenses, linedups, quality, queries, simhash, token_counts
+from codegraph_spark.llm import bpe, chat, langid, licenses, linedups, neardups, quality, queries, simhash, token_counts
 from codegraph_spark.llm import vocabulary as voc
 
 SF = "/root/testdata/sf0.001"
@@ -156,6 +156,32 @@ def test_trie_join_loses_no_link():
     assert (label == brute.components(values, 4)).all()
 
 
+def test_near_copies_against_all_pairs(spark, odd, shared):
+    rng = random.Random(6)
+    base = [[f"w{rng.randint(0, 5000)}" for _ in range(rng.randint(60, 200))] for _ in range(12)]
+    edited = []
+    for w in base:
+        for k in range(12):
+            v = list(w)
+            for _ in range(k % 6):
+                v[rng.randrange(len(v))] = f"x{rng.randint(0, 10**9)}"
+            edited.append(" ".join(v))
+    made = spark.createDataFrame([*enumerate(edited), (1000, None), (1001, " "), (1002, "a b"), (1003, "A  b"), (None, edited[0])], "doc_id long, text string").withColumn("row", F.lit(1))
+    far = 0
+    for df in (made, odd, spark.read.parquet(f"{shared}/documents.parquet")):
+        rows = df.collect()
+        ids = sorted({x["doc_id"] for x in rows} - {None})
+        texts = {x["doc_id"]: x["text"] for x in rows}
+        label, n_far = brute.copies([texts[i] for i in ids])
+        far += n_far
+        want = {i: ids[label[k]] for k, i in enumerate(ids)}
+        got = neardups.near_copies(df).collect()
+        assert len(got) == len(rows) and all(x["component_id"] == want[x["doc_id"]] for x in got if x["doc_id"] is not None)
+        kept = neardups.keep_one(df)
+        assert kept.columns == df.columns and sorted(x["doc_id"] for x in kept.collect() if x["doc_id"] is not None) == sorted(set(want.values()))
+    assert far  # near copies whose fingerprints differ in more than four bits
+
+
 def odd_strings(n):
     rng = random.Random(4)
     parts = [*"abcdefghijklmnopqrstuvwxyz'sSTΣİK éßÀ²Ⅷ5½٣漢字🎉<|>!?.\t\n\x1c\x85", "<|endoftext|>", "<|startoftext|>", "'s", "'re", "'ll", "ing", "tion"]
