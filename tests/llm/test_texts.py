@@ -126,6 +126,16 @@ def test_line_dedup(spark):
     assert linedups.dedup_lines(docs, min_docs=50).where("doc_id = 2").collect()[0]["text"] == rows[2][1]
 
 
+def test_line_dedup_finds_rarer_templates_of_a_leaf(spark):
+    often = [(i, f"Please contact the sales team in {w} for all offers of today") for i, w in enumerate("abcdefghijkl")]
+    rare = [(20 + i, f"Please contact the press office about {w} before noon on working days") for i, w in enumerate("mnopq")]
+    rarest = [(40 + i, f"Please contact the night desk when {w} is closed or cannot answer") for i, w in enumerate("rst")]
+    once = [(60, "Please contact the captain himself because nobody else ever knows that secret")]
+    docs = spark.createDataFrame([*often, *rare, *rarest, *once], "doc_id long, text string")
+    got = {r["row"]["doc_id"]: r["n_dropped"] for r in linedups.drop_recurring(docs, split=True).collect()}
+    assert {i for i, n in got.items() if not n} == {0, 20, 40, 60}
+
+
 def test_simhash(spark, odd, shared):
     assert [simhash.fingerprint(t) for t in brute.TEXTS if t is None or t.isascii()] == [brute.fingerprint(t) for t in brute.TEXTS if t is None or t.isascii()]
     for df in (odd, spark.read.parquet(f"{shared}/documents.parquet")):
