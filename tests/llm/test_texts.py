@@ -136,6 +136,14 @@ def test_line_dedup_finds_rarer_templates_of_a_leaf(spark):
     assert {i for i, n in got.items() if not n} == {0, 20, 40, 60}
 
 
+def test_line_dedup_of_short_lines(spark):
+    lines = "All rights reserved.\n---\n12\nこれは同じ長い段落です。空白はありません。"
+    docs = spark.createDataFrame([(i, f"{lines}\nPage {i}\nown{'abcd'[i]}") for i in range(4)] + [(9, None), (10, "")], "doc_id long, text string")
+    got = {r["row"]["doc_id"]: r["kept_text"] for r in linedups.drop_recurring(docs, short=True).collect()}
+    assert got[0].startswith(lines) and got[9] is None and got[10] == ""
+    assert all(got[i] == f"---\n12\nPage {i}\nown{'abcd'[i]}" for i in (1, 2, 3))
+
+
 def test_simhash(spark, odd, shared):
     assert [simhash.fingerprint(t) for t in brute.TEXTS if t is None or t.isascii()] == [brute.fingerprint(t) for t in brute.TEXTS if t is None or t.isascii()]
     for df in (odd, spark.read.parquet(f"{shared}/documents.parquet")):
