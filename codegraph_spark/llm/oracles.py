@@ -96,3 +96,73 @@ e AS (SELECT r.*, p.full_epochs, allotted - full_epochs * leaf_tokens AS rest FR
 part AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, language, source ORDER BY md5('{seed}:' || CAST(full_epochs AS BIGINT) || ':' || doc_id), doc_id ROWS UNBOUNDED PRECEDING) AS upto FROM e WHERE rest > 0)
 SELECT doc_id, unnest(range(CAST(full_epochs AS BIGINT))) AS epoch, domain, language, source, n_tokens FROM e
 UNION ALL SELECT doc_id, CAST(full_epochs AS BIGINT), domain, language, source, n_tokens FROM part WHERE upto <= rest"""
+
+
+# CRC-32 of a short ASCII text, byte by byte over a table made from the polynomial
+CRC = """crc_table AS (SELECT list(list_reduce(list_prepend(i, list_transform(range(8), lambda z: CAST(0 AS BIGINT))), lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i))"""
+
+
+def _crc32(digits: str) -> str:
+    codes = f"list_transform(string_split({digits}, ''), lambda c: CAST(ascii(c) AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {codes}), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+def merkle() -> str:
+    """Trees and proofs level by level."""
+    put = lambda c: f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')"
+    leaf = lambda n: f"sha256({put('doc_id')} || {put('source')} || {put('lang')} || {put(n)} || {put('text')})"
+
+    def levels(name: str, base: str) -> str:
+        return f"""{name}(run, lvl, i, n, h) AS (SELECT run, 0, CAST(pos AS BIGINT), CAST(size AS BIGINT), h FROM {base} UNION ALL
+    SELECT run, lvl + 1, i // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM {name} WHERE n > 1 GROUP BY run, lvl, i // 2, n)"""
+
+    def climb(name: str, base: str, tree: str) -> str:
+        step = "CASE WHEN s.h IS NULL THEN {a} WHEN u.i % 2 = 1 THEN s.h || {a} ELSE {a} || s.h END".format(a="u.acc")
+        return f"""{name}(id, run, lvl, i, n, acc, sibs) AS (SELECT id, run, 0, CAST(pos AS BIGINT), CAST(size AS BIGINT), acc, sibs FROM {base} UNION ALL
+    SELECT u.id, u.run, u.lvl + 1, u.i // 2, (u.n + 1) // 2, sha256({step}), u.sibs || coalesce(s.h, '')
+    FROM {name} u LEFT JOIN {tree} s ON s.run = u.run AND s.lvl = u.lvl AND s.i = xor(u.i, 1) WHERE u.n > 1)"""
+
+    return f"""
+WITH RECURSIVE {CRC},
+d AS (SELECT row_number() OVER () AS id, doc_id, coalesce('=' || lang, '') AS run, {leaf('n_chars')} AS h, CASE WHEN {_crc32('CAST(doc_id AS VARCHAR)')} % 7 = 0 THEN {leaf('(n_chars + 1)')} ELSE {leaf('n_chars')} END AS given FROM documents, crc_table),
+p AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id NULLS FIRST, h) - 1 AS pos, count(*) OVER (PARTITION BY run) AS size FROM d),
+{levels('low', 'p')},
+subs AS (SELECT '' AS run, run AS sub, h, row_number() OVER (ORDER BY run) - 1 AS pos, count(*) OVER () AS size FROM low WHERE n = 1),
+{levels('high', 'subs')},
+{climb('up', "(SELECT id, run, pos, size, given AS acc, '' AS sibs FROM p)", 'low')},
+{climb('over_', "(SELECT u.id, '' AS run, s.pos, s.size, u.acc, u.sibs FROM up u JOIN subs s ON s.sub = u.run WHERE u.n = 1)", 'high')}
+SELECT p.doc_id, p.h AS leaf, s.h AS subroot, r.h AS root, sha256(o.sibs) AS proof_sha256, o.acc AS folded_root, o.acc = r.h AS verified
+FROM p JOIN subs s ON s.sub = p.run JOIN (SELECT h FROM high WHERE n = 1) r ON true JOIN over_ o ON o.id = p.id AND o.n = 1"""
+
+
+def prefix_trie(every: int = 100, most: int = 6) -> str:
+    return f"""
+WITH RECURSIVE {CRC},
+c AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS place FROM conversations),
+ids AS (SELECT conv_id, {_crc32('CAST(conv_id AS VARCHAR)')} % {most} AS h FROM (SELECT DISTINCT conv_id FROM conversations), crc_table),
+r AS (SELECT i.conv_id, 0 AS side, place, role, text FROM ids i JOIN c ON c.conv_id = i.conv_id - i.conv_id % {every} AND place <= h
+      UNION ALL SELECT i.conv_id, 1, place, role, text FROM ids i JOIN c ON c.conv_id = i.conv_id AND place > h),
+q AS (SELECT conv_id, row_number() OVER w AS depth, length(text) AS len, sha256(strlen(role) || ':' || role || text) AS said, count(*) OVER (PARTITION BY conv_id) AS n FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY side, place)),
+walk(conv_id, depth, n, len, node, up) AS (SELECT conv_id, CAST(0 AS BIGINT), coalesce(m, 0), CAST(0 AS BIGINT), sha256(''), CAST(NULL AS VARCHAR) FROM ids LEFT JOIN (SELECT conv_id, count(*) AS m FROM r GROUP BY conv_id) USING (conv_id) UNION ALL
+      SELECT w.conv_id, q.depth, w.n, q.len, sha256(w.node || q.said), w.node FROM walk w JOIN q ON q.conv_id = w.conv_id AND q.depth = w.depth + 1),
+nodes AS (SELECT node, any_value(up) AS up, min(conv_id) AS conv_id, any_value(depth) AS depth, count(*) AS n_convs, any_value(len) AS len, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (n = depth), '')) AS ends FROM walk GROUP BY node),
+kids AS (SELECT up AS node, count(*) AS n_children FROM nodes WHERE up IS NOT NULL GROUP BY up),
+own AS (SELECT n.*, coalesce(n_children, 0) AS n_children, CASE WHEN n_children IS NULL THEN 1 ELSE 0 END AS leaf, (n_convs - 1) * len AS saved FROM nodes n LEFT JOIN kids USING (node)),
+above(node, top) AS (SELECT node, node FROM own UNION ALL SELECT a.node, o.up FROM above a JOIN own o ON o.node = a.top WHERE o.up IS NOT NULL),
+sums AS (SELECT top AS node, CAST(sum(leaf) AS BIGINT) AS n_leaves, CAST(sum(saved) AS BIGINT) AS saved_tokens FROM above JOIN own USING (node) GROUP BY top)
+SELECT o.conv_id, o.depth, p.conv_id AS parent_conv_id, o.n_convs, o.n_children, n_leaves, saved_tokens, o.ends AS ends_sha256
+FROM own o JOIN sums USING (node) LEFT JOIN nodes p ON p.node = o.up"""
+
+
+def decontaminate(window: int) -> str:
+    words = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    return f"""
+WITH b AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, {words} AS w FROM benchmark),
+win AS (SELECT DISTINCT item, array_to_string(w[i + 1 : i + {window}], ' ') AS gram, least(len(w), {window}) AS k FROM (SELECT item, w, unnest(range(greatest(len(w) - {window - 1}, 1))) AS i FROM b WHERE len(w) > 0)),
+d AS (SELECT row_number() OVER () AS id, doc_id, {words} AS w FROM documents),
+g AS (SELECT id, k, i, array_to_string(w[i + 1 : i + k], ' ') AS gram FROM (SELECT id, w, k, unnest(range(len(w) - k + 1)) AS i FROM d, (SELECT DISTINCT k FROM win))),
+hits AS (SELECT g.id, g.i, g.k, win.item FROM g JOIN win USING (gram, k)),
+spots AS (SELECT id, count(DISTINCT spot) AS n_hit FROM (SELECT DISTINCT id, unnest(range(i, i + k)) AS spot FROM hits) GROUP BY id),
+its AS (SELECT id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS items FROM (SELECT DISTINCT id, item FROM hits) GROUP BY id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(items, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN spots USING (id) LEFT JOIN its USING (id)"""

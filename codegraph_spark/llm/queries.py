@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codegraph_spark.llm import ann, bpe, chat, langid, licenses, linedups, mixing, oracles, quality, simhash, token_counts
+from codegraph_spark.llm import ann, bpe, chat, decontam, langid, licenses, linedups, merkle, mixing, oracles, quality, simhash, token_counts, trie
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 TOKEN_LIMIT = 2048
@@ -83,13 +83,44 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")]
+    altered = [*fields[:3], F.col("n_chars").cast("decimal(20,0)") + 1, fields[4]]
+    chosen = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    given = F.when(chosen, merkle.leaf_hash(*altered)).alias("given")
+    trees = merkle.manifest(table(spark, sf_dir, "documents"), F.col("lang"), ["doc_id"], merkle.leaf_hash(*fields), ["doc_id", given])
+    found = merkle.proofs(*trees)
+    found = found.select("keep.doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"), merkle.folded(F.coalesce("keep.given", "leaf"), F.col("proof")).alias("folded_root"))
+    return found.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = trie.trie(*trie.branched(table(spark, sf_dir, "conversations")))
+    return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
+def op13_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, items = decontam.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    told = items.select("met", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
+    out = found.join(told, "met", "left")
+    return out.select(
+        "doc_id", "n_words", "n_hit", F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"), F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated")
+    )
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_language_id, op2_license_scan, op3_line_dedup, op4_simhash_dedup, op5_bpe, op6_chat_format, op7_nearest, op8_token_count, op9_mix_sources, op10_quality)
-}
+    for f in (
+        op1_language_id, op2_license_scan, op3_line_dedup, op4_simhash_dedup, op5_bpe, op6_chat_format, op7_nearest, op8_token_count, op9_mix_sources, op10_quality,
+        op11_merkle, op12_prefix_trie, op13_decontaminate,
+    )
+}
 ORACLES: dict[str, str] = {
     "op2_license_scan": oracles.license_scan(),
     "op3_line_dedup": oracles.line_dedup(),
     "op6_chat_format": oracles.chat_format(),
     "op9_mix_sources": oracles.mix_sources(MIX_SHARE, MIX_EPOCHS, MIX_WEIGHTS),
+    "op11_merkle": oracles.merkle(),
+    "op12_prefix_trie": oracles.prefix_trie(),
+    "op13_decontaminate": oracles.decontaminate(decontam.WINDOW),
 }
