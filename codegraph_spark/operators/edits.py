@@ -115,9 +115,34 @@ def _request(ops: DataFrame) -> list[str]:
     return ["query_id"] if "query_id" in ops.columns else []
 
 
+def _repo(asked: DataFrame) -> list[str]:
+    return ["repo"] if "repo" in asked.columns else []
+
+
+def at_path(files: DataFrame, asked: DataFrame) -> DataFrame:
+    """``files`` joined with ``asked(file_path[, repo])``: a request that names a repo meets its file only, one without meets every repo's."""
+    if "repo" not in asked.columns:
+        return files.join(asked, "file_path")
+    named = asked.filter("repo is not null").withColumn("_repo", F.lower("repo"))
+    met = files.withColumn("_repo", F.lower("repo_name")).join(named, ["_repo", "file_path"]).drop("_repo")
+    return met.unionByName(files.join(asked.filter("repo is null"), "file_path"))
+
+
 def _ops_by_file(ops: DataFrame, fields) -> DataFrame:
     """The operations of each request as one ordered array per file."""
-    return ops.groupBy(*_request(ops), "path").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("ops"))
+    return ops.groupBy(*_request(ops), *_repo(ops), "path").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("ops"))
+
+
+def _by_operation(asked: DataFrame, done: DataFrame, key) -> DataFrame:
+    """Every operation with its outcomes, one per file that it met."""
+    if "repo" not in asked.columns:
+        return asked.join(done, [*key, "seq", "path"], "left")
+    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"d.{k}")) for k in (*key, "repo")]
+    cond = (F.col("a.seq") == F.col("d.seq")) & (F.col("a.path") == F.col("d.path"))
+    for c in same:
+        cond = cond & c
+    rest = [c for c in done.columns if c not in (*key, "seq", "path", "repo")]
+    return asked.alias("a").join(done.alias("d"), cond, "left").select("a.*", *[F.col(f"d.{c}") for c in rest])
 
 
 def patch_files(files: DataFrame, ops: DataFrame, dry_run: bool = True):
@@ -139,13 +164,13 @@ def patch_files(files: DataFrame, ops: DataFrame, dry_run: bool = True):
 
         return tx.bind(_patched(F.col("content") if dry_run else acc["text"], op), after)
 
-    folded = files.join(per_file, "file_path").withColumn("_r", F.aggregate("ops", state, step))
+    folded = at_path(files, per_file).withColumn("_r", F.aggregate("ops", state, step))
     key = _request(ops)
     touched = folded.select(*key, *[c for c in files.columns if c != "content"], F.col("_r.text").alias("content"))
-    done = folded.select(*key, "file_path", F.explode("_r.done").alias("d")).select(*key, "d.seq", F.col("file_path").alias("path"), "d.changes")
-    asked = ops.select(*key, F.col("seq").cast("int").alias("seq"), "path", blank.alias("_bad"))
-    results = asked.join(done, [*key, "seq", "path"], "left").select(
-        *key, "seq", "path",
+    done = folded.select(*key, *_repo(ops), "repo_name", "file_path", F.explode("_r.done").alias("d")).select(*key, *_repo(ops), "repo_name", "d.seq", F.col("file_path").alias("path"), "d.changes")
+    asked = ops.select(*key, *_repo(ops), F.col("seq").cast("int").alias("seq"), "path", blank.alias("_bad"))
+    results = _by_operation(asked, done, key).select(
+        *key, "seq", "repo_name", "path",
         (~F.col("_bad") & F.col("changes").isNotNull()).alias("ok"),
         F.when(F.col("_bad"), F.lit("invalid op: path/find required"))
         .when(F.col("changes").isNull(), F.lit("file not found or outside project root"))
@@ -257,44 +282,51 @@ def edit_lines(files: DataFrame, ops: DataFrame, dry_run: bool = False):
 
         return tx.bind(edited(F.col("_stored") if dry_run else acc["lines"], op), after)
 
-    folded = files.join(per_file, "file_path").withColumn("_stored", stored).withColumn("_r", F.aggregate("ops", state, step))
+    folded = at_path(files, per_file).withColumn("_stored", stored).withColumn("_r", F.aggregate("ops", state, step))
     content = F.when(F.col("_r.dirty"), F.concat(F.array_join("_r.lines", "\n"), F.lit("\n"))).otherwise(F.col("content"))
     key = _request(ops)
     touched = folded.select(*key, *[c for c in files.columns if c != "content"], content.alias("content"))
-    done = folded.select(*key, "file_path", F.explode("_r.done").alias("d")).select(*key, F.col("file_path").alias("path"), "d.*")
+    done = folded.select(*key, *_repo(ops), "repo_name", "file_path", F.explode("_r.done").alias("d")).select(*key, *_repo(ops), "repo_name", F.col("file_path").alias("path"), "d.*")
     asked = ops.select(
-        *key, F.col("seq").cast("int").alias("seq"), "path", F.lower(tx.trim(F.coalesce("type", F.lit("unknown")))).alias("_type")
+        *key, *_repo(ops), F.col("seq").cast("int").alias("seq"), "path", F.lower(tx.trim(F.coalesce("type", F.lit("unknown")))).alias("_type")
     )
     missing = F.when(tx.is_blank(F.col("path")), F.lit("invalid op: path is required")).otherwise(F.lit("file not found or outside project root"))
     z = F.lit(0)
-    results = asked.join(done, [*key, "seq", "path"], "left").select(
-        *key, "seq", "path", F.coalesce("type", "_type").alias("type"), F.coalesce("ok", F.lit(False)).alias("ok"), F.coalesce("status", missing).alias("status"),
+    results = _by_operation(asked, done, key).select(
+        *key, "seq", "repo_name", "path", F.coalesce("type", "_type").alias("type"), F.coalesce("ok", F.lit(False)).alias("ok"), F.coalesce("status", missing).alias("status"),
         F.coalesce("changed", z).alias("changed"), F.coalesce("from_line", z).alias("from_line"), F.coalesce("to_line", z).alias("to_line"),
     )
     return touched, results
 
 
 def _cut_ranges(files: DataFrame, asked: DataFrame) -> DataFrame:
-    """``asked(file_path, _from, _to, ...)`` with the lines of its file; ranges behind the end drop out."""
-    met = files.select("file_path", "content").join(asked, "file_path")
+    """``asked(file_path[, repo], _from, _to, ...)`` with the lines of its file; ranges behind the end drop out."""
+    met = at_path(files.select("repo_name", "file_path", "content"), asked)
     return met.withColumn("_lines", tx.lines_of(F.col("content"))).drop("content").filter(F.col("_from") <= F.size("_lines"))
 
 
 def read_range(lines: DataFrame, req: DataFrame) -> DataFrame:
     """Lines ``from`` to ``to`` of a file, ``to`` defaults to 50 further.
 
-    ``req(query_id, path, from_line, to_line)``.  From a table of lines requests
-    ask for line numbers; from a table of files the range is cut out in the row.
+    ``req(query_id, path, from_line, to_line[, repo])``; without a repo the files of that path in all repos answer, told apart by
+    ``repo_name``.  From a table of lines requests ask for line numbers; from a table of files the range is cut out in the row.
     """
     frm = F.greatest(F.lit(1), F.coalesce("from_line", F.lit(0)))
     to = F.when(F.coalesce("to_line", F.lit(0)) <= 0, frm + 50).otherwise(F.col("to_line"))
     to = F.greatest(frm, to)
     if "content" in lines.columns:
-        return _cut_ranges(lines, req.select("query_id", F.col("path").alias("file_path"), frm.alias("_from"), to.alias("_to"))).select(
-            "query_id", "file_path", F.posexplode(F.slice("_lines", F.col("_from"), F.col("_to") - F.col("_from") + 1)).alias("_i", "text"), "_from"
-        ).select("query_id", "file_path", (F.col("_i") + F.col("_from")).cast("int").alias("line"), "text")
-    asked = req.select("query_id", F.col("path").alias("file_path"), F.explode(F.sequence(frm, to)).alias("line"))
-    return lines.select("repo_name", "file_path", "line", "text").join(asked, ["file_path", "line"]).select("query_id", "file_path", "line", "text")
+        return _cut_ranges(lines, req.select("query_id", *_repo(req), F.col("path").alias("file_path"), frm.alias("_from"), to.alias("_to"))).select(
+            "query_id", "repo_name", "file_path", F.posexplode(F.slice("_lines", F.col("_from"), F.col("_to") - F.col("_from") + 1)).alias("_i", "text"), "_from"
+        ).select("query_id", "repo_name", "file_path", (F.col("_i") + F.col("_from")).cast("int").alias("line"), "text")
+    asked = req.select("query_id", *_repo(req), F.col("path").alias("file_path"), F.explode(F.sequence(frm, to)).alias("_line"))
+    return _lines_at(lines, asked).select("query_id", "repo_name", "file_path", "line", "text")
+
+
+def _lines_at(lines: DataFrame, asked: DataFrame) -> DataFrame:
+    """Lines joined with ``asked(file_path, _line[, repo])``."""
+    place = lambda df, n: df.withColumn("file_path", F.struct("file_path", F.col(n).alias("line")))
+    got = at_path(place(lines.select("repo_name", "file_path", "line", "text"), "line"), place(asked, "_line").drop("_line"))
+    return got.withColumn("file_path", F.col("file_path.file_path"))
 
 
 def read_spans(lines: DataFrame, spans: DataFrame, max_lines_per_span: int = 220) -> DataFrame:
@@ -304,16 +336,15 @@ def read_spans(lines: DataFrame, spans: DataFrame, max_lines_per_span: int = 220
     to = F.when(F.coalesce("to_line", F.lit(0)) <= 0, frm + 80).otherwise(F.col("to_line"))
     to = F.least(F.greatest(frm, to), frm + n - 1)
     if "content" in lines.columns:
-        cut = _cut_ranges(lines, spans.filter(~tx.is_blank(F.col("path"))).select("query_id", "pos", F.col("path").alias("file_path"), frm.alias("_from"), to.alias("_to")))
+        cut = _cut_ranges(lines, spans.filter(~tx.is_blank(F.col("path"))).select("query_id", "pos", *_repo(spans), F.col("path").alias("file_path"), frm.alias("_from"), to.alias("_to")))
         return cut.select(
-            "query_id", "pos", "file_path", F.col("_from").alias("span_from"), F.least(F.col("_to"), F.size("_lines")).alias("span_to"),
+            "query_id", "pos", "repo_name", "file_path", F.col("_from").alias("span_from"), F.least(F.col("_to"), F.size("_lines")).alias("span_to"),
             F.array_join(F.slice("_lines", F.col("_from"), F.col("_to") - F.col("_from") + 1), "\n").alias("text"),
         )
     asked = spans.filter(~tx.is_blank(F.col("path"))).select(
-        "query_id", "pos", F.col("path").alias("file_path"), frm.alias("span_from"), F.explode(F.sequence(frm, to)).alias("line")
+        "query_id", "pos", *_repo(spans), F.col("path").alias("file_path"), frm.alias("span_from"), F.explode(F.sequence(frm, to)).alias("_line")
     )
-    got = lines.select("file_path", "line", "text").join(asked, ["file_path", "line"])
-    return got.groupBy("query_id", "pos", "file_path", "span_from").agg(
+    return _lines_at(lines, asked).groupBy("query_id", "pos", "repo_name", "file_path", "span_from").agg(
         F.max("line").alias("span_to"),
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n").alias("text"),
     )
@@ -326,8 +357,8 @@ def read_many(files: DataFrame, req: DataFrame) -> DataFrame:
     all_lines = tx.lines_of(F.col("content"))
     to = F.when(F.coalesce("to_line", F.lit(0)) <= 0, F.size(all_lines)).otherwise(F.greatest(frm, F.col("to_line")))
     part = F.array_join(F.slice(all_lines, frm, F.greatest(to - frm + 1, F.lit(0))), "\n")
-    return files.select("file_path", "content").join(wanted, "file_path").select(
-        "query_id", "pos", "file_path",
+    return at_path(files.select("repo_name", "file_path", "content"), wanted).select(
+        "query_id", "pos", "repo_name", "file_path",
         F.size(all_lines).alias("total_lines"),
         F.when(F.coalesce("from_line", F.lit(0)) + F.coalesce("to_line", F.lit(0)) <= 0, F.col("content")).otherwise(part).alias("text"),
     )
@@ -360,20 +391,21 @@ def upsert_files(files: DataFrame, writes: DataFrame):
     """Whole-file writes: (files after the writes, outcome per write).
 
     ``writes(path, repo_name, language, content, overwrite, trailing_newline)``,
-    one per path.  An existing file stays and the write is a conflict unless it
+    one per repo and path.  An existing file of the repo stays and the write is a conflict unless it
     may overwrite.
     """
     body = F.coalesce("content", F.lit(""))
     ended = F.when(F.coalesce("trailing_newline", F.lit(False)) & ~F.endswith(body, F.lit("\n")), F.concat(body, F.lit("\n"))).otherwise(body)
     w = writes.withColumn("content", ended).withColumnRenamed("path", "file_path")
-    existing = files.select("file_path", F.lit(True).alias("_exists")).distinct()
-    marked = w.join(existing, "file_path", "left").withColumn(
+    key = ["repo_name", "file_path"]
+    existing = files.select(*key, F.lit(True).alias("_exists")).distinct()
+    marked = w.join(existing, key, "left").withColumn(
         "ok", F.coalesce("overwrite", F.lit(False)) | F.col("_exists").isNull()
     )
     done = marked.filter("ok")
-    after = files.join(done.select("file_path"), "file_path", "left_anti").select(*files.columns).unionByName(done.select(*files.columns))
+    after = files.join(done.select(*key), key, "left_anti").select(*files.columns).unionByName(done.select(*files.columns))
     outcome = marked.select(
-        "file_path", "ok",
+        *key, "ok",
         F.when(F.col("ok"), F.lit("written")).otherwise(F.lit("File already exists and overwrite=false.")).alias("status"),
         F.when(F.col("ok"), F.length("content")).alias("chars"),
         F.when(F.col("ok"), F.octet_length("content")).alias("bytes"),

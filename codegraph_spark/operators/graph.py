@@ -11,12 +11,11 @@ from codegraph_spark.operators.linking import OPEN_END, enclosing_symbol
 from codegraph_spark.operators.lookup import source_context
 from codegraph_spark.plans import intervals
 from codegraph_spark.plans.lineage import cut
+from codegraph_spark.plans.products import product_join
 from codegraph_spark.plans.substring import contains_join
 from codegraph_spark.plans.topk import best_one, top_k
 from codegraph_spark.plans.traverse import induced_edges, reach
 
-IMPLEMENTORS = 251  # of one name
-
 
 def file_id(c):
     return F.concat(F.lit("file:"), c)
@@ -93,10 +92,11 @@ def build_edges(files: DataFrame, symbols: DataFrame, refs: DataFrame, file_impo
     return out.distinct()
 
 
-def implements_edges(symbols: DataFrame, kinds=None, per_target: int | None = IMPLEMENTORS) -> DataFrame:
-    """Implementor to implemented, by the symbol name as needle; the first ``per_target`` of each name.
+def implements_names(symbols: DataFrame, kinds=None, asked: DataFrame | None = None) -> DataFrame:
+    """(impl_id, repo_name, name): the distinct symbol names, in lower case, that the name or signature of an implementor holds.
 
-    Edges are implementors times names they contain, so the bound stays unless the caller lifts it with None.
+    Every edge from an implementor follows from these rows and the symbols of a name; there are as many as implementors times the names
+    inside each. ``asked(symbol_id)`` looks for the names of those symbols only.
     """
     from codegraph_spark.operators.lookup import IMPLEMENTING_KINDS
 
@@ -104,14 +104,24 @@ def implements_edges(symbols: DataFrame, kinds=None, per_target: int | None = IM
         F.col("id").alias("impl_id"), "repo_name", "file_path", "line_start",
         F.concat(F.col("name"), F.lit("\x00"), F.coalesce("signature", F.lit(""))).alias("_text"),
     )
-    # one needle per distinct name, its symbols are joined afterwards
-    names = symbols.select("repo_name", F.lower("name").alias("_n")).distinct()
+    named = symbols if asked is None else symbols.join(asked.select(F.col("symbol_id").alias("id")).distinct(), "id", "left_semi")
+    names = named.select("repo_name", F.lower("name").alias("_n")).distinct()
     hits = contains_join(impls, "_text", names, "_n", ["impl_id"], on=["repo_name"])
-    first = top_k(hits, ["repo_name", "_n"], ["file_path", "line_start", "impl_id"], per_target)
-    targets = symbols.select("repo_name", F.lower("name").alias("_n"), F.col("id").alias("target"))
-    return first.join(targets, ["repo_name", "_n"]).filter("impl_id <> target").select(
-        sym_id(F.col("impl_id")).alias("src"), sym_id(F.col("target")).alias("dst"), F.lit("implements").alias("type")
-    )
+    return hits.select("impl_id", "repo_name", F.col("_n").alias("name"), "file_path", "line_start")
+
+
+def implements_edges(symbols: DataFrame, kinds=None, per_target: int | None = None, asked: DataFrame | None = None) -> DataFrame:
+    """Implementor to implemented, by the symbol name as needle: all edges, or those to ``asked(symbol_id)``.
+
+    ``per_target`` keeps the first implementors of each name by (file, line, id); the original service: 251.
+    """
+    held = implements_names(symbols, kinds, asked)
+    if per_target:
+        held = top_k(held, ["repo_name", "name"], ["file_path", "line_start", "impl_id"], per_target)
+    named = symbols if asked is None else symbols.join(asked.select(F.col("symbol_id").alias("id")).distinct(), "id", "left_semi")
+    targets = named.select("repo_name", F.lower("name").alias("name"), F.col("id").alias("target"))
+    pairs = product_join(cut(held.select("impl_id", "repo_name", "name")), targets, ["repo_name", "name"], ["impl_id"])
+    return pairs.filter("impl_id <> target").select(sym_id(F.col("impl_id")).alias("src"), sym_id(F.col("target")).alias("dst"), F.lit("implements").alias("type"))
 
 
 def _labels(nodes: DataFrame) -> DataFrame:
@@ -269,13 +279,31 @@ def caller_edges(refs: DataFrame, symbols: DataFrame, refs_per_symbol: int | Non
 
 
 def references_tree(refs: DataFrame, symbols: DataFrame, seeds: DataFrame, depth: int = 2, max_nodes: int = 180):
-    """Upward caller tree of ``seeds(query_id, symbol_id)``: (nodes, call edges)."""
+    """Upward caller tree of ``seeds(query_id, symbol_id)``: (nodes, call edges).
+
+    Call edges are made level by level: only the references of symbols on the frontier get the symbol around them.
+    """
     depth, max_nodes = min(max(depth, 1), 4), min(max(max_nodes, 10), 400)
-    edges = cut(caller_edges(refs, symbols))
     roots = seeds.select("query_id", sym_id(F.col("symbol_id")).alias("node"))
     labels = symbols.select(sym_id(F.col("id")).alias("node"), F.col("name").alias("label"))
-    got = reach(roots, edges, labels, depth, max_nodes, "in")
-    return got.join(labels, "node", "left"), induced_edges(got, edges, depth, "in")
+    made = []
+
+    def edges_into(nodes: DataFrame) -> DataFrame:
+        asked = nodes.select(F.col("node").alias("dst"))
+        for known in made:
+            asked = asked.join(known.select("dst"), "dst", "left_anti")
+        wanted = asked.distinct().select(F.substr("dst", F.lit(len("symbol:") + 1)).alias("symbol_id"))
+        mine = cut(refs.select("symbol_id", "repo_name", "in_file", "line").join(wanted, "symbol_id", "left_semi"))
+        fresh = cut(caller_edges(mine, symbols))
+        # a symbol without callers is known too
+        made.append(cut(fresh.select("src", "dst", "type").unionByName(wanted.select(F.lit(None).cast("string").alias("src"), sym_id(F.col("symbol_id")).alias("dst"), F.lit(None).cast("string").alias("type")))))
+        every = made[0]
+        for more in made[1:]:
+            every = every.unionByName(more)
+        return every.filter("src is not null")
+
+    got = reach(roots, edges_into, labels, depth, max_nodes, "in")
+    return got.join(labels, "node", "left"), induced_edges(got, edges_into(got.filter(F.col("distance") < depth)), depth, "in")
 
 
 def compact_edges(files: DataFrame, symbols: DataFrame, refs: DataFrame, file_imports: DataFrame) -> DataFrame:

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from itertools import count
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from codegraph_spark.functions import text as tx
 from codegraph_spark.operators.ranked import with_limit
-from codegraph_spark.plans.lineage import Grown, cut
+from codegraph_spark.plans import chains
+from codegraph_spark.plans.lineage import cut
 from codegraph_spark.plans.topk import best_one, top_k
 from codegraph_spark.schemas import optional
 
@@ -150,71 +150,89 @@ def commit_neighbors(commit_edges: DataFrame, req: DataFrame) -> DataFrame:
     return up.unionByName(down).distinct()
 
 
-def ancestors(commit_edges: DataFrame, heads: DataFrame) -> DataFrame:
+def commit_chains(commit_edges: DataFrame) -> chains.ChainIndex:
+    """The commit graph cut into chains; built once, it serves any number of requests."""
+    more = ["ordinal"] if "ordinal" in commit_edges.columns else []
+    return chains.chain_index(commit_edges.select(F.col("child_commit_id").alias("child"), F.col("parent_commit_id").alias("parent"), *more))
+
+
+def _index(graph: DataFrame | chains.ChainIndex) -> chains.ChainIndex:
+    return graph if isinstance(graph, chains.ChainIndex) else commit_chains(graph)
+
+
+def ancestors(graph: DataFrame | chains.ChainIndex, heads: DataFrame) -> DataFrame:
     """Every ancestor of ``heads(query_id, side, commit_id)`` with its least distance.
 
-    One round per generation; only commits reached for the first time go on,
-    and each round is checkpointed so the plan does not grow.
+    ``graph`` is the commit edges or their ``commit_chains``. Heads that several queries share are followed once.
     """
-    step = cut(commit_edges.select(F.col("child_commit_id").alias("a"), F.col("parent_commit_id").alias("b")).distinct())
-    key = ["query_id", "side", "commit_id"]
-    frontier = heads.select(*key).distinct().withColumn("distance", F.lit(0))
-    seen = Grown(frontier)
-    frontier = seen.parts[0]
-    while True:
-        nxt = frontier.join(step, frontier.commit_id == step.a).select(
-            "query_id", "side", F.col("b").alias("commit_id"), (F.col("distance") + 1).alias("distance")
-        )
-        frontier = seen.add(nxt.distinct().join(seen.all().select(*key), key, "left_anti"))
-        if frontier.isEmpty():
-            return seen.all()
+    index = _index(graph)
+    asked = heads.select("query_id", "side", F.col("commit_id").alias("head")).distinct()
+    got = chains.spread(index, cut(chains.reach(index, asked)))
+    return asked.join(got, "head").select("query_id", "side", F.col("node").alias("commit_id"), (F.col("key") - F.col("at")).alias("distance"))
 
 
-def _pair_heads(pairs: DataFrame) -> DataFrame:
-    return pairs.select("query_id", F.explode(F.array(
-        F.struct(F.lit("left").alias("side"), F.col("left_commit").alias("commit_id")),
-        F.struct(F.lit("right").alias("side"), F.col("right_commit").alias("commit_id")),
-    )).alias("h")).select("query_id", "h.side", "h.commit_id")
+def _reached(index: chains.ChainIndex, pairs: DataFrame) -> DataFrame:
+    """Entries of both sides of every pair: query_id, side, chain, pos, key."""
+    heads = pairs.select("query_id", F.explode(F.array(
+        F.struct(F.lit("left").alias("side"), F.col("left_commit").alias("head")),
+        F.struct(F.lit("right").alias("side"), F.col("right_commit").alias("head")),
+    )).alias("h")).select("query_id", "h.side", "h.head").distinct()
+    return heads.join(chains.reach(index, heads), "head")
 
 
-def divergence(commit_edges: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Commits reachable from only one side of ``pairs(query_id, left_commit, right_commit)``."""
-    reach = ancestors(commit_edges, _pair_heads(pairs))
-    sides = reach.groupBy("query_id", "commit_id").agg(F.count_distinct("side").alias("n"), F.min("side").alias("side"))
-    return sides.filter("n = 1").select("query_id", "side", "commit_id")
+def divergence(graph: DataFrame | chains.ChainIndex, pairs: DataFrame) -> DataFrame:
+    """Commits reachable from only one side of ``pairs(query_id, left_commit, right_commit)``.
+
+    Each side reaches a prefix of every chain, so what one side alone reaches is a stretch; commits both reach are never listed.
+    """
+    index = _index(graph)
+    top = lambda side: F.coalesce(F.max(F.when(F.col("side") == side, F.col("pos"))), F.lit(-1)).alias(side)
+    tops = _reached(index, pairs).groupBy("query_id", "chain").agg(top("left"), top("right")).filter("left <> right")
+    stretch = tops.select("query_id", F.when(F.col("left") > F.col("right"), "left").otherwise("right").alias("side"), "chain", F.least("left", "right").alias("low"), F.greatest("left", "right").alias("pos"))
+    return chains.spread(index, stretch).select("query_id", "side", F.col("node").alias("commit_id"))
 
 
-def merge_base(commit_edges: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Nearest common ancestor of each pair: least total distance, then least id."""
-    reach = ancestors(commit_edges, _pair_heads(pairs))
-    both = reach.groupBy("query_id", "commit_id").agg(F.count(F.lit(1)).alias("n"), F.sum("distance").alias("total"), F.max("distance").alias("far"))
-    return best_one(both.filter("n = 2"), ["query_id"], ["total", "far", "commit_id"]).select("query_id", F.col("commit_id").alias("base_commit"), "total")
+def merge_base(graph: DataFrame | chains.ChainIndex, pairs: DataFrame) -> DataFrame:
+    """Nearest common ancestor of each pair: least total distance, then least distance of the farther side, then least id.
+
+    Between two entries of a chain only the highest place can be nearest, so entries are the only candidates.
+    """
+    index = _index(graph)
+    key = lambda side: F.when(F.col("side") == side, F.col("key"))
+    w = Window.partitionBy("query_id", "chain").orderBy(F.desc("pos"))
+    both = _reached(index, pairs).select("query_id", "chain", "pos", F.min(key("left")).over(w).alias("l"), F.min(key("right")).over(w).alias("r")).filter("l is not null and r is not null")
+    cost = F.struct((F.col("l") + F.col("r") - 2 * F.col("pos")).alias("total"), (F.greatest("l", "r") - F.col("pos")).alias("far"))
+    near = both.select("query_id", "chain", "pos", cost.alias("cost")).distinct()
+    near = near.withColumn("_least", F.min("cost").over(Window.partitionBy("query_id"))).filter("cost = _least")
+    ends = near.join(index.places, ["chain", "pos"], "left")
+    return ends.groupBy("query_id").agg(F.min(F.coalesce("node", "chain")).alias("base_commit"), F.first("cost.total").alias("total"))
 
 
 def rename_chain(commits: DataFrame, commit_files: DataFrame, req: DataFrame) -> DataFrame:
     """Names of ``req(query_id, path)`` through renames, newest first (``hop`` 0 is the asked path).
 
-    Each hop follows the latest rename into the current name that is older than
-    the hop before.
+    Each hop follows the latest rename into the current name that is older than the hop before. Which rename that is depends on the hop
+    alone, so renames form a forest and a request asks for the ancestors of its first one.
     """
     dates = commits.select("repo_name", "commit_id", "author_date_utc")
-    moves = cut(
+    moves = (
         commit_files.filter(F.col("prev_path").isNotNull() & (F.col("prev_path") != F.col("path")))
         .join(dates, ["repo_name", "commit_id"])
-        .select("repo_name", F.col("path").alias("_to"), F.col("prev_path").alias("_from"), F.col("author_date_utc").alias("_at"), F.col("commit_id").alias("_commit"))
+        .select(F.col("path").alias("to"), F.col("prev_path").alias("path"), F.col("author_date_utc").alias("at"), "commit_id")
+        .distinct()
     )
-    none = F.lit(None)
-    seen = req.select("query_id", F.col("path"), F.lit(0).alias("hop"), none.cast("string").alias("commit_id"), none.cast("timestamp").alias("at"))
-    seen = Grown(seen)
-    frontier = seen.parts[0]
-    for hop in count(1):
-        older = F.col("at").isNull() | (F.col("_at") < F.col("at"))
-        step = best_one(
-            frontier.join(moves, frontier.path == moves._to).filter(older), ["query_id"], [F.col("_at").desc(), F.col("_commit").desc(), "_from"]
-        ).select("query_id", F.col("_from").alias("path"), F.lit(hop).alias("hop"), F.col("_commit").alias("commit_id"), F.col("_at").alias("at"))
-        frontier = seen.add(step)
-        if frontier.isEmpty():
-            return seen.all()
+    moves = cut(moves.withColumn("move", F.concat_ws("\x00", "commit_id", "to", "path")))
+    into = moves.select(F.col("to").alias("name"), "at", "commit_id", "path", F.lit(1).alias("kind"), "move", F.col("move").alias("target"))
+    out = moves.select(F.col("path").alias("name"), "at", "commit_id", "path", F.lit(0).alias("kind"), "move", F.lit(None).cast("string").alias("target"))
+    # at equal times the way out comes first: only older renames count
+    older = Window.partitionBy("name").orderBy("at", "kind", "commit_id", F.desc("path")).rowsBetween(Window.unboundedPreceding, -1)
+    before = into.unionByName(out).withColumn("parent", F.last("target", ignorenulls=True).over(older)).filter("kind = 0 and parent is not null")
+    index = chains.chain_index(before.select(F.col("move").alias("child"), "parent"))
+    latest = best_one(moves, ["to"], [F.col("at").desc(), F.col("commit_id").desc(), "path"]).select(F.col("to").alias("path"), F.col("move").alias("commit_id"))
+    first = req.select("query_id", "path").join(latest, "path").select("query_id", F.lit("").alias("side"), "commit_id")
+    hops = ancestors(index, first).select("query_id", F.col("commit_id").alias("move"), (F.col("distance") + 1).cast("int").alias("hop")).join(moves, "move")
+    asked = req.select("query_id", "path", F.lit(0).alias("hop"), F.lit(None).cast("string").alias("commit_id"), F.lit(None).cast("timestamp").alias("at"))
+    return asked.unionByName(hops.select(*asked.columns))
 
 
 def changed_by_directory(status_entries: DataFrame) -> DataFrame:
@@ -228,10 +246,10 @@ def changed_by_directory(status_entries: DataFrame) -> DataFrame:
     )
 
 
-def commits_between(commits: DataFrame, commit_files: DataFrame, commit_edges: DataFrame, req: DataFrame) -> DataFrame:
+def commits_between(commits: DataFrame, commit_files: DataFrame, graph: DataFrame | chains.ChainIndex, req: DataFrame) -> DataFrame:
     """Commits reachable from ``to_commit`` but not ``from_commit`` that touch the path (any, when blank)."""
     pairs = req.select("query_id", F.col("to_commit").alias("left_commit"), F.col("from_commit").alias("right_commit"))
-    only = divergence(commit_edges, pairs).filter("side = 'left'").select("query_id", "commit_id")
+    only = divergence(graph, pairs).filter("side = 'left'").select("query_id", "commit_id")
     scoped = only.join(touching(commit_files, req).select("query_id", "commit_id"), ["query_id", "commit_id"], "left_semi")
     free = only.join(req.filter(tx.is_blank(F.col("path"))).select("query_id"), "query_id", "left_semi")
     return scoped.unionByName(free).join(commits, "commit_id").select("query_id", "commit_id", "author_date_utc", "subject")

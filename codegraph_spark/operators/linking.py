@@ -9,6 +9,7 @@ from codegraph_spark.functions import text as tx
 from codegraph_spark.operators.extract import USE_LINE
 from codegraph_spark.plans import intervals
 from codegraph_spark.plans.lineage import cut
+from codegraph_spark.plans.products import product_join
 from codegraph_spark.plans.topk import best_one, top_k
 
 OPEN_END = (1 << 31) - 1
@@ -164,43 +165,121 @@ def resolve_modules(imports: DataFrame, files: DataFrame, crates: DataFrame) ->
     )
 
 
-def with_context(refs: DataFrame, usages: DataFrame) -> DataFrame:
+LINE = ["repo_name", "in_file", "line"]
+
+
+def with_context(refs: DataFrame, usages: DataFrame, lines: DataFrame | None = None) -> DataFrame:
     """``refs`` plus the text of their line.
 
-    Linking moves keys only.  The text of a line is shipped once, however many
-    names it holds and however many symbols they link to.
+    Linking moves keys only.  The text of a line is shipped once, however many names it holds and however many symbols they link to.
+    ``lines`` (the corpus lines, each once) gives it where there are some, else any usage on the line.
+    """
+    if lines is not None:
+        text = lines.select("repo_name", F.col("file_path").alias("in_file"), "line", tx.trim(F.col("text")).alias("context"))
+    else:
+        text = usages.select("repo_name", F.col("file_path").alias("in_file"), "line", "context").distinct()
+    return refs.join(text, LINE).select("symbol_id", "in_file", "repo_name", "line", "context")
+
+
+class NameLinks:
+    """References by equal name, kept as usages and symbols of each name instead of their product.
+
+    They answer for the symbols that are asked for: how many references each has, its first ones, or all of them. A symbol's own
+    declaration is no reference to it.
     """
-    text = usages.select("repo_name", F.col("file_path").alias("in_file"), "line", "context").distinct()
-    return refs.join(text, ["repo_name", "in_file", "line"]).select("symbol_id", "in_file", "repo_name", "line", "context")
+
+    def __init__(self, usages: DataFrame, symbols: DataFrame, lines: DataFrame | None = None):
+        self.usages, self.lines = usages, lines
+        self.uses = usages.select("repo_name", "token", F.col("file_path").alias("in_file"), "line").distinct()
+        self.symbols = symbols.select(
+            "repo_name", F.col("name").alias("token"), F.col("id").alias("symbol_id"), F.col("file_path").alias("_file"), F.col("line_start").alias("_start")
+        )
+
+    def _asked(self, ids: DataFrame):
+        named = cut(self.symbols.join(ids.select("symbol_id").distinct(), "symbol_id", "left_semi"))
+        mine = cut(self.uses.join(named.select("repo_name", "token").distinct(), ["repo_name", "token"], "left_semi"))
+        at = named.select("repo_name", "token", "symbol_id", F.lower("_file").alias("_low"), F.col("_start").alias("line"))
+        own = mine.withColumn("_low", F.lower("in_file")).join(at, ["repo_name", "token", "_low", "line"]).select("symbol_id", "in_file", "line")
+        return named, mine, cut(own)
+
+    def counts(self, ids: DataFrame) -> DataFrame:
+        """symbol_id and n_refs of ``ids(symbol_id)``, from the size of each name."""
+        named, mine, own = self._asked(ids)
+        of_name = mine.groupBy("repo_name", "token").agg(F.count_distinct("in_file", "line").alias("_n"))
+        of_own = own.groupBy("symbol_id").agg(F.count(F.lit(1)).alias("_own"))
+        n = F.col("_n") - F.coalesce("_own", F.lit(0))
+        return named.join(of_name, ["repo_name", "token"]).join(of_own, "symbol_id", "left").select("symbol_id", n.cast("int").alias("n_refs")).filter("n_refs > 0")
+
+    def first(self, ids: DataFrame, k: int) -> DataFrame:
+        """The first ``k`` references of each of ``ids`` by (file, line), with ``rank``: names are cut before they meet their symbols."""
+        named, mine, own = self._asked(ids)
+        spare = own.groupBy("symbol_id").count().agg(F.max("count")).first()[0] or 0
+        heads = top_k(mine, ["repo_name", "token"], ["in_file", "line"], k + spare).drop("rank")
+        refs = heads.join(named, ["repo_name", "token"]).join(own, ["symbol_id", "in_file", "line"], "left_anti")
+        kept = cut(top_k(refs.select("symbol_id", *LINE), ["symbol_id"], ["in_file", "line"], k))
+        return self._told(kept).join(kept, ["symbol_id", *LINE])
+
+    def of(self, ids: DataFrame) -> DataFrame:
+        """Every reference of ``ids``."""
+        named, mine, own = self._asked(ids)
+        refs = self._met(mine, named).join(own, ["symbol_id", "in_file", "line"], "left_anti")
+        return self._told(cut(refs))
+
+    def all(self) -> DataFrame:
+        own = (F.lower("_file") == F.lower("in_file")) & (F.col("_start") == F.col("line"))
+        pairs = self._met(self.uses, self.symbols, ~own)
+        return with_context(pairs, self.usages, self.lines)
+
+    @staticmethod
+    def _met(uses: DataFrame, symbols: DataFrame, keep: Column | None = None) -> DataFrame:
+        met = product_join(uses, symbols, ["repo_name", "token"], ["in_file", "line"])
+        return (met if keep is None else met.filter(keep)).select("symbol_id", *LINE)
+
+    def _told(self, refs: DataFrame) -> DataFrame:
+        wanted = refs.select("repo_name", F.col("in_file").alias("file_path"), "line").distinct()
+        key = ["repo_name", "file_path", "line"]
+        if self.lines is not None:
+            return with_context(refs.select("symbol_id", *LINE), self.usages, self.lines.join(wanted, key, "left_semi"))
+        return with_context(refs.select("symbol_id", *LINE), self.usages.join(wanted, key, "left_semi"))
+
+
+def count_refs(refs: DataFrame | NameLinks, ids: DataFrame) -> DataFrame:
+    """symbol_id and n_refs of those of ``ids(symbol_id)`` that have references."""
+    if isinstance(refs, NameLinks):
+        return refs.counts(ids)
+    mine = refs.join(ids.select("symbol_id").distinct(), "symbol_id", "left_semi")
+    return mine.groupBy("symbol_id").agg(F.count(F.lit(1)).cast("int").alias("n_refs"))
+
+
+def first_refs(refs: DataFrame | NameLinks, ids: DataFrame, k: int) -> DataFrame:
+    """The first ``k`` references of each of ``ids`` by (file, line), with ``rank``."""
+    if isinstance(refs, NameLinks):
+        return refs.first(ids, k)
+    return top_k(refs.join(ids.select("symbol_id").distinct(), "symbol_id", "left_semi"), ["symbol_id"], ["in_file", "line"], k)
 
 
 def link_lexical(
-    usages: DataFrame, symbols: DataFrame, candidates_per_name: int | None = None, tokens_per_file: int | None = None, refs_per_file: int | None = None
+    usages: DataFrame, symbols: DataFrame, candidates_per_name: int | None = None, tokens_per_file: int | None = None, refs_per_file: int | None = None,
+    lines: DataFrame | None = None,
 ) -> DataFrame:
     """Usages joined to symbols of the same name (case-sensitive) in the same repo.
 
-    Every symbol of the name is a candidate.  ``candidates_per_name`` (the original
-    service: 32) takes the first ones by (file, line, id) where rows of frequent
-    names, uses times symbols, would be too many.  The two per-file limits are
-    options as well.
+    Every symbol of the name is a candidate.  ``candidates_per_name`` (the original service: 32) takes the first ones by (file, line, id).
+    The two per-file limits are options as well.  Where only some symbols are asked for, ``NameLinks`` spares the product.
     """
-    cands = symbols.select(
-        "repo_name", F.col("name").alias("token"), F.col("id").alias("symbol_id"), F.col("file_path").alias("_file"), F.col("line_start").alias("_start")
-    )
     if candidates_per_name:
-        cands = top_k(cands, ["repo_name", "token"], ["_file", "_start", "symbol_id"], candidates_per_name).drop("rank")
-    use = usages.select("repo_name", "file_path", "token", "line")
+        symbols = top_k(symbols, ["repo_name", "name"], ["file_path", "line_start", "id"], candidates_per_name).drop("rank")
+    use = usages
     if tokens_per_file:
         firsts = use.groupBy("repo_name", "file_path", "token").agg(F.min("line").alias("_first"))
         allowed = top_k(firsts, ["repo_name", "file_path"], ["_first", "token"], tokens_per_file).select("repo_name", "file_path", "token")
         use = use.join(allowed, ["repo_name", "file_path", "token"], "left_semi")
-    own = (F.lower("_file") == F.lower("file_path")) & (F.col("_start") == F.col("line"))
-    refs = use.join(cands, ["repo_name", "token"]).filter(~own).select(
-        "symbol_id", F.col("file_path").alias("in_file"), "repo_name", "line"
-    ).distinct()
-    if refs_per_file:
-        refs = top_k(refs, ["repo_name", "in_file"], ["line", "symbol_id"], refs_per_file).drop("rank")
-    return with_context(refs, usages)
+    links = NameLinks(use, symbols, lines)
+    if not refs_per_file:
+        return links.all()
+    own = (F.lower("_file") == F.lower("in_file")) & (F.col("_start") == F.col("line"))
+    refs = top_k(links._met(links.uses, links.symbols, ~own), ["repo_name", "in_file"], ["line", "symbol_id"], refs_per_file).drop("rank")
+    return with_context(refs, use, lines)
 
 
 CALLABLE = ("Function", "Method")

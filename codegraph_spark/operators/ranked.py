@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codegraph_spark.functions import text as tx
+from codegraph_spark.operators.linking import NameLinks, first_refs
 from codegraph_spark.operators.lookup import SYMBOL_COLUMNS, in_repo, name_matches, source_context, symbol_filters
 from codegraph_spark.plans.lineage import cut
 from codegraph_spark.plans.substring import LINE_GRAMS, contains_join
@@ -122,7 +123,7 @@ def fuzzy_compact(symbols: DataFrame, req: DataFrame, limit: int = 12, max_limit
 def line_matches(lines: DataFrame, req: DataFrame, limit: int, max_limit: int) -> DataFrame:
     """The first lines by (file, line) that contain the query, ignoring case."""
     r = with_limit(req, limit, max_limit)
-    hits = contains_join(lines, "text", r, "q", ["repo_name", "file_path", "line"], LINE_GRAMS)
+    hits = contains_join(lines, "text", r, "q", ["repo_name", "file_path", "line"], LINE_GRAMS, repeated=False)
     keep = in_repo(hits)
     if "path_prefix" in hits.columns:
         keep = keep & tx.path_matches(F.col("file_path"), F.col("path_prefix"))
@@ -184,10 +185,11 @@ def references_snippets(lines: DataFrame, references: DataFrame, radius: int = 6
     return source_context(lines, heads, radius, clamp_end=False).filter(F.col("context").isNotNull())
 
 
-def references_compact(symbols: DataFrame, refs: DataFrame, req: DataFrame, limit: int = 12, max_limit: int = 80) -> DataFrame:
+def references_compact(symbols: DataFrame, refs: DataFrame | NameLinks, req: DataFrame, limit: int = 12, max_limit: int = 80) -> DataFrame:
     r = with_limit(req, limit, max_limit)
     best = selected_symbol(symbols, r, "compact").select("query_id", "limit", F.col("id").alias("symbol_id"), F.col("name").alias("n"))
-    kept = top_k(refs.join(best, "symbol_id"), ["query_id"], ["in_file", "line"], max_limit, F.col("limit"))
+    first = first_refs(refs, best, max_limit).join(best, "symbol_id")
+    kept = first.filter(F.col("rank") <= F.col("limit"))
     return kept.select(
         "query_id",
         F.concat(F.lit("ref:"), "symbol_id", F.lit(":"), "in_file", F.lit(":"), F.col("line").cast("string")).alias("id"),
@@ -222,7 +224,7 @@ def resolve_chain(symbols: DataFrame, lines: DataFrame, req: DataFrame, limit: i
     return staged
 
 
-def impact_expand(symbols: DataFrame, refs: DataFrame, req: DataFrame, max_items: int = 30, hi: int = 80) -> DataFrame:
+def impact_expand(symbols: DataFrame, refs: DataFrame | NameLinks, req: DataFrame, max_items: int = 30, hi: int = 80) -> DataFrame:
     """Fuzzy items, then reference items not yet present, up to the requested number."""
     r = req.withColumn("limit", tx.clamp(optional(req, "max_items", max_items).cast("int"), max_items, 1, hi))
     mode = tx.one_of(optional(req, "mode", "impact").cast("string"), ("references", "impact"), "plain")

@@ -160,7 +160,7 @@ def compare_workflows(lines: DataFrame, symbols: DataFrame, tasks: DataFrame) ->
     line_cost = tx.est_tokens(F.col("text"))
     # every task reads the same corpus, so its total is computed once and joined per repo
     total = lines.agg(F.sum(line_cost).alias("scan_tokens"))
-    hits = contains_join(lines, "text", tasks, "query", ["file_path", "line"], LINE_GRAMS)
+    hits = contains_join(lines, "text", tasks, "query", ["file_path", "line"], LINE_GRAMS, repeated=False)
     first = hits.groupBy("task_id").agg(F.count(F.lit(1)).alias("hits"), F.min(F.struct("file_path", "line")).alias("first"))
     picked = first.select("task_id", F.col("first.file_path").alias("file_path")).join(tasks.select("task_id", "expected_evidence"), "task_id")
     whole = (

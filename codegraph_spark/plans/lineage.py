@@ -56,26 +56,3 @@ def cut(df: DataFrame) -> DataFrame:
     path = scratch_path(df.sparkSession, "cut")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-class Grown:
-    """A table that grows by one written part per round; parts are merged now and then."""
-
-    MERGE_AT = 16
-
-    def __init__(self, first: DataFrame):
-        self.parts = [cut(first)]
-
-    def add(self, part: DataFrame) -> DataFrame:
-        """Append a part and return it as written."""
-        written = cut(part)
-        self.parts.append(written)
-        if len(self.parts) > self.MERGE_AT:
-            self.parts = [cut(self.all())]
-        return written
-
-    def all(self) -> DataFrame:
-        out = self.parts[0]
-        for p in self.parts[1:]:
-            out = out.unionByName(p)
-        return out

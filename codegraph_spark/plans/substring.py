@@ -1,26 +1,26 @@
 """Substring joins as equi-joins.
 
-A text contains a needle only when it contains every gram (short run of
-characters) of that needle.  Each needle picks one gram, by preference one of
-rare letters, as its join key; texts offer their distinct grams; candidates
-are verified with ``contains``.  The result is exact for every needle.
+A text contains a needle only when it contains every gram (short run of characters) of that needle, so it is enough to meet one of them.
+How often each gram of the needles stands in the texts is counted first; a needle is met through its rarest gram, and one with a gram
+that no text has is met nowhere. Texts then offer the grams so chosen, with their keys only; candidates are verified with ``contains``.
+Grams that many texts have are cut into counted parts, each with its own copy of the needles met there, so no gram is one task.
 
-A batch proven to hold few needles skips the grams: the needles travel as a
-literal array and each text is scanned in place, with no shuffle of the texts.
+The plan is the same for one needle and for any number of them.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codegraph_spark.plans.lineage import cut
+
 NAME_GRAMS = (1, 3)
 LINE_GRAMS = (1, 2, 5)
-SCAN_NEEDLES = 512
-SCAN_BYTES = 64 * 1024
-
-# Characters of running text from common to rare.
-COMMON_TO_RARE = " etaoinsrhldcumfpgwybvkxjqz"
+SPLIT_AT = 100_000  # texts of a gram in one part
+MOST_SPLIT = 10_000  # grams that may be cut into parts
 
 
 def grams(text: Column, size: int) -> Column:
@@ -32,34 +32,22 @@ def text_grams(text: Column, sizes) -> Column:
     return F.array_distinct(F.concat(*[grams(text, s) for s in sizes]))
 
 
-def anchor_gram(needle: Column, sizes) -> Column:
-    """One gram of the needle, of the largest size that fits it."""
-    pick = None
-    for size in sorted(sizes):
-        ranked = F.transform(grams(needle, size), lambda g: F.struct(_score(g).alias("rarity"), g.alias("gram")))
-        best = F.array_max(ranked)["gram"]
-        pick = F.when(F.length(needle) >= size, best).otherwise(pick) if pick is not None else best
+def needle_grams(needle: Column, sizes) -> Column:
+    """The distinct grams of a needle, of the largest size that fits it."""
+    pick = F.array_distinct(grams(needle, min(sizes)))
+    for size in sorted(sizes)[1:]:
+        pick = F.when(F.length(needle) >= size, F.array_distinct(grams(needle, size))).otherwise(pick)
     return pick
 
 
-def _score(gram: Column) -> Column:
-    chars = F.filter(F.split(gram, ""), lambda c: c != "")
-
-    def weight(c):
-        at = F.instr(F.lit(COMMON_TO_RARE), c)
-        return F.when(at == 0, F.lit(40)).otherwise(at)
-
-    return F.aggregate(chars, F.lit(0), lambda acc, c: acc + weight(c))
-
-
-def _few_needles(folded: DataFrame) -> list[str] | None:
-    """The distinct needles when there are at most ``SCAN_NEEDLES``, else None."""
-    short = folded.filter(F.octet_length("_needle") <= SCAN_BYTES // 16)
-    rows = short.select("_needle").distinct().limit(SCAN_NEEDLES + 1).collect()
-    few = len(rows) <= SCAN_NEEDLES and sum(len(r[0].encode()) for r in rows) <= SCAN_BYTES
-    if few and folded.filter(F.octet_length("_needle") > SCAN_BYTES // 16).limit(1).count():
-        few = False
-    return sorted(r[0] for r in rows) if few else None
+def rarest_grams(offered: DataFrame, asked: DataFrame, on) -> DataFrame:
+    """(needle, gram, parts): the gram by which to meet each needle of ``asked``, by its count among the ``offered`` ones."""
+    by = [*on, "_gram"]
+    counts = cut(offered.join(asked.select(*by).distinct(), by, "left_semi").groupBy(*by).agg(F.count(F.lit(1)).alias("_n")))
+    limit = max(SPLIT_AT, math.ceil((counts.agg(F.sum("_n")).first()[0] or 0) / MOST_SPLIT))
+    least = F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_gram").alias("gram"))).alias("_least")
+    best = asked.join(counts, by, "left").groupBy(*on, "_needle").agg(least).filter("_least.n > 0")
+    return best.select(*on, "_needle", F.col("_least.gram").alias("_gram"), F.ceil(F.col("_least.n") / limit).cast("int").alias("_parts"))
 
 
 def contains_join(
@@ -71,33 +59,35 @@ def contains_join(
     sizes=NAME_GRAMS,
     on=(),
     ignore_case: bool = True,
+    repeated: bool = True,
 ) -> DataFrame:
     """Rows of ``texts`` joined with every needle that occurs in their ``text``.
 
-    ``key`` names the columns that identify a text; ``on`` adds equi-join
-    columns both sides share.  Blank needles match nothing.  Beyond a few
-    needles, grams meet needles in a join that carries only keys, and the texts
-    join the candidates afterwards.
+    ``key`` names the columns that identify a text; ``on`` adds equi-join columns both sides share.  Blank needles match nothing.  With
+    ``repeated``, texts are short and recur, like names: each distinct one is looked at once, and its rows join the answer.
     """
     fold = F.lower if ignore_case else (lambda c: c)
     folded = needles.filter(F.length(F.col(needle)) > 0).withColumn("_needle", fold(F.col(needle)))
     hay = fold(F.col(text))
-    few = _few_needles(folded)
-    if few is not None:
-        scan = F.array(*[F.lit(n) for n in few]) if few else F.array().cast("array<string>")
-        # the outer lambda folds the text once, not once per needle
-        found = F.flatten(F.transform(F.array(hay), lambda h: F.filter(scan, lambda n: F.contains(h, n))))
-        return texts.withColumn("_needle", F.explode(found)).join(folded, [*on, "_needle"]).drop("_needle")
+    asked = cut(folded.select(*on, "_needle").distinct())
     longest = max(sizes)
-    lengths = {r[0] for r in folded.select(F.least(F.length("_needle"), F.lit(longest)).alias("n")).distinct().collect()}
-    used = sorted({max(s for s in sizes if s <= n) for n in lengths})
-    marked = folded.withColumn("_gram", anchor_gram(F.col("_needle"), used))
-    shared = [*key, *[c for c in on if c not in key]]
-    pairs = (
-        texts.select(*shared, F.explode(text_grams(hay, used)).alias("_gram"))
-        .join(marked.select("_gram").distinct(), "_gram", "left_semi")
-        .distinct()
-        .join(marked, [*on, "_gram"])
-        .drop("_gram")
-    )
-    return texts.join(pairs, shared).filter(F.contains(hay, F.col("_needle"))).drop("_needle")
+    lengths = {r[0] for r in asked.select(F.least(F.length("_needle"), F.lit(longest)).alias("n")).distinct().collect()}
+    used = sorted({max(s for s in sizes if s <= n) for n in lengths}) or [min(sizes)]
+    asked = asked.withColumn("_gram", F.explode(needle_grams(F.col("_needle"), used)))
+    shared = [*on, "_folded"] if repeated else [*key, *[c for c in on if c not in key]]
+    values = texts.select(*on, hay.alias("_folded")).distinct() if repeated else texts.select(*shared, hay.alias("_folded"))
+    if repeated:
+        values = cut(values)
+    offered = values.select(*shared, F.explode(text_grams(F.col("_folded"), used)).alias("_gram"))
+    chosen = cut(rarest_grams(offered, asked, on))
+    split = F.broadcast(chosen.filter("_parts > 1").select(*on, "_gram", "_parts").distinct())  # at most MOST_SPLIT
+    part = F.coalesce(F.pmod(F.xxhash64(*shared), F.col("_parts")), F.lit(0)).alias("_part")
+    met = offered.join(split, [*on, "_gram"], "left").select(*shared, "_gram", part)
+    sought = chosen.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    pairs = met.join(sought, [*on, "_gram", "_part"])
+    if repeated:
+        pairs = pairs.filter(F.contains("_folded", F.col("_needle"))).select(*shared, "_needle")
+        hits = texts.withColumn("_folded", hay).join(pairs, shared).drop("_folded")
+    else:
+        hits = texts.join(pairs.select(*shared, "_needle"), shared).filter(F.contains(hay, F.col("_needle")))
+    return hits.join(folded, [*on, "_needle"]).drop("_needle")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,10 +28,11 @@ def _orient(edges: DataFrame, direction: str) -> DataFrame:
     return fwd.unionByName(rev)
 
 
-def reach(seeds: DataFrame, edges: DataFrame, labels: DataFrame, depth: int, max_nodes: int, direction: str = "both") -> DataFrame:
+def reach(seeds: DataFrame, edges: DataFrame | Callable[[DataFrame], DataFrame], labels: DataFrame, depth: int, max_nodes: int, direction: str = "both") -> DataFrame:
     """(query_id, node, distance) of every node within ``depth`` steps of its seed.
 
-    ``seeds(query_id, node)``, ``edges(src, dst, …)``, ``labels(node, label)``.
+    ``seeds(query_id, node)``, ``edges(src, dst, …)``, ``labels(node, label)``.  Instead of all edges, a function may give those at the
+    nodes of the frontier.
     Nodes keep their least distance; per query at most ``max_nodes`` are kept, by
     (distance, lower(label), node).  A query that already holds ``m`` nodes can
     only gain nodes among the first ``max_nodes + m`` neighbours of a node in
@@ -37,13 +40,15 @@ def reach(seeds: DataFrame, edges: DataFrame, labels: DataFrame, depth: int, max
     result.
     """
     order = [F.lower("label"), F.col("next")]
-    oriented = _orient(edges, direction).filter("at <> next")
+    oriented = None if callable(edges) else _orient(edges, direction).filter("at <> next")
     seen = seeds.select("query_id", "node").distinct().withColumn("distance", F.lit(0))
     if depth > 1:
         seen = cut(seen)
     for level in range(1, depth + 1):
         frontier = seen.filter(F.col("distance") == level - 1).select("query_id", F.col("node").alias("at"))
         # only nodes that a query stands on have their neighbours labelled and ranked
+        if callable(edges):
+            oriented = _orient(edges(frontier.select(F.col("at").alias("node"))), direction).filter("at <> next")
         steps = oriented.join(frontier.select("at").distinct(), "at", "left_semi").distinct()
         steps = steps.join(labels.select(F.col("node").alias("next"), "label"), "next", "left").withColumn("label", F.coalesce("label", "next"))
         steps = top_k(steps, ["at"], order, 2 * max_nodes, rank="_place").drop("_place")

@@ -174,19 +174,18 @@ def read_runs(spark: SparkSession, path: str, table: str) -> DataFrame:
 
 
 def content_manifest(files: DataFrame, req: DataFrame) -> DataFrame:
-    """Per requested file, in request order: path, path bytes, content bytes, sha256."""
-    f = files.select("file_path", "content")
-    return (
-        req.filter(~tx.is_blank(F.col("path")))
-        .join(f, F.col("path") == F.col("file_path"))
-        .select(
-            "query_id",
-            "pos",
-            "path",
-            F.octet_length("path").alias("path_bytes"),
-            F.octet_length("content").alias("byte_length"),
-            F.sha2("content", 256).alias("sha256"),
-        )
+    """Per requested file, in request order: path, path bytes, content bytes, sha256; ``repo`` in the request names the repo."""
+    from codegraph_spark.operators.edits import at_path
+
+    asked = req.filter(~tx.is_blank(F.col("path"))).withColumn("file_path", F.col("path"))
+    return at_path(files.select("repo_name", "file_path", "content"), asked).select(
+        "query_id",
+        "pos",
+        "repo_name",
+        "path",
+        F.octet_length("path").alias("path_bytes"),
+        F.octet_length("content").alias("byte_length"),
+        F.sha2("content", 256).alias("sha256"),
     )
 
 

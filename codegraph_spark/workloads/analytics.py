@@ -125,7 +125,7 @@ def _(spark, d):
     asked = b.select(F.col("item_id").alias("task_id"), w[0].alias("query"), w[1].alias("expected_evidence"))
     lines = corpus.document_lines(spark, d)
     # the expected file of a task is the first one that holds its word
-    holds = contains_join(lines, "text", asked, "query", ["file_path", "line"], LINE_GRAMS).groupBy("task_id").agg(F.min("file_path").alias("expected_path"))
+    holds = contains_join(lines, "text", asked, "query", ["file_path", "line"], LINE_GRAMS, repeated=False).groupBy("task_id").agg(F.min("file_path").alias("expected_path"))
     out = runs.compare_workflows(lines, text_symbols(spark, d), asked.join(holds, "task_id", "left"))
     return out.select("task_id", "scenario", "baseline_count", "baseline_tokens", "baseline_calls", "our_count", "our_tokens", "our_calls", "success", "baseline_success")
 

@@ -53,7 +53,7 @@ def _(spark, d):
         (F.col("doc_id") % 10).alias("query_id"), F.col("doc_id").alias("pos"),
         F.concat_ws("/", F.lit("/docs"), "lang", "source", F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).alias("path"),
     )
-    return scan.content_manifest(corpus.document_files(spark, d), req)
+    return scan.content_manifest(corpus.document_files(spark, d), req.withColumn("repo", F.lit("Docs"))).drop("repo_name")
 
 
 @query("read_git_log", "SELECT commit_id, author_name, author_date_utc, subject FROM commits")

@@ -34,12 +34,18 @@ def _(spark, d):
 
 
 @query("implements_edges", """
-WITH n AS (SELECT DISTINCT lower(name) AS n FROM tsym), h AS (SELECT n, id, row_number() OVER (PARTITION BY n ORDER BY file_path, line_start, id) AS rn FROM tsym JOIN n ON contains(lower(name), n) WHERE kind = 'Class')
-SELECT 'symbol:' || h.id AS src, 'symbol:' || t.id AS dst, 'implements' AS type FROM h JOIN tsym t ON lower(t.name) = h.n AND t.id <> h.id WHERE h.rn <= 251""")
+WITH n AS (SELECT DISTINCT lower(name) AS n FROM tsym), h AS (SELECT n, id FROM tsym JOIN n ON contains(lower(name), n) WHERE kind = 'Class')
+SELECT 'symbol:' || h.id AS src, 'symbol:' || t.id AS dst, 'implements' AS type FROM h JOIN tsym t ON lower(t.name) = h.n AND t.id <> h.id""")
 def _(spark, d):
     return graph.implements_edges(text_symbols(spark, d))
 
 
+@query("implements_names", """
+SELECT i.id AS impl_id, n.name FROM tsym i JOIN (SELECT DISTINCT lower(name) AS name FROM tsym) n ON contains(lower(i.name), n.name) WHERE i.kind = 'Class'""")
+def _(spark, d):
+    return graph.implements_names(text_symbols(spark, d)).select("impl_id", "name")
+
+
 def _nation_seeds(spark, d):
     n = corpus.table(spark, d, "nation")
     return n.select(F.col("n_nationkey").cast("long").alias("query_id"), F.concat(F.lit("nation:"), F.col("n_nationkey").cast("string")).alias("node"))
@@ -295,7 +301,7 @@ def _(spark, d):
 @query("read_range", "SELECT f.doc_id AS query_id, n.file_path, n.line, n.text FROM labs l JOIN files f ON f.doc_id = l.doc_id JOIN lines n ON n.file_path = f.file_path AND n.line BETWEEN 2 AND 4")
 def _(spark, d):
     req = _document_paths(spark, d).select(F.col("doc_id").alias("query_id"), "path", F.lit(2).alias("from_line"), F.lit(4).alias("to_line"))
-    return edits.read_range(corpus.document_files(spark, d), req)
+    return edits.read_range(corpus.document_files(spark, d), req).drop("repo_name")
 
 
 @query("read_spans", """
@@ -303,7 +309,7 @@ SELECT f.doc_id AS query_id, 1 AS pos, n.file_path, 3 AS span_from, CAST(max(n.l
 FROM labs l JOIN files f ON f.doc_id = l.doc_id JOIN lines n ON n.file_path = f.file_path AND n.line BETWEEN 3 AND 22 GROUP BY f.doc_id, n.file_path""")
 def _(spark, d):
     spans = _document_paths(spark, d).select(F.col("doc_id").alias("query_id"), F.lit(1).alias("pos"), "path", F.lit(3).alias("from_line"), F.lit(0).alias("to_line"))
-    return edits.read_spans(corpus.document_files(spark, d), spans, 20)
+    return edits.read_spans(corpus.document_files(spark, d), spans, 20).drop("repo_name")
 
 
 @query("read_many", """
@@ -313,7 +319,7 @@ def _(spark, d):
     req = _document_paths(spark, d).select(
         (F.col("doc_id") % 7).alias("query_id"), F.col("doc_id").alias("pos"), "path", F.lit(0).alias("from_line"), F.when(F.col("quality") == 1, 0).otherwise(3).alias("to_line")
     )
-    return edits.read_many(corpus.document_files(spark, d), req).withColumn("total_lines", F.col("total_lines").cast("long"))
+    return edits.read_many(corpus.document_files(spark, d), req).drop("repo_name").withColumn("total_lines", F.col("total_lines").cast("long"))
 
 
 @query("dir_tree", """

@@ -321,6 +321,11 @@ def _(spark, d):
     return ranked.regex_scan(corpus.document_lines(spark, d), PATTERNS, 250)
 
 
+@query("regex_scan_all", f"SELECT CAST(query_id AS BIGINT) AS query_id, file_path, line, text FROM ({_RX})")
+def _(spark, d):
+    return ranked.regex_scan(corpus.document_lines(spark, d), PATTERNS).select("query_id", "file_path", "line", "text")
+
+
 @query("rg_search", """
 WITH h AS (SELECT 1 AS query_id, file_path, line, strpos(lower(text), 'the ') AS col, text FROM lines
            UNION ALL SELECT 2, file_path, line, CASE WHEN regexp_matches(text, '[0-9]+') THEN length(regexp_extract(text, '^([^0-9]*)[0-9]', 1)) + 1 ELSE 0 END, text FROM lines
@@ -382,10 +387,11 @@ def _(spark, d):
 
 
 def text_refs(spark, d):
-    """References between documents: lexical links of the first file names of each symbol."""
+    """References between documents by name, not multiplied out."""
     from codegraph_spark.operators import extract, linking
 
-    return cut(linking.link_lexical(cut(extract.lexical_usages(corpus.document_lines(spark, d))), text_symbols(spark, d), 32))
+    lines = corpus.document_lines(spark, d)
+    return linking.NameLinks(cut(extract.lexical_usages(lines).drop("context")), text_symbols(spark, d), lines)
 
 
 def _pack_items(spark, d):

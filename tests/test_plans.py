@@ -60,21 +60,36 @@ def test_prefix_scans_match_one_pass(spark):
         assert got[i] == (last, before, total)
 
 
-def test_substring_join_is_exact_on_both_paths(spark, monkeypatch):
+def test_substring_join_is_exact(spark, monkeypatch):
     rnd = random.Random(9)
-    words = ["alpha", "beta", "étage", "a.b", "x", "the end", "zz"]
-    texts = [(i, " ".join(rnd.choice(words) for _ in range(rnd.randint(0, 6)))) for i in range(120)]
-    needles = [(1, "a"), (2, "TA"), (3, "étage"), (4, "a.b x"), (5, ""), (6, "the end zz"), (7, "nothing here")]
-    t = spark.createDataFrame(texts, "i int, t string")
+    words = ["alpha", "beta", "étage", "a.b", "x", "the end", "zz", "İx", "🎉y"]
+    texts = [(i, f"r{i % 2}", " ".join(rnd.choice(words) for _ in range(rnd.randint(0, 6)))) for i in range(120)] + [(500, "r0", None), (501, "r1", "")]
+    needles = [(1, "a"), (2, "TA"), (3, "étage"), (4, "a.b x"), (5, ""), (6, "the end zz"), (7, "nothing here"), (8, "🎉"), (9, "a"), (10, None), (11, "x 🎉y"), (12, "q")]
+    t = spark.createDataFrame(texts, "i int, r string, t string")
     n = spark.createDataFrame(needles, "q int, n string")
-    want = sorted((i, q) for i, s in texts for q, x in needles if x and x.lower() in s.lower())
-    assert rows(substring.contains_join(t, "t", n, "n", ["i"], substring.LINE_GRAMS), "i", "q") == sorted(want, key=str)
-    monkeypatch.setattr(substring, "SCAN_NEEDLES", 2)
-    assert rows(substring.contains_join(t, "t", n, "n", ["i"], substring.LINE_GRAMS), "i", "q") == sorted(want, key=str)
+    want = sorted(((i, q) for i, _, s in texts for q, x in needles if s and x and x.lower() in s.lower()), key=str)
+    for limit in (substring.SPLIT_AT, 3):
+        monkeypatch.setattr(substring, "SPLIT_AT", limit)
+        monkeypatch.setattr(substring, "MOST_SPLIT", 10_000 if limit > 3 else 5)
+        for repeated in (True, False):
+            assert rows(substring.contains_join(t, "t", n, "n", ["i"], substring.LINE_GRAMS, repeated=repeated), "i", "q") == want
+    by_repo = n.withColumn("r", F.lit("r1"))
+    got = substring.contains_join(t, "t", by_repo, "n", ["i"], on=["r"])
+    assert rows(got, "i", "q") == [w for w in want if w[0] % 2]
+    assert substring.contains_join(t, "t", n.filter("q = 5"), "n", ["i"]).count() == 0 and substring.contains_join(t.limit(0), "t", n, "n", ["i"]).count() == 0
     plan = substring.contains_join(t, "t", n, "n", ["i"], substring.NAME_GRAMS)._jdf.queryExecution().toString()
     assert "Cartesian" not in plan and "NestedLoop" not in plan
 
 
+def test_one_needle_and_many_share_the_plan(spark):
+    t = spark.range(3000).select("id", F.concat(F.lit("line "), F.col("id").cast("string"), F.lit(" of text")).alias("t"))
+    plan = lambda n: substring.contains_join(t, "t", n, "n", ["id"], substring.LINE_GRAMS, repeated=False)._jdf.queryExecution().optimizedPlan().toString()
+    shape = lambda n: [x.strip(" +-:").split(" ")[0].split("(")[0] for x in plan(n).split("\n")]
+    few = spark.range(1).select(F.col("id").alias("q"), F.concat(F.lit("x"), F.col("id").cast("string"), F.lit(" of")).alias("n"))
+    many = spark.range(10_000).select(F.col("id").alias("q"), F.concat(F.lit("x"), F.col("id").cast("string"), F.lit(" of")).alias("n"))
+    assert shape(few) == shape(many)
+
+
 def test_top_k_is_limited_before_the_shuffle(spark):
     base = spark.range(1000).withColumn("g", F.col("id") % 2).withColumn("limit", F.lit(2) + F.col("g"))
     df = top_k(base, ["g"], ["id"], 50, F.col("limit"))
