@@ -115,6 +115,10 @@ def _request(ops: DataFrame) -> list[str]:
     return ["query_id"] if "query_id" in ops.columns else []
 
 
+def _owner(files: DataFrame) -> list[str]:
+    return ["repo_name"] if "repo_name" in files.columns else []
+
+
 def _repo(asked: DataFrame) -> list[str]:
     return ["repo"] if "repo" in asked.columns else []
 
@@ -167,10 +171,10 @@ def patch_files(files: DataFrame, ops: DataFrame, dry_run: bool = True):
     folded = at_path(files, per_file).withColumn("_r", F.aggregate("ops", state, step))
     key = _request(ops)
     touched = folded.select(*key, *[c for c in files.columns if c != "content"], F.col("_r.text").alias("content"))
-    done = folded.select(*key, *_repo(ops), "repo_name", "file_path", F.explode("_r.done").alias("d")).select(*key, *_repo(ops), "repo_name", "d.seq", F.col("file_path").alias("path"), "d.changes")
+    done = folded.select(*key, *_repo(ops), *_owner(files), "file_path", F.explode("_r.done").alias("d")).select(*key, *_repo(ops), *_owner(files), "d.seq", F.col("file_path").alias("path"), "d.changes")
     asked = ops.select(*key, *_repo(ops), F.col("seq").cast("int").alias("seq"), "path", blank.alias("_bad"))
     results = _by_operation(asked, done, key).select(
-        *key, "seq", "repo_name", "path",
+        *key, "seq", *_owner(files), "path",
         (~F.col("_bad") & F.col("changes").isNotNull()).alias("ok"),
         F.when(F.col("_bad"), F.lit("invalid op: path/find required"))
         .when(F.col("changes").isNull(), F.lit("file not found or outside project root"))
@@ -286,14 +290,14 @@ def edit_lines(files: DataFrame, ops: DataFrame, dry_run: bool = False):
     content = F.when(F.col("_r.dirty"), F.concat(F.array_join("_r.lines", "\n"), F.lit("\n"))).otherwise(F.col("content"))
     key = _request(ops)
     touched = folded.select(*key, *[c for c in files.columns if c != "content"], content.alias("content"))
-    done = folded.select(*key, *_repo(ops), "repo_name", "file_path", F.explode("_r.done").alias("d")).select(*key, *_repo(ops), "repo_name", F.col("file_path").alias("path"), "d.*")
+    done = folded.select(*key, *_repo(ops), *_owner(files), "file_path", F.explode("_r.done").alias("d")).select(*key, *_repo(ops), *_owner(files), F.col("file_path").alias("path"), "d.*")
     asked = ops.select(
         *key, *_repo(ops), F.col("seq").cast("int").alias("seq"), "path", F.lower(tx.trim(F.coalesce("type", F.lit("unknown")))).alias("_type")
     )
     missing = F.when(tx.is_blank(F.col("path")), F.lit("invalid op: path is required")).otherwise(F.lit("file not found or outside project root"))
     z = F.lit(0)
     results = _by_operation(asked, done, key).select(
-        *key, "seq", "repo_name", "path", F.coalesce("type", "_type").alias("type"), F.coalesce("ok", F.lit(False)).alias("ok"), F.coalesce("status", missing).alias("status"),
+        *key, "seq", *_owner(files), "path", F.coalesce("type", "_type").alias("type"), F.coalesce("ok", F.lit(False)).alias("ok"), F.coalesce("status", missing).alias("status"),
         F.coalesce("changed", z).alias("changed"), F.coalesce("from_line", z).alias("from_line"), F.coalesce("to_line", z).alias("to_line"),
     )
     return touched, results

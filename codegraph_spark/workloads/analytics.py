@@ -9,10 +9,10 @@ from codegraph_spark.operators import registry, runs
 from codegraph_spark.plans.substring import LINE_GRAMS, contains_join
 from codegraph_spark.plans.lineage import cut, scratch_path
 from codegraph_spark.sources import corpus
-from codegraph_spark.streaming import index_stream, sessions
+from codegraph_spark.streaming import history_stream, index_stream, sessions
 from codegraph_spark.streaming import telemetry as live
 from codegraph_spark.workloads.base import query
-from codegraph_spark.workloads.indexing import TEXT_LANGUAGE
+from codegraph_spark.workloads.indexing import _LEXICAL, TEXT_LANGUAGE
 from codegraph_spark.workloads.retrieval import CAPPED, _fuzzy, text_symbols
 
 
@@ -421,8 +421,14 @@ fl AS (SELECT file_path, i AS line, p[i] AS text FROM (SELECT file_path, p, unne
 SELECT file_path, CAST(line AS INTEGER) AS line_start, regexp_extract(text, '^([A-Z][A-Za-z0-9_]+)', 1) AS name FROM fl WHERE regexp_matches(text, '^[A-Z][A-Za-z0-9_]{6,}|^[A-Z][A-Za-z0-9_]{1,5}([^A-Za-z0-9_]|$)')"""
 
 
+_CHANGED_REFS = _CHANGED.split("\nSELECT file_path, CAST(line")[0] + ",\nclines AS (SELECT 'docs' AS repo_name, file_path, line, text FROM fl)," + _LEXICAL.replace("FROM lines", "FROM clines") + r""",
+sy AS (SELECT file_path AS sf, line AS sl, regexp_extract(text, '^([A-Z][A-Za-z0-9_]+)', 1) AS name FROM fl WHERE regexp_matches(text, '^[A-Z][A-Za-z0-9_]{6,}|^[A-Z][A-Za-z0-9_]{1,5}([^A-Za-z0-9_]|$)')),
+rf AS (SELECT DISTINCT u.file_path, u.line, sf, sl FROM usages u JOIN sy ON sy.name = u.token WHERE NOT (lower(sf) = lower(u.file_path) AND sl = u.line))
+SELECT file_path, count(*) AS refs, count(DISTINCT line) AS n_lines, count(DISTINCT sf || ':' || sl) AS symbols FROM rf GROUP BY file_path"""
+
+
 def _store(spark, d, name):
-    store = index_stream.IndexStore(spark, scratch_path(spark, name), registry.Registry().register(TEXT_LANGUAGE), buckets=8)
+    store = index_stream.IndexStore(spark, scratch_path(spark, name), registry.Registry().register(TEXT_LANGUAGE))
     store.build(corpus.document_files(spark, d))
     return store
 
@@ -437,14 +443,41 @@ def _(spark, d):
     return store.read("symbols").select("file_path", "line_start", "name")
 
 
+@query("stream_index_refs", _CHANGED_REFS)
+def _(spark, d):
+    """References after the stream; only files that the change concerns are linked again."""
+    store = _store(spark, d, "index_refs")
+    inbox = scratch_path(spark, "inbox")
+    _file_events(spark, d).write.parquet(inbox)
+    index_stream.stream_index(spark.readStream.schema(_EVENT).parquet(inbox), store, inbox + "-state").awaitTermination()
+    refs = store.read("refs")
+    return refs.groupBy(F.col("in_file").alias("file_path")).agg(F.count(F.lit(1)).alias("refs"), F.count_distinct("line").alias("n_lines"), F.count_distinct("symbol_id").alias("symbols"))
+
+
 @query("stream_delete", "SELECT file_path FROM files WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")
 def _(spark, d):
     store = _store(spark, d, "deletes")
-    gone = _file_events(spark, d).filter("event = 'deleted'")
-    store.apply(index_stream.expand_events(gone))
+    inbox = scratch_path(spark, "inbox")
+    _file_events(spark, d).filter("event = 'deleted'").write.parquet(inbox)
+    index_stream.stream_index(spark.readStream.schema(_EVENT).parquet(inbox), store, inbox + "-state").awaitTermination()
     return store.read("sources").select("file_path")
 
 
+@query("stream_file_facts", """
+WITH t AS (SELECT DISTINCT f.path, c.*, CAST(c.author_date_utc AS VARCHAR) || c.commit_id AS spot FROM cfiles f JOIN commits c ON c.commit_id = f.commit_id)
+SELECT path, arg_min(commit_id, spot) AS first_commit, arg_max(commit_id, spot) AS latest_commit, count(*) AS touch_count, arg_max(author_name, spot) AS last_author,
+       arg_max(subject, spot) AS last_subject, arg_max(author_date_utc, spot) AS last_date FROM t GROUP BY path""")
+def _(spark, d):
+    commits, files = corpus.order_commits(spark, d), corpus.order_commit_files(spark, d)
+    touches = files.select("repo_name", "commit_id", "path").join(commits.select("repo_name", "commit_id", "author_name", "author_date_utc", "subject"), ["repo_name", "commit_id"])
+    inbox = scratch_path(spark, "commits")
+    touches.repartition(4, "commit_id").write.parquet(inbox)
+    store = history_stream.FactStore(spark, scratch_path(spark, "facts"), compact_at=2)
+    stream = spark.readStream.schema(touches.schema).option("maxFilesPerTrigger", 1).parquet(inbox)
+    history_stream.stream_facts(stream, store, inbox + "-state").awaitTermination()
+    return store.facts().drop("repo_name")
+
+
 @query("reindex_scope", "SELECT count(*) FILTER (doc_id IN (SELECT doc_id FROM labels WHERE toxic <> 1) AND lang = 'en') AS indexed, count(*) FILTER (doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic <> 1) AND lang = 'en') AS removed, 0 AS skipped FROM files JOIN documents USING (doc_id)")
 def _(spark, d):
     store = _store(spark, d, "reindex")

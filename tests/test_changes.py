@@ -124,20 +124,76 @@ def test_run_analytics(spark, tmp_path):
 def test_index_store_equals_a_full_build(spark, tmp_path):
     reg = registry.Registry().register(registry.default_registry().languages["CSharp"])
     files = spark.createDataFrame([("r", "/r/Counter.cs", COUNTER_CS), ("r", "/r/Shapes.cs", SHAPES_CS), ("r", "/r/Calls.cs", CALLS_CS)], "repo_name string, file_path string, content string")
-    store = index_stream.IndexStore(spark, str(tmp_path / "store"), reg, buckets=4)
+    store = index_stream.IndexStore(spark, str(tmp_path / "store"), reg, compact_at=2)
     store.build(files)
     moved = "// a new first line\n" + COUNTER_CS
     events = spark.createDataFrame(
         [("r", "changed", "/r/Counter.cs", None, "stale", 1), ("r", "changed", "/r/Counter.cs", None, moved, 2), ("r", "renamed", "/r/Forms.cs", "/r/Shapes.cs", SHAPES_CS, 2)],
         "repo_name string, event string, file_path string, old_path string, content string, version long",
     )
-    for _ in range(2):  # a replayed batch changes nothing
-        store.apply(index_stream.expand_events(events))
+    before = rows(store.read("symbols"), "id")
+    real = store.tables._commit
+    store.tables._commit = lambda *a: (_ for _ in ()).throw(KeyboardInterrupt())
+    try:
+        store.apply(index_stream.expand_events(events), "batch 1")
+    except KeyboardInterrupt:  # a batch that is killed before its commit leaves everything as it was
+        assert rows(store.read("symbols"), "id") == before
+    store.tables._commit = real
+    for _ in range(2):
+        store.apply(index_stream.expand_events(events), "batch 1")
+    assert len(store.tables.commits()) == 2  # a replayed batch changes nothing
+    written = spark.read.parquet(str(tmp_path / "store" / "sources")).groupBy("batch").count().collect()
+    assert {r["batch"]: r["count"] for r in written} == {0: 3, 1: 2}  # a batch writes its own files only
     final = spark.createDataFrame([("r", "/r/Counter.cs", moved), ("r", "/r/Forms.cs", SHAPES_CS), ("r", "/r/Calls.cs", CALLS_CS)], "repo_name string, file_path string, content string")
     fresh = registry.index_corpus(final, reg)
     assert rows(store.read("symbols"), "id", "line_end") == rows(fresh.symbols, "id", "line_end")
     assert rows(store.read("refs"), "symbol_id", "in_file", "line") == rows(fresh.refs, "symbol_id", "in_file", "line")
     assert rows(store.read("sources"), "file_path") == rows(final, "file_path")
+    assert rows(store.read("usages"), "file_path", "token", "line") == rows(fresh.usages, "file_path", "token", "line")
+    store.apply(index_stream.expand_events(events))  # again without a token: the third batch, after which they are merged
+    assert store.tables.live() == [3] and rows(store.read("refs"), "symbol_id", "in_file", "line") == rows(fresh.refs, "symbol_id", "in_file", "line")
+    store.tables.vacuum()
+    assert rows(store.read("symbols"), "id", "line_end") == rows(fresh.symbols, "id", "line_end")
+
+
+def test_two_repos_with_the_same_path(spark, tmp_path):
+    from codegraph_spark.sources import scan
+
+    files = spark.createDataFrame([("a", "/src/x.rs", "rust", "a1\na2\na3\n"), ("b", "/src/x.rs", "rust", "b1\nb2\n")], "repo_name string, file_path string, language string, content string")
+    lines = scan.explode_lines(files)
+    req = spark.createDataFrame([(1, "/src/x.rs", 1, 2, "A"), (2, "/src/x.rs", 2, 9, None)], "query_id long, path string, from_line int, to_line int, repo string")
+    want = [(1, "a", 1, "a1"), (1, "a", 2, "a2"), (2, "a", 2, "a2"), (2, "a", 3, "a3"), (2, "b", 2, "b2")]
+    for source in (files, lines):
+        assert rows(edits.read_range(source, req), "query_id", "repo_name", "line", "text") == want
+        spans = req.withColumn("pos", F.lit(0))
+        assert rows(edits.read_spans(source, spans), "query_id", "repo_name", "text") == [(1, "a", "a1\na2"), (2, "a", "a2\na3"), (2, "b", "b2")]
+    assert rows(edits.read_many(files, req.withColumn("pos", F.lit(1))), "query_id", "repo_name", "total_lines") == [(1, "a", 3), (2, "a", 3), (2, "b", 2)]
+    ops = spark.createDataFrame([(1, "/src/x.rs", "b", "1", "one"), (2, "/src/x.rs", None, "2", "two"), (3, "/src/x.rs", "c", "1", "x")], "seq int, path string, repo string, find string, replace string")
+    ops = ops.selectExpr("*", "'literal' AS mode", "false AS replace_all", "false AS ignore_case")
+    touched, results = edits.patch_files(files, ops, dry_run=False)
+    assert rows(results, "seq", "repo_name", "ok", "changes") == [(1, "b", True, 1), (2, "a", True, 1), (2, "b", True, 1), (3, None, False, 0)]
+    line_ops = ops.selectExpr("seq", "path", "repo", "'delete_range' AS type", "1 AS start_line", "1 AS end_line", "'' AS content", "'' AS find", "1 AS occurrence").filter("seq = 1")
+    after, outcome = edits.edit_lines(files, line_ops)
+    assert rows(after, "repo_name", "content") == [("b", "b2\n")] and rows(outcome, "repo_name", "ok") == [("b", True)]
+    w = spark.createDataFrame([("/src/x.rs", "a", "rust", "new", True, True)], "path string, repo_name string, language string, content string, overwrite boolean, trailing_newline boolean")
+    left, out = edits.upsert_files(files, w)
+    assert rows(left, "repo_name", "content") == [("a", "new\n"), ("b", "b1\nb2\n")] and rows(out, "repo_name", "ok") == [("a", True)]
+    named = req.select("query_id", F.lit(0).alias("pos"), "path", "repo")
+    assert rows(scan.content_manifest(files, named), "query_id", "repo_name", "byte_length") == [(1, "a", 9), (2, "a", 9), (2, "b", 6)]
+
+
+def test_facts_from_batches_equal_the_full_build(spark, tmp_path):
+    from codegraph_spark.streaming import history_stream
+
+    commits = spark.range(60).select(F.lit("r").alias("repo_name"), F.format_string("c%02d", "id").alias("commit_id"), F.concat(F.lit("me"), F.col("id") % 3).alias("author_name"), F.timestamp_seconds(F.col("id") % 17 * 60).alias("author_date_utc"), F.lit("s").alias("subject"))
+    files = commits.select("repo_name", "commit_id", F.explode(F.array(F.lit("hot"), F.concat(F.lit("f"), F.hash("commit_id") % 5), F.lit("hot"))).alias("path"))
+    touches = files.join(commits, ["repo_name", "commit_id"])
+    store = history_stream.FactStore(spark, str(tmp_path / "facts"), compact_at=3)
+    for k in range(6):
+        part = touches.filter(F.pmod(F.xxhash64("commit_id"), F.lit(6)) == k)
+        for _ in range(2):
+            store.add(part, f"t{k}")
+    assert rows(store.facts()) == rows(history.file_facts(commits, files).select(*store.facts().columns)) and len(store.tables.live()) <= 4
 
 
 def test_session_plans_agree_with_the_stream(spark, tmp_path):
