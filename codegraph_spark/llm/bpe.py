@@ -22,6 +22,7 @@ from codegraph_spark.llm import vocabulary as voc
 from codegraph_spark.llm.batches import ragged, text_slices
 
 KNOWN_CHUNKS = 1 << 18  # chunks of text between white space whose ids a worker keeps
+KNOWN_CHARS = 1 << 24  # and their code points
 _NONE = np.int32(2**31 - 1)
 
 
@@ -94,7 +95,7 @@ class Encoder:
         self.ids = np.zeros(1 << 16, np.int32)
         self.begin = np.zeros(1 << 14, np.int64)
         self.size = np.zeros(1 << 14, np.int64)
-        self.used = 0
+        self.used = self.chars = 0
 
     def _learn(self, chunks: list[str]) -> None:
         words, per_chunk = [], []
@@ -114,10 +115,11 @@ class Encoder:
         self.ids[self.used : self.used + len(ids)] = ids
         self.begin[n : n + len(chunks)], self.size[n : n + len(chunks)] = begin + self.used, end - begin
         self.used += len(ids)
+        self.chars += sum(map(len, chunks))
         self.index.update(zip(chunks, range(n, n + len(chunks)), strict=True))
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        if len(self.index) > self.keep:
+        if len(self.index) > self.keep or self.chars > KNOWN_CHARS:
             self._forget()
         parts: list[list] = []
         for text in texts:

@@ -150,25 +150,27 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float = SWITCH_PEN
     are chained per sequence, and the labels inside a block follow from its entry and exit.
     """
     n_labels = scores.shape[1]
+    kind = np.int8 if n_labels <= 127 else np.int32
+    block = max(BLOCK, n_labels)  # longer with more labels: the tables of a block are then no larger than its scores
     lengths = lengths[lengths > 0]
     if not len(scores):
-        return np.zeros(0, np.int8)
-    n_blocks = -(-lengths // BLOCK)
+        return np.zeros(0, kind)
+    n_blocks = -(-lengths // block)
     first_block = np.cumsum(n_blocks) - n_blocks
     starts = np.cumsum(lengths) - lengths
-    at = np.arange(len(scores)) + np.repeat(first_block * BLOCK - starts, lengths)
-    padded = np.zeros((int(n_blocks.sum()) * BLOCK, n_labels), np.float32)
+    at = np.arange(len(scores)) + np.repeat(first_block * block - starts, lengths)
+    padded = np.zeros((int(n_blocks.sum()) * block, n_labels), np.float32)
     padded[at] = scores
-    steps = padded.reshape(-1, BLOCK, n_labels)
+    steps = padded.reshape(-1, block, n_labels)
     through = np.full((len(steps), n_labels, n_labels), -1e9, np.float32)
     through[:, np.arange(n_labels), np.arange(n_labels)] = 0
-    for t in range(BLOCK):
+    for t in range(block):
         through = np.maximum(through, through.max(axis=2, keepdims=True) - np.float32(penalty)) + steps[:, t, None, :]
 
     order = np.argsort(-n_blocks, kind="stable")
     longest = n_blocks[order]
     value = np.zeros((len(order), n_labels), np.float32)
-    entry = np.zeros((len(steps), n_labels), np.int8)
+    entry = np.zeros((len(steps), n_labels), kind)
     for k in range(int(longest[0])):
         live = int(np.searchsorted(-longest, -k, "left"))
         b = first_block[order[:live]] + k
@@ -176,9 +178,9 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float = SWITCH_PEN
         entry[b] = total.argmax(axis=1)
         value[:live] = total.max(axis=1)
         value[:live] -= value[:live].max(axis=1, keepdims=True)
-    leave = np.zeros(len(steps), np.int8)
-    enter = np.zeros(len(steps), np.int8)
-    state = value.argmax(axis=1).astype(np.int8)
+    leave = np.zeros(len(steps), kind)
+    enter = np.zeros(len(steps), kind)
+    state = value.argmax(axis=1).astype(kind)
     for k in range(int(longest[0]) - 1, -1, -1):
         live = int(np.searchsorted(-longest, -k, "left"))
         b = first_block[order[:live]] + k
@@ -189,15 +191,15 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float = SWITCH_PEN
     rows = np.arange(len(steps))
     v = np.full((len(steps), n_labels), -1e9, np.float32)
     v[rows, enter] = 0
-    came = np.empty((BLOCK, len(steps), n_labels), np.int8)
-    for t in range(BLOCK):
+    came = np.empty((block, len(steps), n_labels), kind)
+    for t in range(block):
         best = v.argmax(axis=1)
         switched = v[rows, best][:, None] - np.float32(penalty)
         came[t] = np.where(switched > v, best[:, None], np.arange(n_labels))
         v = np.maximum(v, switched) + steps[:, t]
-    labels = np.empty((len(steps), BLOCK), np.int8)
+    labels = np.empty((len(steps), block), kind)
     now = leave
-    for t in range(BLOCK - 1, -1, -1):
+    for t in range(block - 1, -1, -1):
         labels[:, t] = now
         now = came[t, rows, now]
     return labels.reshape(-1)[at]
@@ -334,6 +336,13 @@ def identify(docs: DataFrame, model: Model, penalty: float = SWITCH_PENALTY) ->
     return rows.mapInArrow(label, schema)
 
 
-def keep_identified(docs: DataFrame, min_share: float = 0.5) -> DataFrame:
-    """The documents with a language that holds at least ``min_share`` of their letters, with the columns of ``docs``."""
-    return identify(docs, train(docs)).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_share)).select("row.*")
+def keep_identified(docs: DataFrame, min_share: float = 0.0) -> DataFrame:
+    """The documents in which a language was found, with the columns of ``docs``; mixed ones stay, by their main language.
+
+    ``min_share`` is the least share of the letters that the main language must hold. A table without labels teaches no language; then
+    nothing can be told and all of it stays.
+    """
+    model = train(docs)
+    if not model.languages:
+        return docs
+    return identify(docs, model).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_share)).select("row.*")

@@ -113,21 +113,30 @@ class Compiler:
                 for k in range(1, len(s)):
                     self.prefixes.add(s[:k])
         self.spelled = spelled
+        self.column = np.full(256, -1, np.int32)  # of a byte; bytes get theirs when a text first has them
+        self.bytes: list[int] = []
+        self.width = COLUMNS
         self._forget()
 
     def _forget(self) -> None:
         self.states = [((), ((None, 0),))]
         self.index = {self.states[0]: 0}
         self.beside: dict[tuple[int, int], bool] = {}
-        self.column = np.full(256, -1, np.int32)  # of a byte; bytes get theirs when a text first has them
-        self.bytes: list[int] = []
-        self.step = np.full((ROWS, COLUMNS), -1, np.int32)
-        self.adds = np.zeros((ROWS, COLUMNS), np.int8)
-        self.ends = np.full((ROWS, COLUMNS), -1, np.int16)
+        self.step = np.full((ROWS, self.width), -1, np.int32)
+        self.adds = np.zeros((ROWS, self.width), np.int8)
+        self.ends = np.full((ROWS, self.width), -1, np.int16)
+
+    def _restart(self, live: np.ndarray) -> np.ndarray:
+        """Forget all states but those that words stand in; their new numbers."""
+        kept, place = np.unique(live, return_inverse=True)
+        found = [self.states[i] for i in kept.tolist()]
+        self._forget()
+        return np.array([self._add_state(x) for x in found], np.int32)[place]
 
     def _grow(self, rows: int, columns: int) -> None:
         wider = lambda a, fill: np.pad(a, ((0, rows), (0, columns)), constant_values=fill)
         self.step, self.adds, self.ends = wider(self.step, -1), wider(self.adds, 0), wider(self.ends, -1)
+        self.width += columns
 
     def _columns(self, raw: np.ndarray) -> np.ndarray:
         for b in np.flatnonzero(np.bincount(raw, minlength=256)).tolist():
@@ -200,7 +209,7 @@ class Compiler:
         column = self._columns(raw)
         order = np.argsort(-length, kind="stable")
         begin, length = begin[order], length[order]
-        state, total = np.zeros(len(order), np.int32), np.zeros(len(order), np.int32)
+        state, total, bound = np.zeros(len(order), np.int32), np.zeros(len(order), np.int32), self.max_states
         for k in range(int(length[0]) if len(length) else 0):
             live = int(np.searchsorted(-length, -k, "left"))
             more = int(np.searchsorted(-length, -k - 1, "left"))
@@ -214,6 +223,10 @@ class Compiler:
                 self._complete("step", self.compile_step, s, b)
                 total[:more] += self.adds[s, b]
                 state[:more] = self.step[s, b]
+                # one unbroken run of letters can make a state a byte
+                if len(self.states) > bound or len(self.beside) > MAX_PAIRS:
+                    state[:more] = self._restart(state[:more])
+                    bound = max(self.max_states, 2 * len(self.states))
         out = np.empty(len(order), np.int32)
         out[order] = total
         return out

@@ -308,3 +308,49 @@ def test_robust_estimate_against_numpy(spark):
     want = min(results, key=lambda r: r[0])
     assert got["log_det"] <= want[0] + 1e-6
     assert np.allclose(want[1], [got[f"m{i}"] for i in range(len(names))], atol=0.3)
+
+
+def test_viterbi_with_many_labels():
+    """More labels than a byte can name, several sequences, against a plain search."""
+    rng = np.random.default_rng(5)
+    n_labels, lengths, penalty = 200, np.array([3, 0, 700, 1]), 2.0
+    scores = rng.normal(size=(int(lengths.sum()), n_labels)).astype(np.float32)
+    scores[5:300, 180] += 6
+    got = langid.viterbi(scores, lengths, penalty)
+    at = 0
+    for n in lengths[lengths > 0]:
+        s, v, back = scores[at : at + n], None, []
+        for row in s:
+            if v is None:
+                v = row.astype(float)
+                continue
+            best = v.argmax()
+            back.append(np.where(v[best] - penalty > v, best, np.arange(n_labels)))
+            v = np.maximum(v, v[best] - penalty) + row
+        path = [int(v.argmax())]
+        for b in reversed(back):
+            path.append(int(b[path[-1]]))
+        mine = got[at : at + n].tolist()
+        cost = lambda p, s=s: sum(float(s[i, x]) for i, x in enumerate(p)) - penalty * sum(a != b for a, b in zip(p, p[1:], strict=False))
+        assert abs(cost(mine) - cost(path[::-1])) < 1e-2
+        at += n
+    assert 180 in got.tolist()
+
+
+def test_documents_without_labels_stay(spark):
+    docs = spark.createDataFrame([(1, "some text", None), (2, None, None)], "doc_id long, text string, lang string")
+    assert langid.keep_identified(docs).count() == 2
+    words = {"en": "the house and the garden ", "de": "das haus und der garten "}
+    rows = [(i, words[lang] * 20, lang) for i in range(20) for lang in words] + [(99, words["en"] * 9 + words["de"] * 8 + words["en"], None), (100, "12 34", None)]
+    kept = {r["doc_id"] for r in langid.keep_identified(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert 99 in kept and 100 not in kept and 3 in kept
+
+
+def test_states_stay_bounded_inside_a_text():
+    with open(queries.VOCABULARY, encoding="utf-8") as f:
+        v = voc.parse(f.read())
+    rng = np.random.default_rng(2)
+    text = "".join(rng.choice(list("etaoinshrdlu"), 6000)) + " ab cd"
+    free, tight = token_counts.Compiler(v), token_counts.Compiler(v, max_states=300)
+    want = token_counts.count_tokens([text, "plain words"], free, v)
+    assert len(free.states) > 2000 and (token_counts.count_tokens([text, "plain words"], tight, v) == want).all() and len(tight.states) < 1000
