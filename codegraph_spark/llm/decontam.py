@@ -253,8 +253,9 @@ def sizes_of(windows: DataFrame, shingle: int) -> list[int]:
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
-    """Per document doc_id, n_words, ``spans`` (start and end of every occurring window, in words), n_hit (words inside any) and ``met``
-    (names its set of windows, null without one); and per ``met`` its ``items``, sorted as strings."""
+    """Per document doc_id, n_words, ``spans`` (start and end of every occurring window, in words), n_hit (words inside any), n_items, the
+    digest of its items (items_sha256) and ``met`` (names its set of windows, null without one); and per ``met`` its ``items``, sorted as
+    strings."""
     windows, items = windows_of(benchmark, window)
     tokens = cut(prefixes(docs, windows, shingle))
     found = cut(places(docs, filter_of(tokens.select("hash").distinct()), sizes_of(tokens, shingle), window))
@@ -270,8 +271,13 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: i
     )["n"]
     each = cut(each.select("row", "spans", hit.alias("n_hit"), "wids", F.sha2(F.array_join(F.col("wids").cast("array<string>"), ","), 256).alias("met")))
     sets = each.groupBy("met").agg(F.first("wids").alias("wids")).select("met", F.explode("wids").alias("wid"))
-    listed = sets.join(items, "wid").groupBy("met").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    listed = cut(sets.join(items, "wid").groupBy("met").agg(F.array_sort(F.collect_set("item")).alias("items")))
+    told = listed.select("met", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
+    # only documents with a window meet the sets; one set may be that of very many
+    each = each.drop("wids").join(beside(told), "met")
     facts = found.where("pos is null").select("row", "doc_id", "n_words")
-    out = facts.join(each.drop("wids"), "row", "left")
+    out = facts.join(each, "row", "left")
+    none = F.lit(0).cast("long")
     spans = F.coalesce("spans", F.array().cast(each.schema["spans"].dataType))
-    return out.select("doc_id", "n_words", spans.alias("spans"), F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), "met"), listed
+    out = out.select("doc_id", "n_words", spans.alias("spans"), F.coalesce("n_hit", none).alias("n_hit"), F.coalesce("n_items", none).alias("n_items"), F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), "met")
+    return out, listed
