@@ -27,7 +27,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codegraph_spark.llm.placing import placed
-from codegraph_spark.llm.small import beside
 from codegraph_spark.plans.lineage import cut
 
 STRIDE = 6
@@ -129,7 +128,8 @@ def climb_down(tree: Tree, above: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(columns, ["run", "proof", *[f.name for f in handed], *names])
                 del nodes
 
-        met = table.join(beside(cut(paths)).withColumnRenamed("pos", "block"), ["run", "block"])
+        # paths are wide rows: written, so that their size tells whether they may be broadcast
+        met = table.join(cut(paths).withColumnRenamed("pos", "block"), ["run", "block"])
         types = [f"run string, proof array<{STEP}>", *[f"`{f.name}` {f.dataType.simpleString()}" for f in handed], *[f"{n} {kept[n].dataType.simpleString()}" for n in names]]
         paths = met.mapInArrow(prove, ", ".join(types))
         if k:
