@@ -333,12 +333,16 @@ def _lines_at(lines: DataFrame, asked: DataFrame) -> DataFrame:
     return got.withColumn("file_path", F.col("file_path.file_path"))
 
 
-def read_spans(lines: DataFrame, spans: DataFrame, max_lines_per_span: int = 220) -> DataFrame:
-    """Joined text of spans ``(query_id, pos, path, from_line, to_line)``; one past the end drops out."""
-    n = min(max(max_lines_per_span, 1), 1200)
+def read_spans(lines: DataFrame, spans: DataFrame, max_lines_per_span: int | None = None) -> DataFrame:
+    """Joined text of spans ``(query_id, pos, path, from_line, to_line[, repo])``; one past the end drops out.
+
+    ``max_lines_per_span`` (the original service: 220) cuts longer spans.
+    """
     frm = F.greatest(F.lit(1), F.coalesce("from_line", F.lit(0)))
     to = F.when(F.coalesce("to_line", F.lit(0)) <= 0, frm + 80).otherwise(F.col("to_line"))
-    to = F.least(F.greatest(frm, to), frm + n - 1)
+    to = F.greatest(frm, to)
+    if max_lines_per_span:
+        to = F.least(to, frm + max_lines_per_span - 1)
     if "content" in lines.columns:
         cut = _cut_ranges(lines, spans.filter(~tx.is_blank(F.col("path"))).select("query_id", "pos", *_repo(spans), F.col("path").alias("file_path"), frm.alias("_from"), to.alias("_to")))
         return cut.select(

@@ -238,14 +238,19 @@ def callers_by_name(refs: DataFrame, symbols: DataFrame, seeds: DataFrame, limit
     )
 
 
-BODY_LINES = 220
+def callees_of(
+    symbols: DataFrame, lines: DataFrame, refs: DataFrame, seeds: DataFrame, kinds=("Method", "Function", "Unknown"), candidates: int | None = None, body_lines: int | None = None
+) -> DataFrame:
+    """Symbols called in the body of each seed: a call token names them and a reference of theirs lies inside.
 
-
-def callees_of(symbols: DataFrame, lines: DataFrame, refs: DataFrame, seeds: DataFrame, kinds=("Method", "Function", "Unknown"), candidates: int | None = None) -> DataFrame:
-    """Symbols called in the body of each seed: a call token names them and a reference of theirs lies inside."""
-    body = symbols.join(seeds.select("query_id", F.col("symbol_id").alias("id")), "id").filter("line_start > 0").select(
+    A body without an end runs to the end of its file, or over ``body_lines`` (the original service: 220).
+    """
+    last = lines.groupBy("repo_name", "file_path").agg(F.max("line").alias("_of_file"))
+    open_end = F.col("_of_file") if body_lines is None else F.least(F.col("_of_file"), F.col("line_start") + body_lines)
+    asked = symbols.join(seeds.select("query_id", F.col("symbol_id").alias("id")), "id").filter("line_start > 0")
+    body = asked.join(last, ["repo_name", "file_path"], "left").select(
         "query_id", "id", "repo_name", "file_path", "line_start",
-        F.when(F.col("line_end") > 0, F.greatest("line_end", "line_start")).otherwise(F.col("line_start") + BODY_LINES).alias("_last"),
+        F.when(F.col("line_end") > 0, F.greatest("line_end", "line_start")).otherwise(F.greatest(open_end, F.col("line_start"))).alias("_last"),
         F.when(F.col("line_end") > 0, F.col("line_end")).otherwise(F.lit(OPEN_END)).alias("_end"),
     )
     spots = body.select("query_id", "id", "repo_name", "file_path", F.explode(F.sequence("line_start", "_last")).alias("line"))

@@ -311,7 +311,10 @@ def link_score(kind: Column, same_file: Column, distance: Column, imported: Colu
     )
 
 
-def link_ranked(usages: DataFrame, symbols: DataFrame, resolved_imports: DataFrame, usages_per_file: int | None = None, refs_per_file: int | None = None) -> DataFrame:
+def link_ranked(
+    usages: DataFrame, symbols: DataFrame, resolved_imports: DataFrame, usages_per_file: int | None = None, refs_per_file: int | None = None,
+    lines: DataFrame | None = None,
+) -> DataFrame:
     """Best symbol of each usage, with a runner-up when the two scores are close.
 
     A usage never meets every symbol of its name.  Symbols of one kind group
@@ -379,7 +382,7 @@ def link_ranked(usages: DataFrame, symbols: DataFrame, resolved_imports: DataFra
     refs = kept.filter(~own).select("symbol_id", F.col("file_path").alias("in_file"), "repo_name", "line").distinct()
     if refs_per_file:
         refs = top_k(refs, ["repo_name", "in_file"], ["line", "symbol_id"], refs_per_file).drop("rank")
-    return with_context(refs, usages)
+    return with_context(refs, usages, lines)
 
 
 def _window(keys):

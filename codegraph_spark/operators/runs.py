@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from codegraph_spark.functions import text as tx
 from codegraph_spark.operators.ranked import LINE_GRAMS
+from codegraph_spark.plans.lineage import cut
 from codegraph_spark.plans.substring import contains_join
 from codegraph_spark.plans.topk import top_k
 
@@ -500,6 +501,37 @@ def dict_encode(df: DataFrame, cols, key: str = "query_id"):
     return dictionary, rows
 
 
+def dict_encode_tables(tables: dict[str, tuple[DataFrame, dict[str, str]]], key: str = "query_id"):
+    """(dictionary, tables): like ``dict_encode`` with dictionaries that several tables of an answer share.
+
+    ``tables`` holds, by name, rows and the dictionary of each column to encode: the ids of nodes and both ends of edges, say, stand in one.
+    """
+    from pyspark.sql.window import Window
+
+    values = None
+    for df, columns in tables.values():
+        for c, name in columns.items():
+            part = df.select(key, F.lit(name).alias("dict"), F.lower(c).alias("_v"), F.col(c).alias("value")).filter(F.col(c).isNotNull())
+            values = part if values is None else values.unionByName(part)
+    distinct = values.groupBy(key, "dict", "_v").agg(F.min("value").alias("value"))
+    indexed = cut(distinct.withColumn("idx", F.row_number().over(Window.partitionBy(key, "dict").orderBy("_v")) - 1))
+    encoded = {}
+    for name, (df, columns) in tables.items():
+        for c, of in columns.items():
+            at = indexed.filter(F.col("dict") == of).select(key, "_v", F.col("idx").alias("_idx"))
+            df = df.withColumn("_v", F.lower(c)).join(at, [key, "_v"], "left").drop("_v", c).withColumnRenamed("_idx", c)
+        encoded[name] = df
+    return indexed.drop("_v"), encoded
+
+
+def dict_decode(df: DataFrame, dictionary: DataFrame, columns: dict[str, str], key: str = "query_id") -> DataFrame:
+    """The values back in the place of their indexes."""
+    for c, of in columns.items():
+        at = dictionary.filter(F.col("dict") == of).select(key, F.col("idx").alias(c), F.col("value").alias("_value"))
+        df = df.join(at, [key, c], "left").drop(c).withColumnRenamed("_value", c)
+    return df
+
+
 def category_tags(flaky: Column) -> Column:
     """Every category a flagged and classified row belongs to."""
     return F.array_compact(F.array(

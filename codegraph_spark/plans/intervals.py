@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 LEVELS = 8
 BITS = 4
@@ -68,11 +69,14 @@ def best_at_or_before(points: DataFrame, items: DataFrame, keys, at: str, positi
     return _match(points, keys, covering_blocks(F.lit(0), F.col(at)), items, containing_blocks(position), rank, at, out)
 
 
-_MIRROR = (1 << 31) - 1
-
-
 def first_at_or_after(points: DataFrame, items: DataFrame, keys, at: str, position: str, out: str) -> DataFrame:
-    """Per distinct (keys, at): the least item position that is not before it."""
-    mirrored = points.withColumn("_at", F.lit(_MIRROR) - F.col(at))
-    got = best_at_or_before(mirrored, items, keys, "_at", F.lit(_MIRROR) - F.col(position), F.col(position), out)
-    return got.withColumn(at, (F.lit(_MIRROR) - F.col("_at")).cast("int")).drop("_at")
+    """Per distinct (keys, at): the least item position that is not before it.
+
+    Points and items of a key stand in one descending order, in which the last item seen is the answer. A key is a part of one file
+    (its braces of a depth, its references to a symbol).
+    """
+    asked = points.select(*keys, F.col(at).cast("long").alias("_at"), F.lit(1).alias("_point"), F.lit(None).cast(items.schema[position].dataType).alias(out)).distinct()
+    given = items.select(*keys, F.col(position).cast("long").alias("_at"), F.lit(0).alias("_point"), F.col(position).alias(out))
+    upto = Window.partitionBy(*keys).orderBy(F.desc("_at"), "_point").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = asked.unionByName(given).withColumn(out, F.last(out, ignorenulls=True).over(upto))
+    return met.filter((F.col("_point") == 1) & F.col(out).isNotNull()).select(*keys, F.col("_at").cast("int").alias(at), out)

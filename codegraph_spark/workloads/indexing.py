@@ -214,6 +214,47 @@ def _(spark, d):
     )
 
 
+_CODE_LINES = """
+o AS (SELECT o_custkey AS c, o_orderkey AS k, o_custkey % 2 = 0 AS cs FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)),
+raw AS (SELECT c, cs, k, 0 AS n, 0 AS sub FROM o UNION ALL SELECT c, cs, k, l_linenumber, unnest([1, 2, 3]) FROM o JOIN (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) ON l_orderkey = k UNION ALL SELECT c, cs, k, 1000, 0 FROM o),
+code AS (SELECT *, '/code/' || c || CASE WHEN cs THEN '.cs' ELSE '.rs' END AS file_path, CAST(row_number() OVER (PARTITION BY c ORDER BY k, n, sub) AS INTEGER) AS line FROM raw)"""
+
+
+@query("extract_symbols_braces", f"""
+WITH {_CODE_LINES},
+fin AS (SELECT file_path, k, max(line) AS last FROM code GROUP BY file_path, k)
+SELECT c.file_path, CASE WHEN cs AND n = 0 THEN 'Class' WHEN cs THEN 'Method' WHEN n = 0 THEN 'Module' ELSE 'Function' END AS kind,
+       CASE WHEN cs THEN CASE WHEN n = 0 THEN 'C' ELSE 'M' END ELSE CASE WHEN n = 0 THEN 'm' ELSE 'f' END END || CASE WHEN n = 0 THEN c.k ELSE n END AS name,
+       line AS line_start, CAST(CASE WHEN n = 0 THEN last ELSE line + 2 END AS INTEGER) AS line_end
+FROM code c JOIN fin f ON f.file_path = c.file_path AND f.k = c.k WHERE (n = 0 OR sub = 1) AND n < 1000""")
+def _(spark, d):
+    """One class or module per order, one function per line number, nested braces, braces in strings and comments."""
+    from pyspark.sql.window import Window
+
+    o = corpus.table(spark, d, "orders").select(F.col("o_custkey").alias("c"), F.col("o_orderkey").alias("k"), (F.col("o_custkey") % 2 == 0).alias("cs"))
+    items = corpus.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").cast("int").alias("n"), F.col("l_quantity").cast("int").alias("q"))
+    items = items.groupBy("k", "n").agg(F.max("q").alias("q"))
+    o = o.join(items.select("k").distinct(), "k", "left_semi")
+    edge = lambda n: o.select("*", F.lit(n).alias("n"), F.lit(0).alias("q"), F.lit(0).alias("sub"))
+    body = o.join(items, "k").withColumn("sub", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))))
+    raw = edge(0).unionByName(body.select(*edge(0).columns)).unionByName(edge(1000))
+    k, n, q, cs = F.col("k").cast("string"), F.col("n").cast("string"), F.col("q").cast("string"), F.col("cs")
+    text = (
+        F.when(F.col("n") == 1000, F.lit("}"))
+        .when(F.col("n") == 0, F.when(cs, F.concat(F.lit("public class C"), k, F.lit(" {"))).otherwise(F.concat(F.lit("pub mod m"), k, F.lit(" {"))))
+        .when(F.col("sub") == 1, F.when(cs, F.concat(F.lit("    public void M"), n, F.lit("(int a) { // }"))).otherwise(F.concat(F.lit("    fn f"), n, F.lit("(a: i32) { // }"))))
+        .when(F.col("sub") == 2, F.concat(F.lit("        if (a > "), q, F.lit(') { say("}"); if (a < 2) { stop(); } }')))
+        .otherwise(F.lit("    }"))
+    )
+    lines = raw.select(
+        F.lit("code").alias("repo_name"), F.concat(F.lit("/code/"), F.col("c").cast("string"), F.when(cs, F.lit(".cs")).otherwise(F.lit(".rs"))).alias("file_path"),
+        F.when(cs, F.lit("CSharp")).otherwise(F.lit("Rust")).alias("language"),
+        F.row_number().over(Window.partitionBy("c").orderBy("k", "n", "sub")).alias("line"), text.alias("text"),
+    )
+    found = extract.extract_symbols(cut(lines), [*extract.CSHARP_RULES, *extract.RUST_RULES])
+    return found.select("file_path", "kind", "name", "line_start", "line_end")
+
+
 @query("extract_symbols", "SELECT id, repo_name, file_path, name, kind, line_start, line_end, signature FROM tsym")
 def _(spark, d):
     return corpus.document_symbols(spark, d)
@@ -336,7 +377,7 @@ SELECT c.id AS symbol_id, u.file_path AS in_file, u.line, min(u.context) AS cont
 WHERE NOT (c.file_path = u.file_path AND c.line_start = u.line) GROUP BY ALL""")
 def _(spark, d):
     lines = corpus.document_lines(spark, d)
-    return linking.link_lexical(cut(extract.lexical_usages(lines)), corpus.document_symbols(spark, d), 32).select("symbol_id", "in_file", "line", "context")
+    return linking.link_lexical(cut(extract.lexical_usages(lines).drop("context")), corpus.document_symbols(spark, d), 32, lines=lines).select("symbol_id", "in_file", "line", "context")
 
 
 @query("link_lexical_all", f"""
@@ -345,7 +386,7 @@ SELECT c.id AS symbol_id, u.file_path AS in_file, u.line, min(u.context) AS cont
 WHERE NOT (c.file_path = u.file_path AND c.line_start = u.line) GROUP BY ALL""")
 def _(spark, d):
     lines = corpus.document_lines(spark, d)
-    return linking.link_lexical(cut(extract.lexical_usages(lines)), corpus.document_symbols(spark, d)).select("symbol_id", "in_file", "line", "context")
+    return linking.link_lexical(cut(extract.lexical_usages(lines).drop("context")), corpus.document_symbols(spark, d), lines=lines).select("symbol_id", "in_file", "line", "context")
 
 
 @query("link_ranked", f"""
@@ -364,7 +405,7 @@ def _(spark, d):
     lines = corpus.document_lines(spark, d)
     docs = corpus.table(spark, d, "documents").select("doc_id", F.concat_ws("/", F.lit("/docs"), "lang", "source", F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).alias("f"))
     imports = docs.select("doc_id", F.col("f").alias("from_file")).join(docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("f").alias("to_file")), "doc_id")
-    refs = linking.link_ranked(cut(extract.lexical_usages(lines)), corpus.document_symbols(spark, d), imports.withColumn("repo_name", F.lit("docs")))
+    refs = linking.link_ranked(cut(extract.lexical_usages(lines)), corpus.document_symbols(spark, d), imports.withColumn("repo_name", F.lit("docs")), lines=lines)
     return refs.select("symbol_id", "in_file", "line", "context")
 
 

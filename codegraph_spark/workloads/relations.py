@@ -78,6 +78,25 @@ def _(spark, d):
     )
 
 
+@query("dict_encode_graph", _bfs(_BOTH, "least(a.distance, b.distance) < 2") + """,
+ids AS (SELECT query_id, v, dense_rank() OVER (PARTITION BY query_id ORDER BY lower(v)) - 1 AS idx FROM (SELECT query_id, node AS v FROM kept UNION SELECT query_id, src FROM ke UNION SELECT query_id, dst FROM ke)),
+tys AS (SELECT query_id, type, dense_rank() OVER (PARTITION BY query_id ORDER BY lower(type)) - 1 AS idx FROM (SELECT DISTINCT query_id, type FROM ke))
+SELECT k.query_id, 'node' AS what, CAST(i.idx AS INTEGER) AS a, CAST(NULL AS INTEGER) AS b, CAST(NULL AS INTEGER) AS c FROM kept k JOIN ids i ON i.query_id = k.query_id AND i.v = k.node
+UNION ALL SELECT e.query_id, 'edge', CAST(s.idx AS INTEGER), CAST(d.idx AS INTEGER), CAST(t.idx AS INTEGER) FROM ke e JOIN ids s ON s.query_id = e.query_id AND s.v = e.src JOIN ids d ON d.query_id = e.query_id AND d.v = e.dst
+JOIN tys t ON t.query_id = e.query_id AND t.type = e.type""")
+def _(spark, d):
+    """Nodes and edges of an answer over one dictionary of ids."""
+    from codegraph_spark.operators import runs
+
+    nodes, edges = corpus.trade_graph(spark, d)
+    got, kept = graph.graph_query(nodes, edges, _nation_seeds(spark, d), depth=2, max_nodes=60)
+    _, rows = runs.dict_encode_tables({"nodes": (cut(got.select("query_id", "node")), {"node": "id"}), "edges": (cut(kept), {"src": "id", "dst": "id", "type": "type"})})
+    none = F.lit(None).cast("int")
+    return rows["nodes"].select("query_id", F.lit("node").alias("what"), F.col("node").alias("a"), none.alias("b"), none.alias("c")).unionByName(
+        rows["edges"].select("query_id", F.lit("edge").alias("what"), F.col("src").alias("a"), F.col("dst").alias("b"), F.col("type").alias("c"))
+    )
+
+
 @query("graph_query_out", _bfs("SELECT src AS cur, dst AS nx FROM gedges", "a.distance < 3", depth=3, cap=200) + " SELECT query_id, node, distance FROM kept")
 def _(spark, d):
     nodes, edges = corpus.trade_graph(spark, d)

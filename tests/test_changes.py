@@ -245,3 +245,14 @@ def test_requests_without_repo_meet_all_repos(spark):
                                     "id string, repo_name string, file_path string, name string, kind string, line_start int, line_end int, signature string")
     asked = spark.createDataFrame([(1, None, ["Class"], None), (2, "r2", None, None)], "query_id long, repo string, kinds array<string>, path_prefix string")
     assert sorted((r["query_id"], r["id"]) for r in lookup.kind_and_path_filter(symbols, asked).collect()) == [(1, "s1"), (1, "s2"), (2, "s2")]
+
+
+def test_tables_share_their_dictionaries(spark):
+    nodes = spark.createDataFrame([(1, "b"), (1, "a"), (2, "z"), (3, None)], "query_id long, node string")
+    edges = spark.createDataFrame([(1, "a", "b", "call"), (1, "c", "a", "use"), (2, "z", "z", "call"), (2, "z", None, "call")], "query_id long, src string, dst string, type string")
+    columns = {"src": "id", "dst": "id", "type": "type"}
+    dictionary, got = runs.dict_encode_tables({"nodes": (nodes, {"node": "id"}), "edges": (edges, columns)})
+    assert rows(got["nodes"], "query_id", "node") == sorted([(1, 1), (1, 0), (2, 0), (3, None)], key=str)
+    assert (1, 2, 0, 1) in rows(got["edges"], "query_id", "src", "dst", "type") and dictionary.filter("dict = 'id' and query_id = 1").count() == 3
+    assert rows(runs.dict_decode(got["edges"], dictionary, columns), "query_id", "src", "dst", "type") == rows(edges)
+    assert rows(runs.dict_decode(got["nodes"], dictionary, {"node": "id"}), "query_id", "node") == rows(nodes)
