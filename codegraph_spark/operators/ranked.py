@@ -10,12 +10,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codegraph_spark.functions import text as tx
+from codegraph_spark.functions.required import literal_texts, required_texts
 from codegraph_spark.operators.linking import NameLinks, first_refs
 from codegraph_spark.operators.lookup import SYMBOL_COLUMNS, in_repo, name_matches, source_context, symbol_filters
+from codegraph_spark.plans import postings as grams
 from codegraph_spark.plans.lineage import cut
 from codegraph_spark.plans.substring import LINE_GRAMS, contains_join
 from codegraph_spark.plans.topk import best_one, top_k
 from codegraph_spark.schemas import optional
+from codegraph_spark.sources.scan import explode_lines
 
 ITEM_COLUMNS = ["query_id", "id", "t", "n", "p", "l", "k", "sc", "rank"]
 
@@ -252,11 +255,14 @@ def _pattern_scan(lines: DataFrame, patterns, probe) -> DataFrame:
     """One pass over the lines per ``PATTERNS_PER_SCAN`` patterns.
 
     Patterns are literals, so each is compiled once; lines are never shuffled
-    or paired with a pattern table.
+    or paired with a pattern table.  Lines with ``_may`` are tried with the
+    patterns of those numbers only.
     """
     out = None
+    some = "_may" in lines.columns
     for at in range(0, len(patterns), PATTERNS_PER_SCAN):
-        hits = F.array_compact(F.array(*[probe(p) for p in patterns[at : at + PATTERNS_PER_SCAN]]))
+        probes = [(i, probe(patterns[i])) for i in range(at, min(at + PATTERNS_PER_SCAN, len(patterns)))]
+        hits = F.array_compact(F.array(*[F.when(F.array_contains("_may", i), p) if some else p for i, p in probes]))
         rows = lines.withColumn("_m", F.explode(hits))
         out = rows if out is None else out.unionByName(rows)
     return out
@@ -282,8 +288,13 @@ def _first_files(hits: DataFrame, max_files: int | None, files: DataFrame | None
     return hits.join(first, "file_path", "left_semi")
 
 
+def _repo(lines: DataFrame) -> list[str]:
+    """Files of one path in two repos are told apart where lines name their repo."""
+    return ["repo_name"] if "repo_name" in lines.columns else []
+
+
 def regex_scan(lines: DataFrame, patterns, max_matches: int | None = None, max_files: int | None = None, path_prefix: str | None = None) -> DataFrame:
-    """Lines matching each ``(query_id, pattern, ignore_case)``; the first matches by (file, line)."""
+    """Lines matching each ``(query_id, pattern, ignore_case)``; the first matches by (file, repo, line)."""
     src = lines.filter(tx.path_matches(F.col("file_path"), F.lit(path_prefix))) if path_prefix else lines
 
     def probe(p):
@@ -293,8 +304,9 @@ def regex_scan(lines: DataFrame, patterns, max_matches: int | None = None, max_f
         return F.when(F.col("text").rlike(rx), F.struct(F.lit(query_id).cast("long").alias("query_id")))
 
     hits = _first_files(_pattern_scan(src, list(patterns), probe), max_files, src)
-    kept = top_k(hits.select("_m.query_id", "file_path", "line", tx.truncate(tx.trim(F.col("text")), 240).alias("text")), ["query_id"], ["file_path", "line"], max_matches)
-    return kept
+    repo = _repo(lines)
+    found = hits.select("_m.query_id", *repo, "file_path", "line", tx.truncate(tx.trim(F.col("text")), 240).alias("text"))
+    return top_k(found, ["query_id"], ["file_path", *repo, "line"], max_matches)
 
 
 def rg_search(
@@ -320,10 +332,30 @@ def rg_search(
         return F.when(col > 0, F.struct(F.lit(query_id).cast("long").alias("query_id"), col.cast("int").alias("col")))
 
     hits = _first_files(_pattern_scan(src, list(patterns), probe), max_files, src)
-    return top_k(
-        hits.select("_m.query_id", "file_path", "line", "_m.col", tx.truncate(tx.trim(F.col("text")), max_line_length).alias("text")),
-        ["query_id"], ["file_path", "line"], max_matches,
-    )
+    repo = _repo(lines)
+    found = hits.select("_m.query_id", *repo, "file_path", "line", "_m.col", tx.truncate(tx.trim(F.col("text")), max_line_length).alias("text"))
+    return top_k(found, ["query_id"], ["file_path", *repo, "line"], max_matches)
+
+
+def indexed_scan(scan, files: DataFrame, postings: DataFrame, patterns, **options) -> DataFrame:
+    """``scan`` (``regex_scan`` or ``rg_search``) over the files that can hold a match, by their gram postings.
+
+    The rows are those of the scan over all lines of ``files``. Patterns of which no text of three characters is required read every line.
+    """
+    patterns = list(patterns)
+    if scan is rg_search:
+        needs = [literal_texts(p[2], p[3]) if p[1] == "literal" else required_texts(p[2]) for p in patterns]
+    else:
+        needs = [required_texts(p[1]) for p in patterns]
+    met = [i for i, texts in enumerate(needs) if grams.grams_of(texts)]
+    rest = [p for i, p in enumerate(patterns) if i not in set(met)]
+    parts = []
+    if met:
+        lines = grams.candidate_lines(files, postings, {at: needs[i] for at, i in enumerate(met)})
+        parts.append(scan(lines, [patterns[i] for i in met], **options))
+    if rest or not met:
+        parts.append(scan(explode_lines(files), rest, **options))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
 def test_map(files: DataFrame, req: DataFrame, limit: int = 20, max_limit: int = 200) -> DataFrame:

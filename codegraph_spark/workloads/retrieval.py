@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from codegraph_spark.operators import lookup, packs, ranked
-from codegraph_spark.plans.lineage import cut
+from codegraph_spark.plans import postings
+from codegraph_spark.plans.lineage import cut, scratch_path
 from codegraph_spark.sources import corpus
 from codegraph_spark.workloads.base import query
 
@@ -318,7 +319,7 @@ _RX = " UNION ALL ".join(
 
 @query("regex_scan", f"SELECT CAST(query_id AS BIGINT) AS query_id, file_path, line, text, CAST(rn AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY file_path, line) AS rn FROM ({_RX})) WHERE rn <= 250")
 def _(spark, d):
-    return ranked.regex_scan(corpus.document_lines(spark, d), PATTERNS, 250)
+    return ranked.regex_scan(corpus.document_lines(spark, d), PATTERNS, 250).drop("repo_name")
 
 
 @query("regex_scan_all", f"SELECT CAST(query_id AS BIGINT) AS query_id, file_path, line, text FROM ({_RX})")
@@ -326,16 +327,42 @@ def _(spark, d):
     return ranked.regex_scan(corpus.document_lines(spark, d), PATTERNS).select("query_id", "file_path", "line", "text")
 
 
-@query("rg_search", """
+INDEXED = [*PATTERNS, (6, r"\bpress(ure)? [a-z]", True), (7, r"licen[cs]ed? under", False), (8, r"[A-Z]\w+ the river", False)]
+_IX = " UNION ALL ".join(
+    f"SELECT {q} AS query_id, file_path, line, substr(trim(text, ' ' || chr(9)), 1, 240) AS text FROM lines WHERE regexp_matches(text, '{'(?i)' if i else ''}{p}')" for q, p, i in INDEXED
+)
+
+
+def _postings(spark, d):
+    path = scratch_path(spark, "postings")
+    postings.write(postings.build(corpus.document_files(spark, d)), path)
+    return spark.read.parquet(path)
+
+
+@query("regex_scan_indexed", f"SELECT CAST(query_id AS BIGINT) AS query_id, file_path, line, text FROM ({_IX})")
+def _(spark, d):
+    found = ranked.indexed_scan(ranked.regex_scan, corpus.document_files(spark, d), _postings(spark, d), INDEXED)
+    return found.select("query_id", "file_path", "line", "text")
+
+
+_RG = """
 WITH h AS (SELECT 1 AS query_id, file_path, line, strpos(lower(text), 'the ') AS col, text FROM lines
            UNION ALL SELECT 2, file_path, line, CASE WHEN regexp_matches(text, '[0-9]+') THEN length(regexp_extract(text, '^([^0-9]*)[0-9]', 1)) + 1 ELSE 0 END, text FROM lines
            UNION ALL SELECT 3, file_path, line, strpos(text, 'Der'), text FROM lines)
-SELECT CAST(query_id AS BIGINT) AS query_id, file_path, line, CAST(col AS INTEGER) AS col, substr(trim(text, ' ' || chr(9)), 1, 120) AS text, CAST(rn AS INTEGER) AS rank
-FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY file_path, line) AS rn FROM h WHERE col > 0) WHERE rn <= 300""")
+SELECT CAST(query_id AS BIGINT) AS query_id, file_path, line, CAST(col AS INTEGER) AS col, substr(trim(text, ' ' || chr(9)), 1, 120) AS text {rank} FROM {rows}"""
+_RG_FIRST = "(SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY file_path, line) AS rn FROM h WHERE col > 0) WHERE rn <= 300"
+RG_PATTERNS = [(1, "literal", "THE ", True), (2, "regex", "[0-9]+", False), (3, "literal", "Der", False)]
+
+
+@query("rg_search", _RG.format(rank=", CAST(rn AS INTEGER) AS rank", rows=_RG_FIRST))
 def _(spark, d):
-    return ranked.rg_search(
-        corpus.document_lines(spark, d), [(1, "literal", "THE ", True), (2, "regex", "[0-9]+", False), (3, "literal", "Der", False)], 300, max_line_length=120
-    )
+    return ranked.rg_search(corpus.document_lines(spark, d), RG_PATTERNS, 300, max_line_length=120).drop("repo_name")
+
+
+@query("rg_search_all", _RG.format(rank="", rows="h WHERE col > 0"))
+def _(spark, d):
+    found = ranked.indexed_scan(ranked.rg_search, corpus.document_files(spark, d), _postings(spark, d), RG_PATTERNS, max_line_length=120)
+    return found.select("query_id", "file_path", "line", "col", "text")
 
 
 @query("test_map", """

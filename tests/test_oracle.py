@@ -14,6 +14,7 @@ QUICK = [
     "scan_files", "expand_imports", "link_lexical_all", "semantic_search", "pack_compact", "callers_of", "callers_by_name", "callees_of", "compact_graph", "rename_plan",
     "patch_files", "edit_lines", "read_range", "read_spans", "read_many", "source_context", "deps", "commit_summary", "file_facts", "kind_and_path_filter", "test_map",
     "compare_workflows", "stream_telemetry", "implements_names", "extract_symbols_braces", "dict_encode_graph", "merge_base", "rename_chain",
+    "regex_scan_indexed", "rg_search_all",
 ]
 NAMES = sorted(QUERIES) if os.environ.get("ORACLE_ALL") else QUICK
 
