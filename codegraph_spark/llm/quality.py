@@ -5,11 +5,12 @@ and a covariance that outliers do not bend: from several starts, the rows neares
 next one, and the start that ends with the least determinant counts. Documents whose squared Mahalanobis distance, scaled so that its
 median is that of a chi-squared variable, exceeds ``CUTOFF`` are rejected, like those that fail the base rules.
 
-Groups with fewer than ``MIN_GROUP`` documents are pooled by language, then altogether; what is still smaller is not tested. Estimates
-are sums and quantile sketches per group, so a group may hold any share of the rows.
+Groups with fewer than ``MIN_GROUP`` texts are pooled by language, then altogether; where that stays small, the estimate of the whole language
+judges them, then that of all rows. Only a table with fewer texts than that altogether is left to the base rules. Copies of a text count once
+in the estimates. These are sums and quantile sketches per group, so a group may hold any share of the rows.
 
 Defined results: null and empty texts have no words and fail the base rules; null languages and sources are values like any other;
-documents that fail the base rules take no part in the estimates and have no distance; repeated rows count each; other columns do not
+documents that fail the base rules take no part in the estimates and have no distance; repeated rows are judged each; other columns do not
 matter.
 """
 
@@ -32,6 +33,7 @@ MIN_GROUP = 50
 SUBSET = 0.75
 STEPS = 3
 CUTOFF = 80.0
+LEAST_SCALE = 0.2  # varied groups have 0.22 and more; without it, near copies that fill half a group would make its other texts outliers
 ACCURACY = 10_000  # of the quantile sketches
 # Medians of the chi-squared distribution with 1 to 8 degrees of freedom.
 CHI2_MEDIAN = [0.4549, 1.3863, 2.3660, 3.3567, 4.3515, 5.3481, 6.3458, 7.3441]
@@ -40,13 +42,13 @@ FEATURES = [("log_words", 0.3), ("log_length", 0.05), ("symbols", 0.1), ("dup_li
 
 
 def counts(docs: DataFrame) -> DataFrame:
-    """``row`` (the input row as a struct), the base counts, ``n_lines`` (lines with a word) and ``base_failed``."""
+    """``row`` (the input row as a struct), the base counts, ``n_lines`` (lines with a word), ``text_hash`` and ``base_failed``."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    a = docs.select(F.struct("*").alias("row"), F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("words"), text.alias("body"))
+    a = docs.select(F.struct("*").alias("row"), F.xxhash64(text).alias("text_hash"), F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("words"), text.alias("body"))
     hashes = F.transform("words", lambda w, i: F.xxhash64(w, F.get(F.col("words"), i + 1), F.get(F.col("words"), i + 2)))
     n = F.size("words")
     b = a.select(
-        "row",
+        "row", "text_hash",
         n.cast("long").alias("n_words"),
         F.length(F.regexp_replace("body", r"[\x20\x09-\x0D]+", "")).cast("long").alias("word_chars"),
         F.regexp_count("body", F.lit(SYMBOL)).cast("long").alias("n_symbols"),
@@ -54,7 +56,7 @@ def counts(docs: DataFrame) -> DataFrame:
         F.slice(hashes, 1, F.greatest(n - 2, F.lit(0))).alias("windows"),
     )
     c = b.select(
-        "row", "n_words", "word_chars", "n_symbols", F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
+        "row", "text_hash", "n_words", "word_chars", "n_symbols", F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.when(F.size(F.array_distinct("windows")) < F.size("windows"), F.col("windows")).alias("windows"),
     )
     numbered = F.arrays_zip(F.col("windows").alias("h"), F.sequence(F.lit(0), F.size("windows") - 1).alias("i"))
@@ -66,7 +68,7 @@ def counts(docs: DataFrame) -> DataFrame:
     m = F.size("windows")
     gaps = F.zip_with(F.slice("windows", 1, F.greatest(m - 1, F.lit(0))), F.slice("windows", 2, F.greatest(m - 1, F.lit(0))), lambda x, y: F.least(y - x, F.lit(3)))
     repeated = F.when(F.col("windows").isNull() | (m < 1), 0).otherwise(F.aggregate(gaps, F.lit(3), lambda s, x: s + x))
-    out = e.select("row", "n_words", "word_chars", "n_symbols", "n_dup_lines", repeated.cast("long").alias("n_repeat_words"), "n_lines")
+    out = e.select("row", "n_words", "word_chars", "n_symbols", "n_dup_lines", repeated.cast("long").alias("n_repeat_words"), "n_lines", "text_hash")
     return out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words")))
 
 
@@ -80,22 +82,30 @@ def statistics() -> list[Column]:
     return [v.cast("double").alias(name) for v, (name, _) in zip(values, FEATURES, strict=True)]
 
 
-def grouped(rows: DataFrame, language: str, source: str, min_group: int) -> DataFrame:
-    """``rows`` with ``g``: their language and source, or the pool of small groups; null where even the last pool is small."""
+def grouped(rows: DataFrame, language: str, source: str, min_group: int) -> tuple[DataFrame, DataFrame]:
+    """``rows`` with ``g``, once for every group whose estimate they belong to, and the group that judges each language and source.
+
+    That is the pair itself; where it is small, the pool of the language's small ones, then of all still small ones; where that is small too,
+    all rows of the language, then all rows. It is null only where there are fewer than ``min_group`` rows altogether.
+    """
     sizes = rows.groupBy(language, source).agg(F.count(F.lit(1)).alias("n"))
     name = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("null"))
     by_language = Window.partitionBy(language)
     sizes = sizes.withColumn("small", F.col("n") < min_group).withColumn("pool", F.sum(F.when(F.col("small"), F.col("n"))).over(by_language))
-    sizes = sizes.withColumn("lost", F.col("small") & (F.col("pool") < min_group))
+    sizes = sizes.withColumn("lost", F.col("small") & (F.col("pool") < min_group)).withColumn("total", F.sum("n").over(by_language))
+    sizes = sizes.withColumn("rare", F.col("lost") & (F.col("total") < min_group)).withColumn("lends", F.max(F.col("lost") & ~F.col("rare")).over(by_language))
     sizes = cut(sizes)
-    rest_n = sizes.where("lost").agg(F.sum("n")).first()[0] or 0
-    g = (
-        F.when(~F.col("small"), F.to_json(F.array(name(language), name(source))))
-        .when(~F.col("lost"), F.to_json(F.array(name(language))))
-        .when(F.lit(rest_n >= min_group), F.lit("[]"))
-    )
-    keys = beside(cut(sizes.select(F.col(language).alias("_l"), F.col(source).alias("_s"), g.alias("g"))))
-    return rows.join(keys, rows[language].eqNullSafe(keys["_l"]) & rows[source].eqNullSafe(keys["_s"])).drop("_l", "_s")
+    lost_n, rare_n, all_n = sizes.agg(F.sum(F.when(F.col("lost"), F.col("n"))), F.sum(F.when(F.col("rare"), F.col("n"))), F.sum("n")).first()
+    pooled = (lost_n or 0) >= min_group
+    whole, everything = F.to_json(F.array(name(language), F.lit("*"))), F.when(F.lit((all_n or 0) >= min_group), F.lit('["*","*"]'))
+    own = F.when(~F.col("small"), F.to_json(F.array(name(language), name(source)))).when(~F.col("lost"), F.to_json(F.array(name(language))))
+    own = own.when(F.lit(pooled), F.lit("[]"))
+    fits = F.array(own, F.when(F.col("lends") & F.lit(not pooled), whole), F.when(F.lit(bool(rare_n) and not pooled), everything))
+    g = F.coalesce(own, F.when(~F.col("rare"), whole), everything)
+    place = cut(sizes.select(F.col(language).alias("_l"), F.col(source).alias("_s"), g.alias("g"), F.array_compact(fits).alias("fits")))
+    keys = beside(place.select("_l", "_s", "fits"))
+    met = rows.join(keys, rows[language].eqNullSafe(keys["_l"]) & rows[source].eqNullSafe(keys["_s"])).drop("_l", "_s")
+    return met.select(*rows.columns, F.explode("fits").alias("g")), place.select("_l", "_s", "g")
 
 
 def _estimate(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -156,7 +166,7 @@ def robust_estimates(rows: DataFrame, subset: float = SUBSET, steps: int = STEPS
     columns = [c for c in estimate.columns if c not in by]
     best = cut(estimate.groupBy("g").agg(F.min_by(F.struct(*columns), F.struct("log_det", "start")).alias("e")).select("g", "e.*"))
     middle = _distance(rows, best, ["g"]).groupBy("g").agg(F.percentile_approx("d2", 0.5, ACCURACY).alias("middle"))
-    scale = F.greatest(F.col("middle") / CHI2_MEDIAN[len(FEATURES) - 1], F.lit(1e-3))
+    scale = F.greatest(F.col("middle") / CHI2_MEDIAN[len(FEATURES) - 1], F.lit(LEAST_SCALE))
     return cut(best.join(middle, "g").withColumn("scale", scale).drop("middle"))
 
 
@@ -164,13 +174,12 @@ def judge(docs: DataFrame, cutoff: float = CUTOFF, min_group: int = MIN_GROUP, l
     """doc_id, the counts, base_failed, ``distance`` (scaled, squared; null where not tested) and kept, one row per document."""
     base = counts(docs).select(F.col("row.doc_id").alias("doc_id"), F.col("row")[language].alias("language"), F.col("row")[source].alias("source"), F.col("*")).drop("row")
     base = cut(base.select("*", *statistics()))
-    fit = base.where(~F.col("base_failed")).select("language", "source", *[f for f, _ in FEATURES])
-    fit = cut(grouped(fit, "language", "source", min_group).where(F.col("g").isNotNull()))
-    estimates = robust_estimates(fit.select("g", *[f for f, _ in FEATURES]))
-    # the group of a (language, source) pair, as the fit found it
-    place = cut(fit.groupBy("language", "source").agg(F.min("g").alias("g")))
-    known = place.select(F.col("language").alias("_l"), F.col("source").alias("_s"), "g").join(estimates, "g")
-    known = beside(cut(known))
+    names = [f for f, _ in FEATURES]
+    # a text that was copied says no more about its group than one copy
+    once = base.where(~F.col("base_failed")).groupBy("language", "source", "text_hash").agg(F.min(F.struct(*names)).alias("s"))
+    fit, place = grouped(cut(once.select("language", "source", "s.*")), "language", "source", min_group)
+    estimates = robust_estimates(cut(fit.select("g", *names)))
+    known = beside(cut(place.join(estimates, "g")))
     met = base.join(known, base["language"].eqNullSafe(known["_l"]) & base["source"].eqNullSafe(known["_s"]) & ~base["base_failed"], "left")
     for i, (f, _) in enumerate(FEATURES):
         rest = F.col(f) - F.col(f"m{i}") - sum((F.col(f"l{i}{j}") * F.col(f"z{j}") for j in range(i)), F.lit(0.0))

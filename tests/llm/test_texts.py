@@ -279,7 +279,29 @@ def test_quality_rejects_outliers(spark):
     got = by_id(quality.judge(rows))
     assert not any(got[1000 + i]["kept"] for i in range(20))
     assert sum(got[i]["kept"] for i in range(300)) >= 297
-    assert got[2000]["base_failed"] and got[2001]["kept"] and got[2001]["distance"] is None
+    assert got[2000]["base_failed"] and got[2001]["kept"] and got[2001]["distance"] is not None
+
+
+def test_quality_judges_small_groups(spark):
+    """A few texts of a language are judged with all rows, a small source with its language; copies do not make other texts outliers."""
+    rng = random.Random(4)
+    text = lambda n: " ".join(rng.choice(["alpha", "beta", "of", "gamma", "delta", "to", "zeta", "in"]) + str(rng.randint(0, 999)) for _ in range(n))
+    bad = " ".join("#*$%" + str(j) for j in range(120))
+    rows = [(i, text(rng.randint(80, 300)), "en", "s") for i in range(70)]
+    rows += [(100 + i, text(rng.randint(80, 300)), "en", "few") for i in range(3)] + [(110, bad, "en", "few")]
+    rows += [(120 + i, text(rng.randint(80, 300)), "fr", None) for i in range(2)] + [(130, bad, "fr", None), (131, bad, None, None)]
+    copied = text(150)
+    rows += [(1000 + i, copied, "en", "s") for i in range(150)]
+    schema = "doc_id long, text string, lang string, source string"
+    got = by_id(quality.judge(spark.createDataFrame(rows, schema)))
+    assert len(got) == len(rows) and all(r["distance"] is not None for r in got.values())
+    assert {i for i, r in got.items() if not r["kept"]} == {110, 130, 131}
+    fit = quality.grouped(spark.createDataFrame([("en", "s")] * 60 + [("en", "t")] * 3 + [("fr", None)] * 2, "l string, s string"), "l", "s", 50)
+    place = {(r["_l"], r["_s"]): r["g"] for r in fit[1].collect()}
+    assert place == {("en", "s"): '["=en","=s"]', ("en", "t"): '["=en","*"]', ("fr", None): '["*","*"]'}
+    assert {r["g"]: r["count"] for r in fit[0].groupBy("g").count().collect()} == {'["=en","=s"]': 60, '["=en","*"]': 63, '["*","*"]': 65}
+    few = by_id(quality.judge(spark.createDataFrame(rows[60:80], schema)))
+    assert all(r["distance"] is None and r["kept"] for r in few.values())
 
 
 def test_robust_estimate_against_numpy(spark):
