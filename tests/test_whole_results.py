@@ -42,3 +42,28 @@ def test_streams_read_tables_of_one_file_and_of_parts(spark, tmp_path):
         assert corpus.table_stream(spark, str(tmp_path / d), "conversations").isStreaming
         got = rows(QUERIES["stream_session_plans"](spark, str(tmp_path / d)))
         assert len(got) == 8 and got == rows(QUERIES["session_plan_state"](spark, str(tmp_path / d)))
+
+
+def test_the_store_keeps_no_pairs_of_a_name(spark, tmp_path):
+    from codegraph_spark.streaming import index_stream
+    from codegraph_spark.operators import registry
+    from codegraph_spark.workloads.indexing import TEXT_LANGUAGE
+
+    texts = {f"/t/{i}.txt": "Common word\nCommon(x) and Common(y)\nRarely Common(z)\n" for i in range(12)} | {"/t/own.txt": "Single(a)\nlonely\n", "/T/OWN2.txt": "Single(b)\n"}
+    files = spark.createDataFrame([("r", p, t) for p, t in texts.items()], "repo_name string, file_path string, content string")
+    store = index_stream.IndexStore(spark, str(tmp_path / "store"), registry.Registry().register(TEXT_LANGUAGE))
+    store.build(files)
+
+    def check(now):
+        fresh = registry.index_corpus(now, store.registry)
+        key = ("symbol_id", "in_file", "line", "context")
+        assert rows(store.read("refs"), *key) == rows(fresh.refs, *key)
+        told = fresh.refs.groupBy("repo_name", "in_file").agg(F.count(F.lit(1)).alias("refs"), F.count_distinct("line").alias("n_lines"), F.count_distinct("symbol_id").alias("symbols"))
+        assert rows(store.links().per_file()) == rows(told)
+
+    check(files)
+    assert store.read("refs").count() > 300 and spark.read.parquet(str(tmp_path / "store" / "refs")).count() == 0
+    changes = spark.createDataFrame([("r", "/t/3.txt", None, True, 1), ("r", "/t/4.txt", "new\nCommon(q)\nSingle(r)\n", False, 1)], "repo_name string, file_path string, content string, deleted boolean, version int")
+    store.apply(changes)
+    check(files.filter("file_path not in ('/t/3.txt', '/t/4.txt')").unionByName(changes.filter("not deleted").select(files.columns)))
+    assert spark.read.parquet(str(tmp_path / "store" / "named")).filter("batch = 1").count() == 1  # users of a name are not written again
