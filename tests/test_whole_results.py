@@ -67,3 +67,21 @@ def test_the_store_keeps_no_pairs_of_a_name(spark, tmp_path):
     store.apply(changes)
     check(files.filter("file_path not in ('/t/3.txt', '/t/4.txt')").unionByName(changes.filter("not deleted").select(files.columns)))
     assert spark.read.parquet(str(tmp_path / "store" / "named")).filter("batch = 1").count() == 1  # users of a name are not written again
+
+
+def test_substrings_are_met_where_the_texts_stand(spark, monkeypatch):
+    from codegraph_spark.plans import substring
+
+    t = spark.range(600).select("id", F.concat(F.repeat(F.lit("é🎉 Zeile "), (F.col("id") % 40).cast("int")), F.lit("END"), F.col("id").cast("string")).alias("t"))
+    t = t.unionByName(spark.createDataFrame([(1000, None), (1001, ""), (1002, "z" * 40_000 + "needle")], t.schema))
+    n = spark.createDataFrame([(1, "🎉 z"), (2, "end59"), (3, "NEEDLE"), (4, "é"), (5, "d1"), (6, ""), (7, None), (8, "absent"), (9, "é🎉 zeile é🎉")], "q int, n string")
+    want = rows(t.join(n, F.lower("t").contains(F.lower("n")) & (F.length("n") > 0)), "id", "q")
+    monkeypatch.setattr(substring, "SLICE", 1000)
+    for held in (substring.MOST_HELD, 0):
+        monkeypatch.setattr(substring, "MOST_HELD", held)
+        for sizes in (substring.LINE_GRAMS, substring.NAME_GRAMS):
+            for repeated in (True, False):
+                assert rows(substring.contains_join(t, "t", n, "n", ["id"], sizes, repeated=repeated), "id", "q") == want
+    monkeypatch.undo()
+    plan = substring.contains_join(t, "t", n, "n", ["id"], substring.LINE_GRAMS, repeated=False)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "Exchange hashpartitioning" not in plan
