@@ -85,3 +85,22 @@ def test_substrings_are_met_where_the_texts_stand(spark, monkeypatch):
     monkeypatch.undo()
     plan = substring.contains_join(t, "t", n, "n", ["id"], substring.LINE_GRAMS, repeated=False)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and "Exchange hashpartitioning" not in plan
+
+
+def test_callees_are_found_once_per_body(spark, monkeypatch):
+    """300 symbols share one body and one name: calls meet references inside the body, not symbols times namesakes."""
+    met = []
+    real = graph.product_join
+    monkeypatch.setattr(graph, "product_join", lambda left, *a: met.append(left.count()) or real(left, *a))
+    n = 300
+    symbols = spark.range(n).select(
+        F.format_string("s%d", "id").alias("id"), F.lit("r").alias("repo_name"), F.lit("/F").alias("file_path"), F.lit("run").alias("name"), F.lit("Method").alias("kind"),
+        F.lit(2).alias("line_start"), F.when(F.col("id") > 0, 5).alias("line_end"),
+    )
+    lines = spark.createDataFrame([("r", "/F", 3, "run(); run()"), ("r", "/F", 9, "stop()")], "repo_name string, file_path string, line int, text string")
+    refs = spark.createDataFrame([("s1", "/f", 3), ("s1", "/f", 4), ("s2", "/F", 8), ("s3", "/F", 1), ("s4", "/g", 3)], "symbol_id string, in_file string, line int")
+    seeds = symbols.select(F.substr("id", F.lit(2)).cast("long").alias("query_id"), F.col("id").alias("symbol_id"))
+    got = {(r.symbol_id, r.target) for r in graph.callees_of(symbols, lines, refs.withColumn("repo_name", F.lit("r")), seeds.union(seeds)).collect()}
+    # s0 has no end: its body runs to the end of the file
+    assert got == {(f"s{i}", "s1") for i in range(n) if i != 1} | {("s0", "s2")}
+    assert met == [3]
