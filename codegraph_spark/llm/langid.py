@@ -22,14 +22,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from codegraph_spark.llm.batches import text_slices
+from codegraph_spark.llm.batches import ragged, text_slices
 
 UNKNOWN = "und"
 BUCKETS = 1 << 17  # hashed features of a model
 DOCS_PER_LANGUAGE = 2000  # expected number of training documents of a language, at most
 SWITCH_PENALTY = 14.0  # in nats
 SCRIPT_SHARE = 0.001  # a language may use a script that holds this share of its training words
-PIECE = 1 << 19  # code points of text whose features are held at once
+PIECE = 1 << 18  # code points of text whose features are held at once
+TRAINING_PIECE = 1 << 18  # the same while features are counted
 BLOCK = 64  # words of a Viterbi block
 IMPOSSIBLE = np.float32(-60.0)
 
@@ -63,10 +64,10 @@ class Model:
 @lru_cache(maxsize=1)
 def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """By code point: is it a letter, its lower case form (where that is one code point), its script."""
-    chars = [chr(i) for i in range(0x110000)]
-    letter = np.fromiter((c.isalpha() for c in chars), bool, len(chars))
-    lower = np.fromiter((ord(x) if len(x := c.lower()) == 1 else ord(c) for c in chars), np.uint32, len(chars))
-    script = np.zeros(len(chars), np.uint8)
+    n = 0x110000
+    letter = np.fromiter((chr(i).isalpha() for i in range(n)), bool, n)
+    lower = np.fromiter((ord(x) if len(x := chr(i).lower()) == 1 else i for i in range(n)), np.uint32, n)
+    script = np.zeros(n, np.uint8)
     for name, first, last in SCRIPT_RANGES:
         script[first : last + 1] = SCRIPTS.index(name)
     return letter, lower, script
@@ -213,17 +214,19 @@ def _count_features(languages: list[str]):
         index = {name: i for i, name in enumerate(languages)}
         for part, texts in text_slices(batches):
             langs = np.array([index[x] for x in part.column("lang").to_pylist()])
-            w = words_of(texts)
-            if not len(w.doc):
-                continue
-            spot = np.concatenate([np.arange(a, b) for a, b in zip(w.edges[0::2], w.edges[1::2], strict=True)])
-            of = np.repeat(langs[w.doc], w.edges[1::2] - w.edges[0::2])
-            for i in range(len(languages)):
-                at = spot[of == i]
-                mine = langs[w.doc] == i
-                for buckets in (w.grams[0][at], w.grams[1][at], w.whole[mine]):
-                    total[i, :BUCKETS] += np.bincount(buckets, minlength=BUCKETS)
-                total[i, BUCKETS:] += np.bincount(w.script[mine], minlength=len(SCRIPTS))
+            for group in _pieces(texts, TRAINING_PIECE):
+                w = words_of([piece for _, _, piece in group])
+                if not len(w.doc):
+                    continue
+                lang_of = langs[[d for d, _, _ in group]][w.doc]
+                spot = ragged(w.edges[0::2], w.edges[1::2] - w.edges[0::2])
+                of = np.repeat(lang_of, w.edges[1::2] - w.edges[0::2])
+                for i in range(len(languages)):
+                    at = spot[of == i]
+                    mine = lang_of == i
+                    for buckets in (w.grams[0][at], w.grams[1][at], w.whole[mine]):
+                        total[i, :BUCKETS] += np.bincount(buckets, minlength=BUCKETS)
+                    total[i, BUCKETS:] += np.bincount(w.script[mine], minlength=len(SCRIPTS))
         lang, bucket = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(lang.astype(np.int32)), pa.array(bucket.astype(np.int32)), pa.array(total[lang, bucket])], ["l", "b", "n"])
 
@@ -254,19 +257,19 @@ def train(docs: DataFrame, usable: Column | None = None, docs_per_language: int
     return Model(languages, weights.astype(np.float32), (shares >= SCRIPT_SHARE).T.copy())
 
 
-def _pieces(texts: list[str | None]):
-    """Groups of (document, offset, piece) of about ``PIECE`` code points; longer texts are cut between words where a word allows it."""
+def _pieces(texts: list[str | None], piece: int = PIECE):
+    """Groups of (document, offset, piece) of about ``piece`` code points; longer texts are cut between words where a word allows it."""
     group, held = [], 0
     for d, text in enumerate(texts):
         at, text = 0, text or ""
         while at < len(text):
-            end = min(len(text), at + PIECE)
+            end = min(len(text), at + piece)
             if end < len(text):
                 cut = end
                 while cut > at and (text[cut - 1].isalpha() and text[cut].isalpha()):
                     cut -= 1
                 end = cut if cut > at else end
-            if held + end - at > PIECE and group:
+            if held + end - at > piece and group:
                 yield group
                 group, held = [], 0
             group.append((d, at, text[at:end]))

@@ -376,3 +376,25 @@ def test_states_stay_bounded_inside_a_text():
     free, tight = token_counts.Compiler(v), token_counts.Compiler(v, max_states=300)
     want = token_counts.count_tokens([text, "plain words"], free, v)
     assert len(free.states) > 2000 and (token_counts.count_tokens([text, "plain words"], tight, v) == want).all() and len(tight.states) < 1000
+
+
+def test_language_training_holds_one_piece_of_text():
+    """Counting features of a long text takes memory for a piece of it, and the counts do not depend on the pieces."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    text = " ".join(f"word{i % 977} größer {chr(0x3b1 + i % 20)}" for i in range(90_000))
+    batch = pa.RecordBatch.from_pydict({"text": [text, "the cat", "", text[:999]], "lang": ["a", "b", "b", "a"]})
+    langid._tables()
+    count = lambda: [c.to_pylist() for c in next(iter(langid._count_features(["a", "b"])(iter([batch])))).columns]
+    tracemalloc.start()
+    got = count()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(text) > 1_400_000 and peak < 60 << 20
+    keep, langid.TRAINING_PIECE = langid.TRAINING_PIECE, 1 << 30
+    try:
+        assert count() == got
+    finally:
+        langid.TRAINING_PIECE = keep
