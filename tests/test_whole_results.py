@@ -104,3 +104,18 @@ def test_callees_are_found_once_per_body(spark, monkeypatch):
     # s0 has no end: its body runs to the end of the file
     assert got == {(f"s{i}", "s1") for i in range(n) if i != 1} | {("s0", "s2")}
     assert met == [3]
+
+
+def test_seeds_and_edges_of_hubs(spark):
+    """Nodes are not broadcast by the size of their files; edges found from near nodes are those of the joins row by row."""
+    nodes = spark.range(9).select(F.concat(F.lit("n"), "id").alias("id"))
+    seeds = spark.range(3).select(F.col("id").alias("query_id"), F.concat(F.lit("n"), "id").alias("node"))
+    known = graph.known_seeds(seeds, nodes)
+    assert known.count() == 3 and "Broadcast" not in known._jdf.queryExecution().executedPlan().toString()
+    pairs = [("n0", "n1"), ("n1", "n0"), ("n1", "n1"), ("n2", "n0"), ("n2", "n3"), ("n3", "n0"), ("n3", "n4")]
+    edges = spark.createDataFrame([(a, b, "t") for a, b in pairs], "src string, dst string, type string")
+    held = spark.createDataFrame([(q, f"n{i}", d) for q in (1, 2) for i, d in ((0, 0), (1, 1), (2, 1 + q % 2), (3, 2))], "query_id long, node string, distance int")
+    for direction in ("out", "in", "both"):
+        for depth in (1, 2):
+            got = rows(induced_edges(held, edges, depth, direction))
+            assert got == rows(joined_edges(held, edges, depth, direction).distinct()) and len(set(got)) == len(got)
