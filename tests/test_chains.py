@@ -71,6 +71,30 @@ def test_long_line_takes_few_rounds(spark, monkeypatch):
     assert len(rounds) <= 2 * 18 + 8
 
 
+def test_search_does_not_rewrite_what_it_found(spark, monkeypatch):
+    """A wide graph of many hops: most of what was found is written anew a few times, not in every round."""
+    written = []
+    real = chains.cut
+
+    def cut(df):
+        out = real(df)
+        if "fresh" in out.columns:
+            written.append(out.count())
+        return out
+
+    monkeypatch.setattr(chains, "cut", cut)
+    k = F.col("id")
+    up = F.array_distinct(F.array(F.floor(k / 2).cast("string"), F.floor(k / 3).cast("string")))
+    edges = spark.range(1, 100_000).select(k.cast("string").alias("child_commit_id"), F.explode(up).alias("parent_commit_id"))
+    pairs = spark.range(300).select(k.alias("query_id"), (99_000 + k).cast("string").alias("left_commit"), (99_600 + k).cast("string").alias("right_commit"))
+    got = {tuple(r) for r in history.divergence(edges, pairs).collect()}
+    parents = {str(i): {str(i // 2), str(i // 3)} for i in range(1, 100_000)}
+    for q in (0, 123):
+        x, y = walk(parents, str(99_000 + q)), walk(parents, str(99_600 + q))
+        assert {r[1:] for r in got if r[0] == q} == {("left", c) for c in x if c not in y} | {("right", c) for c in y if c not in x}
+    assert sum(n > written[-1] / 2 for n in written) <= 4
+
+
 def test_rename_chain_of_many_hops(spark):
     n = 500
     commits = spark.range(n).select(F.lit("r").alias("repo_name"), F.format_string("c%05d", "id").alias("commit_id"), F.timestamp_seconds(F.col("id") * 60).alias("author_date_utc"))
