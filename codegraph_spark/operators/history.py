@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from codegraph_spark.functions import text as tx
 from codegraph_spark.operators.ranked import with_limit
-from codegraph_spark.plans import chains
+from codegraph_spark.plans import chains, sizing
 from codegraph_spark.plans.lineage import cut
 from codegraph_spark.plans.topk import best_one, top_k
 from codegraph_spark.schemas import optional
@@ -139,15 +139,19 @@ def file_facts(commits: DataFrame, commit_files: DataFrame) -> DataFrame:
 
 
 def commit_neighbors(commit_edges: DataFrame, req: DataFrame) -> DataFrame:
-    """Parents and children of the requested commits."""
-    r = req.select("query_id", "commit_id")
-    up = commit_edges.join(r.withColumnRenamed("commit_id", "child_commit_id"), "child_commit_id").select(
-        "query_id", F.col("child_commit_id").alias("commit_id"), F.lit("parent").alias("relation"), F.col("parent_commit_id").alias("other")
-    )
-    down = commit_edges.join(r.withColumnRenamed("commit_id", "parent_commit_id"), "parent_commit_id").select(
-        "query_id", F.col("parent_commit_id").alias("commit_id"), F.lit("child").alias("relation"), F.col("child_commit_id").alias("other")
-    )
-    return up.unionByName(down).distinct()
+    """Parents and children of the requested commits.
+
+    Requests and edges are made distinct where they meet, so their rows are distinct too and need no further exchange.
+    """
+    edges = commit_edges.select("child_commit_id", "parent_commit_id")
+    n = sizing.parts(edges, req)
+    r = req.select("query_id", "commit_id").repartition(n, "commit_id").distinct()
+
+    def side(mine: str, relation: str, other: str) -> DataFrame:
+        e = edges.select(F.col(mine).alias("commit_id"), F.col(other).alias("other")).repartition(n, "commit_id").distinct()
+        return r.join(e, "commit_id").select("query_id", "commit_id", F.lit(relation).alias("relation"), "other")
+
+    return side("child_commit_id", "parent", "parent_commit_id").unionByName(side("parent_commit_id", "child", "child_commit_id"))
 
 
 def commit_chains(commit_edges: DataFrame) -> chains.ChainIndex:
