@@ -96,9 +96,15 @@ def first_touch(commits: DataFrame, commit_files: DataFrame, req: DataFrame) ->
 
 
 def touch_count(commit_files: DataFrame, req: DataFrame) -> DataFrame:
-    mine = commit_files.join(req.select("path").distinct(), "path", "left_semi")
-    n = mine.groupBy("path").agg(F.count_distinct("repo_name", "commit_id").alias("touches"))
-    return req.select("query_id", "path").join(n, "path", "left").select("query_id", "path", F.coalesce("touches", F.lit(0)).alias("touches"))
+    """Commits that change each requested path; touches are counted after they are dealt out, as nearly all of them differ."""
+    n = sizing.parts(commit_files)
+    asked = req.select("path").distinct()
+    many = asked.count() > sizing.ROWS
+    touches = commit_files.select("path", "repo_name", "commit_id")
+    # few paths leave few touches; many are met where both sides were dealt out by path
+    mine = touches.repartition(n, "path").join(asked.repartition(n, "path"), "path", "left_semi") if many else touches.join(asked, "path", "left_semi").repartition(n, "path", "repo_name", "commit_id")
+    counts = mine.distinct().groupBy("path").agg(F.count(F.lit(1)).alias("touches"))
+    return req.select("query_id", "path").join(counts, "path", "left").select("query_id", "path", F.coalesce("touches", F.lit(0)).alias("touches"))
 
 
 def patch_text(patches: DataFrame, req: DataFrame, max_chars: int = 30000) -> DataFrame:

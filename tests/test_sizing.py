@@ -31,3 +31,14 @@ def test_neighbors_in_small_tasks(spark, small_tasks):
     want = {(i, f"c{i}", "parent", f"c{i - 1}") for i in range(1, n)} | {(i, f"c{i}", "child", f"c{i + 1}") for i in range(n - 1)}
     rows = got.collect()
     assert len(rows) == len(want) and {tuple(r) for r in rows} == want
+
+
+@pytest.mark.parametrize("paths", [10, 700])
+def test_touches_are_dealt_out_before_they_are_counted(spark, small_tasks, capsys, paths):
+    """Few asked paths, and more than a task takes; rows that come twice count once."""
+    files = spark.range(6_000).select(F.lit("r").alias("repo_name"), F.format_string("c%d", F.col("id") % 5_000).alias("commit_id"), F.format_string("p%d", F.col("id") % 500).alias("path"))
+    req = spark.range(paths).select(F.col("id").alias("query_id"), F.format_string("p%d", "id").alias("path"))
+    got = history.touch_count(files, req)
+    assert {tuple(r) for r in got.collect()} == {(i, f"p{i}", 10 if i < 500 else 0) for i in range(paths)}
+    got.explain()
+    assert "REPARTITION_BY_NUM" in capsys.readouterr().out
