@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codegraph_spark.plans import sizing
 from codegraph_spark.streaming.deltas import COMPACT_AT, Deltas
 
 _AT = "author_date_utc: timestamp, commit_id: string"
@@ -16,8 +17,8 @@ PARTIAL = f"repo_name string, path string, first struct<{_AT}>, last struct<{_AT
 
 
 def partial_facts(touches: DataFrame) -> DataFrame:
-    """Partial rows of ``touches(repo_name, commit_id, path, author_name, author_date_utc, subject)``."""
-    once = touches.dropDuplicates(["repo_name", "commit_id", "path"])
+    """Partial rows of ``touches(repo_name, commit_id, path, author_name, author_date_utc, subject)``, dealt out by their number first."""
+    once = touches.repartition(sizing.parts(touches), "repo_name", "commit_id", "path").dropDuplicates(["repo_name", "commit_id", "path"])
     return once.groupBy("repo_name", "path").agg(
         F.min(F.struct("author_date_utc", "commit_id")).alias("first"),
         F.max(F.struct("author_date_utc", "commit_id", "author_name", "subject")).alias("last"),
@@ -26,7 +27,8 @@ def partial_facts(touches: DataFrame) -> DataFrame:
 
 
 def merged(partial: DataFrame) -> DataFrame:
-    return partial.groupBy("repo_name", "path").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("touch_count").alias("touch_count"))
+    dealt = partial.repartition(sizing.parts(partial), "repo_name", "path")
+    return dealt.groupBy("repo_name", "path").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("touch_count").alias("touch_count"))
 
 
 class FactStore:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from codegraph_spark.operators import history
 from codegraph_spark.plans import sizing
+from codegraph_spark.streaming import history_stream
 
 
 @pytest.fixture
@@ -42,3 +43,20 @@ def test_touches_are_dealt_out_before_they_are_counted(spark, small_tasks, capsy
     assert {tuple(r) for r in got.collect()} == {(i, f"p{i}", 10 if i < 500 else 0) for i in range(paths)}
     got.explain()
     assert "REPARTITION_BY_NUM" in capsys.readouterr().out
+
+
+def test_facts_of_a_batch_are_dealt_out(spark, small_tasks, capsys):
+    at = F.timestamp_seconds(F.col("id") % 3_000)
+    touches = spark.range(6_000).select(
+        F.lit("r").alias("repo_name"), F.format_string("c%04d", F.col("id") % 3_000).alias("commit_id"), F.format_string("p%d", F.col("id") % 300).alias("path"),
+        F.lit("a").alias("author_name"), at.alias("author_date_utc"), F.lit("s").alias("subject"),
+    )
+    got = history_stream.partial_facts(touches)
+    got.explain()
+    assert "REPARTITION_BY_NUM" in capsys.readouterr().out
+    # every row comes twice
+    want = {(f"p{i}", 10, f"c{i:04}", f"c{2_700 + i:04}") for i in range(300)}
+    assert {(r["path"], r["touch_count"], r["first"]["commit_id"], r["last"]["commit_id"]) for r in got.collect()} == want
+    twice = history_stream.merged(got.union(got))
+    assert twice.rdd.getNumPartitions() >= 3
+    assert {(r["path"], r["touch_count"], r["first"]["commit_id"], r["last"]["commit_id"]) for r in twice.collect()} == {(p, 2 * n, a, z) for p, n, a, z in want}
