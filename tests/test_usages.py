@@ -2,10 +2,12 @@
 
 import os
 import re
+import time
 from collections import Counter
 
 import pytest
 
+from codegraph_spark.functions import text as tx
 from codegraph_spark.operators import extract
 from codegraph_spark.sources import corpus
 from codegraph_spark.workloads import QUERIES
@@ -64,3 +66,33 @@ def test_usages_of_code(spark, run, plain):
     for r in run(lines).collect():
         got.setdefault(r["line"], set()).add(r["token"])
     assert got == {i: plain(t) for i, t in enumerate(code) if plain(t)}
+
+
+def plain_lexical(text):
+    runs = {t for t in re.findall(r"[^\W]+", text) if re.fullmatch(extract.IDENTIFIER, t)}
+    runs = {t for t in runs if len(t) >= 3 and t not in extract.LEXICAL_STOP_WORDS}
+    return {t for t in runs if any(f"{a}{t}{b}" in text for a, b in tx.USAGE_SHAPES)}
+
+
+LEXICAL_LINES = [
+    "one two three", "alpha", " beta ", "gamma  delta", "Foo.bar(baz)", "my_foo( foo", "a::b::ccc::ddd", "Map<Key><Val> Set<Row>", "x: Foo, y = Bar,z=Qux", "äfoo( foo über_x",
+    "...ends.with.dots.", "pre.fixed pre", "fixed: prefix pre", "a\ttabbed b tabbed", "return class_ class", "", "name name( name:: ::name <name> name",
+]
+
+
+def test_lexical_usages_of_lines(spark):
+    lines = spark.createDataFrame([("r", "/f", i, t) for i, t in enumerate(LEXICAL_LINES)], "repo_name string, file_path string, line int, text string")
+    got = {}
+    for r in extract.lexical_usages(lines).collect():
+        got.setdefault(r["line"], []).append(r["token"])
+        assert r["context"] == LEXICAL_LINES[r["line"]].strip(" \t")
+    assert {i: sorted(ts) for i, ts in got.items()} == {i: sorted(plain_lexical(t)) for i, t in enumerate(LEXICAL_LINES) if plain_lexical(t)}
+
+
+def test_lexical_usages_read_a_line_once(spark):
+    """Each token was looked for in the whole line, nine times: this line was not done after 100 s."""
+    text = " ".join(f"word{i}" for i in range(20_000)) + " " + ",".join(f"left{i}" for i in range(20_000))
+    lines = spark.createDataFrame([("r", "/f", 1, text)], "repo_name string, file_path string, line int, text string")
+    start = time.perf_counter()
+    assert extract.lexical_usages(lines).select("token").count() == 19_999
+    assert time.perf_counter() - start < 10
