@@ -96,3 +96,12 @@ def test_lexical_usages_read_a_line_once(spark):
     start = time.perf_counter()
     assert extract.lexical_usages(lines).select("token").count() == 19_999
     assert time.perf_counter() - start < 10
+
+
+def test_csharp_usages_look_for_declarations_once(spark):
+    """Declarations were looked for again for each token of a line: this line was not done after 60 s."""
+    text = "int total = " + " + ".join(f"Item{i}" for i in range(10_000)) + ";"
+    lines = spark.createDataFrame([("r", "/f", 1, text)], "repo_name string, file_path string, line int, text string")
+    start = time.perf_counter()
+    assert extract.csharp_usages(lines).select("token").count() == 10_000
+    assert time.perf_counter() - start < 15
