@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -186,3 +187,45 @@ def test_registry_rejects_taken_extensions():
 def test_unknown_pattern_language_is_dropped(spark):
     files = spark.createDataFrame([("r", "/a.CS"), ("r", "/b.md")], "repo_name string, file_path string")
     assert rows(scan.assign_language(files, scan.language_table(spark)), "file_path", "language") == [("/a.CS", "CSharp")]
+
+
+def plain_ranked(use, symbols, imports):
+    """(symbol id, file, line): the best symbol of each usage and a close second, from all symbols of its name."""
+    out = set()
+    for file, token, line, text in use:
+        if text.startswith("use "):
+            continue
+        called = f"{token}(" in text
+        typed = any(f"{a}{token}{b}" in text for a, b in ((": ", ""), ("-> ", ""), ("<", ">"), (" ", " {")))
+        found = []
+        for sid, f, name, kind, start in symbols:
+            if name != token:
+                continue
+            score = 18 + max(0, 16 - min(16, abs(start - line))) if f == file else 0
+            score += 30 * ((file, f) in imports) + 24 * (called and kind in linking.CALLABLE) + 22 * (typed and kind in linking.TYPE_KINDS)
+            if not called and not typed:
+                score += 9 if kind in linking.CALLABLE else 8 if kind in ("Struct", "Class", "Interface", "Trait") else 3
+            found.append((-score, f, start, sid))
+        best = sorted(found)[:2]
+        out |= {(sid, file, line) for n, (s, f, start, sid) in enumerate(best) if -s >= 12 and (n == 0 or s - best[0][0] <= 2) and (f, start) != (file, line)}
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("with_lines", [True, False])
+def test_ranked_linking_of_many_usages(spark, with_lines):
+    """With lines, usages need no text of their own: it was written and shuffled once per usage."""
+    r = random.Random(3)
+    names, files, kinds = ["run", "make", "Thing", "Other"], [f"/f{i}" for i in range(4)], ["Function", "Method", "Struct", "Enum", "Field", "Class"]
+    symbols = sorted({(r.choice(files), r.choice(names), r.choice(kinds), r.randint(1, 60)) for _ in range(150)})
+    symbols = [(f"s{i:03}", *s) for i, s in enumerate(symbols)]
+    imports = [(a, b) for a in files for b in files if r.random() < 0.3] + [("/f0", "/f0")]
+    shapes = ["x = {}(1)", "let a: {} = b", "{} and {}", "use a::{};", "<{}>", "-> {} {{", "a.{}", " {} {{ x }}"]
+    lines = [(f, n, r.choice(shapes).replace("{}", "%s").replace("{{", "{").replace("}}", "}")) for f in files for n in range(1, 40)]
+    lines = [(f, n, t.replace("%s", r.choice(names), 1).replace("%s", r.choice(names))) for f, n, t in lines]
+    use = [(f, name, n, t.strip()) for f, n, t in lines for name in names if name in t]
+    usages = spark.createDataFrame([("r", *u) for u in use], "repo_name string, file_path string, token string, line int, context string")
+    table = _symbols(spark, [(i, "r", f, name, kind, start, start, None) for i, f, name, kind, start in symbols])
+    told = spark.createDataFrame([("r", a, b) for a, b in imports], "repo_name string, from_file string, to_file string")
+    text = spark.createDataFrame([("r", *x) for x in lines], "repo_name string, file_path string, line int, text string")
+    got = linking.link_ranked(usages.drop("context"), table, told, lines=text) if with_lines else linking.link_ranked(usages, table, told)
+    assert rows(got, "symbol_id", "in_file", "line") == plain_ranked(use, symbols, set(imports))
