@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from codegraph_spark.operators import history
+from codegraph_spark.operators import history, linking
 from codegraph_spark.plans import sizing
 from codegraph_spark.streaming import history_stream
 
@@ -60,3 +60,23 @@ def test_facts_of_a_batch_are_dealt_out(spark, small_tasks, capsys):
     twice = history_stream.merged(got.union(got))
     assert twice.rdd.getNumPartitions() >= 3
     assert {(r["path"], r["touch_count"], r["first"]["commit_id"], r["last"]["commit_id"]) for r in twice.collect()} == {(p, 2 * n, a, z) for p, n, a, z in want}
+
+
+def test_symbols_of_many_files_are_dealt_out(spark, small_tasks, capsys):
+    """The blocks of all symbols of a scan were sorted in one task."""
+    symbols = spark.range(2_000).coalesce(1).select(
+        F.format_string("s%04d", "id").alias("id"), F.lit("r").alias("repo_name"), F.format_string("/f%d", F.col("id") % 5).alias("file_path"),
+        (F.col("id") % 40 + 1).cast("int").alias("line_start"), (F.col("id") % 40 + 10).cast("int").alias("line_end"),
+    )
+    points = spark.range(300).select(F.lit("r").alias("repo_name"), F.format_string("/f%d", F.col("id") % 5).alias("file_path"), F.floor(F.col("id") / 5).cast("int").alias("line"))
+    got = linking.enclosing_symbol(points, symbols)
+    want = {}
+    for i in reversed(range(2_000)):
+        for line in range(i % 40 + 1, 60):
+            inside = line <= i % 40 + 10
+            known = want.get((i % 5, line))
+            if known is None or (inside, i % 40) >= (known[0], known[1]):
+                want[i % 5, line] = (inside, i % 40, f"s{i:04}")
+    assert {(int(r.file_path[2:]), r.line): r.symbol_id for r in got.collect()} == {k: v[2] for k, v in want.items()}
+    got.explain()
+    assert capsys.readouterr().out.count("REPARTITION_BY_NUM") >= 2
