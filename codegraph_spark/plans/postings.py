@@ -18,7 +18,8 @@ from codegraph_spark.plans.lineage import cut
 
 GRAM = 3
 MEETING = 3  # grams of a pattern that a file must hold
-PIECE = 4096  # characters that are cut into grams at once
+PIECE = 4096  # characters of a long text that are cut into grams at once
+WHOLE = 1 << 18  # characters of a text whose grams are held at once
 KEY = ["repo_name", "file_path"]
 
 
@@ -26,17 +27,26 @@ def _fold(text: Column) -> Column:
     return F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
 
 
+def _grams(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?=([^\\r\\n]{{{GRAM}}}))"), 1))
+
+
 def build(files: DataFrame) -> DataFrame:
-    """(gram, repo_name, file_path), once each. Texts are cut into overlapping pieces first, so no row grows with a text."""
+    """(gram, repo_name, file_path), once each for files given once.
+
+    The grams of a file are made distinct where it stands, without an exchange. Files longer than ``WHOLE`` are cut into overlapping
+    pieces, so no row grows with a text; only their grams are made distinct by an exchange.
+    """
+    short = F.length("content") <= WHOLE
+    whole = files.filter(short).select(F.explode(_grams(_fold(F.col("content")))).alias("gram"), *KEY)
     pieces = F.regexp_extract_all(_fold(F.col("content")), F.lit(f"(?s)(?=(.{{1,{PIECE + GRAM - 1}}})).{{1,{PIECE}}}"), 1)
-    grams = F.array_distinct(F.regexp_extract_all("piece", F.lit(f"(?=([^\\r\\n]{{{GRAM}}}))"), 1))
-    rows = files.select(*KEY, F.explode(pieces).alias("piece"))
-    return rows.select(F.explode(grams).alias("gram"), *KEY).distinct()
+    rows = files.filter(~short).select(*KEY, F.explode(pieces).alias("piece"))
+    return whole.unionByName(rows.select(F.explode(_grams(F.col("piece"))).alias("gram"), *KEY).distinct())
 
 
 def write(postings: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Postings sorted by gram; a gram that all files hold is spread over several tasks."""
-    postings.repartitionByRange("gram", *KEY).sortWithinPartitions("gram").write.mode(mode).parquet(path)
+    """Postings sorted by gram; a gram that all files hold is spread over several tasks. Ranges are sampled from the written rows."""
+    cut(postings).repartitionByRange("gram", *KEY).sortWithinPartitions("gram").write.mode(mode).parquet(path)
 
 
 def grams_of(texts: list[str]) -> set[str]:
@@ -58,7 +68,7 @@ def candidates(postings: DataFrame, needs: dict[int, list[str]]) -> DataFrame:
     meet = [(i, g, min(len(gs), MEETING)) for i, gs in grams.items() for g in sorted(gs, key=lambda g: (counts.get(g, 0), g))[:MEETING]]
     sought = F.broadcast(spark.createDataFrame(meet, "number int, gram string, need int"))  # a few rows per pattern
     rows = postings.filter(F.col("gram").isin(sorted({g for _, g, _ in meet}))).join(sought, "gram")
-    full = rows.groupBy(*KEY, "number", "need").agg(F.count(F.lit(1)).alias("n")).filter("n = need")
+    full = rows.groupBy(*KEY, "number", "need").agg(F.count_distinct("gram").alias("n")).filter("n = need")
     return full.groupBy(*KEY).agg(F.collect_set("number").alias("may"))
 
 

@@ -2,6 +2,7 @@
 
 import random
 import re
+import string
 
 import pytest
 from conftest import rows
@@ -87,3 +88,19 @@ def test_few_files_are_read(spark):
     files = _files(spark)
     met = postings.candidate_lines(files, postings.build(files), {0: ["needle"], 1: ["nothing"]})
     assert {r.file_path for r in met.select("file_path").distinct().collect()} == {"/long", "/edge"}
+
+
+@pytest.mark.parametrize("whole", [postings.WHOLE, 30])
+def test_grams_of_short_files_need_no_exchange(spark, monkeypatch, capsys, whole):
+    """The grams of every file were shuffled to make them distinct; now only those of long files are."""
+    monkeypatch.setattr(postings, "WHOLE", whole)
+    files = _files(spark).filter("content is null or not contains(content, '𝒳')").localCheckpoint()  # halves of it make grams of their own
+    want = set()
+    for r in files.collect():
+        text = "".join(c.lower() if c in string.ascii_uppercase else c for c in r.content or "")
+        want |= {(text[i : i + 3], r.repo_name, r.file_path) for i in range(len(text) - 2) if not set(text[i : i + 3]) & {"\r", "\n"}}
+    got = rows(postings.build(files))
+    assert len(got) == len(want) and set(got) == want
+    postings.build(files).explain()
+    whole_part = capsys.readouterr().out.split("Union")[-1].split("\n   :- ")[1].split("\n   +- ")[0]
+    assert "Generate" in whole_part and "Exchange" not in whole_part
