@@ -119,6 +119,20 @@ def test_lexical_link_options(spark):
     assert linking.link_lexical(use, s, refs_per_file=10).count() == 20
 
 
+def test_texts_join_uses_not_pairs(spark, monkeypatch):
+    met = []
+    real = linking.product_join
+    monkeypatch.setattr(linking, "product_join", lambda left, *a: met.append(left) or real(left, *a))
+    s = _symbols(spark, [(f"s{i}", "r", f"/f{i:02}.cs", "Same", "Class", 1, 2, None) for i in range(40)])
+    lines = spark.createDataFrame([("r", "/u.cs", 5, " Same(Same) "), ("r", "/u.cs", 6, "other()"), ("r", "/F00.cs", 1, "class Same")], "repo_name string, file_path string, line int, text string")
+    use = spark.createDataFrame([("r", "/u.cs", "Same", 5), ("r", "/u.cs", "Same", 5), ("r", "/u.cs", "other", 6), ("r", "/F00.cs", "Same", 1)], "repo_name string, file_path string, token string, line int")
+    got = rows(linking.link_lexical(use, s, lines=lines), "symbol_id", "in_file", "line", "context")
+    want = [(f"s{i}", "/u.cs", 5, "Same(Same)") for i in range(40)] + [(f"s{i}", "/F00.cs", 1, "class Same") for i in range(1, 40)]
+    assert got == sorted(want, key=str)
+    # the text of a line comes in with its two uses of a declared name, not with their 80 pairs
+    assert [rows(left, "in_file", "context") for left in met] == [[("/F00.cs", "class Same"), ("/u.cs", "Same(Same)")]]
+
+
 def test_usages(spark):
     lines = spark.createDataFrame(
         [("r", "/a.rs", "Rust", 1, "let x = foo::make(&y, Vec<Item>); // hidden(1)"), ("r", "/a.rs", "Rust", 2, "fn go(a: &'a mut Thing) -> Shade { Point { x } }")],
