@@ -131,3 +131,40 @@ def test_hub_in_many_queries(spark):
     assert len(rows) == queries * 10 and rows[7, "n00000"] == 1 and (7, "far") not in rows
     met = traverse.induced_edges(got, edges, 2, "sideways").filter("query_id = 7").collect()
     assert {(r["src"], r["dst"]) for r in met} == {("hub", f"n{i:05d}") for i in range(9)} | {("n00001", "n00002")}
+
+
+def test_levels_meet_few_candidates(spark, monkeypatch):
+    """A query that lacks nine nodes does not meet the neighbours of its thirty nodes; the answer is that of plain search."""
+    rnd = random.Random(8)
+    names = {f"n{i}": rnd.choice("abcdABCD") + str(rnd.randint(0, 40)) for i in range(700)}
+    pairs = {(f"n{i}", f"n{rnd.randint(0, 699)}") for i in range(700) for _ in range(rnd.choice([0, 2, 30, 60]))}
+    asked = [(q, f"n{rnd.randint(0, 699)}") for q in range(40)] + [(3, "n5"), (41, "gone")]
+    want = {}
+    for q in {q for q, _ in asked}:
+        held = {n: 0 for p, n in asked if p == q}
+        for level in (1, 2, 3):
+            fresh = {b for a, b in pairs if held.get(a) == level - 1} - held.keys()
+            room = max(0, 40 - len(held))
+            held |= dict.fromkeys(sorted(fresh, key=lambda n: (names[n].lower(), n))[:room], level)
+        want |= {(q, n): d for n, d in held.items()}
+    met = []
+    real = traverse.top_k
+    monkeypatch.setattr(traverse, "top_k", lambda df, keys, *a, **k: (met.append(df.count()) if keys == ["query_id"] else None) or real(df, keys, *a, **k))
+    e = spark.createDataFrame([(a, b, "t") for a, b in sorted(pairs)], "src string, dst string, type string")
+    got = traverse.reach(
+        spark.createDataFrame(asked, "query_id long, node string"), e, spark.createDataFrame(list(names.items()), "node string, label string"), 3, 40, "out"
+    )
+    assert {(r.query_id, r.node): r.distance for r in got.collect()} == want
+    assert met[1] + met[2] < 3000
+
+
+def test_lists_of_hubs_come_to_the_queries(spark, monkeypatch):
+    rnd = random.Random(9)
+    e = spark.createDataFrame(sorted({(f"n{rnd.randint(0, 20) * rnd.randint(0, 9)}", f"n{rnd.randint(0, 150)}", rnd.choice("xy")) for _ in range(900)}), "src string, dst string, type string")
+    held = spark.createDataFrame(sorted({(q, f"n{rnd.randint(0, 30)}"): (rnd.randint(0, 2),) for q in range(60) for _ in range(30)}.items()), "k struct<query_id:long,node:string>, d struct<distance:int>").select("k.*", "d.*")
+    hubs = []
+    real = F.broadcast
+    monkeypatch.setattr(traverse.F, "broadcast", lambda df: hubs.append(df.count()) or real(df))
+    for direction in ("out", "in", "both"):
+        assert rows(traverse.induced_edges(held, e, 2, direction)) == rows(traverse.joined_edges(held, e, 2, direction))
+    assert len(hubs) == 8 and all(hubs), hubs
