@@ -4,7 +4,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from codegraph_spark.functions import text as tx
-from codegraph_spark.plans import intervals, prefix, substring, traverse
+from codegraph_spark.plans import intervals, prefix, products, substring, traverse
 from codegraph_spark.plans.topk import top_k
 
 
@@ -168,3 +168,19 @@ def test_lists_of_hubs_come_to_the_queries(spark, monkeypatch):
     for direction in ("out", "in", "both"):
         assert rows(traverse.induced_edges(held, e, 2, direction)) == rows(traverse.joined_edges(held, e, 2, direction))
     assert len(hubs) == 8 and all(hubs), hubs
+
+
+def test_large_products_are_cut_on_both_sides(spark, monkeypatch):
+    monkeypatch.setattr(products, "PAIRS_IN_PART", 1000)
+    key = lambda n: F.when(F.col("id") < n, "hot").when(F.col("id") % 7 == 0, F.lit(None)).otherwise(F.concat(F.lit("k"), (F.col("id") % 5).cast("string"))).alias("k")
+    left = spark.range(400).select(key(300), F.col("id").alias("l"))
+    right = spark.range(400).select(key(300), (F.col("id") - F.col("id") % 2).alias("r"))
+    for weight in (1, 1000):
+        assert rows(products.product_join(left, right, ["k"], ["l"], None, weight), "k", "l", "r") == rows(left.join(right, "k"), "k", "l", "r")
+    cells, copies = products.grid(left, right, ["k"], ["l"])
+    # 90,000 pairs of 300 and 300 rows in about 90 parts: each row goes to some ten of them
+    assert 80 <= cells.filter("k = 'hot'").select("_part").distinct().count() <= 110
+    assert cells.count() < 4000 and copies.count() < 4000
+    wide, copies = products.grid(left, right, ["k"], ["l"], None, 1000)
+    assert wide.count() == 400 and copies.count() > 20_000
+    assert products.product_join(left, right.filter("k = 'hot' and r = 0"), ["k"], ["l"]).count() == 600
