@@ -184,3 +184,14 @@ def test_large_products_are_cut_on_both_sides(spark, monkeypatch):
     wide, copies = products.grid(left, right, ["k"], ["l"], None, 1000)
     assert wide.count() == 400 and copies.count() > 20_000
     assert products.product_join(left, right.filter("k = 'hot' and r = 0"), ["k"], ["l"]).count() == 600
+
+
+def test_places_are_asked_for_in_used_levels_only(spark):
+    ivs = spark.createDataFrame([(1, 1, 10), (2, 30, 70), (3, 5, 3)], "id int, s int, e int")
+    blocks = ivs.filter("e >= s").select("id", F.explode(intervals.covering_blocks(F.col("s"), F.col("e"))).alias("b"))
+    levels = intervals.levels_of(blocks, "b")
+    assert levels == [0, 1]
+    at = spark.range(100).select(F.col("id").alias("p"), F.explode(intervals.containing_blocks(F.col("id"), levels)).alias("b"))
+    assert at.count() == 200
+    assert rows(at.join(blocks, "b"), "id", "p") == rows(ivs.join(spark.range(100).toDF("p"), F.col("p").between(F.col("s"), F.col("e"))), "id", "p")
+    assert spark.range(3).select(F.explode(intervals.containing_blocks(F.col("id"), intervals.levels_of(blocks.filter("b < 0"), "b")))).count() == 0
